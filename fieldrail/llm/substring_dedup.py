@@ -111,7 +111,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if chunk != now:
                 if now is not None:
-                    yield row(now, np.packbits(counts >= 2).tobytes(), 0)
+                    yield row(now, pack(np.packbits(counts >= 2)), 0)
                 now = chunk
                 counts[:] = 0
             cells = (np.cumsum(unpack(data.as_py(), np.uint32), dtype=np.uint64) & K.U64((1 << CHUNK_BITS) - 1)).astype(np.uint32)
@@ -120,24 +120,30 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[cells] = np.minimum(counts[cells] + 1, 2)
             counts[twice] = 2
     if now is not None:
-        yield row(now, np.packbits(counts >= 2).tobytes(), 0)
+        yield row(now, pack(np.packbits(counts >= 2)), 0)
     yield row(-1, b"", windows)
 
 
-def sketch(docs: DataFrame, text_col: str, size: int, cell_bits: int = CELL_BITS) -> tuple[np.ndarray, int]:
-    """(bit a cell: counted twice or more; windows counted) of the whole table."""
+def sketch(docs: DataFrame, text_col: str, size: int, cell_bits: int = CELL_BITS) -> tuple[dict[int, bytes], int]:
+    """({chunk: packed bits, one a cell: counted twice or more}, windows counted) of the whole table."""
     schema = "chunk int, data binary, windows long"
     parts = docs.select(text_col).mapInArrow(_sketch(size, cell_bits), schema)
     n = partitions(docs.sparkSession)
     merged = parts.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(_merge, schema)
-    bits = np.zeros(1 << (cell_bits - 3), np.uint8)
-    windows, step = 0, 1 << (CHUNK_BITS - 3)
+    chunks, windows = {}, 0
     for row in merged.collect():
         if row.chunk < 0:
             windows += row.windows
         else:
-            bits[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.data, np.uint8)
-    return bits, windows
+            chunks[row.chunk] = bytes(row.data)
+    return chunks, windows
+
+
+def _unfold(chunks: dict[int, bytes], cell_bits: int) -> np.ndarray:
+    bits, step = np.zeros(1 << (cell_bits - 3), np.uint8), 1 << (CHUNK_BITS - 3)
+    for chunk, data in chunks.items():
+        bits[chunk * step : (chunk + 1) * step] = unpack(data, np.uint8)
+    return bits
 
 
 def _repeated(cells_of: list[np.ndarray], bits: np.ndarray) -> np.ndarray:
@@ -164,7 +170,7 @@ _MOVED = "bucket int, id long, spans boolean, data binary"
 
 def _candidates(size: int, bits: int, shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(shared.value, np.uint8)
+        seen = _unfold(shared.value, bits)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, offsets = K.texts(batch.column(1))
@@ -334,8 +340,8 @@ def _flagged(docs: DataFrame, size: int, id_col: str, text_col: str, cell_bits:
     """docs with a column of their verdicts (last)."""
     spark = docs.sparkSession
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bits, windows = sketch(known, "text", size, cell_bits)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
+    chunks, windows = sketch(known, "text", size, cell_bits)
+    shared = spark.sparkContext.broadcast(chunks)
     buckets = max(partitions(spark), -(-windows // BUCKET_WINDOWS))
     moved = known.mapInArrow(_candidates(size, cell_bits, shared, buckets), _MOVED)
     back = moved.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_exact, "id long, spans boolean, data binary")
