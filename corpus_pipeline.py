@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldrail.llm.common import Scratch, read
+from fieldrail.llm.decontaminate import drop_leaks
 from fieldrail.llm.minhash_dedup import drop_near_duplicates
+from fieldrail.llm.queries import tokenizer_path
+from fieldrail.llm.sentencepiece_codec import encode
 from fieldrail.llm.substring_dedup import remove_repeats
+from fieldrail.llm.toxicity import reject_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the model learns from labels of the rows it is given."""
+    return reject_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +30,17 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-STAGES = [("near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within a fifth of its words go."""
+    return drop_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document that is left."""
+    return encode(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
 #: Hash sketches and a trained model have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 

@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .decontaminate import leaked
 from .minhash_dedup import near_duplicates
+from .sentencepiece_codec import encode
 from .substring_dedup import removal_report
+from .toxicity import toxicity_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False, parity=True)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -21,8 +39,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(read(spark, sf_dir, "documents"), size=13)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_minhash_near_dedup, op8_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op7_minhash_near_dedup, op8_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
