@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, read
 from .decontaminate import leaked
+from .matroska import media_report
 from .minhash_dedup import near_duplicates
 from .sentencepiece_codec import encode
 from .substring_dedup import removal_report
+from .token_counts import count_tokens
+from .token_files import read_report, write_ids
 from .toxicity import toxicity_report
+from .url_filter import judge
+from .warc import derivatives, responses
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +37,24 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_ids(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), Scratch(spark), end_id=1)
+    return read_report(files)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = derivatives(responses(read(spark, sf_dir, "pages")))
+    return made.withColumn("record_bytes", F.octet_length("record").cast("long")).withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -39,12 +63,28 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(read(spark, sf_dir, "documents"), size=13)
 
 
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op7_minhash_near_dedup, op8_substring_dedup, op10_toxicity)}
+    found = (
+        op1_sentencepiece,
+        op2_decontamination,
+        op3_token_files,
+        op4_token_counts,
+        op5_warc_derivatives,
+        op6_url_filter,
+        op7_minhash_near_dedup,
+        op8_substring_dedup,
+        op9_matroska,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
