@@ -4,15 +4,15 @@
    and the minima of ``bands * 4`` hash functions.  A band's key hashes four full
    minima; of every minimum only the low two bits are kept, as two bit planes.
 2. Documents with one set (a 128-bit digest) become one representative.
-3. Representatives that share a band key are candidates.  The number of planes'
-   differing lanes, corrected for the chance that two low bits agree by accident,
-   estimates similarity and drops the clearly unlike ones (six deviations of slack).
-4. What is left is confirmed on the full sets.  Only links that join different
-   components matter, so a band's group is first compared with its smallest
-   member; then each member still apart proposes its likeliest partner in each other
-   component; last, all pairs of the group that are still apart and not unlike are
-   confirmed.  Groups are dealt as pairs of blocks of ``BLOCK`` members at most,
-   and pairs are filtered inside the task: none are emitted for confirmed groups.
+3. Representatives that share a band key are candidates.  Each band's group has a
+   pivot, its smallest member; full sets are compared with the pivot's, which links
+   most members and keeps each set's difference from the pivot's.
+4. Members that aren't linked with their pivot are compared with the other members of
+   all groups of that pivot, in pairs of blocks of ``BLOCK`` members: the number of
+   lanes in which the planes differ, corrected for the chance that two low bits agree
+   by accident, drops unlike pairs (six deviations of slack), and the rest is confirmed on the
+   full sets, by way of their differences from the pivot's.  A task gives out only links that
+   join components, never the pairs.
 5. Components by label propagation, all as tables.
 
 Bands are chosen so that a pair at the threshold is missed with a probability under
@@ -29,7 +29,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ from .components import components
 
 PER_BAND = 4
 LANES = 128  # two 64-bit words a plane
-BLOCK = 1024
+BLOCK = 2048
 MISS = 1e-6
 
 
@@ -116,13 +115,6 @@ def _sign(size: int, bands: int):
     return run
 
 
-def _differ(a: str, b: str) -> F.Column:
-    """Lanes whose low two bits differ."""
-    p = lambda side, i: F.col(side)[i]
-    word = lambda h: (p(a, h).bitwiseXOR(p(b, h))).bitwiseOR(p(a, 2 + h).bitwiseXOR(p(b, 2 + h)))
-    return F.bit_count(word(0)) + F.bit_count(word(1))
-
-
 def most_differing(threshold: float, lanes: int) -> int:
     """Lanes that a pair at the threshold may differ in: the mean and six deviations.
 
@@ -139,65 +131,114 @@ def _sets(size: int):
             buf, offsets = K.texts(batch.column(1))
             for lo, hi in K.groups(offsets):
                 sets = shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "planes", "grams"])
 
     return run
 
 
-def _confirm(percent: int):
-    """Pairs whose sets, hashed, satisfy 100 * intersection >= percent * union."""
+_STARS = "pivot long, rep long, planes array<long>, base int, missing binary, added binary, linked boolean"
+
+
+def _star(percent: int):
+    """How each member's set differs from its pivot's, and whether the two are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, own = [], None, None
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), K.U64), np.frombuffer(y.as_py(), K.U64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            base, missing, added, linked = [], [], [], []
+            for p, x in zip(batch.column(3), batch.column(4)):
+                p, x = np.frombuffer(p.as_py(), K.U64), np.frombuffer(x.as_py(), K.U64)
+                at = np.minimum(np.searchsorted(p, x), max(len(p) - 1, 0))
+                both = p[at] == x if len(p) else np.zeros(len(x), bool)
+                lost = np.ones(len(p), bool)
+                lost[at[both]] = False
+                n = int(both.sum())
+                base.append(len(p))
+                missing.append(p[lost].tobytes())
+                added.append(x[~both].tobytes())
+                linked.append(100 * n >= percent * (len(p) + len(x) - n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base, pa.int32()), pa.array(missing, pa.binary()), pa.array(added, pa.binary()), pa.array(linked, pa.bool_())], ["pivot", "rep", "planes", "base", "missing", "added", "linked"])
 
     return run
 
 
 _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+_ADDED = K.U64(0xA5A5A5A5A5A5A5A5)
 
 
-def _apart(most: int, best: bool):
-    """Pairs of one pair of blocks that lie in different components and aren't unlike.
+def _links_between(rows: list[dict], percent: int, most: int) -> list[tuple[int, int]]:
+    """Links of the outliers (side 0) with the members (side 1) that join components.
 
-    best: for each member only its likeliest partner in each other component.
+    With I the pivot's set, |x & m| = |I| - |I - x| - |I - m| + (what both lack of I and
+    what both add to it), so full sets are compared by their differences from the pivot.
     """
+    outer = [r for r in rows if r["side"] == 0]
+    member = [r for r in rows if r["side"] == 1]
+    if not outer or not member:
+        return []
+    lack = [np.frombuffer(r["missing"], K.U64) for r in member]
+    add = [np.frombuffer(r["added"], K.U64) for r in member]
+    base = member[0]["base"]
+    gone, more = np.array([len(x) for x in lack]), np.array([len(x) for x in add])
+    size = base - gone + more
+    keys = np.concatenate([y for x, a in zip(lack, add) for y in (x, a ^ _ADDED)])
+    owner = np.repeat(np.arange(len(member)), gone + more)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    planes = np.array([r["planes"] for r in member], np.int64)
+    ids = np.array([r["rep"] for r in member])
+    hub = -1  # stands for the pivot; members have their positions
+    root = {hub: hub}
+
+    def find(a: int) -> int:
+        while root.setdefault(a, a) != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    place = {int(i): k for k, i in enumerate(ids)}
+    for k, r in enumerate(member):
+        if r["linked"]:
+            root[k] = hub
+    out = []
+    for n, r in enumerate(outer):
+        me = place.get(r["rep"], len(member) + n)
+        x = planes ^ np.array(r["planes"], np.int64)
+        near = _BITS[np.ascontiguousarray(x[:, :2] | x[:, 2:]).view(np.uint16)].sum(1) <= most
+        near &= ids != r["rep"]
+        if not near.any():
+            continue
+        own_lack, own_add = np.frombuffer(r["missing"], K.U64), np.frombuffer(r["added"], K.U64)
+        mine = np.concatenate([own_lack, own_add ^ _ADDED])
+        lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+        shared = np.bincount(owner[K.ranges(lo, hi - lo)], minlength=len(member))
+        both = base - len(own_lack) - gone + shared
+        either = base - len(own_lack) + len(own_add) + size - both
+        for k in np.flatnonzero(near & (100 * both >= percent * either)).tolist():
+            a, b = find(me), find(k)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((min(r["rep"], int(ids[k])), max(r["rep"], int(ids[k]))))
+    return out
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sides = [frame[frame.side == k] for k in (0, 1)]
-        if not len(sides[1]):
-            sides[1] = sides[0]
-        rep = [x.rep.to_numpy() for x in sides]
-        label = [x.label.to_numpy() for x in sides]
-        planes = [np.stack(x.planes.to_numpy()).astype(np.int64) for x in sides]
-        found_a, found_b = [], []
-        for i in range(len(rep[0])):
-            other = np.flatnonzero(label[1] != label[0][i])
-            if not len(other):
-                continue
-            x = planes[1][other] ^ planes[0][i]
-            lanes = np.ascontiguousarray(x[:, :2] | x[:, 2:]).view(np.uint16)
-            count = _BITS[lanes].sum(1)
-            near = np.flatnonzero(count <= most)
-            if best and len(near):
-                near = near[np.lexsort((count[near], label[1][other[near]]))]
-                near = near[np.r_[True, label[1][other[near]][1:] != label[1][other[near]][:-1]]]
-            found_a.append(np.full(len(near), rep[0][i]))
-            found_b.append(rep[1][other[near]])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+def _apart(percent: int, most: int):
+    """Rows come sorted by (pivot, i, j): one pair of blocks is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            found = _links_between(held, percent, most)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (key := (row["pivot"], row["i"], row["j"])) != now:
+                    yield from links()
+                    now, held = key, []
+                held.append(row)
+        yield from links()
 
     return run
 
@@ -215,32 +256,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     live = scratch.put("live", keyed.join(shared, "key"))
-    ids = live.select("rep").distinct()
-    chosen = slim.join(ids, slim.id == ids.rep, "left_semi").select("id", "text")
-    sets = scratch.put("sets", chosen.mapInArrow(_sets(size), "rep long, grams binary"))
-    planes = scratch.put("planes", classes.join(ids, "rep", "left_semi").select("rep", "planes"))
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        left = sets.select(F.col("rep").alias("a"), F.col("grams").alias("x"))
-        right = sets.select(F.col("rep").alias("b"), F.col("grams").alias("y"))
-        both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return scratch.put(name, both.mapInArrow(_confirm(percent), "a long, b long"))
-
-    stars = live.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    one, two = (planes.select(F.col("rep").alias(c), F.col("planes").alias("p" + c)) for c in "ab")
-    links = confirmed(stars.join(one, "a").join(two, "b").filter(_differ("pa", "pb") <= most), "links-0")
-    label = components(links, scratch, "label-0")
-    for k, best in ((1, True), (2, False)):
-        seen = live.select("key", "rep").join(label.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-        # groups that hold more than one component, in blocks by a hash of the member
-        spread = seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        member = seen.join(spread, "key").join(planes, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        dealt = member.select("key", "rep", "label", "planes", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("key", "rep", "label", "planes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        pairs = dealt.groupBy("key", "i", "j").applyInPandas(_apart(most, best), "a long, b long").distinct()
-        more = confirmed(pairs, f"links-{k}")
-        links = links.union(more)
-        label = components(links, scratch, f"label-{k}")
+    stars = live.filter("rep != pivot").select("pivot", "rep").distinct()
+    ids = live.select("rep").distinct().join(classes.select("rep", "planes"), "rep")
+    chosen = slim.join(ids, slim.id == ids.rep).select("rep", "text", "planes")
+    sets = scratch.put("sets", chosen.mapInArrow(_sets(size), "rep long, planes array<long>, grams binary"))
+    both = stars.join(sets, "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("grams").alias("base")), "pivot")
+    star = scratch.put("stars", both.select("pivot", "rep", "planes", "base", "grams").mapInArrow(_star(percent), _STARS))
+    # groups in which some member isn't linked with the pivot: those outliers against all members, in blocks
+    group = star.groupBy("pivot").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("m")).filter("m > 0 and n > 1")
+    group = group.select("pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ni"))
+    dealt = star.join(group, "pivot").withColumn("h", F.xxhash64("rep"))
+    member = dealt.select("pivot", "rep", "planes", "base", "missing", "added", "linked", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod("h", "nj").cast("int").alias("j"))
+    outer = dealt.filter("not linked").select("pivot", "rep", "planes", "base", "missing", "added", "linked", F.lit(0).alias("side"), F.pmod("h", "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
+    rows = member.union(outer).repartition(partitions(spark), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    links = scratch.put("links", rows.mapInArrow(_apart(percent, most), "a long, b long"))
+    label = components(star.filter("linked").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).union(links), scratch, "label")
     root = classes.select("d1", "d2", "n_shingles", "rep").join(label.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "rep").alias("root"))
     out = signed.select("id", "n_shingles", "d1", "d2").join(root, ["d1", "d2", "n_shingles"], "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
