@@ -171,70 +171,81 @@ _MOVED = "bucket int, id long, spans boolean, data binary"
 def _candidates(size: int, bits: int, shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _unfold(shared.value, bits)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            buf, offsets = K.texts(batch.column(1))
-            h1s, h2s, docs, ats = [], [], [], []
-            for lo, hi in K.groups(offsets):
-                part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                s, e, first = K.word_spans(part, off)
-                grams = K.gram_hashes(K.span_hashes(part, s, e), size)
-                at, text = K.inside(first, size)
-                if not len(at):
-                    continue
-                grams = grams[at]
-                keep = np.flatnonzero(_repeated(_cells(grams, bits), seen))
-                if not len(keep):
-                    continue
-                # the second hash of only the kept windows' words
-                second = K.gram_hashes(K.span_hashes(part, s, e, 1), size, 1)[at[keep]]
-                h1s.append(grams[keep])
-                h2s.append((second >> K.U64(32)).astype(np.uint32))
-                docs.append(text[keep].astype(np.int64) + lo)
-                ats.append((at[keep] - first[text[keep]]).astype(np.int64))
-            if not h1s:
+        for whole in batches:
+            _, edges = K.texts(whole.column(1))
+            for x, y in K.groups(edges, 16 << 20):
+                yield from compare(seen, whole.slice(x, y - x))
+
+    def compare(seen: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        buf, offsets = K.texts(batch.column(1))
+        h1s, h2s, docs, ats = [], [], [], []
+        for lo, hi in K.groups(offsets):
+            part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            s, e, first = K.word_spans(part, off)
+            grams = K.gram_hashes(K.span_hashes(part, s, e), size)
+            at, text = K.inside(first, size)
+            if not len(at):
                 continue
-            h1, h2, doc, at = map(np.concatenate, (h1s, h2s, docs, ats))
-            order = np.lexsort((ids[doc], h2, h1))
-            h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
-            new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-            least = ids[doc][new][np.cumsum(new) - 1]
-            later = ids[doc] != least
-            rows: tuple[list, list, list, list] = ([], [], [], [])
-
-            def add(bucket: int, key: int | None, spans: bool, data: bytes) -> None:
-                for cell, value in zip(rows, (bucket, key, spans, data)):
-                    cell.append(value)
-
-            # known here already: a smaller id of this batch has the window
-            by = np.lexsort((at[later], doc[later]))
-            d, a = doc[later][by], at[later][by]
-            edge = np.flatnonzero(np.r_[True, d[1:] != d[:-1], True]) if len(d) else np.zeros(1, np.int64)
-            for x, y in zip(edge[:-1], edge[1:]):
-                step = np.flatnonzero(np.diff(a[x:y]) != 1)
-                begin, end = a[x:y][np.r_[0, step + 1]], a[x:y][np.r_[step, y - x - 1]] + 1
-                key = int(ids[d[x]])
-                own = buf[offsets[d[x]] : offsets[d[x] + 1]]
-                add(key % buckets, key, True, _mark(own) + pack(np.stack([begin, end], 1).astype(np.uint32).reshape(-1)))
-            one = h1[new], h2[new], ids[doc][new]
-            bucket = (one[0] >> K.U64(20)) % K.U64(buckets)
-            by = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(np.uint64))
-            for b in range(buckets):
-                x = by[edge[b] : edge[b + 1]]
-                if len(x):
-                    who, index = np.unique(one[2][x], return_inverse=True)
-                    head = np.array([len(x), len(who)], np.uint32).tobytes()
-                    add(b, None, False, head + one[0][x].tobytes() + one[1][x].tobytes() + index.astype(np.uint32).tobytes() + who.tobytes())
-            kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["bucket", "id", "spans", "data"])
+            grams = grams[at]
+            keep = np.flatnonzero(_repeated(_cells(grams, bits), seen))
+            if not len(keep):
+                continue
+            # the second hash of only the kept windows' words
+            second = K.gram_hashes(K.span_hashes(part, s, e, 1), size, 1)[at[keep]]
+            h1s.append(grams[keep])
+            h2s.append((second >> K.U64(32)).astype(np.uint32))
+            docs.append(text[keep].astype(np.int64) + lo)
+            ats.append((at[keep] - first[text[keep]]).astype(np.int64))
+        if not h1s:
+            return
+        h1, h2, doc, at = map(np.concatenate, (h1s, h2s, docs, ats))
+        order = np.lexsort((ids[doc], h2, h1))
+        h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
+        new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+        least = ids[doc][new][np.cumsum(new) - 1]
+        later = ids[doc] != least
+        rows: tuple[list, list, list, list] = ([], [], [], [])
+
+        def add(bucket: int, key: int | None, spans: bool, data: bytes) -> None:
+            for cell, value in zip(rows, (bucket, key, spans, data)):
+                cell.append(value)
+
+        # known here already: a smaller id of this batch has the window
+        by = np.lexsort((at[later], doc[later]))
+        d, a = doc[later][by], at[later][by]
+        edge = np.flatnonzero(np.r_[True, d[1:] != d[:-1], True]) if len(d) else np.zeros(1, np.int64)
+        for x, y in zip(edge[:-1], edge[1:]):
+            step = np.flatnonzero(np.diff(a[x:y]) != 1)
+            begin, end = a[x:y][np.r_[0, step + 1]], a[x:y][np.r_[step, y - x - 1]] + 1
+            key = int(ids[d[x]])
+            own = buf[offsets[d[x]] : offsets[d[x] + 1]]
+            add(key % buckets, key, True, _mark(own) + pack(np.stack([begin, end], 1).astype(np.uint32).reshape(-1)))
+        one = h1[new], h2[new], ids[doc][new]
+        bucket = (one[0] >> K.U64(20)) % K.U64(buckets)
+        by = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(np.uint64))
+        for b in range(buckets):
+            x = by[edge[b] : edge[b + 1]]
+            if len(x):
+                who, index = np.unique(one[2][x], return_inverse=True)
+                head = np.array([len(x), len(who)], np.uint32).tobytes()
+                add(b, None, False, head + one[0][x].tobytes() + one[1][x].tobytes() + index.astype(np.uint32).tobytes() + who.tobytes())
+        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["bucket", "id", "spans", "data"])
 
     return run
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket. Windows whose smallest id lies in another batch return to their document."""
-    names, kinds = ["id", "spans", "data"], (pa.int64(), pa.bool_(), pa.binary())
+_RETURNED = "bucket int, id long, spans boolean, data binary"
+
+
+def _exact(buckets: int):
+    """Rows come sorted by bucket. Windows whose smallest id lies in another batch return to their document.
+
+    Verdicts of many documents travel in one row, dealt by document.
+    """
+    names, kinds = ["bucket", "id", "spans", "data"], (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
 
     def verdicts(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -251,28 +262,61 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         later = who != who[new][np.cumsum(new) - 1]
         who, h1 = who[later], h1[later]
-        order = np.argsort(who, kind="stable")
+        order = np.lexsort((who, who % buckets))
         who, h1 = who[order], h1[order]
-        edge = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True]) if len(who) else np.zeros(1, np.int64)
-        for lo in range(0, len(edge) - 1, 5000):
-            part = list(zip(edge[lo : lo + 5000], edge[lo + 1 : lo + 5001]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(who[x]) for x, _ in part], kinds[0]), pa.array([False] * len(part), kinds[1]), pa.array([h1[x:y].tobytes() for x, y in part], kinds[2])], names)
+        edge = np.searchsorted(who % buckets, np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(edge))
+        for lo in range(0, len(full), 256):
+            rows = []
+            for b in full[lo : lo + 256]:
+                ids, count = np.unique(who[edge[b] : edge[b + 1]], return_counts=True)
+                rows.append(np.array([len(ids)], np.uint64).tobytes() + ids.tobytes() + count.astype(np.int64).tobytes() + h1[edge[b] : edge[b + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(full[lo : lo + 256], kinds[0]), pa.nulls(len(rows), kinds[1]), pa.array([False] * len(rows), kinds[2]), pa.array(rows, kinds[3])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            local = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            if local.any():
+                yield batch.filter(pa.array(local))
+            for i in np.flatnonzero(~local):
+                bucket = batch.column(0)[i].as_py()
+                if bucket != now:
+                    yield from verdicts(held)
+                    now, held = bucket, []
+                held.append(batch.column(3)[i].as_py())
+        yield from verdicts(held)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket: one row of verdicts for each document of the bucket."""
 
-    now, held = None, []
+    def rows(spans: dict[int, list[bytes]], hashes: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        ids = sorted({*spans, *hashes})
+        for lo in range(0, len(ids), 2000):
+            part = ids[lo : lo + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([spans.get(i, []) for i in part], pa.list_(pa.binary())), pa.array([b"".join(hashes.get(i, [])) for i in part], pa.binary())], ["id", "spans", "hashes"])
+
+    now, spans, hashes = None, {}, {}
     for batch in batches:
-        local = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        if local.any():
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(local)) for c in batch.columns[1:]], names)
-        for i in np.flatnonzero(~local):
-            bucket = batch.column(0)[i].as_py()
+        for bucket, key, local, data in zip(*(c.to_pylist() for c in batch.columns)):
             if bucket != now:
-                yield from verdicts(held)
-                now, held = bucket, []
-            held.append(batch.column(3)[i].as_py())
-    yield from verdicts(held)
+                yield from rows(spans, hashes)
+                now, spans, hashes = bucket, {}, {}
+            if local:
+                spans.setdefault(key, []).append(data)
+                continue
+            n = int(np.frombuffer(data, np.uint64, 1)[0])
+            at = 8 + 16 * n
+            for own, count in zip(np.frombuffer(data, np.int64, n, 8).tolist(), np.frombuffer(data, np.int64, n, 8 + 8 * n).tolist()):
+                hashes.setdefault(own, []).append(data[at : at + 8 * count])
+                at += 8 * count
+    yield from rows(spans, hashes)
 
 
-def covered_words(part: np.ndarray, off: np.ndarray, size: int, spans: list[list[bytes]], hashes: list[list[bytes]]):
+def covered_words(part: np.ndarray, off: np.ndarray, size: int, spans: list[list[bytes]], hashes: list[bytes]):
     """(starts, ends, first, removed) of the words of texts with their verdicts."""
     s, e, first = K.word_spans(part, off)
     removed = np.zeros(len(s) + 1, np.int32)
@@ -288,7 +332,7 @@ def covered_words(part: np.ndarray, off: np.ndarray, size: int, spans: list[list
         for i, own in enumerate(hashes):
             n = first[i + 1] - first[i] - size + 1
             if own and n > 0:
-                hit = first[i] + np.flatnonzero(np.isin(grams[first[i] : first[i] + n], np.frombuffer(b"".join(own), np.uint64)))
+                hit = first[i] + np.flatnonzero(np.isin(grams[first[i] : first[i] + n], np.frombuffer(own, np.uint64)))
                 np.add.at(removed, hit, 1)
                 np.add.at(removed, hit + size, -1)
     return s, e, first, np.cumsum(removed[:-1]) > 0
@@ -303,8 +347,8 @@ def _cut(size: int, id_at: int, text_at: int, flag_at: int, digest: bool):
             for lo, hi in K.groups(offsets):
                 part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 mine = flags[lo:hi]
-                spans = [[x["data"] for x in f or () if x["spans"]] for f in mine]
-                hashes = [[x["data"] for x in f or () if not x["spans"]] for f in mine]
+                spans = [f["spans"] if f else [] for f in mine]
+                hashes = [f["hashes"] if f else b"" for f in mine]
                 s, e, first, removed = covered_words(part, off, size, spans, hashes)
                 raw = part.tobytes()
                 for i in range(hi - lo):
@@ -344,8 +388,9 @@ def _flagged(docs: DataFrame, size: int, id_col: str, text_col: str, cell_bits:
     shared = spark.sparkContext.broadcast(chunks)
     buckets = max(partitions(spark), -(-windows // BUCKET_WINDOWS))
     moved = known.mapInArrow(_candidates(size, cell_bits, shared, buckets), _MOVED)
-    back = moved.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_exact, "id long, spans boolean, data binary")
-    flags = back.groupBy("id").agg(F.collect_list(F.struct("spans", "data")).alias(flag))
+    back = moved.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_exact(buckets), _RETURNED)
+    found = back.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "id long, spans array<binary>, hashes binary")
+    flags = found.select("id", F.struct("spans", "hashes").alias(flag))
     return docs.join(flags.withColumnRenamed("id", flag + "id"), F.col(id_col).cast("long") == F.col(flag + "id"), "left").drop(flag + "id")
 
 
