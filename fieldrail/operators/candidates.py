@@ -19,7 +19,7 @@ def _windows(text: Column, size: int) -> Column:
 
 def generate(name: Column, texts: Column) -> Column:
     """Array of candidate values of a field from its spans' texts, in order of preference, blanks left out."""
-    spans = F.filter(F.transform(texts, F.trim), lambda t: t != "")
+    spans = F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != "")
     joined = F.array_join(spans, " ")
     kind, none = family(name), F.array().cast("array<string>")
     runs = F.transform(spans, digits)
@@ -39,7 +39,7 @@ def generate(name: Column, texts: Column) -> Column:
         .otherwise(none)
     )
     first = F.when((kind == "money") & money.isNotNull(), F.array(money)).otherwise(none)
-    return F.filter(F.transform(F.array_compact(F.concat(first, spans, F.array(joined), extra)), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.array_compact(F.concat(first, spans, F.array(joined), extra)), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def explode(rows: DataFrame, name: str, texts: str, keys: list[str]) -> DataFrame:

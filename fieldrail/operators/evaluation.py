@@ -77,7 +77,7 @@ def document_status(failed: Column, human: Column, flagged: Column) -> Column:
 
 def funnel(fields: DataFrame, by: str, states: tuple[str, ...]) -> DataFrame:
     """Share of each state in percent, a column a state."""
-    out = fields.groupBy(by).pivot("state", list(states)).agg(F.count("*"))
+    out = fields.groupBy(by).pivot("state", list(states)).agg(F.count(F.lit(1)))
     n = sum((F.coalesce(s, F.lit(0)) for s in states), F.lit(0))
     return out.select(by, n.cast("long").alias("fields"), *(ratio(100 * F.coalesce(s, F.lit(0)), n, 4).alias(s.lower()) for s in states))
 
@@ -122,7 +122,7 @@ def uplift(rows: DataFrame, by: list[str], flag: str, value: str) -> DataFrame:
     """Mean of value without and with the flag, side by side, and the difference."""
     out = rows.groupBy(*by).pivot(flag, [False, True]).agg(F.avg(F.col(value).cast("decimal(20,8)")).cast("double"))
     out = out.withColumnsRenamed({"false": "without", "true": "with"})
-    return out.withColumns({"without": F.bround("without", 6), "with": F.bround("with", 6), "gain": F.bround(F.col("with") - F.col("without"), 6)})
+    return out.withColumns({"without": F.bround("without", 6), "with": F.bround("with", 6)}).withColumn("gain", F.bround(F.col("with") - F.col("without"), 6))
 
 
 def rescue(rows: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:

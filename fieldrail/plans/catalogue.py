@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import extraction, reports
+
 
 def queries() -> dict:
-    return {}
+    return reports.Q | extraction.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return reports.SQL | extraction.SQL

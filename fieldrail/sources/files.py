@@ -21,7 +21,7 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def _text(content: Column) -> Column:
     utf = F.try_validate_utf8(content.cast("string")) if hasattr(F, "try_validate_utf8") else content.cast("string")
-    return F.regexp_replace(F.coalesce(utf, F.decode(content, F.lit("ISO-8859-1"))), "^﻿", "")
+    return F.regexp_replace(F.coalesce(utf, F.decode(content, "ISO-8859-1")), "^﻿", "")
 
 
 def detect_format(content: Column) -> Column:

@@ -66,7 +66,7 @@ FORMATS = {"NSF320": (320, "BA0", "CA0", 3), "UB192": (192, "10", "20", 2)}
 
 def lines(files: DataFrame, content: str = "content") -> DataFrame:
     """(path, row_no, row) of Latin-1 files."""
-    text = F.regexp_replace(F.decode(F.col(content), F.lit("ISO-8859-1")), r"(?:\r\n|\r|\n)\z", "")
+    text = F.regexp_replace(F.decode(F.col(content), "ISO-8859-1"), r"(?:\r\n|\r|\n)\z", "")
     return files.select("path", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("row_no", "row"))
 
 
