@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     label = components(star.filter("linked").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).union(links), scratch, "label")
     root = classes.select("d1", "d2", "n_shingles", "rep").join(label.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "rep").alias("root"))
     out = signed.select("id", "n_shingles", "d1", "d2").join(root, ["d1", "d2", "n_shingles"], "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
