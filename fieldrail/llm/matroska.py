@@ -29,7 +29,7 @@ from . import kernels as K
 
 # Element ids of the Matroska specification: fixed values.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0x114D9B74
-TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, CODEC, AUDIO, RATE, CHANNELS, BIT_DEPTH = 0x2AD7B1, 0xAE, 0xD7, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, DURATION, CODEC, AUDIO, RATE, CHANNELS, BIT_DEPTH = 0x2AD7B1, 0xAE, 0xD7, 0x83, 0x23E383, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
@@ -55,7 +55,7 @@ def _number(name: int, n: int) -> bytes:
 _HEAD = _element(EBML, _number(0x4286, 1) + _number(0x42F7, 1) + _number(0x42F2, 4) + _number(0x42F3, 8) + _element(0x4282, b"matroska") + _number(0x4287, 4) + _number(0x4285, 2))
 _SETUP = _element(INFO, _number(TIMESTAMP_SCALE, 1_000_000) + _element(0x4D80, b"fieldrail") + _element(0x5741, b"fieldrail")) + _element(
     TRACKS,
-    _element(TRACK_ENTRY, _number(TRACK_NUMBER, 1) + _number(0x73C5, 1) + _number(TRACK_TYPE, 2) + _number(0x9C, 1) + _element(CODEC, b"A_PCM/INT/LIT") + _element(AUDIO, _element(RATE, struct.pack(">d", SAMPLE_RATE)) + _number(CHANNELS, 1) + _number(BIT_DEPTH, 8))),
+    _element(TRACK_ENTRY, _number(TRACK_NUMBER, 1) + _number(0x73C5, 1) + _number(TRACK_TYPE, 2) + _number(0x9C, 1) + _number(DURATION, 1_000_000) + _element(CODEC, b"A_PCM/INT/LIT") + _element(AUDIO, _element(RATE, struct.pack(">d", SAMPLE_RATE)) + _number(CHANNELS, 1) + _number(BIT_DEPTH, 8))),
 )
 
 
@@ -85,6 +85,7 @@ class Track:
     number: int = 0
     kind: int = 0
     codec: str = ""
+    duration: int = 0  # of a frame, in nanoseconds
     rate: float = 0.0
     channels: int = 1
     bits: int = 0
@@ -187,16 +188,17 @@ def _block(data: bytes, a: int, b: int, base: int, media: Media, key: bool | Non
         raise ValueError("a block ends inside its head")
     time = base + struct.unpack_from(">h", data, at)[0]
     flags = data[at + 2]
-    for x, y in lace(data, at + 3, b, flags >> 1 & 3):
-        media.packets.append((track, time, bool(flags & 0x80) if key is None else key, x, y))
+    step = media.tracks[track].duration / media.scale if track in media.tracks else 0
+    for i, (x, y) in enumerate(lace(data, at + 3, b, flags >> 1 & 3)):
+        media.packets.append((track, time + round(i * step), bool(flags & 0x80) if key is None else key, x, y))
 
 
 def demux(data: bytes) -> Media:
     """Tracks, packets and cues of a file."""
     media = Media()
     names = list(elements(data, 0, len(data)))
-    if not names or names[0][0] != EBML:
-        raise ValueError("not an EBML file")
+    if not names or names[0][0] != EBML or all(n != SEGMENT for n, *_ in names):
+        raise ValueError("not an EBML file with a segment")
     for name, a, b in names:
         if name != SEGMENT:
             continue
@@ -236,6 +238,8 @@ def _track(data: bytes, a: int, b: int, media: Media) -> None:
             t.number = _uint(data, p, q)
         elif n == TRACK_TYPE:
             t.kind = _uint(data, p, q)
+        elif n == DURATION:
+            t.duration = _uint(data, p, q)
         elif n == CODEC:
             t.codec = data[p:q].decode("ascii", "replace")
         elif n == AUDIO:
