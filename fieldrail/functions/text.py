@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Typographic and full-width marks, and what they are read as.
 MARKS = "，。：；（）－—–＄／＇‘’“”　"
@@ -63,7 +64,7 @@ def fold_marks(x: Column) -> Column:
     return F.translate(x, MARKS, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 

@@ -25,12 +25,13 @@ def digits(x: Column) -> Column:
 
 def _calendar(year: Column, month: Column, day: Column) -> Column:
     """A date, or null where the calendar has none."""
-    return F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+    text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    return F.when(year != "0000", F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
 
 
 def _century(year: Column, pivot: int) -> Column:
     """Two digits up to the pivot are in the 2000s."""
-    return F.when(F.length(year) == 2, F.concat(F.when(F.expr("try_cast(0 as int)") + year.try_cast("int") <= pivot, "20").otherwise("19"), year)).otherwise(year)
+    return F.when(F.length(year) == 2, F.concat(F.when(year.try_cast("int") <= pivot, "20").otherwise("19"), year)).otherwise(year)
 
 
 def printed_date(x: Column) -> Column:
@@ -122,7 +123,7 @@ def person(last: Column, first: Column, middle: Column) -> Column:
 
 def cents(x: Column) -> Column:
     """An amount in whole cents, or null."""
-    return F.bround(F.when(~blank(x), F.trim(x)).try_cast("double") * 100).cast("long")
+    return F.bround(F.when(~blank(x), F.trim(x)).try_cast("double") * 100).try_cast("long")
 
 
 def ratio(a: Column, b: Column, places: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank
+from .text import blank, strip
 from .typed import digits, npi_valid, printed_date
 
 PASS, FAIL, INAPPLICABLE = "PASS", "FAIL", "INAPPLICABLE"
@@ -31,7 +31,7 @@ def _full(x: Column, pattern: str) -> Column:
 
 def _shape(pattern: str, why: str, upper: bool = False) -> Callable[[Column, "Context"], Column]:
     def rule(value: Column, context: Context) -> Column:
-        own = F.trim(value)
+        own = strip(value)
         return _verdict(_full(F.upper(own) if upper else own, pattern), why)
 
     return rule
@@ -59,7 +59,7 @@ def npi_checksum(value: Column, context: Context) -> Column:
 
 
 def cpt_dictionary(value: Column, context: Context) -> Column:
-    return _verdict(F.trim(value).isin(*CPT), "unknown CPT")
+    return _verdict(strip(value).isin(*CPT), "unknown CPT")
 
 
 def icd10_dictionary(value: Column, context: Context) -> Column:
@@ -73,7 +73,7 @@ def date_valid(value: Column, context: Context) -> Column:
 
 def patient_dob_valid(value: Column, context: Context) -> Column:
     """One whole printed date that precedes the earliest claim date by at most 125 years."""
-    text = F.trim(value)
+    text = strip(value)
     whole = _full(text, r"\d{6}|\d{8}|\d{1,2}([/ .-])\d{1,2}\1\d{2,4}")
     iso = F.when(_full(text, r"\d{8}"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"))
     dob = F.coalesce(printed_date(text), iso)
@@ -106,20 +106,20 @@ def claim_arithmetic(value: Column, context: Context) -> Column:
 
 
 def name_format(value: Column, context: Context) -> Column:
-    s = F.trim(value)
+    s = strip(value)
     commas = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
     why = F.when(~F.length(s).between(2, 40), "implausible length").when(commas != 1, F.concat(commas.cast("string"), F.lit(" commas (merged/failed span?)"))).when(~_full(s, r"[A-Za-z .'-]+,\s*[A-Za-z .'-]+"), "bad Last, First shape")
     return _verdict(why.isNull(), why)
 
 
 def org_name_format(value: Column, context: Context) -> Column:
-    s = F.trim(value)
+    s = strip(value)
     why = F.when(~F.length(s).between(2, 60), "implausible length").when(~(_full(s, r"[A-Za-z0-9 .,'&\-]+") & s.rlike("[A-Za-z]")), "bad organisation name")
     return _verdict(why.isNull(), why)
 
 
 def revenue_code_format(value: Column, context: Context) -> Column:
-    s = F.trim(value)
+    s = strip(value)
     return _verdict(s.isin(*REVENUE) | _full(s, r"0\d{3}"), "bad revenue code")
 
 

@@ -14,7 +14,7 @@ MOST_BYTES = 10 * 1024 * 1024
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, size, content) of all files below a folder."""
+    """(path, name, size, content) of all files below a folder; files without a byte have no row."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "content")
 
