@@ -502,3 +502,108 @@ def line_activation(spark: SparkSession, d: str) -> DataFrame:
 def source_attempt(spark: SparkSession, d: str) -> DataFrame:
     a = B.bind(spark, d, "SELECT user_id, event_id AS attempt_no, event_type AS engine, 'primary' AS rung, CASE WHEN event_id % 3 = 0 THEN 'f' ELSE 'x' END AS value, 'f' AS final_value FROM {events}")
     return review.source_attempt(a, ["user_id"]).select("user_id", "attempt_no")
+
+
+# answers, denominators, oversight -----------------------------------------------
+def _oversight():
+    from ..operators import oversight
+
+    return oversight
+
+
+_ANSWER = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'I think it says 5' WHEN 1 THEN '{{"value": "a", "visible_text": "a"}}' WHEN 2 THEN '[1]' WHEN 3 THEN '{{"value": "' || event_type || '", "visible_text": " x ", "confidence": 1.5, "reason": "r"}}'
+ WHEN 4 THEN '{{"value": "", "visible_text": "", "confidence": "low", "reason": ""}}' ELSE '{{"reason": "r", "value": "v", "visible_text": "v", "confidence": 0.5}}' END AS t FROM {events}"""
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 3 THEN event_type WHEN 5 THEN 'v' END AS value, CASE event_id % 6 WHEN 3 THEN 'x' WHEN 4 THEN '' WHEN 5 THEN 'v' END AS visible_text, CASE event_id % 6 WHEN 3 THEN 1e0 WHEN 5 THEN 0.5e0 ELSE 0e0 END AS confidence,
+ CASE event_id % 6 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'response keys must be exactly confidence, reason, value, visible_text' WHEN 2 THEN 'response keys must be exactly confidence, reason, value, visible_text' END AS error FROM events""")
+def answer_parse(spark: SparkSession, d: str) -> DataFrame:
+    e = B.bind(spark, d, "SELECT event_id, event_type FROM {events}")
+    k = F.col("event_id") % 6
+    text = (
+        F.when(k == 0, "I think it says 5")
+        .when(k == 1, '{"value": "a", "visible_text": "a"}')
+        .when(k == 2, "[1]")
+        .when(k == 3, F.concat(F.lit('{"value": "'), "event_type", F.lit('", "visible_text": " x ", "confidence": 1.5, "reason": "r"}')))
+        .when(k == 4, '{"value": "", "visible_text": "", "confidence": "low", "reason": ""}')
+        .otherwise('{"reason": "r", "value": "v", "visible_text": "v", "confidence": 0.5}')
+    )
+    out = e.withColumn("a", _oversight().parse_answer(text))
+    return out.select("event_id", "a.value", "a.visible_text", "a.confidence", "a.error")
+
+
+_REC = "SELECT o_orderkey AS rec, CASE WHEN o_orderkey % 2 = 0 THEN 'NSF320' ELSE 'UB192' END AS format_name, f AS field_name, CASE WHEN f = 'attending_qualifier' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'XX' ELSE 'YY' END WHEN o_orderkey % 5 = 0 AND f = 'diagnosis_2' THEN '' ELSE f || CAST(o_orderkey AS STRING) END AS value FROM {orders}, (SELECT DISTINCT CASE r_regionkey WHEN 0 THEN 'provider_name' WHEN 1 THEN 'diagnosis_2' WHEN 2 THEN 'attending_qualifier' WHEN 3 THEN 'attending_identifier' ELSE 'referring_npi' END AS f FROM {region}) x"
+
+
+@query(f"""WITH r AS ({B.duck(_REC)}) SELECT rec, CASE WHEN field_name = 'provider_name' AND format_name = 'NSF320' THEN 'billing_provider_name' WHEN field_name = 'diagnosis_2' THEN 'diagnosis_code_b' WHEN field_name = 'referring_npi' THEN 'referring_provider_npi' WHEN field_name = 'attending_identifier' THEN 'attending_npi' ELSE field_name END AS field_name, value
+FROM r WHERE value <> '' AND NOT (field_name = 'attending_identifier' AND rec % 3 <> 0)""")
+def expected_names(spark: SparkSession, d: str) -> DataFrame:
+    return _oversight().expected_names(B.bind(spark, d, _REC), ["rec"])
+
+
+@query("""SELECT o_orderkey AS rec, 'line' || n || '_' || CASE WHEN o_orderkey % 2 = 0 THEN CASE f WHEN 'charge' THEN 'charges' ELSE 'cpt_code' END ELSE CASE f WHEN 'charge' THEN 'charges' ELSE 'hcpcs' END END AS field_name, CAST(n AS VARCHAR) AS value
+FROM orders, (VALUES (1), (2), (3)) a(n), (VALUES ('charge'), ('procedure_code')) b(f)""")
+def expected_lines(spark: SparkSession, d: str) -> DataFrame:
+    o = B.bind(spark, d, "SELECT o_orderkey AS rec, CASE WHEN o_orderkey % 2 = 0 THEN 'NSF320' ELSE 'UB192' END AS format_name FROM {orders}")
+    lines = o.withColumn("line_no", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("field_name", F.explode(F.array(*map(F.lit, ("charge", "procedure_code", "modifiers"))))).withColumn("value", F.col("line_no").cast("string"))
+    return _oversight().expected_lines(lines, ["rec"])
+
+
+@query("""SELECT l_orderkey AS rec, COUNT(*) AS extended, COUNT(*) FILTER (l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linenumber % 2 = 0)) AS "primary", COUNT(*) FILTER (l_returnflag = 'R') AS unknown FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_linenumber FROM lineitem) GROUP BY l_orderkey""")
+def conditional_denominators(spark: SparkSession, d: str) -> DataFrame:
+    e = B.bind(spark, d, "SELECT DISTINCT l_orderkey AS rec, l_returnflag || CAST(l_linenumber AS STRING) AS field_name, 'x' AS value, l_linenumber FROM {lineitem}")
+    policy = spark.createDataFrame([(f"{k}{n}", s) for n in range(1, 8) for k, s in (("A", "primary_scored"), ("N", "conditional_scored"))], "field_name string, status string")
+    return _oversight().denominators(e, policy, e.filter("l_linenumber % 2 = 0"), ["rec"])
+
+
+@query("""SELECT COUNT(*) FILTER (event_id % 2 = 0) AS eligible, COUNT(*) FILTER (event_id % 4 = 0) AS retried, COUNT(*) FILTER (event_id % 4 = 0 AND event_id % 3 = 0) AS wrong_retried, COUNT(*) FILTER (event_id % 4 = 0 AND event_id % 3 <> 0 AND event_id % 5 <> 0) AS right_low_retried,
+ COUNT(*) FILTER (event_id % 4 = 0 AND event_id % 7 = 0) AS blank_retried, COUNT(*) FILTER (event_id % 4 = 0 AND event_id % 11 = 0) AS candidates_right, COUNT(*) FILTER (event_id % 4 = 0 AND event_id % 13 = 0) AS selected, COUNT(*) FILTER (event_id % 6 = 0) AS unresolved FROM events""")
+def retry_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return _oversight().retry_funnel(B.bind(spark, d, "SELECT event_id % 2 = 0 AS eligible, event_id % 4 = 0 AS retried, event_id % 3 <> 0 AS primary_correct, CASE WHEN event_id % 5 = 0 THEN 'high' ELSE 'low' END AS category, event_id % 7 = 0 AS blank, event_id % 11 = 0 AS candidate_correct, event_id % 13 = 0 AS selected, event_id % 6 <> 0 AS final_correct FROM {events}"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'disabled by policy' WHEN event_id % 3 = 0 THEN 'model not configured' WHEN event_id % 5 = 0 THEN 'credential missing' ELSE 'external calls are not executed by the local workspace' END AS reason,
+ CASE WHEN event_id % 3 = 0 AND event_id % 4 = 0 THEN 'MULTIMODAL_FAILED' WHEN event_id % 3 = 0 THEN 'MULTIMODAL_ATTEMPTED' ELSE 'HUMAN_REVIEW_REQUIRED' END AS workflow,
+ CASE WHEN event_id % 2 = 0 THEN 'CONFIGURATION_ERROR' WHEN event_id % 3000 > 2000 THEN 'UNSUPPORTED_IMAGE size' WHEN event_id % 7 = 0 THEN 'UNSUPPORTED_IMAGE provenance' WHEN event_id % 100 > 25 THEN 'UNSUPPORTED_IMAGE page' END AS refusal FROM events""")
+def provider_states(spark: SparkSession, d: str) -> DataFrame:
+    o, e = _oversight(), F.col("event_id")
+    rows = B.bind(spark, d, "SELECT event_id FROM {events}")
+    state = F.when(e % 4 == 0, "HUMAN_REVIEW").otherwise("ACCEPT")
+    share = F.when(e % 7 != 0, (e % 100) / 100)
+    return rows.select("event_id", o.provider_reason(e % 2 != 0, F.when(e % 3 != 0, "m"), e % 5 != 0).alias("reason"), o.workflow_state(e % 3 == 0, state, F.lit(True)).alias("workflow"), o.request_refusal(e % 2 != 0, e % 3000 * 1000, share).alias("refusal"))
+
+
+@query("SELECT COUNT(*) FILTER (c_custkey % 10 = 0) AS overlap, 0 AS repeated, 0 AS unknown, COUNT(*) FILTER (c_custkey % 7 = 0 AND c_custkey % 10 <> 0) AS unsplit, COUNT(*) FILTER (c_custkey % 9 = 0) AS uneven_tiers FROM customer")
+def split_integrity(spark: SparkSession, d: str) -> DataFrame:
+    c = B.bind(spark, d, "SELECT c_custkey AS doc_id FROM {customer}")
+    split = c.filter("doc_id % 7 != 0").withColumn("part", F.lit("test")).union(c.filter("doc_id % 10 = 0").withColumn("part", F.lit("calibration"))).union(c.filter("doc_id % 10 = 0").withColumn("part", F.lit("test")))
+    truth = c.withColumn("tier", F.explode(F.array(F.lit("clean"), F.lit("ugly")))).withColumn("field_name", F.when((F.col("doc_id") % 9 == 0) & (F.col("tier") == "ugly"), "g").otherwise("f"))
+    return _oversight().split_integrity(split, c, truth)
+
+
+@query()
+def oracle_double(spark: SparkSession, d: str) -> DataFrame:
+    p = B.bind(spark, d, "SELECT p_partkey, p_name, CAST(p_partkey AS STRING) AS doc FROM {part}")
+    return p.withColumn("a", _oversight().oracle_answer(F.col("doc"), F.lit("patient_name"), F.lit("clean"), F.col("p_name"))).select("p_partkey", "a.kind", "a.value", "a.visible")
+
+
+@query("""WITH p AS (SELECT p_partkey, 'ab' || CAST(p_partkey AS VARCHAR) AS v FROM part) SELECT p_partkey, CASE WHEN regexp_matches(v, '[01258]') THEN regexp_extract(v, '^[^01258]*', 0) || translate(regexp_extract(v, '[01258]', 0), '01258', 'OIZSB') || regexp_extract(v, '^[^01258]*[01258](.*)$', 1) ELSE substr(v, 1, length(v) - 1) END AS corrupted FROM p""")
+def glyph_corruption(spark: SparkSession, d: str) -> DataFrame:
+    p = B.bind(spark, d, "SELECT p_partkey, 'a' || CAST(p_partkey AS STRING) AS w FROM {part}")
+    return p.select("p_partkey", F.concat(F.lit("a"), _oversight().corrupt(F.translate(F.concat(F.lit("_"), F.substring("w", 2, 20)), "_", "ß"))).alias("c")).select("p_partkey", F.replace("c", F.lit("ß"), F.lit("b")).alias("corrupted"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round_even((list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - a.m) * (b.v[i] - b.m)))) / sqrt(list_sum(list_transform(a.v, lambda x: (x - a.m) * (x - a.m))) * list_sum(list_transform(b.v, lambda x: (x - b.m) * (x - b.m)))), 6) AS r
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_avg(CAST(embedding AS DOUBLE[])) AS m FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_avg(CAST(embedding AS DOUBLE[])) AS m FROM embeddings) b ON b.vec_id = a.vec_id + 1""")
+def profile_correlation(spark: SparkSession, d: str) -> DataFrame:
+    e = B.bind(spark, d, "SELECT vec_id, CAST(embedding AS ARRAY<DOUBLE>) AS v FROM {embeddings}".replace("CAST(embedding AS ARRAY<DOUBLE>)", "embedding")).select("vec_id", F.col("v").cast("array<double>").alias("v"))
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("v").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("v").alias("y"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.bround(_oversight().correlation(F.col("x"), F.col("y")), 6).alias("r"))
+
+
+@query(f"""WITH f AS ({B.duck(B.FIELDS)}), s AS (SELECT COUNT(DISTINCT doc_id) AS pages, COUNT(*) AS fields, COUNT(*) FILTER (state = 'HUMAN_REVIEW') AS human, CAST(SUM(CAST((event_id % 9) / 1e5 AS DECIMAL(38,8))) AS DOUBLE) AS local_usd, CAST(SUM(CAST(CASE WHEN optional THEN projected_usd ELSE 0 END AS DECIMAL(38,8))) AS DOUBLE) AS measured_usd,
+ CAST(SUM(CAST(projected_usd AS DECIMAL(38,8))) AS DOUBLE) AS projected_usd, COUNT(*) FILTER (correct AND state IN ('ACCEPT', 'ACCEPT_WITH_FLAG')) AS resolved FROM f)
+SELECT *, round_even((local_usd + measured_usd) / pages, 9) AS measured_per_page_usd, round_even((local_usd + measured_usd) / resolved, 9) AS measured_per_resolved_usd, round_even(human * 0.03, 6) AS assumed_human_usd, round_even(local_usd / pages * 1000000, 4) AS local_at_1m_usd, round_even(local_usd / pages * 10000000, 4) AS local_at_10m_usd FROM s""")
+def cost_dashboard(spark: SparkSession, d: str) -> DataFrame:
+    f = B.bind(spark, d, B.FIELDS).withColumns({"local_usd": (F.col("event_id") % 9) / 1e5, "measured_usd": F.when(F.col("optional"), F.col("projected_usd")).otherwise(0.0)})
+    return _oversight().cost_dashboard(f)
