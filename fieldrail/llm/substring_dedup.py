@@ -224,13 +224,10 @@ def _candidates(size: int, bits: int, shared, buckets: int):
         one = h1[new], h2[new], ids[doc][new]
         bucket = (one[0] >> K.U64(20)) % K.U64(buckets)
         by = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(np.uint64))
-        for b in range(buckets):
-            x = by[edge[b] : edge[b + 1]]
-            if len(x):
-                who, index = np.unique(one[2][x], return_inverse=True)
-                head = np.array([len(x), len(who)], np.uint32).tobytes()
-                add(b, None, False, head + one[0][x].tobytes() + one[1][x].tobytes() + index.astype(np.uint32).tobytes() + who.tobytes())
+        for x in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+            who, index = np.unique(one[2][x], return_inverse=True)
+            head = np.array([len(x), len(who)], np.uint32).tobytes()
+            add(int(bucket[x[0]]), None, False, head + one[0][x].tobytes() + one[1][x].tobytes() + index.astype(np.uint32).tobytes() + who.tobytes())
         kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["bucket", "id", "spans", "data"])
 
@@ -264,14 +261,16 @@ def _exact(buckets: int):
         who, h1 = who[later], h1[later]
         order = np.lexsort((who, who % buckets))
         who, h1 = who[order], h1[order]
-        edge = np.searchsorted(who % buckets, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(edge))
+        if not len(who):
+            return
+        full, edge = np.unique(who % buckets, return_index=True)
+        edge = np.r_[edge, len(who)]
         for lo in range(0, len(full), 256):
             rows = []
-            for b in full[lo : lo + 256]:
-                ids, count = np.unique(who[edge[b] : edge[b + 1]], return_counts=True)
-                rows.append(np.array([len(ids)], np.uint64).tobytes() + ids.tobytes() + count.astype(np.int64).tobytes() + h1[edge[b] : edge[b + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(full[lo : lo + 256], kinds[0]), pa.nulls(len(rows), kinds[1]), pa.array([False] * len(rows), kinds[2]), pa.array(rows, kinds[3])], names)
+            for a, b in zip(edge[lo : lo + 256], edge[lo + 1 : lo + 257]):
+                ids, count = np.unique(who[a:b], return_counts=True)
+                rows.append(np.array([len(ids)], np.uint64).tobytes() + ids.tobytes() + count.astype(np.int64).tobytes() + h1[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(full[lo : lo + 256].astype(np.int32)), pa.nulls(len(rows), kinds[1]), pa.array([False] * len(rows), kinds[2]), pa.array(rows, kinds[3])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
