@@ -16,10 +16,12 @@ any id column passes through; empty tables give empty ones.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +162,14 @@ def surfaces(m: Model) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
 
 
+@lru_cache(maxsize=2)
+def codec_of(data: bytes, parity: bool = False) -> Codec:
+    """One for each model in a Python worker: what it has learned stays for the next task."""
+    return Codec(data, parity)
+
+
 class Codec:
-    """Encodes and decodes batches; made once in each task."""
+    """Encodes and decodes batches."""
 
     def __init__(self, data: bytes, parity: bool = False) -> None:
         self.model = parse(data)
@@ -177,7 +185,8 @@ class Codec:
         self.surface = surfaces(self.model)
 
     def _spans(self, spans: list[str]) -> list[list[int]]:
-        ids = [e.ids for e in self.bare.encode_batch([s.replace(" ", MARK) for s in spans], add_special_tokens=False)]
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        ids = [e.ids for e in self.bare.encode_batch_fast([s.replace(" ", MARK) for s in spans], add_special_tokens=False)]
         if self.other:
             # the library puts the dummy prefix before the text itself; a text of nothing else has no ids there
             lone = self.other.encode("a ")[len(self.other.encode("a")) :]
@@ -250,7 +259,7 @@ def encode(docs: DataFrame, model_path: str, ids: bool = True, parity: bool = Fa
         schema.add("ids", T.ArrayType(T.IntegerType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, parity)
+        codec = codec_of(shared.value, parity)
         for batch in batches:
             buf, offsets = K.texts(batch.column(1))
             for lo, hi in K.groups(offsets, 2 << 20):
@@ -275,7 +284,7 @@ def decode(frame: DataFrame, model_path: str, ids_col: str = "ids", name: str =
     schema = T.StructType([*frame.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for batch in batches:
             lists = [np.asarray(x or [], np.int64) for x in batch.column(at).to_pylist()]
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)

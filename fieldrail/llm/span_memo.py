@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -11,7 +12,7 @@ from . import kernels as K
 
 os.environ.setdefault("RAYON_NUM_THREADS", "2")  # threads of the tokenizers library in each Python worker
 
-#: Distinct spans that are remembered at once; then the memory starts anew.
+#: Distinct spans that are remembered at once; then those that came in one batch only are forgotten.
 MOST = 1 << 19
 
 
@@ -20,26 +21,35 @@ class SpanMemo:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = MOST) -> None:
         self.encode, self.most = encode, most
-        self._reset()
-
-    def _reset(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 14, np.int64)
-        self.end = 0
+        self.batches = np.zeros(1 << 14, np.uint8)
+
+    def _forget(self) -> None:
+        n = len(self.index)
+        keep = self.batches[:n] > 1
+        if keep.sum() > self.most // 2:
+            keep[:] = False
+        size = np.diff(self.first[: n + 1])
+        ids = self.ids[K.ranges(self.first[:n][keep], size[keep])]
+        self.index = {k: i for i, k in enumerate(k for k, stays in zip(self.index, keep.tolist()) if stays)}
+        self.ids[: len(ids)] = ids
+        self.first[: len(self.index) + 1] = np.r_[0, np.cumsum(size[keep])]
+        self.batches[:] = 0
 
     def _learn(self, keys: list[bytes]) -> None:
         lists = self.encode([k.decode() for k in keys])
-        sizes = np.array([len(x) for x in lists], np.int64)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         at, total = len(self.index), int(sizes.sum())
-        while self.end + total > len(self.ids):
+        end = int(self.first[at])
+        while end + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while at + len(keys) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        if total:
-            self.ids[self.end : self.end + total] = np.concatenate([np.asarray(x, np.int32) for x in lists if len(x)])
-        self.first[at + 1 : at + 1 + len(keys)] = self.end + np.cumsum(sizes)
-        self.end += total
+            self.batches = np.concatenate([self.batches, np.zeros_like(self.batches)])
+        self.ids[end : end + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
+        self.first[at + 1 : at + 1 + len(keys)] = end + np.cumsum(sizes)
         self.index.update(zip(keys, range(at, at + len(keys))))
 
     def spans(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,13 +57,16 @@ class SpanMemo:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(self.index) > self.most:
-            self._reset()
+            self._forget()
         _, at, back = np.unique(K.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         raw = buf.tobytes()
         keys = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        new = [k for k in keys if k not in self.index]
-        if new:
-            self._learn(list(dict.fromkeys(new)))
-        row = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[back]
+        own = np.fromiter((self.index.get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            self._learn(list(dict.fromkeys(keys[i] for i in new.tolist())))
+            own[new] = np.fromiter((self.index[keys[i]] for i in new.tolist()), np.int64, len(new))
+        self.batches[own] = np.minimum(self.batches[own], 254) + 1
+        row = own[back]
         count = self.first[row + 1] - self.first[row]
         return self.ids[K.ranges(self.first[row], count)], count

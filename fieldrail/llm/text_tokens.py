@@ -8,6 +8,9 @@ texts are put together from words (``joins``); for all others texts are encoded
 from __future__ import annotations
 
 import json
+import os
+import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -34,6 +37,16 @@ def drops_space(spec: dict) -> bool:
     return kinds <= {"NFC", "Replace", "Lowercase"} and not strips and pattern.endswith(r"[^\s\p{L}\p{N}]+") and r"\s+" not in pattern.replace(r"[^\s", "")
 
 
+#: Words that neither normalisation nor the matcher changes: one pre-token, as they stand.
+_PLAIN = re.compile("[a-zßà-öø-ÿ]+")
+
+
+@lru_cache(maxsize=2)
+def text_tokens(spec: str) -> TextTokens:
+    """One for each vocabulary in a Python worker: what it has learned stays for the next task."""
+    return TextTokens(spec)
+
+
 class TextTokens:
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -45,10 +58,29 @@ class TextTokens:
         self.joins = drops_space(parsed)
         self.lowers = self.joins and "Lowercase" in json.dumps(parsed.get("normalizer"))
         self.special = [t["content"].encode() for t in parsed.get("added_tokens", [])]
-        self.memo = SpanMemo(self._ids)
+        self.bare = None
+        if self.lowers:
+            step = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            self.bare = Tokenizer.from_str(json.dumps(parsed | {"normalizer": None, "pre_tokenizer": step, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}))
+            self.bare.model._resize_cache(0)  # every word comes once
+        self.memo = SpanMemo(self._words)
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Plain words skip the normaliser and the matcher, which would not change them."""
+        if self.bare is None:
+            return self._ids(words)
+        plain = list(map(_PLAIN.fullmatch, words))
+        own = iter(self._run(self.bare, [w for w, p in zip(words, plain) if p]))
+        rest = iter(self._run(self.tokenizer, [w for w, p in zip(words, plain) if not p]))
+        return [next(own) if p else next(rest) for p in plain]
+
+    @staticmethod
+    def _run(tokenizer, texts: list[str]) -> list[list[int]]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel; threads for short words cost more than they give
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._run(self.tokenizer, texts)
 
     def spans(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, first, ids, count): stretches whose ids follow each other, and their ids.

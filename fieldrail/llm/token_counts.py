@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .sentencepiece_codec import Codec
-from .text_tokens import TextTokens
+from .sentencepiece_codec import codec_of
+from .text_tokens import text_tokens
 
 CHUNK, OVERLAP = 1 << 14, 1 << 9
 #: Stretches at a chunk's end that its cut may have changed.
@@ -37,8 +37,8 @@ class Counter:
     """Stretches and their token counts of batches of chunks."""
 
     def __init__(self, name: str, data: bytes) -> None:
-        self.pieces = Codec(data) if name.endswith(".model") else None
-        self.tokens = None if self.pieces else TextTokens(data.decode())
+        self.pieces = codec_of(data) if name.endswith(".model") else None
+        self.tokens = None if self.pieces else text_tokens(data.decode())
         self.parts = self.tokens.joins if self.tokens else self.pieces.model.splits and self.pieces.model.dummy_prefix
         self.longest = max((len(t) for t in self.tokens.special), default=0) if self.tokens else 0
 

@@ -29,12 +29,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import Scratch
-from .text_tokens import TextTokens
+from .text_tokens import text_tokens
 
 MAGIC = b"BITPLANE"
 BLOCK = 1 << 16
@@ -46,14 +46,13 @@ def write_file(ids: np.ndarray, docs: np.ndarray, sizes: np.ndarray, known: np.n
     """One file of the ids of docs (ids, number of ids of each; known: whether the id isn't null)."""
     packer = zstandard.ZstdCompressor(level=level)
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    kind = np.uint16 if planes <= 16 else np.uint32
     blocks = -(-len(ids) // BLOCK)
     index, body = np.zeros((blocks, planes), np.uint32), []
     for b in range(blocks):
-        own = ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4")
-        # bytes to bits: every id is 32 bits in a row; columns are planes
-        bits = np.unpackbits(own.view(np.uint8).reshape(len(own), 4)[:, : (planes + 7) // 8], axis=1, bitorder="little")
+        own = ids[b * BLOCK : (b + 1) * BLOCK].astype(kind)
         for p in range(planes):
-            data = packer.compress(np.packbits(bits[:, p], bitorder="little").tobytes())
+            data = packer.compress(np.packbits((own & kind(1 << p)) != 0, bitorder="little").tobytes())
             index[b, p] = len(data)
             body.append(data)
     known = np.ones(len(docs), np.int64) if known is None else known.astype(np.int64)
@@ -86,11 +85,12 @@ class PlaneFile:
         out = []
         for b in range(start // self.block, -(-stop // self.block)):
             n = min(self.block, self.n_ids - b * self.block)
-            bits = np.zeros((n, 32), np.uint8)
+            own = np.zeros(n, np.uint16 if self.planes <= 16 else np.uint32)
             for p in range(self.planes):
                 k = b * self.planes + p
-                bits[:, p] = np.unpackbits(np.frombuffer(self.reader.decompress(self.data[self.at[k] : self.at[k + 1]]), np.uint8), count=n, bitorder="little")
-            out.append(np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4"))
+                bits = np.unpackbits(np.frombuffer(self.reader.decompress(self.data[self.at[k] : self.at[k + 1]]), np.uint8), count=n, bitorder="little")
+                own |= bits.astype(own.dtype) << own.dtype.type(p)
+            out.append(own.astype(np.uint32))
         first = (start // self.block) * self.block
         return np.concatenate(out)[start - first : stop - first]
 
@@ -102,7 +102,7 @@ def _encode(spec, end_id: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, tokens = TaskContext.get().partitionId(), TextTokens(spec.value)
+        part, tokens = TaskContext.get().partitionId(), text_tokens(spec.value)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         total = made = 0
 
@@ -117,7 +117,7 @@ def _encode(spec, end_id: int, file_ids: int):
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, offsets = K.texts(batch.column(1))
-            for lo, hi in K.groups(offsets, 2 << 20):
+            for lo, hi in K.groups(offsets, min(2 << 20, 2 * file_ids)):
                 ids, first = tokens.encode(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 out = np.insert(ids, first[1:], end_id).astype(np.uint32)
                 held.append((out, docs[lo:hi], np.diff(first) + 1, known[lo:hi]))
@@ -131,31 +131,32 @@ def _encode(spec, end_id: int, file_ids: int):
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id: int = 1, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written table of files: (part, file, n_ids, start, data), start the ids of all files before."""
+    """The written table of files (part, file, n_ids, data), in the order of (part, file)."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = slim.repartitionByRange("id").sortWithinPartitions("id")
-    files = scratch.put("files", dealt.mapInArrow(_encode(spec, end_id, file_ids), _FILES))
+    return scratch.put("files", dealt.mapInArrow(_encode(spec, end_id, file_ids), _FILES))
+
+
+def starts(files: DataFrame) -> DataFrame:
+    """(part, file, start): the ids of all files before."""
     # one number a range: as many as partitions
     sums = {r.part: r.n for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     total, rows = 0, []
     for part in sorted(sums):
         rows.append((part, total))
         total += sums[part]
-    bases = spark.createDataFrame(rows, "part int, base long")
+    bases = files.sparkSession.createDataFrame(rows, "part int, base long")
     before = files.select("part", "file", "n_ids").join(F.broadcast(bases), "part")
-    from pyspark.sql import Window
-
     own = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = before.select("part", "file", (F.col("base") + F.coalesce(F.sum("n_ids").over(own), F.lit(0))).alias("start"))
-    return files.join(starts, ["part", "file"])
+    return before.select("part", "file", (F.col("base") + F.coalesce(F.sum("n_ids").over(own), F.lit(0))).alias("start"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for part, number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             file = PlaneFile(data.as_py())
             first = np.r_[0, np.cumsum(file.sizes)]
             crcs, step = [], 1 << 14
@@ -164,12 +165,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = file.ids(int(first[lo]), int(first[hi])).astype("<u4").tobytes()
                 edge = (4 * (first[lo : hi + 1] - first[lo])).tolist()
                 crcs += [zlib.crc32(raw[a:b]) for a, b in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(file.docs, pa.int64(), mask=~file.known), pa.array(start + first[:-1], pa.int64()), pa.array(file.sizes, pa.int64()), pa.array(crcs, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(file.docs, pa.int64(), mask=~file.known), pa.array(first[:-1], pa.int64()), pa.array(file.sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(np.full(len(crcs), part, np.int32)), pa.array(np.full(len(crcs), number, np.int32))], ["id", "local", "n_tokens", "ids_crc32", "part", "file"])
 
 
 def read_report(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the files."""
-    return files.select("start", "data").mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    read = files.select("part", "file", "data").mapInArrow(_read, "id long, local long, n_tokens long, ids_crc32 long, part int, file int")
+    placed = read.join(starts(files), ["part", "file"])
+    return placed.select(F.col("id").alias(id_col), (F.col("start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def export_files(files: DataFrame, folder: str) -> int:

@@ -48,7 +48,7 @@ class Bound:
 
     toxic: int = 2048
     clean: int = 4096
-    text_bytes: int = 64 << 20
+    text_bytes: int = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -105,21 +105,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, count = np.unique(text * (1 << BITS) + bucket, return_counts=True)
             edge = np.searchsorted(key >> BITS, np.arange(hi - lo + 1))
             for a, b in zip(edge[:-1], edge[1:]):
-                rows.append(((key[a:b] & ((1 << BITS) - 1)).astype(np.uint32).tobytes(), (count[a:b] / (PRIOR + count[a:b].sum())).astype(np.float32).tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["id", "label", "buckets", "shares"])
+                rows.append(((key[a:b] & ((1 << BITS) - 1)).astype(np.uint32).tobytes(), np.minimum(count[a:b], 255).astype(np.uint8).tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["id", "label", "buckets", "counts"])
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 4, steps: int = 1500, batch: int = 64, rate: float = 0.05, decay: float = 0.01, toxic_weight: float = 2.0) -> Model:
-    """Joint training; bags hold (buckets, their shares of the average)."""
+def fit(buckets: np.ndarray, counts: np.ndarray, first: np.ndarray, labels: np.ndarray, dim: int = 4, steps: int = 1500, batch: int = 64, rate: float = 0.05, decay: float = 0.01, toxic_weight: float = 2.0) -> Model:
+    """Joint training; text i has buckets[first[i] : first[i + 1]] with their counts."""
     weight = np.zeros(1 << BITS, np.float32)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return Model(weight, np.inf if share else -np.inf)
-    texts = np.bincount(np.concatenate([b for b, _ in bags]).astype(np.int64), minlength=1 << BITS)
+    texts = np.bincount(buckets, minlength=1 << BITS)
     used = np.flatnonzero(texts >= LEAST_TEXTS)
-    place = np.full(1 << BITS, -1, np.int64)
-    place[used] = np.arange(len(used))
-    bags = [(place[b[k]], x[k]) for b, x in bags for k in [texts[b] >= LEAST_TEXTS]]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    total = np.add.reduceat(np.r_[counts, np.uint8(0)], np.minimum(first[:-1], len(counts)), dtype=np.int64) * (np.diff(first) > 0)
+    own = np.concatenate([[0], np.cumsum(place[buckets] >= 0)])
+    keep = place[buckets] >= 0
+    buckets, counts, first = place[buckets[keep]], counts[keep], own[first]
     r = np.random.default_rng(11)
     table = r.normal(0, 0.05, (len(used), dim)).astype(np.float32)
     soft = r.normal(0, 0.3, (dim, 2)).astype(np.float32)
@@ -129,11 +132,12 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int
     for step in range(1, steps + 1):
         lr = rate * (1 - step / (steps + 1))
         if len(order) < batch:
-            order = np.r_[order, r.permutation(len(bags))]
+            order = np.r_[order, r.permutation(len(labels))]
         mine, order = order[:batch], order[batch:]
-        size = np.array([len(bags[i][0]) for i in mine])
-        index = np.concatenate([bags[i][0] for i in mine])
-        x = np.concatenate([bags[i][1] for i in mine])
+        size = first[mine + 1] - first[mine]
+        at = K.ranges(first[mine], size)
+        index = buckets[at]
+        x = counts[at] / np.repeat(PRIOR + total[mine], size).astype(np.float32)
         row = np.repeat(np.arange(len(mine)), size)
         mean = np.stack([np.bincount(row, x * table[index, k], len(mine)) for k in range(dim)], 1).astype(np.float32)
         logit = mean @ soft + bias
@@ -178,10 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             total += size[i]
             keep.append((i, y))
     few = spark.createDataFrame(keep, "id long, label int")
-    rows = slim.join(F.broadcast(few), "id").select("id", "label", "text").mapInArrow(_features, "id long, label int, buckets binary, shares binary").collect()
+    rows = slim.join(F.broadcast(few), "id").select("id", "label", "text").mapInArrow(_features, "id long, label int, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (r.id, r.buckets))
-    bags = [(np.frombuffer(r.buckets, np.uint32), np.frombuffer(r.shares, np.float32)) for r in rows]
-    return fit(bags, np.array([r.label for r in rows], np.int64))
+    labels = np.array([r.label for r in rows], np.int64)
+    first = np.cumsum([0, *(len(r.counts) for r in rows)])
+    buckets = np.frombuffer(b"".join(r.buckets for r in rows), np.uint32)
+    counts = np.frombuffer(b"".join(r.counts for r in rows), np.uint8)
+    del rows
+    return fit(buckets, counts, first, labels)
 
 
 def scores(buf: np.ndarray, offsets: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:

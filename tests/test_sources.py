@@ -134,3 +134,19 @@ def test_budgets_fold(spark):
     by = {(r.session, r.call_id): r.decision for r in got}
     assert [by["s", k] for k in range(5)] == ["ALLOW", "ALLOW", "ALLOW", "BLOCKED_CALL_COUNT", "REUSED_CACHED_RESULT"]
     assert [by["t", k] for k in range(4)] == ["ALLOW", "ALLOW", "BLOCKED_SESSION_BUDGET", "BLOCKED_SESSION_BUDGET"]
+
+
+def test_budget_stream_equals_fold(spark, tmp_path):
+    schema = "session string, call_id long, ts long, fingerprint string, cost_usd double"
+    calls = [("s", k, k, f"f{k % 4}", 0.004) for k in range(12)] + [("t", k, k, f"g{k}", 0.009) for k in range(4)]
+    rows = spark.createDataFrame(calls, schema)
+    rows.coalesce(1).write.json(str(tmp_path / "calls"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        source = spark.readStream.schema(schema).json(str(tmp_path / "calls"))
+        q = stream.budget_stream(source, most_calls=3).writeStream.format("memory").queryName("budgets").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    key = lambda r: (r.session, r.call_id, r.decision)
+    assert sorted(map(key, spark.table("budgets").collect())) == sorted(map(key, stream.budget_fold(rows, most_calls=3).collect()))
