@@ -5,7 +5,8 @@ Multinomial naive Bayes scores the words of host and path.  It learns from the U
 that a rule decides, all of them, with counts made by Spark.
 
 Bounds of the models, which are sent to every task: ``WORDS`` most frequent words of at
-least two letters, ``TOKENS`` most frequent tokens of the two classes.
+least two letters, ``TOKENS`` most frequent tokens of the two classes (of ties at the bound
+none).  Counts are a written table, of which only the rows within the bound are collected.
 
 Defined results: the host stands between the first ``://`` and the next ``/``, ``?``, ``#`` or the
 end, A-Z in lower case; the path goes on to ``?``, ``#`` or the end; null or no ``://``
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, most_frequent
+
 WORDS, TOKENS = 50_000, 200_000
 LONGEST = 24
 #: host and path of the rules, and their verdicts
@@ -115,18 +118,18 @@ class Bayes:
         return odds, odds > 0
 
 
-def word_counts(pages: DataFrame, text_col: str) -> dict[str, int]:
+def word_counts(pages: DataFrame, text_col: str, scratch: Scratch) -> dict[str, int]:
     """Unigram counts of lower-case a-z words of whole pages, without their tags."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"<[^>]*>", " "))
     words = pages.select(F.explode(F.split(plain, "[^a-z]+")).alias("w")).filter(F.length("w").between(2, LONGEST))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS)
-    return {r.w: r["count"] for r in top.collect()}
+    counts = scratch.put("words", words.groupBy("w").agg(F.count("*").alias("n")))
+    return {r.w: r.n for r in most_frequent(counts, "n", WORDS).orderBy("w").collect()}
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """(id, host, path, rule, verdict, block_odds) a row."""
-    spark = pages.sparkSession
-    segmenter = spark.sparkContext.broadcast(word_counts(pages, text_col))
+    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
+    segmenter = spark.sparkContext.broadcast(word_counts(pages, text_col, scratch))
     ruled = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     ruled = ruled.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     block = {r for r, v in rules if v == "block"}
@@ -143,10 +146,11 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
 
     seen = ruled.filter("rule is not null").select("host", "path", "rule").mapInArrow(learn, "token string, bad boolean, n long")
     table = seen.groupBy("token").agg(*(F.coalesce(F.sum(F.when(F.col("bad") == y, F.col("n"))), F.lit(0)).alias(n) for n, y in (("good", False), ("bad", True))))
-    # the empty token counts the URLs and comes first
-    rows = table.orderBy(F.col("token") != "", F.desc(F.col("good") + F.col("bad")), "token").limit(TOKENS + 1).collect()
-    urls = next(((r.good, r.bad) for r in rows if r.token == ""), (0, 0))
-    bayes = spark.sparkContext.broadcast(({r.token: (r.good, r.bad) for r in rows if r.token}, urls))
+    table = scratch.put("tokens", table.withColumn("n", F.col("good") + F.col("bad")))
+    # the empty token counts the URLs
+    urls = next(((r.good, r.bad) for r in table.filter("token = ''").collect()), (0, 0))
+    rows = most_frequent(table.filter("token != ''"), "n", TOKENS).orderBy("token").collect()
+    bayes = spark.sparkContext.broadcast(({r.token: (r.good, r.bad) for r in rows}, urls))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, model = Segmenter(segmenter.value), Bayes(*bayes.value)
