@@ -90,21 +90,5 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def most_frequent(counts: DataFrame, n_col: str, most: int) -> DataFrame:
-    """The rows with the largest counts, at most ``most``: all from the least count that so many rows reach.
-
-    A histogram of counts, fine up to 4,096 and of 64 steps a doubling above, gives that count; so
-    no task and no driver sees more than the rows that stay. Ties at the cut go together.
-    """
-    n = F.col(n_col)
-    step = F.when(n <= 4096, n).otherwise(4096 + F.floor((F.log2(n.cast("double")) - 12) * 64)).cast("long")
-    total, least = 0, None
-    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect():
-        if total + row.rows > most:
-            break
-        total, least = total + row.rows, row.step
-    return counts.filter(F.lit(False) if least is None else step >= least)
-
-
 def blank(column: str) -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))

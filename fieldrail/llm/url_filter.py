@@ -4,9 +4,10 @@ Host labels are concatenated words; a Viterbi search over unigram counts splits
 Multinomial naive Bayes scores the words of host and path.  It learns from the URLs
 that a rule decides, all of them, with counts made by Spark.
 
-Bounds of the models, which are sent to every task: ``WORDS`` most frequent words of at
-least two letters, ``TOKENS`` most frequent tokens of the two classes (of ties at the bound
-none).  Counts are a written table, of which only the rows within the bound are collected.
+Both models are whole: the counts of all words and tokens are written tables, of which only
+totals reach the driver.  Each distinct host label gets its matching words by a join of its
+substrings, each distinct host and path the counts of its tokens by a join; tasks see those only.
+Long texts stand under their MD5 in the joins.
 
 Defined results: the host stands between the first ``://`` and the next ``/``, ``?``, ``#`` or the
 end, A-Z in lower case; the path goes on to ``?``, ``#`` or the end; null or no ``://``
@@ -25,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, most_frequent
+from .common import Scratch
 
-WORDS, TOKENS = 50_000, 200_000
 LONGEST = 24
 #: host and path of the rules, and their verdicts
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -55,8 +55,9 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 class Segmenter:
     """Splits a name into words of the largest product of unigram probabilities."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], seen: int | None = None) -> None:
+        """seen: the sum of all counts, where counts has only the words that a name can need."""
+        total = (sum(counts.values()) if seen is None else seen) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items() if n > 0}
         self.unknown = math.log(total) + math.log(10)
         self.known: dict[str, list[str]] = {}
@@ -85,27 +86,24 @@ class Segmenter:
         return self.known[name]
 
 
-_PARTS = re.compile(r"[^0-9a-z]+")
-_DIGITS = re.compile(r"[0-9]+")
+def parts_of(text: Column) -> Column:
+    """Labels of a host or parts of a path; numbers are one token."""
+    found = F.transform(F.split(text, "[^0-9a-z]+"), lambda part: F.regexp_replace(part, "[0-9]+", "0"))
+    return F.filter(found, lambda part: part != "")
 
 
-def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """Words of the host's labels and of the path; numbers are one token."""
-    out = []
-    for kind, text in (("h", host), ("p", path.lower())):
-        for part in _PARTS.split(text):
-            for word in segmenter.split(_DIGITS.sub("0", part)) if kind == "h" else [_DIGITS.sub("0", part)]:
-                if word:
-                    out.append(f"{kind}:{word}")
-    return out
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 class Bayes:
     """Multinomial naive Bayes with add-one smoothing."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], urls: tuple[int, int]) -> None:
+    def __init__(self, counts: dict[str, tuple[int, int]], urls: tuple[int, int], totals: tuple[int, int, int] | None = None) -> None:
+        """totals: (sum, sum, number) of all tokens' counts, where counts has only the tokens that a URL needs."""
         self.urls = urls
-        both = [sum(c[k] for c in counts.values()) + len(counts) + 1 for k in (0, 1)]
+        *sums, distinct = totals or (*(sum(c[k] for c in counts.values()) for k in (0, 1)), len(counts))
+        both = [n + distinct + 1 for n in sums]
         self.weight = {t: math.log((c[1] + 1) / both[1]) - math.log((c[0] + 1) / both[0]) for t, c in counts.items()}
         self.unseen = math.log(1 / both[1]) - math.log(1 / both[0])
         self.prior = math.log((urls[1] + 1) / (urls[0] + 1))
@@ -118,49 +116,78 @@ class Bayes:
         return odds, odds > 0
 
 
-def word_counts(pages: DataFrame, text_col: str, scratch: Scratch) -> dict[str, int]:
-    """Unigram counts of lower-case a-z words of whole pages, without their tags."""
+def word_counts(pages: DataFrame, text_col: str) -> DataFrame:
+    """Unigram counts (w, n) of lower-case a-z words of whole pages, without their tags."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"<[^>]*>", " "))
     words = pages.select(F.explode(F.split(plain, "[^a-z]+")).alias("w")).filter(F.length("w").between(2, LONGEST))
-    counts = scratch.put("words", words.groupBy("w").agg(F.count("*").alias("n")))
-    return {r.w: r.n for r in most_frequent(counts, "n", WORDS).orderBy("w").collect()}
+    return words.groupBy("w").agg(F.count("*").alias("n"))
+
+
+def split_labels(labels: DataFrame, words: DataFrame) -> DataFrame:
+    """(lk, words) of distinct labels (lk, label)."""
+    label = F.col("label")
+    starts = labels.filter(F.length("label") > 1).select("lk", "label", F.explode(F.sequence(F.lit(1), F.length("label") - 1)).alias("at"))
+    # a label's own text from one place on, so that long labels don't stand in every row
+    tails = starts.select("lk", label.substr(F.col("at"), F.lit(LONGEST)).alias("tail"))
+    heads = F.transform(F.sequence(F.lit(2), F.length("tail")), lambda n: F.col("tail").substr(F.lit(1), n))
+    found = tails.select("lk", F.explode(heads).alias("w")).join(words, "w").select("lk", F.struct("w", "n").alias("found"))
+    found = found.groupBy("lk").agg(F.collect_list("found").alias("found"))
+    seen = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [Segmenter({x["w"]: x["n"] for x in known or ()}, seen).split(label) for label, known in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["lk", "words"])
+
+    return labels.join(found, "lk", "left").select("lk", "label", "found").mapInArrow(split, "lk binary, words array<string>")
+
+
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("good", "bad")))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """(id, host, path, rule, verdict, block_odds) a row."""
-    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
-    segmenter = spark.sparkContext.broadcast(word_counts(pages, text_col, scratch))
+    scratch = Scratch(pages.sparkSession)
+    words = scratch.put("words", word_counts(pages, text_col))
     ruled = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     ruled = ruled.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    ruled = scratch.put("ruled", ruled.withColumns({"hk": _key(F.col("host")), "pk": _key(F.col("path"))}))
     block = {r for r, v in rules if v == "block"}
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Segmenter(segmenter.value)
-        for batch in batches:
-            counts: dict[tuple[str, bool], int] = {}
-            for host, path, rule in zip(*(c.to_pylist() for c in batch.columns)):
-                bad = rule in block
-                for t in ["", *tokens(host, path, split)]:
-                    counts[t, bad] = counts.get((t, bad), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([b for _, b in counts], pa.bool_()), pa.array(list(counts.values()), pa.int64())], ["token", "bad", "n"])
-
-    seen = ruled.filter("rule is not null").select("host", "path", "rule").mapInArrow(learn, "token string, bad boolean, n long")
-    table = seen.groupBy("token").agg(*(F.coalesce(F.sum(F.when(F.col("bad") == y, F.col("n"))), F.lit(0)).alias(n) for n, y in (("good", False), ("bad", True))))
-    table = scratch.put("tokens", table.withColumn("n", F.col("good") + F.col("bad")))
-    # the empty token counts the URLs
-    urls = next(((r.good, r.bad) for r in table.filter("token = ''").collect()), (0, 0))
-    rows = most_frequent(table.filter("token != ''"), "n", TOKENS).orderBy("token").collect()
-    bayes = spark.sparkContext.broadcast(({r.token: (r.good, r.bad) for r in rows}, urls))
+    hosts = ruled.groupBy("hk").agg(F.first("host").alias("host")).select("hk", F.explode(parts_of(F.col("host"))).alias("label"))
+    hosts = scratch.put("hosts", hosts.withColumn("lk", _key(F.col("label"))))
+    splits = split_labels(scratch.put("labels", hosts.groupBy("lk").agg(F.first("label").alias("label"))), words)
+    spoken = hosts.join(splits, "lk").select("hk", F.explode("words").alias("word"))
+    spoken = scratch.put("spoken", spoken.select("hk", F.concat(F.lit("h:"), "word").alias("token")))
+
+    bad = F.col("rule").isin(*block) if block else F.lit(False)
+    seen = ruled.filter("rule is not null").withColumns({"good": F.when(bad, 0).otherwise(1), "bad": F.when(bad, 1).otherwise(0)})
+    part = F.concat(F.lit("p:"), "part").alias("token")
+    learned = _sums(seen, "hk").join(spoken, "hk").select("token", "good", "bad")
+    learned = learned.unionByName(seen.select(F.explode(parts_of(F.lower("path"))).alias("part"), "good", "bad").select(part, "good", "bad"))
+    table = scratch.put("tokens", _sums(learned, "token"))
+    urls, totals = _sums(seen).first(), _sums(table).first()
+    urls, totals = (urls.good, urls.bad), (totals.good, totals.bad, table.count())
+
+    def counted(tokens: DataFrame, key: str) -> DataFrame:
+        """All tokens of a text with their counts; 0 and 0 of those that no rule has seen."""
+        rows = tokens.join(table, "token", "left").fillna(0, ["good", "bad"])
+        return rows.groupBy(key).agg(F.collect_list(F.struct("token", "good", "bad")).alias(key + "_found"))
+
+    paths = ruled.groupBy("pk").agg(F.first("path").alias("path")).select("pk", F.explode(parts_of(F.lower("path"))).alias("part"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, model = Segmenter(segmenter.value), Bayes(*bayes.value)
         for batch in batches:
             verdict, odds = [], []
-            for host, path, rule in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                o, bad = model.blocks(tokens(host, path, split))
+            for rule, *found in zip(*(batch.column(n).to_pylist() for n in ("rule", "hk_found", "pk_found"))):
+                known = [t for x in found for t in x or ()]
+                o, is_bad = Bayes({t["token"]: (t["good"], t["bad"]) for t in known}, urls, totals).blocks([t["token"] for t in known])
                 odds.append(o)
-                verdict.append("block" if (bad if rule is None else rule in block) else "allow")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdict, pa.string()), pa.array(odds, pa.float64())], [*batch.schema.names, "verdict", "block_odds"])
+                verdict.append("block" if (is_bad if rule is None else rule in block) else "allow")
+            kept = batch.select(["id", "host", "path", "rule"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(verdict, pa.string()), pa.array(odds, pa.float64())], [*kept.schema.names, "verdict", "block_odds"])
 
+    full = ruled.join(counted(spoken, "hk"), "hk", "left").join(counted(paths.select("pk", part), "pk"), "pk", "left")
     kind = pages.schema[id_col].dataType.simpleString()
-    return ruled.mapInArrow(decide, f"id {kind}, host string, path string, rule string, verdict string, block_odds double").withColumnRenamed("id", id_col)
+    return full.select("id", "host", "path", "rule", "hk_found", "pk_found").mapInArrow(decide, f"id {kind}, host string, path string, rule string, verdict string, block_odds double").withColumnRenamed("id", id_col)

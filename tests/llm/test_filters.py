@@ -211,3 +211,38 @@ def test_bayes_follows_its_counts():
     model = U.Bayes({"h:good": (90, 1), "h:bad": (1, 90), "p:0": (50, 50)}, (100, 100))
     assert model.blocks(["h:bad", "p:0"])[1] and not model.blocks(["h:good", "p:0"])[1]
     assert not U.Bayes({}, (5, 0)).blocks(["h:bad"])[1] and U.Bayes({}, (0, 5)).blocks([])[1]
+
+
+def test_url_models_are_whole(spark):
+    """More words and tokens than any bound, each seen once, against the formulas over all of them."""
+    letters = "bcdfghjklmnpqrst"
+    rare = [f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters][:60_000]
+    parts = [f"x{w}{k}y" for w in rare[:52_000] for k in "abcd"]
+    urls = ["http://a.net/" + "/".join(parts[::2]), "http://example.net/en/" + "/".join(parts[1::2]), "http://example.net/en/" + parts[0]]
+    names = [rare[0] + rare[59_999], rare[7] + "the" + rare[5], "the", "7the42"]
+    urls += [f"http://{n}.dev/{p}" for n, p in zip(names, (parts[1], parts[0], parts[-1] + "/" + parts[2], "none/None"))]
+    urls += [f"http://{names[0]}.org/fr/", None, urls[3]]
+    pages = [(k, u, "<p>" + " ".join(rare) + " the the</p>" if k == 0 else "<p>The net</p>") for k, u in enumerate(urls)]
+    got = {r.page_id: r for r in U.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    words = dict.fromkeys(rare, 1) | {"the": 2 + len(urls) - 1, "net": len(urls) - 1}
+    split = U.Segmenter(words)
+
+    def tokens(host, path):
+        labels = ["".join("0" if c.isdigit() else c for c in x) for x in host.split(".") if x]
+        labels = [x.replace("00", "0") for x in labels]
+        return ["h:" + w for x in labels for w in split.split(x)] + ["p:" + x for x in path.lower().split("/") if x]
+
+    assert split.split(names[0]) == [rare[0], rare[59_999]]
+    counts, seen = {}, [0, 0]
+    for r in got.values():
+        if r.rule is not None:
+            bad = int(r.rule == "net/")
+            seen[bad] += 1
+            for t in tokens(r.host, r.path):
+                counts.setdefault(t, [0, 0])[bad] += 1
+    assert len(counts) > 200_000 and len(words) > 50_000 and len(got) == len(urls)
+    model = U.Bayes(counts, tuple(seen))
+    for r in got.values():
+        odds, block = model.blocks(tokens(r.host, r.path))
+        assert abs(r.block_odds - odds) < 1e-9
+        assert r.verdict == ("block" if (block if r.rule is None else r.rule == "net/") else "allow")
