@@ -58,6 +58,10 @@ class TextTokens:
         self.joins = drops_space(parsed)
         self.lowers = self.joins and "Lowercase" in json.dumps(parsed.get("normalizer"))
         self.special = [t["content"].encode() for t in parsed.get("added_tokens", [])]
+        # a cut before marks must not part a special string
+        self.cuts = not any(_TAIL[list(t)].any() for t in self.special)
+        # nor may a word of letters be or hold one
+        self.lowers = self.lowers and not any(_PLAIN.fullmatch(t.decode().lower()) for t in self.special)
         self.bare = None
         if self.lowers:
             step = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
@@ -82,6 +86,16 @@ class TextTokens:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return self._run(self.tokenizer, texts)
 
+    @staticmethod
+    def _lowered(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Spans of ASCII letters only in lower case, so that they are encoded once; in others the library's normaliser may see more than letters."""
+        other = np.r_[0, np.cumsum(~_LETTER[buf])]
+        only = other[s] == other[e]
+        edge = np.zeros(len(buf) + 1, np.int8)
+        edge[s[only]] += 1
+        edge[e[only]] -= 1
+        return np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, K.LOWER[buf], buf)
+
     def spans(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, first, ids, count): stretches whose ids follow each other, and their ids.
 
@@ -93,12 +107,8 @@ class TextTokens:
             lists = self._ids([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])
             ids = np.array([i for x in lists for i in x], np.int32)
             return offsets[:-1], offsets[1:], np.arange(len(offsets)), ids, np.array([len(x) for x in lists], np.int64)
-        raw = buf.tobytes()
-        plain = not any(t in raw for t in self.special)
         s, e, first = K.word_spans(buf, offsets)
-        if plain and len(s):
-            if self.lowers:
-                buf = K.LOWER[buf]
+        if self.cuts and len(s):
             # words part before the marks that end them
             solid = np.maximum.accumulate(np.where(_TAIL[buf], -1, np.arange(len(buf))))
             cut = solid[e - 1] + 1
@@ -111,6 +121,8 @@ class TextTokens:
             starts[at[two] + 1], ends[at[two] + 1] = cut[two], e[two]
             first = np.r_[at, len(starts)][first]
             s, e = starts, ends
+        if self.lowers and len(s):
+            buf = self._lowered(buf, s, e)
         ids, count = self.memo.spans(buf, s, e)
         return s, e, first, ids, count
 

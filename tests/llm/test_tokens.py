@@ -11,6 +11,7 @@ from fieldrail.llm import kernels as K
 from fieldrail.llm import sentencepiece_codec as S
 from fieldrail.llm.common import Scratch, pack, unpack
 from fieldrail.llm.queries import tokenizer_path
+from fieldrail.llm.text_tokens import TextTokens
 from fieldrail.llm.token_counts import Counter, count_tokens
 from fieldrail.llm.token_files import PlaneFile, export_files, read_report, write_file, write_ids
 
@@ -50,6 +51,23 @@ def test_counts_equal_the_libraries(library, pieces, chunk, overlap):
             assert Counter(path, f.read()).count(buf, off, chunk, overlap).tolist() == want
 
 
+def test_upper_case_is_left_to_the_library(library):
+    """Special strings in other cases, and capitals that only compose with a mark once they are small."""
+    marked = ["H\u0331", "J\u030c", "T\u0308", "T\u0308\u0301", "T\u0344", "W\u030a", "Y\u030a"]
+    texts = ["<|ENDOFTEXT|>", "a<|EndOfText|>B C.", "<|STARTOFTEXT|>, x", "x <|endoftext|> THE <|ENDOFTEXT|>.", *marked, " ".join(marked), "JA" + "J\u030c" * 3 + "OK, AND SO.", "PLAIN Words, in A row!"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    with open(JSON, encoding="utf-8") as f:
+        tokens = TextTokens(f.read())
+    for group in ([t] for t in texts), [texts]:
+        got = []
+        for part in group:
+            ids, first = tokens.encode(*K.texts(pa.array(part)))
+            got += [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+        assert got == want
+    with open(JSON, "rb") as f:
+        assert Counter(JSON, f.read()).count(*K.texts(pa.array(texts)), 1 << 14, 1 << 9).tolist() == [len(x) for x in want]
+
+
 def test_chunks_by_the_librarys_offsets():
     """A tokenizer that keeps white space is brought in step at its own pre-tokens."""
     from tokenizers import Tokenizer
