@@ -270,10 +270,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     outer = dealt.filter("not linked").select("pivot", "rep", "planes", "base", "missing", "added", "linked", F.lit(0).alias("side"), F.pmod("h", "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
     rows = member.union(outer).repartition(partitions(spark), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
     links = scratch.put("links", rows.mapInArrow(_apart(percent, most), "a long, b long"))
-    label = components(star.filter("linked").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).union(links), scratch, "label")
+    # rows of one id with several texts join the classes of these texts
+    text_class = F.struct("n_shingles", "d1", "d2")
+    mixed = signed.filter("id is not null").groupBy("id").agg(F.min(text_class).alias("lo"), F.max(text_class).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("id")
+    tied = scratch.put("tied", full.join(mixed, "id", "left_semi").join(classes.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).select("id", "rep").distinct())
+    least = tied.groupBy("id").agg(F.min("rep").alias("low"))
+    same = tied.join(least, "id").filter("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    label = components(star.filter("linked").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).union(links).union(same), scratch, "label")
     root = classes.select("d1", "d2", "n_shingles", "rep").join(label.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "rep").alias("root"))
     out = signed.select("id", "n_shingles", "d1", "d2").join(root, ["d1", "d2", "n_shingles"], "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
+    # a row without shingles goes with the other rows of its id
+    own = least.join(label.withColumnRenamed("v", "low"), "low", "left").select("id", F.coalesce("label", "low").alias("own"))
+    out = out.join(own, "id", "left")
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "own", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

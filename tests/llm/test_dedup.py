@@ -1,6 +1,7 @@
 """Near and substring duplicates against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -9,6 +10,8 @@ from fieldrail.llm.common import Scratch
 from fieldrail.llm.minhash_dedup import bands_for, drop_near_duplicates, near_duplicates
 from fieldrail.llm.substring_dedup import remove_repeats, removal_report
 
+from .conftest import prose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -72,6 +75,16 @@ def test_repeated_ids_and_empty_tables(spark, nothing):
     assert near_duplicates(nothing).count() == 0 and removal_report(nothing).count() == 0 and remove_repeats(nothing).count() == 0
 
 
+def test_report_and_drop_agree_on_ids_with_several_texts(spark):
+    r = random.Random(12)
+    a, b, c = prose(r, 40), prose(r, 40), prose(r, 40)
+    rows = [(3, a), (7, a), (7, b), (9, b), (7, ""), (12, c), (12, ""), (20, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.n_shingles > 0, x.component_id, x.kept) for x in near_duplicates(docs).collect()}
+    assert got == {(3, True, 3, True), (7, True, 3, False), (7, False, 3, False), (9, True, 3, False), (12, True, 12, True), (12, False, 12, True), (20, False, 20, True)}
+    assert sorted(x.doc_id for x in drop_near_duplicates(docs).collect()) == [3, 12, 12, 20]
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.8, 0.85, 0.9):
         assert (1 - threshold**4) ** bands_for(threshold) <= 1e-6
