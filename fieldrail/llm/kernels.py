@@ -7,6 +7,7 @@ function takes whole texts; memory is a small multiple of the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,13 @@ INK = ~SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Bytes of text that are hashed in one step; longer spans extend the tables.
-SEGMENT = 1 << 18
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The five primes of XXH64.
+XX = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+#: Spans longer than this are hashed by BLAKE2b, one by one.
+LONG = 256
+_FIRST = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+_FIRST = np.append(_FIRST, ~np.uint64(0))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,35 +87,67 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _tables(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if lane not in _TABLES or len(_TABLES[lane][0]) < n:
-        base, size = _BASES[lane], max(n, SEGMENT + 1)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            row = np.full(size, b, U64)
-            row[0] = 1
-            both.append(np.cumprod(row))
-        _TABLES[lane] = (both[0], both[1])
-    return _TABLES[lane]
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros after the end)."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """64-bit hashes of disjoint ascending byte spans: a polynomial by prefix sums, then mixed."""
-    out = np.empty(len(starts), U64)
-    a = 0
-    while a < len(starts):
-        lo = int(starts[a])
-        b = max(a + 1, int(np.searchsorted(ends, lo + SEGMENT, "right")))
-        hi = int(ends[b - 1])
-        power, inverse = _tables(lane, hi - lo + 1)
-        total = np.zeros(hi - lo + 1, U64)
-        part = buf[lo:hi].astype(U64)
-        part += U64(1)
-        part *= power[: hi - lo]
-        np.cumsum(part, out=total[1:])
-        out[a:b] = (total[ends[a:b] - lo] - total[starts[a:b] - lo]) * inverse[starts[a:b] - lo]
-        a = b
-    return mix(out)
+    """64-bit hashes of byte spans.
+
+    Eight bytes at a time go through the finaliser, which isn't linear, after the length; spans
+    of equal length up to eight bytes never collide.  A lane is a key of its own.
+    """
+    size = ends - starts
+    eights = _eights(buf)
+    out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + seeds(20, lane + 1)[lane])
+    out = mix(out ^ (eights[starts] & _FIRST[np.minimum(size, 8)]))
+    live = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(live):
+        at = starts[live] + done
+        out[live] = mix(out[live] ^ (eights[at] & _FIRST[np.minimum(ends[live] - at, 8)]))
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([lane]))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
+def same_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span at its place in ``other``."""
+    size = ends - starts
+    if not np.array_equal(size, size[other]):
+        return False
+    eights = _eights(buf)
+    live, done = np.arange(len(starts)), 0
+    while len(live):
+        a, b = starts[live] + done, starts[other[live]] + done
+        if ((eights[a] ^ eights[b]) & _FIRST[np.minimum(ends[live] - a, 8)]).any():
+            return False
+        done += 8
+        live = live[(size[live] > done) & (size[live] <= LONG)]
+    raw = [(i, int(other[i])) for i in np.flatnonzero(size > LONG).tolist()]
+    return all(np.array_equal(buf[starts[i] : ends[i]], buf[starts[j] : ends[j]]) for i, j in raw)
+
+
+def spark_hashes(values: np.ndarray, seed: int = 42) -> np.ndarray:
+    """xxhash64 of longs, as Spark's function gives it."""
+    p1, p2, p3, p4, p5 = (U64(int(p)) for p in XX)
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return (x << U64(n)) | (x >> U64(64 - n))
+
+    out = turned(values.astype(np.int64).view(U64) * p2, 31) * p1
+    out ^= U64(seed) + p5 + U64(8)
+    out = turned(out, 27) * p1 + p4
+    out ^= out >> U64(33)
+    out *= p2
+    out ^= out >> U64(29)
+    out *= p3
+    return (out ^ (out >> U64(32))).view(np.int64)
 
 
 def gram_hashes(words: np.ndarray, n: int, lane: int = 0) -> np.ndarray:

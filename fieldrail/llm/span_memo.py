@@ -60,7 +60,13 @@ class SpanMemo:
             self._forget()
         _, at, back = np.unique(K.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         raw = buf.tobytes()
-        keys = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        if K.same_spans(buf, starts, ends, at[back]):
+            keys = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        else:  # two spans share a hash: they are told apart by their bytes
+            place: dict[bytes, int] = {}
+            every = (raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+            back = np.fromiter((place.setdefault(k, len(place)) for k in every), np.int64, len(starts))
+            keys = list(place)
         own = np.fromiter((self.index.get(k, -1) for k in keys), np.int64, len(keys))
         new = np.flatnonzero(own < 0)
         if len(new):
