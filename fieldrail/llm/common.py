@@ -12,16 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Bytes of a row group of a scratch table: what a writing task holds.
+ROW_GROUP = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (local tests) an own temporary one is set.
+    Only where the session has none and runs in this process alone (local tests) an own
+    temporary one is set; executors elsewhere would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="fieldrail-")
     spark.sparkContext.setCheckpointDir(_OWN["dir"])
@@ -51,11 +56,12 @@ class Scratch:
 
     def put(self, name: str, frame: DataFrame) -> DataFrame:
         path = f"{self.base}/{name}"
-        frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        frame.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        _remove(self.spark, f"{self.base}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _remove(self.spark, f"{self.base}/{name}")
 
     def close(self) -> None:
         _remove(self.spark, self.base)

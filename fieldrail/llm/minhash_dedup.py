@@ -277,6 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     least = tied.groupBy("id").agg(F.min("rep").alias("low"))
     same = tied.join(least, "id").filter("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     label = components(star.filter("linked").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).union(links).union(same), scratch, "label")
+    scratch.drop("live", "sets", "stars", "links", "label-edges")
     root = classes.select("d1", "d2", "n_shingles", "rep").join(label.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "rep").alias("root"))
     out = signed.select("id", "n_shingles", "d1", "d2").join(root, ["d1", "d2", "n_shingles"], "left")
     # a row without shingles goes with the other rows of its id

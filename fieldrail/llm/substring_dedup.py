@@ -3,20 +3,22 @@
 A window is ``size`` consecutive words of one document.  Every word covered by a
 window whose word sequence also starts in a document with a smaller id goes.
 
-1. Each task makes a count-min sketch of its windows (one count a document and
-   window) as sorted cell lists; the lists are dealt by cell range and merged.
-   Of the merged sketch only "2 or more" matters, so it leaves as one bit a cell.
-2. A second scan keeps the windows whose cells all say 2 or more.  A sketch only
-   overestimates: no repeated window is lost, and the false ones fall out next.
-   In each batch a window is kept once, with the batch's smallest id; that pre-
-   aggregates windows that a third of the corpus holds.
-3. The kept windows are grouped exactly (160 bits: 64 + 32 of two independent
-   word hashes and the bucket's bits are of the first) for the smallest id.
-4. Verdicts return to documents by id and the words are cut.
-
-Memory: the sketch has a fixed size, ``cells`` bits when it is sent out (128 MB by
-default).  With more windows than cells it saturates: then more windows reach the
-exact third step, up to all of them, and results stay the same.
+1. Windows are dealt by ranges of their hash into chunks of some ``CHUNK`` windows, and each
+   chunk has its own count-min sketch of two rows.  A task sends what its windows add to a
+   chunk's sketch (sorted 24-bit prints, from which both cells follow) with the documents that
+   hold them.  A window that the task has seen in two documents goes once, as a two;
+   its documents learn at once that it repeats.
+2. What the tasks sent is added up chunk by chunk.  Windows whose smaller count is 2 or more are
+   told to their documents' buckets.  A sketch only overestimates: no repeated window is lost,
+   and the false ones fall out next.
+3. Each bucket of documents sends the windows that it was told of to an exact grouping (96 bits:
+   64 of one word hash and 32 of another) for the smallest id; within a bucket a window
+   goes once, with the bucket's smallest id.
+4. Verdicts return to the buckets and the words are cut.
+
+The sketch grows with the corpus, a few bytes a window in one shuffle, and nothing of it
+reaches the driver; tasks hold one chunk or one bucket (``BUCKET`` bytes of text, or one
+longer document) at a time.
 
 Defined results: null text has no words; a null id is never compared and its row
 stays as it is; rows of one id count as one document and don't remove each other's
@@ -26,11 +28,13 @@ words; an empty table gives an empty one; further columns pass through.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,284 +42,315 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .common import fresh, pack, partitions, unpack
 
-CELL_BITS = 30
-ROWS = 2
-CHUNK_BITS = 20
-#: Words of a bucket of the exact grouping, in windows of the whole corpus.
-BUCKET_WINDOWS = 2_000_000
+#: Windows of a chunk, by the estimate that one has some WINDOW_BYTES of text.
+CHUNK, WINDOW_BYTES = 1 << 18, 6
+#: Cells of each of a chunk's two rows.
+CELLS = 1 << 21
+#: Bytes of the documents of a bucket.
+BUCKET = 12 << 20
+#: Windows that a task holds before it sends them on.
+HELD = 1 << 20
+_PRINT = K.U64((1 << 24) - 1)
+_SENT = "chunk int, bucket int, id long, data binary"
+_KEYED = "bucket int, id long, data binary"
+_KINDS = (pa.int32(), pa.int64(), pa.binary())
 
 
-def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The cell of each row of the sketch; row r owns the r-th part of the cells."""
-    width = bits - (ROWS - 1)
-    mask = K.U64((1 << width) - 1)
-    return [((h >> K.U64(1 + r * 31)) & mask).astype(np.uint32) + np.uint32(r << width) for r in range(ROWS)]
+def _places(h: np.ndarray, chunks: int) -> np.ndarray:
+    """chunk << 24 | print of hashes, in the hashes' order."""
+    return ((h >> K.U64(24)) * K.U64(chunks)) >> K.U64(16)
 
 
-def _distinct(grams: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
-    bound = np.searchsorted(text, np.arange(n + 1))
-    return [np.unique(grams[a:b]) for a, b in zip(bound[:-1], bound[1:]) if b > a]
+def _runs(flag: np.ndarray) -> np.ndarray:
+    """[start, end) pairs of the true runs."""
+    step = np.diff(np.r_[False, flag, False].astype(np.int8))
+    return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).astype(np.uint32).reshape(-1)
 
 
-def _sketch(size: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        windows = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            cells = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
-            held.clear()
-            if len(cells) > 2:  # more than two of a cell tell nothing more
-                cells = cells[np.r_[True, True, cells[2:] != cells[:-2]]]
-            edge = np.searchsorted(cells >> np.uint32(CHUNK_BITS), np.arange((1 << (bits - CHUNK_BITS)) + 1))
-            for lo in range(0, len(edge) - 1, 64):
-                chunks = [c for c in range(lo, min(lo + 64, len(edge) - 1)) if edge[c + 1] > edge[c]]
-                if chunks:
-                    data = [pack(np.diff(cells[edge[c] : edge[c + 1]], prepend=np.uint32(c << CHUNK_BITS))) for c in chunks]
-                    yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(data, pa.binary()), pa.array([0] * len(chunks), pa.int64())], ["chunk", "data", "windows"])
-
-        total = 0
-        for batch in batches:
-            buf, offsets = K.texts(batch.column(0))
-            for lo, hi in K.groups(offsets):
-                part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                s, e, first = K.word_spans(part, off)
-                grams = K.gram_hashes(K.span_hashes(part, s, e), size)
-                at, text = K.inside(first, size)
-                if len(at):
-                    own = np.concatenate(_distinct(grams[at], text, hi - lo))
-                    windows += len(own)
-                    total += len(own)
-                    held.extend(_cells(own, bits))
-            if total > 16_000_000:
-                yield from out()
-                total = 0
-        yield from out()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([windows], pa.int64())], ["chunk", "data", "windows"])
+def _mark(text: np.ndarray) -> bytes:
+    """Tells the texts of rows that share an id apart."""
+    return np.array([len(text), zlib.crc32(text)], np.uint32).tobytes()
 
-    return run
 
+def _keyed(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], ["bucket", "id", "data"])
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by chunk; one chunk's counters are held at a time."""
-    now, windows = None, 0
-    counts = np.zeros(1 << CHUNK_BITS, np.uint8)
 
-    def row(chunk: int, data: bytes, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([data], pa.binary()), pa.array([n], pa.int64())], ["chunk", "data", "windows"])
+def _numbers(values: np.ndarray) -> bytes:
+    """Longs, less the least of them."""
+    base = int(values.min())
+    packed = pack((values - base).astype(np.uint64))
+    return struct.pack("<qI", base, len(packed)) + packed
 
-    for batch in batches:
-        for chunk, data, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            if chunk < 0:
-                windows += n
-                continue
-            if chunk != now:
-                if now is not None:
-                    yield row(now, pack(np.packbits(counts >= 2)), 0)
-                now = chunk
-                counts[:] = 0
-            cells = (np.cumsum(unpack(data.as_py(), np.uint32), dtype=np.uint64) & K.U64((1 << CHUNK_BITS) - 1)).astype(np.uint32)
-            twice = cells[1:][cells[1:] == cells[:-1]]
-            cells = cells[np.r_[True, cells[1:] != cells[:-1]]]
-            counts[cells] = np.minimum(counts[cells] + 1, 2)
-            counts[twice] = 2
-    if now is not None:
-        yield row(now, pack(np.packbits(counts >= 2)), 0)
-    yield row(-1, b"", windows)
-
-
-def sketch(docs: DataFrame, text_col: str, size: int, cell_bits: int = CELL_BITS) -> tuple[dict[int, bytes], int]:
-    """({chunk: packed bits, one a cell: counted twice or more}, windows counted) of the whole table."""
-    schema = "chunk int, data binary, windows long"
-    parts = docs.select(text_col).mapInArrow(_sketch(size, cell_bits), schema)
-    n = partitions(docs.sparkSession)
-    merged = parts.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(_merge, schema)
-    chunks, windows = {}, 0
-    for row in merged.collect():
-        if row.chunk < 0:
-            windows += row.windows
-        else:
-            chunks[row.chunk] = bytes(row.data)
-    return chunks, windows
 
+def _read_numbers(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    base, n = struct.unpack_from("<qI", data, at)
+    end = at + 12 + n
+    return unpack(data[at + 12 : end], np.uint64).astype(np.int64) + base, end
 
-def _unfold(chunks: dict[int, bytes], cell_bits: int) -> np.ndarray:
-    bits, step = np.zeros(1 << (cell_bits - 3), np.uint8), 1 << (CHUNK_BITS - 3)
-    for chunk, data in chunks.items():
-        bits[chunk * step : (chunk + 1) * step] = unpack(data, np.uint8)
-    return bits
 
+def _buckets(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return np.mod(K.spark_hashes(ids), buckets)
 
-def _repeated(cells_of: list[np.ndarray], bits: np.ndarray) -> np.ndarray:
-    keep = None
-    for cell in cells_of:
-        hit = (bits[cell >> np.uint32(3)] >> (np.uint8(7) - (cell & np.uint32(7)).astype(np.uint8))) & np.uint8(1)
-        keep = hit if keep is None else keep & hit
-    return keep.astype(bool)
 
+def _stretches(doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(document, its runs of windows) of windows in the order of documents and places."""
+    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, np.int64)
+    for x, y in zip(edge[:-1], edge[1:]):
+        step = np.flatnonzero(np.diff(at[x:y]) != 1)
+        begin, end = at[x:y][np.r_[0, step + 1]], at[x:y][np.r_[step, y - x - 1]] + 1
+        yield int(doc[x]), pack(np.stack([begin, end], 1).astype(np.uint32).reshape(-1))
 
-def _runs(flag: np.ndarray) -> np.ndarray:
-    """[start, end) pairs of the true runs."""
-    step = np.diff(np.r_[False, flag, False].astype(np.int8))
-    return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).astype(np.uint32).reshape(-1)
 
+def _ask(size: int, chunks: int, buckets: int):
+    """What windows add to the sketch (chunk), and what is known to repeat at once (bucket, id)."""
 
-def _mark(text: np.ndarray) -> bytes:
-    """Tells the texts of rows that share an id apart."""
-    return np.array([len(text), zlib.crc32(text)], np.uint32).tobytes()
+    def sent(h: np.ndarray, doc: np.ndarray, at: np.ndarray, ids: np.ndarray, marks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(h, kind="stable")
+        new = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+        last = np.r_[new[1:], len(h)] - 1
+        twice = doc[order[new]] != doc[order[last]]
+        place, owner = _places(h[order[new]], chunks), ids[doc[order[new]]]
+        told = np.sort(order[np.repeat(twice, last - new + 1)])
+        rows: list[tuple] = []
+        for d, runs in _stretches(doc[told], at[told]):
+            to = int(_buckets(ids[d : d + 1], buckets)[0])
+            rows.append((to % chunks, to, int(ids[d]), marks[d] + runs))
+        chunk = place >> K.U64(24)
+        edge = np.flatnonzero(np.r_[True, np.diff(chunk) != 0, True])
+        for a, b in zip(edge[:-1], edge[1:]):
+            own = np.where(twice[a:b], owner[a:b][0], owner[a:b])
+            prints = pack(np.diff((place[a:b] & _PRINT).astype(np.uint32), prepend=np.uint32(0)))
+            rows.append((int(chunk[a]), None, None, struct.pack("<II", b - a, len(prints)) + prints + np.packbits(twice[a:b]).tobytes() + _numbers(own)))
+        kinds = (pa.int32(), *_KINDS)
+        for lo in range(0, len(rows), 512):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 512]), kinds)], ["chunk", "bucket", "id", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, docs, ats, ids, marks, held = [], [], [], [], [], 0
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            buf, offsets = K.texts(batch.column(1))
+            for lo, hi in K.groups(offsets):
+                part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                s, e, first = K.word_spans(part, off)
+                at, text = K.inside(first, size)
+                hashes.append(K.gram_hashes(K.span_hashes(part, s, e), size)[at])
+                docs.append((text + len(marks)).astype(np.int32))
+                ats.append((at - first[text]).astype(np.int32))
+                ids.append(own[lo:hi])
+                marks += [_mark(part[a:b]) for a, b in zip(off[:-1], off[1:])]
+                held += len(at)
+                if held >= HELD:
+                    yield from sent(*map(np.concatenate, (hashes, docs, ats, ids)), marks)
+                    hashes, docs, ats, ids, marks, held = [], [], [], [], [], 0
+        if held:
+            yield from sent(*map(np.concatenate, (hashes, docs, ats, ids)), marks)
 
+    return run
 
-_MOVED = "bucket int, id long, spans boolean, data binary"
 
+def _judge(cells: int, buckets: int):
+    """Rows come sorted by chunk: its sketch is added up, and repeated windows return to their documents."""
+
+    def told(chunk: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        prints, twice, ids = [], [], []
+        for data in held:
+            n, m = struct.unpack_from("<II", data)
+            bits = 8 + m
+            prints.append(np.cumsum(unpack(data[8:bits], np.uint32), dtype=np.uint32))
+            twice.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), bits), count=n).astype(bool))
+            ids.append(_read_numbers(data, bits + -(-n // 8))[0])
+        prints, twice, ids = map(np.concatenate, (prints, twice, ids))
+        mixed = K.mix(prints.astype(K.U64) + K.U64(chunk << 24))
+        repeated = ~twice
+        for r in range(2):
+            cell = ((mixed >> K.U64(32 * r)) % K.U64(cells)).astype(np.int64)
+            count = np.bincount(cell, minlength=cells) + np.bincount(cell[twice], minlength=cells)
+            repeated &= count[cell] > 1
+        prints, ids = prints[repeated], ids[repeated]
+        if not len(ids):
+            return
+        to = _buckets(ids, buckets)
+        order = np.argsort(to, kind="stable")
+        prints, ids, to = prints[order], ids[order], to[order]
+        edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+        yield _keyed([(int(to[a]), None, struct.pack("<I", chunk) + _numbers(ids[a:b]) + pack(prints[a:b])) for a, b in zip(edge[:-1], edge[1:])])
 
-def _candidates(size: int, bits: int, shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _unfold(shared.value, bits)
-        for whole in batches:
-            _, edges = K.texts(whole.column(1))
-            for x, y in K.groups(edges, 16 << 20):
-                yield from compare(seen, whole.slice(x, y - x))
-
-    def compare(seen: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        buf, offsets = K.texts(batch.column(1))
-        h1s, h2s, docs, ats = [], [], [], []
+        now, held = -1, []
+        for batch in batches:
+            known = batch.column(1).is_valid()
+            if known.true_count:
+                yield batch.filter(known).select(["bucket", "id", "data"])
+            batch = batch.filter(pc.invert(known))
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if chunk != now:
+                    yield from told(now, held)
+                    now, held = chunk, []
+                held.append(data)
+        yield from told(now, held)
+
+    return run
+
+
+def _told(rows: pa.Table) -> tuple[dict[int, list[bytes]], np.ndarray]:
+    """(runs of windows by id, mixed (id, chunk and print)) of what a bucket was told."""
+    spans: dict[int, list[bytes]] = {}
+    found = [np.zeros(0, K.U64)]
+    for key, data in zip(rows.column("id").to_pylist(), rows.column("data").to_pylist()):
+        if key is not None:
+            spans.setdefault(key, []).append(data)
+            continue
+        (chunk,) = struct.unpack_from("<I", data)
+        ids, at = _read_numbers(data, 4)
+        found.append(K.mix(K.mix(ids.view(K.U64)) ^ (unpack(data[at:], np.uint32).astype(K.U64) + K.U64(chunk << 24))))
+    return spans, np.sort(np.concatenate(found))
+
+
+def _members(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted table of mixed numbers."""
+    bits = np.zeros(1 << 22, bool)
+    bits[table >> K.U64(42)] = True
+    out = bits[values >> K.U64(42)]
+    near = np.flatnonzero(out)
+    at = np.minimum(np.searchsorted(table, values[near]), max(len(table) - 1, 0))
+    out[near] = table[at] == values[near] if len(table) else False
+    return out
+
+
+def _candidates(size: int, chunks: int, buckets: int, names: list[str]):
+    """Of one bucket's documents: windows that it was told of, each with its smallest id.
+
+    Rows without an id go to a bucket of windows; those with one are stretches of windows
+    that a smaller id of this bucket has.
+    """
+    bucket_col, id_col, text_col = names
+
+    def windows(ids: np.ndarray, texts: pa.Array, spans: dict[int, list[bytes]], told: np.ndarray) -> tuple[list, list[bytes]]:
+        found, marks = [], []
+        buf, offsets = K.texts(texts)
         for lo, hi in K.groups(offsets):
             part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            marks += [_mark(part[a:b]) for a, b in zip(off[:-1], off[1:])]
             s, e, first = K.word_spans(part, off)
-            grams = K.gram_hashes(K.span_hashes(part, s, e), size)
             at, text = K.inside(first, size)
             if not len(at):
                 continue
-            grams = grams[at]
-            keep = np.flatnonzero(_repeated(_cells(grams, bits), seen))
-            if not len(keep):
-                continue
-            # the second hash of only the kept windows' words
-            second = K.gram_hashes(K.span_hashes(part, s, e, 1), size, 1)[at[keep]]
-            h1s.append(grams[keep])
-            h2s.append((second >> K.U64(32)).astype(np.uint32))
-            docs.append(text[keep].astype(np.int64) + lo)
-            ats.append((at[keep] - first[text[keep]]).astype(np.int64))
-        if not h1s:
-            return
-        h1, h2, doc, at = map(np.concatenate, (h1s, h2s, docs, ats))
-        order = np.lexsort((ids[doc], h2, h1))
-        h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
-        new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-        least = ids[doc][new][np.cumsum(new) - 1]
-        later = ids[doc] != least
-        rows: tuple[list, list, list, list] = ([], [], [], [])
-
-        def add(bucket: int, key: int | None, spans: bool, data: bytes) -> None:
-            for cell, value in zip(rows, (bucket, key, spans, data)):
-                cell.append(value)
-
-        # known here already: a smaller id of this batch has the window
-        by = np.lexsort((at[later], doc[later]))
-        d, a = doc[later][by], at[later][by]
-        edge = np.flatnonzero(np.r_[True, d[1:] != d[:-1], True]) if len(d) else np.zeros(1, np.int64)
-        for x, y in zip(edge[:-1], edge[1:]):
-            step = np.flatnonzero(np.diff(a[x:y]) != 1)
-            begin, end = a[x:y][np.r_[0, step + 1]], a[x:y][np.r_[step, y - x - 1]] + 1
-            key = int(ids[d[x]])
-            own = buf[offsets[d[x]] : offsets[d[x] + 1]]
-            add(key % buckets, key, True, _mark(own) + pack(np.stack([begin, end], 1).astype(np.uint32).reshape(-1)))
-        one = h1[new], h2[new], ids[doc][new]
-        bucket = (one[0] >> K.U64(20)) % K.U64(buckets)
-        by = np.argsort(bucket, kind="stable")
-        for x in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
-            who, index = np.unique(one[2][x], return_inverse=True)
-            head = np.array([len(x), len(who)], np.uint32).tobytes()
-            add(int(bucket[x[0]]), None, False, head + one[0][x].tobytes() + one[1][x].tobytes() + index.astype(np.uint32).tobytes() + who.tobytes())
-        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["bucket", "id", "spans", "data"])
+            words = K.span_hashes(part, s, e)
+            grams = K.gram_hashes(words, size)[at]
+            own = ids[lo:hi]
+            keep = _members(K.mix(K.mix(own.view(K.U64))[text] ^ _places(grams, chunks)), told)
+            if spans:
+                known = np.zeros(len(s) + 1, np.int32)
+                for i, key in enumerate(own.tolist()):
+                    for data in spans.get(key, ()):
+                        if data[:8] == marks[lo + i]:
+                            pairs = unpack(data[8:], np.uint32).astype(np.int64).reshape(-1, 2) + first[i]
+                            known[pairs[:, 0]] += 1
+                            known[pairs[:, 1]] -= 1
+                keep |= (np.cumsum(known) > 0)[at]
+            if keep.any():
+                # the second hash of only the kept windows
+                second = K.gram_hashes(K.span_hashes(part, s, e, 1), size, 1)[at[keep]]
+                found.append((grams[keep], (second >> K.U64(32)).astype(np.uint32), (text[keep] + lo).astype(np.int64), (at[keep] - first[text[keep]]).astype(np.int64)))
+        return found, marks
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        spans, told = _told(right)
+        left = left.filter(left.column(id_col).is_valid())
+        rows: list[tuple[int, int | None, bytes]] = []
+        if left.num_rows and right.num_rows:
+            ids = left.column(id_col).to_numpy().astype(np.int64)
+            found, marks = windows(ids, left.column(text_col), spans, told)
+            if found:
+                h1, h2, doc, at = map(np.concatenate, zip(*found))
+                order = np.lexsort((ids[doc], h2, h1))
+                h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
+                new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+                later = ids[doc] != ids[doc][new][np.cumsum(new) - 1]
+                # known here already: a smaller id of this bucket has the window
+                by = np.lexsort((at[later], doc[later]))
+                home = left.column(bucket_col)[0].as_py()
+                rows += [(home, int(ids[d]), marks[d] + runs) for d, runs in _stretches(doc[later][by], at[later][by])]
+                one = h1[new], h2[new], ids[doc][new]
+                bucket = (one[0] >> K.U64(20)) % K.U64(buckets)
+                by = np.argsort(bucket, kind="stable")
+                for x in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+                    rows.append((int(bucket[x[0]]), None, struct.pack("<I", len(x)) + one[0][x].tobytes() + one[1][x].tobytes() + _numbers(one[2][x])))
+        columns = zip(*rows) if rows else ([], [], [])
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], ["bucket", "id", "data"])
 
     return run
 
 
-_RETURNED = "bucket int, id long, spans boolean, data binary"
-
-
 def _exact(buckets: int):
-    """Rows come sorted by bucket. Windows whose smallest id lies in another batch return to their document.
+    """Rows come sorted by bucket. Windows whose smallest id lies in another bucket return to their document.
 
-    Verdicts of many documents travel in one row, dealt by document.
+    Verdicts of many documents travel in one row, dealt by the documents' bucket.
     """
-    names, kinds = ["bucket", "id", "spans", "data"], (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
 
     def verdicts(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         h1s, h2s, whos = [], [], []
         for data in held:
-            n, m = np.frombuffer(data, np.uint32, 2)
-            h1s.append(np.frombuffer(data, np.uint64, n, 8))
-            h2s.append(np.frombuffer(data, np.uint32, n, 8 + 8 * n))
-            whos.append(np.frombuffer(data, np.int64, m, 8 + 16 * n)[np.frombuffer(data, np.uint32, n, 8 + 12 * n)])
+            (n,) = struct.unpack_from("<I", data)
+            h1s.append(np.frombuffer(data, np.uint8, 8 * n, 4).view(np.uint64))
+            h2s.append(np.frombuffer(data, np.uint8, 4 * n, 4 + 8 * n).view(np.uint32))
+            whos.append(_read_numbers(data, 4 + 12 * n)[0])
         h1, h2, who = map(np.concatenate, (h1s, h2s, whos))
         order = np.lexsort((who, h2, h1))
         h1, h2, who = h1[order], h2[order], who[order]
         new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         later = who != who[new][np.cumsum(new) - 1]
         who, h1 = who[later], h1[later]
-        order = np.lexsort((who, who % buckets))
-        who, h1 = who[order], h1[order]
         if not len(who):
             return
-        full, edge = np.unique(who % buckets, return_index=True)
-        edge = np.r_[edge, len(who)]
-        for lo in range(0, len(full), 256):
-            rows = []
-            for a, b in zip(edge[lo : lo + 256], edge[lo + 1 : lo + 257]):
-                ids, count = np.unique(who[a:b], return_counts=True)
-                rows.append(np.array([len(ids)], np.uint64).tobytes() + ids.tobytes() + count.astype(np.int64).tobytes() + h1[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(full[lo : lo + 256].astype(np.int32)), pa.nulls(len(rows), kinds[1]), pa.array([False] * len(rows), kinds[2]), pa.array(rows, kinds[3])], names)
+        to = _buckets(who, buckets)
+        order = np.lexsort((who, to))
+        who, h1, to = who[order], h1[order], to[order]
+        edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+        yield _keyed([(int(to[a]), None, _numbers(who[a:b]) + h1[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            local = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if local.any():
-                yield batch.filter(pa.array(local))
-            for i in np.flatnonzero(~local):
-                bucket = batch.column(0)[i].as_py()
+            local = batch.column(1).is_valid()
+            if local.true_count:
+                yield batch.filter(local)
+            batch = batch.filter(pc.invert(local))
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if bucket != now:
                     yield from verdicts(held)
                     now, held = bucket, []
-                held.append(batch.column(3)[i].as_py())
+                held.append(data)
         yield from verdicts(held)
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket: one row of verdicts for each document of the bucket."""
-
-    def rows(spans: dict[int, list[bytes]], hashes: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        ids = sorted({*spans, *hashes})
-        for lo in range(0, len(ids), 2000):
-            part = ids[lo : lo + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([spans.get(i, []) for i in part], pa.list_(pa.binary())), pa.array([b"".join(hashes.get(i, [])) for i in part], pa.binary())], ["id", "spans", "hashes"])
-
-    now, spans, hashes = None, {}, {}
-    for batch in batches:
-        for bucket, key, local, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket != now:
-                yield from rows(spans, hashes)
-                now, spans, hashes = bucket, {}, {}
-            if local:
-                spans.setdefault(key, []).append(data)
-                continue
-            n = int(np.frombuffer(data, np.uint64, 1)[0])
-            at = 8 + 16 * n
-            for own, count in zip(np.frombuffer(data, np.int64, n, 8).tolist(), np.frombuffer(data, np.int64, n, 8 + 8 * n).tolist()):
-                hashes.setdefault(own, []).append(data[at : at + 8 * count])
-                at += 8 * count
-    yield from rows(spans, hashes)
-
-
-def covered_words(part: np.ndarray, off: np.ndarray, size: int, spans: list[list[bytes]], hashes: list[bytes]):
+def _verdicts(rows: pa.Table) -> tuple[dict[int, list[bytes]], dict[int, np.ndarray]]:
+    """(stretches, hashes) of windows that a smaller id has, by id, of one bucket."""
+    spans: dict[int, list[bytes]] = {}
+    whos, hashes = [np.zeros(0, np.int64)], [np.zeros(0, K.U64)]
+    for key, data in zip(rows.column("id").to_pylist(), rows.column("data").to_pylist()):
+        if key is not None:
+            spans.setdefault(key, []).append(data)
+            continue
+        who, at = _read_numbers(data, 0)
+        whos.append(who)
+        hashes.append(np.frombuffer(data[at:], K.U64))
+    who, h = np.concatenate(whos), np.concatenate(hashes)
+    order = np.argsort(who, kind="stable")
+    who, h = who[order], h[order]
+    edge = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True]) if len(who) else np.zeros(1, np.int64)
+    return spans, {int(who[a]): h[a:b] for a, b in zip(edge[:-1], edge[1:])}
+
+
+def covered_words(part: np.ndarray, off: np.ndarray, size: int, spans: list, hashes: list):
     """(starts, ends, first, removed) of the words of texts with their verdicts."""
     s, e, first = K.word_spans(part, off)
     removed = np.zeros(len(s) + 1, np.int32)
@@ -326,86 +361,85 @@ def covered_words(part: np.ndarray, off: np.ndarray, size: int, spans: list[list
             pairs = unpack(data[8:], np.uint32).astype(np.int64).reshape(-1, 2) + first[i]
             np.add.at(removed, pairs[:, 0], 1)
             np.add.at(removed, np.minimum(pairs[:, 1] + size - 1, first[i + 1]), -1)
-    if any(hashes):
+    if any(own is not None for own in hashes):
         grams = K.gram_hashes(K.span_hashes(part, s, e), size)
         for i, own in enumerate(hashes):
             n = first[i + 1] - first[i] - size + 1
-            if own and n > 0:
-                hit = first[i] + np.flatnonzero(np.isin(grams[first[i] : first[i] + n], np.frombuffer(own, np.uint64)))
+            if own is not None and n > 0:
+                hit = first[i] + np.flatnonzero(np.isin(grams[first[i] : first[i] + n], own))
                 np.add.at(removed, hit, 1)
                 np.add.at(removed, hit + size, -1)
     return s, e, first, np.cumsum(removed[:-1]) > 0
 
 
-def _cut(size: int, id_at: int, text_at: int, flag_at: int, digest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = K.texts(batch.column(text_at))
-            flags = batch.column(flag_at).to_pylist()
-            words, gone, shas, texts = [], [], [], []
-            for lo, hi in K.groups(offsets):
-                part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                mine = flags[lo:hi]
-                spans = [f["spans"] if f else [] for f in mine]
-                hashes = [f["hashes"] if f else b"" for f in mine]
-                s, e, first, removed = covered_words(part, off, size, spans, hashes)
-                raw = part.tobytes()
-                for i in range(hi - lo):
-                    a, b = first[i], first[i + 1]
-                    n = int(removed[a:b].sum())
-                    words.append(int(b - a))
-                    gone.append(n)
-                    if digest:
-                        own = raw[off[i] : off[i + 1]].split()
-                        if n:
-                            own = [own[k] for k in np.flatnonzero(~removed[a:b])]
-                        shas.append(hashlib.sha256(b" ".join(own)).hexdigest())
-                    elif n:
-                        # what stands before a removed word goes with it; the rest stays byte for byte
-                        stop = np.r_[off[i], e[a:b]]
-                        keep = _runs(~removed[a:b]).reshape(-1, 2)
-                        out = b"".join(raw[stop[x] : stop[y]] for x, y in keep)
-                        tail = raw[stop[-1] : off[i + 1]] if len(keep) and keep[-1][1] == b - a else b""
-                        texts.append((out + tail).strip(b" \t\n\r\x0b\x0c").decode())
-                    else:
-                        texts.append(batch.column(text_at)[lo + i].as_py())
-            if digest:
-                yield pa.RecordBatch.from_arrays([batch.column(id_at), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
-            else:
-                keep = [c for i, c in enumerate(batch.columns) if i != flag_at]
-                keep[text_at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(keep, [n for i, n in enumerate(batch.schema.names) if i != flag_at])
-
-    return run
+def _cut(size: int, names: list[str], digest: bool):
+    bucket_col, id_col, text_col = names
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        marked, hashed = _verdicts(right)
+        left = left.drop_columns([bucket_col]).combine_chunks()
+        ids = left.column(id_col).to_pylist()
+        column = left.column(text_col)
+        buf, offsets = K.texts(column)
+        words, gone, shas, texts = [], [], [], []
+        for lo, hi in K.groups(offsets):
+            part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            spans = [marked.get(i, ()) for i in ids[lo:hi]]
+            hashes = [hashed.get(i) for i in ids[lo:hi]]
+            s, e, first, removed = covered_words(part, off, size, spans, hashes)
+            raw = part.tobytes()
+            for i in range(hi - lo):
+                a, b = first[i], first[i + 1]
+                n = int(removed[a:b].sum())
+                words.append(int(b - a))
+                gone.append(n)
+                if digest:
+                    own = raw[off[i] : off[i + 1]].split()
+                    if n:
+                        own = [own[k] for k in np.flatnonzero(~removed[a:b])]
+                    shas.append(hashlib.sha256(b" ".join(own)).hexdigest())
+                elif n:
+                    # what stands before a removed word goes with it; the rest stays byte for byte
+                    stop = np.r_[off[i], e[a:b]]
+                    keep = _runs(~removed[a:b]).reshape(-1, 2)
+                    out = b"".join(raw[stop[x] : stop[y]] for x, y in keep)
+                    tail = raw[stop[-1] : off[i + 1]] if len(keep) and keep[-1][1] == b - a else b""
+                    texts.append((out + tail).strip(b" \t\n\r\x0b\x0c").decode())
+                else:
+                    texts.append(column[lo + i].as_py())
+        if digest:
+            return pa.Table.from_arrays([left.column(id_col), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], [id_col, "n_words", "n_removed", "kept_sha256"])
+        return left.set_column(left.column_names.index(text_col), text_col, pa.array(texts, pa.string()))
 
-def _flagged(docs: DataFrame, size: int, id_col: str, text_col: str, cell_bits: int, flag: str) -> DataFrame:
-    """docs with a column of their verdicts (last)."""
-    spark = docs.sparkSession
-    known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chunks, windows = sketch(known, "text", size, cell_bits)
-    shared = spark.sparkContext.broadcast(chunks)
-    buckets = max(partitions(spark), -(-windows // BUCKET_WINDOWS))
-    moved = known.mapInArrow(_candidates(size, cell_bits, shared, buckets), _MOVED)
-    back = moved.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_exact(buckets), _RETURNED)
-    found = back.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "id long, spans array<binary>, hashes binary")
-    flags = found.select("id", F.struct("spans", "hashes").alias(flag))
-    return docs.join(flags.withColumnRenamed("id", flag + "id"), F.col(id_col).cast("long") == F.col(flag + "id"), "left").drop(flag + "id")
+    return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", cell_bits: int = CELL_BITS) -> DataFrame:
+def _without_repeats(docs: DataFrame, size: int, id_col: str, text_col: str, cells: int, digest: bool, schema: T.StructType) -> DataFrame:
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]
+    chunks = min(1 << 24, total // (WINDOW_BYTES * CHUNK) + 1)
+    n = partitions(docs.sparkSession)
+    buckets = max(n, total // BUCKET + 1)
+    bucket_col = fresh(docs, "__bucket")
+    names = [bucket_col, id_col, text_col]
+    key = F.col(id_col).cast("long")
+    rows = docs.withColumn(bucket_col, F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(text_col)), F.lit(buckets)).cast("int"))
+    known = docs.filter(key.isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"))
+    sent = known.mapInArrow(_ask(size, chunks, buckets), _SENT).repartition(n, "chunk").sortWithinPartitions("chunk")
+    told = sent.mapInArrow(_judge(cells, buckets), _KEYED)
+    moved = rows.groupBy(bucket_col).cogroup(told.groupBy("bucket")).applyInArrow(_candidates(size, chunks, buckets, names), _KEYED)
+    found = moved.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_exact(buckets), _KEYED)
+    return rows.groupBy(bucket_col).cogroup(found.groupBy("bucket")).applyInArrow(_cut(size, names, digest), schema)
+
+
+def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """docs with their repeated passages cut from the text; all rows and columns stay."""
-    flag = fresh(docs, "__verdicts")
     schema = T.StructType([f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema])
-    frame = _flagged(docs, size, id_col, text_col, cell_bits, flag)
-    at = docs.columns.index
-    return frame.mapInArrow(_cut(size, at(id_col), at(text_col), len(docs.columns), False), schema)
+    return _without_repeats(docs, size, id_col, text_col, cells, False, schema)
 
 
-def removal_report(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", cell_bits: int = CELL_BITS) -> DataFrame:
+def removal_report(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) a row: what remove_repeats does, as digests."""
     slim = docs.select(F.col(id_col), F.col(text_col))
-    frame = _flagged(slim, size, id_col, text_col, cell_bits, "__verdicts")
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = frame.mapInArrow(_cut(size, 0, 1, 2, True), f"id {kind}, n_words long, n_removed long, kept_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    kinds = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(*k) for k in kinds)])
+    return _without_repeats(slim, size, id_col, text_col, cells, True, schema)

@@ -8,7 +8,7 @@ from collections import Counter
 from fieldrail.llm.components import components
 from fieldrail.llm.common import Scratch
 from fieldrail.llm.minhash_dedup import bands_for, drop_near_duplicates, near_duplicates
-from fieldrail.llm.substring_dedup import remove_repeats, removal_report
+from fieldrail.llm.substring_dedup import CELLS, remove_repeats, removal_report
 
 from .conftest import prose
 
@@ -114,16 +114,16 @@ def brute_removal(rows, size):
 
 
 def test_removal_equals_brute_force(documents, corpus):
-    for size, bits in ((13, 30), (3, 22)):
+    for size, cells in ((13, CELLS), (3, 1 << 12)):
         want = Counter((i, len(w), sum(g), hashlib.sha256(" ".join(x for x, y in zip(w, g) if not y).encode()).hexdigest()) for i, w, g in brute_removal(corpus, size))
-        assert Counter(tuple(r) for r in removal_report(documents, size, cell_bits=bits).collect()) == want
+        assert Counter(tuple(r) for r in removal_report(documents, size, cells=cells).collect()) == want
         assert sum(k[2] for k in want)
 
 
 def test_a_saturated_sketch_loses_nothing(documents, corpus):
     """With almost no cells all windows go through to the exact grouping."""
     want = Counter((i, sum(g)) for i, _, g in brute_removal(corpus, 13))
-    assert Counter((r.doc_id, r.n_removed) for r in removal_report(documents, 13, cell_bits=21).collect()) == want
+    assert Counter((r.doc_id, r.n_removed) for r in removal_report(documents, 13, cells=2).collect()) == want
 
 
 def test_clean_texts_stay_byte_for_byte(documents, corpus):
