@@ -6,13 +6,15 @@ letters and digits.
 
 1. Lossless seeds: ``k`` edits leave a run of ``ceil((n - k) / (k + 1))`` item words
    untouched, so only item-sized windows around such a run are looked at.
-2. CGK: a random walk reads a window's words; at each of 3 n steps it writes the word
+2. CGK: a random walk reads a window's words (several walks its parts, if it is long); at each step it writes the word
    it stands on and moves on by a random bit of (step, word).  Windows at a small
    edit distance get embeddings at a small Hamming distance.
-3. Bit sampling: the words at a few sampled steps make a key; ``WALKS`` walks of
-   ``SAMPLES`` keys each are compared with the items' keys.  recall() measures the
-   share of simulated edits at the limit that some key finds; as many keys are used
-   as reach ``TARGET``.
+3. Bit sampling: the words at three sampled steps, near each other, make a key.  Steps come from the part of the
+   embedding where a walk still stands on the window's words, and a key that meets the
+   window's end is none, so that unrelated windows share keys by chance only.  recall()
+   simulates edits at the limit for every item; keys and walks are added until each
+   class of lengths reaches ``TARGET``.  A class that the most keys can't bring
+   there is compared with all its seeds' windows instead.
 4. Candidates are confirmed by the exact edit distance.
 
 Items are collected in blocks of at most ``BLOCK_BYTES`` of text; more items make more
@@ -37,8 +39,21 @@ from .common import fresh
 from .toxicity import PARTS
 
 BLOCK_BYTES = 4 << 20
-WALKS, SAMPLES, STEPS = 8, 32, 3
+SAMPLES, STEPS = 32, 3
+#: Steps between the sampled ones of a key, at most.
+NEAR = 12
+#: (walks, keys of each) in the order in which they are tried.
+EFFORTS = ((8, 4), (8, 8), (8, 16), (8, SAMPLES), (16, SAMPLES), (32, SAMPLES))
+NO_KEYS = len(EFFORTS)
+#: Simulated copies of each class of lengths, at least.
+TRIALS = 256
+#: but not more words of long items than this.
+TRIAL_WORDS = 200_000
+#: Words of embeddings that are held at once.
+TILE = 1 << 22
 TARGET = 0.98
+#: Words of a window that a walk reads; in longer windows walks begin at eight places.
+READ = 512
 PAD = K.U64(0x5EED)
 
 
@@ -47,6 +62,11 @@ def allowed(n: int) -> int:
     return n // 5
 
 
+def stride(n: int) -> int:
+    """Steps between the windows that are tried around a seed."""
+    return max(1, allowed(n) // 4)
+
+
 def seed_length(n: int) -> int:
     k = allowed(n)
     return math.ceil((n - k) / (k + 1))
@@ -62,7 +82,7 @@ class Items:
     keys: np.ndarray  # sorted
     owner: np.ndarray  # the item of each key
     filled: np.ndarray  # bitmap of the keys
-    used: int  # keys of each walk
+    effort: dict[int, int]  # the place in EFFORTS of each class of lengths; NO_KEYS: compared without keys
 
 
 def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,32 +91,57 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return K.span_hashes(low, s, e), first
 
 
-def _places(n: np.ndarray, used: int) -> np.ndarray:
-    """(walks, windows, keys, steps) sampled steps of windows of n words."""
-    share = (K.seeds(60, WALKS * SAMPLES * STEPS) >> K.U64(11)).astype(np.float64) / (1 << 53)
-    share = share.reshape(WALKS, 1, SAMPLES, STEPS)[:, :, :used]
-    return (share * (3 * n)[None, :, None, None]).astype(np.int64)
+def _reach(n: np.ndarray) -> np.ndarray:
+    """Steps after which a walk over n words still stands on words: it moves on in every second one or so."""
+    n = np.minimum(n, READ)
+    return np.maximum(n, (2 * n - 3 * np.sqrt(2 * n)).astype(np.int64))
+
+
+def lsh_keys(words: np.ndarray, start: np.ndarray, n: np.ndarray, stop: np.ndarray, effort: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, whether they are keys), a row a window words[start : min(start + n, stop)]."""
+    walks, used = effort
+    keys, ok = np.empty((len(start), walks, used), K.U64), np.empty((len(start), walks, used), bool)
+    by = np.argsort(n, kind="stable")
+    lo = 0
+    while lo < len(by):
+        # windows of like lengths, as many as fit; at least 16
+        size = np.searchsorted(_reach(n[by[lo:]]) * np.arange(1, len(by) - lo + 1), TILE, "right")
+        part = by[lo : lo + max(16, int(size))]
+        keys[part], ok[part] = _tile(words, start[part], n[part], stop[part], effort)
+        lo += len(part)
+    return keys.reshape(len(start), -1), ok.reshape(len(start), -1)
 
 
-def lsh_keys(words: np.ndarray, start: np.ndarray, n: np.ndarray, stop: np.ndarray, used: int) -> np.ndarray:
-    """(windows, WALKS * used) keys of the windows words[start : min(start + n, stop)]."""
+def _tile(words: np.ndarray, start: np.ndarray, n: np.ndarray, stop: np.ndarray, effort: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    walks, used = effort
     padded = np.r_[words, PAD]
-    most = int(3 * n.max())
-    factors = K.seeds(61, WALKS * most).reshape(most, WALKS).T | K.U64(1)  # a step's factor doesn't depend on most
-    places = _places(n, used)
+    reach = _reach(n)
+    most = int(reach.max())
     end = np.minimum(n, stop - start)
-    out = np.empty((len(start), WALKS, used), K.U64)
+    keys, ok = np.empty((len(start), walks, used), K.U64), np.empty((len(start), walks, used), bool)
     spice = K.seeds(62, STEPS) | K.U64(1)
-    for walk in range(WALKS):
-        at = np.zeros(len(start), np.int64)
-        embedded = np.empty((most, len(start)), K.U64)
+    share = (K.seeds(60, EFFORTS[-1][0] * SAMPLES * STEPS) >> K.U64(11)).astype(np.float64) / (1 << 53)
+    share = share.reshape(-1, 1, SAMPLES, STEPS)
+    windows = np.arange(len(start))[:, None, None]
+    # a key's steps are near each other, so that edits elsewhere don't matter to it
+    gap = np.clip(reach // 4, 1, NEAR)
+    scale = np.stack([np.maximum(1, reach - (STEPS - 1) * gap), *[gap] * (STEPS - 1)], 1)
+    embedded = np.empty((most, len(start)), K.U64)
+    for walk in range(walks):
+        factors = K.mix(K.seeds(61, most) + K.U64(walk)) | K.U64(1)
+        at, stands = np.maximum(n - READ, 0) * (walk % 8) // 8, np.zeros(len(start), np.int64)
         for step in range(most):
-            word = padded[np.where(at < end, start + at, len(words))]
+            on = at < end
+            word = padded[np.where(on, start + at, len(words))]
             embedded[step] = word
-            at += ((word * factors[walk, step]) >> K.U64(63)).astype(np.int64)
-        key = (embedded[places[walk], np.arange(len(start))[:, None, None]] * spice).sum(2, dtype=K.U64)
-        out[:, walk] = K.mix(key + n.astype(K.U64)[:, None] * K.U64(0x9E37) + K.seeds(63, WALKS * SAMPLES).reshape(WALKS, SAMPLES)[walk, :used])
-    return out.reshape(len(start), -1)
+            stands += on
+            at += ((word * factors[step]) >> K.U64(63)).astype(np.int64)
+        places = (share[walk, :, :used] * scale[:, None, :]).astype(np.int64).cumsum(2)
+        places[:, :, 1:] += np.arange(1, STEPS)
+        key = (embedded[places, windows] * spice).sum(2, dtype=K.U64)
+        keys[:, walk] = K.mix(key + n.astype(K.U64)[:, None] * K.U64(0x9E37) + K.seeds(63, EFFORTS[-1][0] * SAMPLES).reshape(-1, SAMPLES)[walk, :used])
+        ok[:, walk] = (places < stands[:, None, None]).all(2)
+    return keys, ok
 
 
 def _edited(words: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
@@ -112,18 +157,62 @@ def _edited(words: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
     return np.array(out, K.U64)
 
 
-def recall(items: list[np.ndarray], used: int, trials: int = 200) -> float:
-    """The share of simulated copies at the edit limit that some key finds at the true start."""
-    r = np.random.default_rng(5)
+def length_class(n: np.ndarray) -> np.ndarray:
+    """Eight classes an octave."""
+    return (8 * np.log2(n)).astype(np.int64)
+
+
+def _trials(items: list[np.ndarray]) -> list[int]:
+    """Each item at least once, and TRIALS of each class of lengths (fewer, but 16, of long ones)."""
+    n = np.array([len(x) for x in items])
+    kinds = length_class(n)
+    out = []
+    for kind in np.unique(kinds):
+        own = np.flatnonzero(kinds == kind)
+        out += np.resize(own, max(min(TRIALS, max(16, TRIAL_WORDS // int(n[own[0]]))), len(own))).tolist()
+    return out
+
+
+def recall(items: list[np.ndarray], effort: tuple[int, int]) -> dict[int, float]:
+    """By class of lengths: the share of simulated copies at the edit limit that some key finds.
+
+    A copy stands among foreign words, and the window that is tried is as far from its
+    begin as the windows around a seed may leave it.
+    """
+    r, found = np.random.default_rng(5), {}
+    kinds = length_class(np.array([len(x) for x in items])) if items else np.zeros(0, np.int64)
+    trials = _trials(items) if items else []
+    for lo in range(0, len(trials), 1024):
+        own = [items[t] for t in trials[lo : lo + 1024]]
+        n = np.array([len(x) for x in own])
+        both = []
+        for copied in (False, True):
+            parts, start, at = [], [], 0
+            for x in own:
+                off = stride(len(x)) // 2
+                y = _edited(x, allowed(len(x)), r) if copied else x
+                around = r.integers(1 << 63, size=(2, len(x)), dtype=np.uint64) if copied else np.zeros((2, 0), K.U64)
+                start.append(at + around.shape[1] + (int(r.integers(-off, off + 1)) if copied else 0))
+                parts += [around[0], y, around[1]]
+                at += len(y) + around.size
+            both.append((np.concatenate(parts), np.array(start)))
+        (a, i), (b, j) = both
+        (own_keys, fine), (keys, good) = lsh_keys(a, i, n, i + n, effort), lsh_keys(b, j, n, np.full(len(n), len(b)), effort)
+        hit = ((own_keys == keys) & fine & good).any(1)
+        for t, h in zip(trials[lo : lo + 1024], hit.tolist()):
+            found.setdefault(int(kinds[t]), []).append(h)
+    return {k: sum(v) / len(v) for k, v in found.items()}
+
+
+def chance(items: list[np.ndarray], effort: tuple[int, int], words: np.ndarray, trials: int = 64) -> float:
+    """The share of windows at random places of words that share a key with an item of their length."""
+    r = np.random.default_rng(6)
     own = [items[t % len(items)] for t in range(trials)]
-    sides = own, [_edited(x, allowed(len(x)), r) for x in own]
     n = np.array([len(x) for x in own])
-    keys = []
-    for side in sides:
-        size = np.array([len(x) for x in side])
-        start = np.cumsum(size) - size
-        keys.append(lsh_keys(np.concatenate(side), start, n, start + size, used))
-    return float((keys[0] == keys[1]).any(1).mean())
+    begin = np.cumsum(n) - n
+    start = r.integers(0, max(1, len(words) - int(n.max())), trials)
+    (a, fine), (b, good) = lsh_keys(np.concatenate(own), begin, n, begin + n, effort), lsh_keys(words, start, n, np.full(trials, len(words)), effort)
+    return float(((a == b) & fine & good).any(1).mean())
 
 
 def build(ids: list[int], texts: list[str]) -> Items:
@@ -137,17 +226,38 @@ def build(ids: list[int], texts: list[str]) -> Items:
         rows = [(K.gram_hashes(w, g), len(w)) for w in words if seed_length(len(w)) == g]
         table = np.unique(np.concatenate([np.stack([h, np.arange(len(h), dtype=K.U64), np.full(len(h), m, K.U64)], 1) for h, m in rows]), axis=0)
         seeds[g] = (table[:, 0], table[:, 1].astype(np.int64), table[:, 2].astype(np.int64))
-    used = SAMPLES
-    while words and used > 4 and recall(words, used // 2) >= TARGET:
-        used //= 2
-    flat, start = (np.concatenate(words), np.cumsum(n) - n) if words else (np.zeros(0, K.U64), n)
-    keys = np.concatenate([lsh_keys(flat, start[i : i + 512], n[i : i + 512], (start + n)[i : i + 512], used) for i in range(0, len(words), 512)]) if words else np.zeros((0, 1), K.U64)
-    owner = np.repeat(np.arange(len(words)), keys.shape[1])
-    order = np.argsort(keys.reshape(-1), kind="stable")
-    keys = keys.reshape(-1)[order]
+    effort = efforts(words)
+    start, flat = np.cumsum(n) - n, np.concatenate(words) if words else np.zeros(0, K.U64)
+    owner, keys = keys_of(flat, start, n, start + n, effort)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
     filled = np.zeros(1 << 22, bool)
     filled[keys >> K.U64(42)] = True
-    return Items(np.array([i for i, _ in kept], np.int64), words, seeds, keys, owner[order], filled, used)
+    return Items(np.array([i for i, _ in kept], np.int64), words, seeds, keys, owner[order], filled, effort)
+
+
+def efforts(words: list[np.ndarray]) -> dict[int, int]:
+    """The first of EFFORTS that brings each class of lengths to TARGET."""
+    out: dict[int, int] = {}
+    for k, effort in enumerate(EFFORTS):
+        left = [w for w in words if out.get(int(length_class(np.array(len(w)))), NO_KEYS) == NO_KEYS]
+        for kind, share in recall(left, effort).items():
+            out[kind] = k if share >= TARGET else NO_KEYS
+    return out
+
+
+def keys_of(words: np.ndarray, start: np.ndarray, n: np.ndarray, stop: np.ndarray, effort: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(window, key): the keys of each window; windows without sampled keys have that of their length."""
+    level = np.array([effort.get(int(k), NO_KEYS) for k in length_class(np.unique(n))], np.int64) if len(n) else n
+    level = level[np.unique(n, return_inverse=True)[1]]
+    own = np.flatnonzero(level == NO_KEYS)
+    found = [(own, K.mix(n[own].astype(K.U64) + K.U64(1 << 50)))]
+    for k, each in enumerate(EFFORTS):
+        own = np.flatnonzero(level == k)
+        if len(own):
+            keys, ok = lsh_keys(words, start[own], n[own], stop[own], each)
+            found.append((own[np.nonzero(ok)[0]], keys[ok]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def edits(item: np.ndarray, text: np.ndarray) -> int:
@@ -176,9 +286,14 @@ def _spots(words: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarr
         near, lo, count = near[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         row = K.ranges(lo, count)
         hit = np.repeat(near, count)
+        # n words have n - g + 1 seeds and an edit spoils g of them at most: a text with fewer hits can't leak the item
         k = n[row] // 5
-        width = 2 * k + 1
-        start = np.repeat(at[hit] - offset[row] - k, width) + K.ranges(np.zeros(len(row), np.int64), width)
+        _, kind, hits = np.unique(text[hit] * (1 << 32) + n[row], return_inverse=True, return_counts=True)
+        enough = hits[kind] >= n[row] - g + 1 - k * g
+        row, hit, k = row[enough], hit[enough], k[enough]
+        step = np.maximum(1, k // 4)
+        width = -(-2 * k // step) + 1
+        start = np.repeat(at[hit] - offset[row] - k, width) + K.ranges(np.zeros(len(row), np.int64), width) * np.repeat(step, width)
         where, size = np.repeat(text[hit], width), np.repeat(n[row], width)
         ok = start + size > first[where]
         found.append(np.stack([np.maximum(start, first[where]), size, where], 1)[ok])
@@ -197,9 +312,9 @@ def leaks(buf: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[int,
         pairs = []
         for a in range(0, len(start), 8192):
             part = slice(a, a + 8192)
-            keys = lsh_keys(words, start[part], n[part], stop[part], items.used)
-            w, c = np.nonzero(items.filled[keys >> K.U64(42)])
-            key = keys[w, c]
+            w, key = keys_of(words, start[part], n[part], stop[part], items.effort)
+            near = items.filled[key >> K.U64(42)]
+            w, key = w[near], key[near]
             left, right = np.searchsorted(items.keys, key), np.searchsorted(items.keys, key, "right")
             count = right - left
             owner = items.owner[K.ranges(left, count)]
