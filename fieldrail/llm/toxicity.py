@@ -109,22 +109,40 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["id", "label", "buckets", "counts"])
 
 
-def fit(buckets: np.ndarray, counts: np.ndarray, first: np.ndarray, labels: np.ndarray, dim: int = 4, steps: int = 1500, batch: int = 64, rate: float = 0.05, decay: float = 0.01, toxic_weight: float = 2.0) -> Model:
-    """Joint training; text i has buckets[first[i] : first[i + 1]] with their counts."""
+def kept_features(bags: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(used buckets, places in them, counts, first, total counts) of texts' (buckets, counts).
+
+    Buckets that fewer than LEAST_TEXTS texts have are left out; totals have them.
+    The list is emptied on the way, so that features are held once.
+    """
+    texts = np.zeros(1 << BITS, np.uint16)
+    for buckets, _ in bags:
+        texts[np.frombuffer(buckets, np.uint32)] += 1
+    used = np.flatnonzero(texts >= LEAST_TEXTS)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    places, counts, total = [], [], np.zeros(len(bags), np.int64)
+    for i in range(len(bags)):
+        own, n = (np.frombuffer(x, k) for x, k in zip(bags[i], (np.uint32, np.uint8)))
+        bags[i] = (b"", b"")
+        at = place[own]
+        places.append(at[at >= 0])
+        counts.append(n[at >= 0])
+        total[i] = int(n.sum(dtype=np.int64))
+    first = np.cumsum([0, *map(len, places)])
+    nothing = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+    return used, np.concatenate([nothing[0], *places]), np.concatenate([nothing[1], *counts]), first, total
+
+
+def fit(bags: list[tuple[bytes, bytes]], labels: np.ndarray, dim: int = 4, steps: int = 1500, batch: int = 64, rate: float = 0.05, decay: float = 0.01, toxic_weight: float = 2.0) -> Model:
+    """Joint training; each text has its (buckets, counts)."""
     weight = np.zeros(1 << BITS, np.float32)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return Model(weight, np.inf if share else -np.inf)
-    texts = np.bincount(buckets, minlength=1 << BITS)
-    used = np.flatnonzero(texts >= LEAST_TEXTS)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    total = np.add.reduceat(np.r_[counts, np.uint8(0)], np.minimum(first[:-1], len(counts)), dtype=np.int64) * (np.diff(first) > 0)
-    own = np.concatenate([[0], np.cumsum(place[buckets] >= 0)])
-    keep = place[buckets] >= 0
-    buckets, counts, first = place[buckets[keep]], counts[keep], own[first]
+    used, buckets, counts, first, total = kept_features(bags)
     r = np.random.default_rng(11)
-    table = r.normal(0, 0.05, (len(used), dim)).astype(np.float32)
+    table = np.float32(0.05) * r.standard_normal((len(used), dim), np.float32)
     soft = r.normal(0, 0.3, (dim, 2)).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (table, soft, bias)]
@@ -139,14 +157,7 @@ def fit(buckets: np.ndarray, counts: np.ndarray, first: np.ndarray, labels: np.n
         index = buckets[at]
         x = counts[at] / np.repeat(PRIOR + total[mine], size).astype(np.float32)
         row = np.repeat(np.arange(len(mine)), size)
-        mean = np.stack([np.bincount(row, x * table[index, k], len(mine)) for k in range(dim)], 1).astype(np.float32)
-        logit = mean @ soft + bias
-        p = np.exp(logit - logit.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(mine)), labels[mine]] -= 1
-        p *= np.where(labels[mine] == 1, toxic_weight, 1.0)[:, None] / len(mine)
-        own = np.bincount(index, x * p[row, 1], len(used)).astype(np.float32)
-        grads = (own[:, None] * (soft[:, 1] - soft[:, 0]), mean.T @ p, p.sum(0))
+        grads = gradients(table, soft, bias, index, x, row, labels[mine], toxic_weight)
         for k, (value, grad) in enumerate(zip((table, soft, bias), grads)):
             m, v = state[k]
             m += 0.1 * (grad - m)
@@ -158,6 +169,19 @@ def fit(buckets: np.ndarray, counts: np.ndarray, first: np.ndarray, labels: np.n
     return Model(weight, float(bias[1] - bias[0]))
 
 
+def gradients(table: np.ndarray, soft: np.ndarray, bias: np.ndarray, index: np.ndarray, x: np.ndarray, row: np.ndarray, labels: np.ndarray, toxic_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean weighted cross entropy; text row[i] has x[i] of the embedding table[index[i]]."""
+    mean = np.stack([np.bincount(row, x * table[index, k], len(labels)) for k in range(table.shape[1])], 1).astype(table.dtype)
+    logit = mean @ soft + bias
+    p = np.exp(logit - logit.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(labels)), labels] -= 1
+    p *= np.where(labels == 1, toxic_weight, 1.0)[:, None] / len(labels)
+    # the two classes' errors are opposite, so a bucket's gradient is one number along the softmax's difference
+    own = np.bincount(index, x * p[row, 1], len(table)).astype(table.dtype)
+    return own[:, None] * (soft[:, 1] - soft[:, 0]), mean.T @ p, p.sum(0)
+
+
 def held_out(id_col: str) -> F.Column:
     """Every fifth id by crc32 of its text; never learned from."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
@@ -195,11 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = slim.join(F.broadcast(few), "id").select("id", "label", "text").mapInArrow(_features, "id long, label int, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (r.id, r.buckets))
     labels = np.array([r.label for r in rows], np.int64)
-    first = np.cumsum([0, *(len(r.counts) for r in rows)])
-    buckets = np.frombuffer(b"".join(r.buckets for r in rows), np.uint32)
-    counts = np.frombuffer(b"".join(r.counts for r in rows), np.uint8)
+    bags = [(r.buckets, r.counts) for r in rows]
     del rows
-    return fit(buckets, counts, first, labels)
+    return fit(bags, labels)
 
 
 def scores(buf: np.ndarray, offsets: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:

@@ -53,6 +53,47 @@ def test_unseen_misspellings_share_ngrams(spark):
     assert s[1] > 0.5 > s[2] and s[0] < 0.5
 
 
+def test_gradients_equal_differences():
+    """Against plain differences of the loss, one parameter at a time."""
+    r = np.random.default_rng(4)
+    table, soft, bias = r.normal(size=(7, 3)), r.normal(size=(3, 2)), r.normal(size=2)
+    index, row, labels = r.integers(0, 7, 20), np.sort(r.integers(0, 4, 20)), np.array([0, 1, 1, 0])
+    x = r.random(20)
+
+    def loss():
+        mean = np.zeros((4, 3))
+        for i, t, v in zip(index, row, x):
+            mean[t] += v * table[i]
+        logit = mean @ soft + bias
+        cost = [-(z[y] - np.log(np.exp(z).sum())) * (2.0 if y else 1.0) for z, y in zip(logit, labels)]
+        return sum(cost) / 4
+
+    found = X.gradients(table, soft, bias, index, x, row, labels, 2.0)
+    for value, grad in zip((table, soft, bias), found):
+        for at in np.ndindex(value.shape):
+            kept, sides = value[at], []
+            for step in (1e-6, -1e-6):
+                value[at] = kept + step
+                sides.append(loss())
+            value[at] = kept
+            assert abs((sides[0] - sides[1]) / 2e-6 - grad[at]) < 1e-6
+
+
+def test_features_of_few_texts_are_left_out_but_counted():
+    bag = lambda *b: (np.array(b, np.uint32).tobytes(), np.full(len(b), 2, np.uint8).tobytes())
+    used, places, counts, first, total = X.kept_features([bag(3, 9), bag(3), bag(3, 5), bag()])
+    assert used.tolist() == [3] and places.tolist() == [0, 0, 0] and counts.tolist() == [2, 2, 2]
+    assert first.tolist() == [0, 1, 2, 3, 3] and total.tolist() == [4, 2, 4, 0]
+
+
+def test_repeated_ids_and_long_texts_are_scored(spark):
+    rows = labelled(200)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1, rows[0][1]), (900, "word " * 200_000)], "doc_id long, text string")
+    got = X.toxicity_report(docs, spark.createDataFrame([(i, y) for i, _, y in rows] + [(4, 0), (4, 1)], "doc_id long, toxic int")).collect()
+    assert len(got) == 202 and sum(r.doc_id == 1 for r in got) == 2
+    assert len({r.score for r in got if r.doc_id in (0, 1)}) == 2
+
+
 def test_held_out_labels_are_never_read(spark):
     rows = labelled(300)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -141,10 +182,44 @@ def test_items_in_several_blocks(spark, monkeypatch, nothing):
     assert D.leaked(table, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_recall_at_the_edit_limit():
+def test_recall_at_the_edit_limit_and_chance_matches():
     r = random.Random(1)
-    items = D.build(list(range(40)), [prose(r, r.randint(14, 59)) for _ in range(40)])
-    assert D.recall(items.words, items.used) >= D.TARGET
+    items = D.build(list(range(60)), [prose(r, n) for n in (*range(3, 60), 90, 200, 400)])
+    assert len(items.effort) > 20 and max(items.effort.values()) < D.NO_KEYS
+    for kind, k in items.effort.items():
+        assert D.recall([w for w in items.words if D.length_class(np.array(len(w))) == kind], D.EFFORTS[k])[kind] >= D.TARGET - 0.03
+    assert D.recall([], D.EFFORTS[0]) == {}
+    other, _ = D.words_of(*K.texts(pa.array([prose(r, 5000)])))
+    for w in items.words:
+        if len(w) >= 20:
+            assert D.chance([w], D.EFFORTS[items.effort[int(D.length_class(np.array(len(w))))]], other) <= 0.15
+
+
+def test_long_items_are_found():
+    r = random.Random(3)
+    item = prose(r, 20_000)
+    copy = item.split()
+    for _ in range(300):
+        copy[r.randrange(len(copy))] = f"s{r.random()}"
+    copy[2000:2050] = ["cut"]
+    copy[:300] = ["lost"] * 200
+    texts = [prose(r, 3000) + " " + " ".join(copy) + " " + prose(r, 2000), prose(r, 25_000)]
+    items = D.build([5], [item])
+    found = D.leaks(*K.texts(pa.array(texts)), items)
+    assert [(t, i) for t, i, _ in found] == [(0, 0)] and 0 < found[0][2] <= D.allowed(20_000)
+
+
+def test_lengths_that_keys_cannot_reach_are_compared_without(monkeypatch):
+    monkeypatch.setattr(D, "TARGET", 1.1)
+    r = random.Random(7)
+    text = prose(r, 30)
+    items = D.build([1], [text])
+    assert list(items.effort.values()) == [D.NO_KEYS]
+    w = text.split()
+    w[5:6] = []
+    w[20] = "other"
+    docs = [prose(r, 20) + " " + " ".join(w), prose(r, 60)]
+    assert [(t, d) for t, _, d in D.leaks(*K.texts(pa.array(docs)), items)] == [(0, 2)]
 
 
 def test_a_seed_of_the_promised_length_survives():
