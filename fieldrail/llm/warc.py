@@ -28,12 +28,15 @@ from pyspark.sql import types as T
 #: Headers of a response that describe its capture and go on to what is derived from it.
 CARRIED = ("WARC-Date", "WARC-Target-URI", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Payload-Digest", "WARC-Identified-Payload-Type", "WARC-Truncated")
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<!doctype[^>]*>", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I | re.S)
+#: Elements whose text isn't shown.
+_HIDDEN = ("script", "style", "noscript", "template")
+#: Elements that stand on lines of their own.
+_BLOCKS = frozenset("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)(?![\w-])")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in _HIDDEN}
+_HREF = re.compile(r"\bhref\s*=\s*([\"'])", re.I)
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
-_LINES = re.compile(r"\s*\n\s*")
 
 
 def digest(data: bytes) -> str:
@@ -90,11 +93,74 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return status, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, body
 
 
+def scan(page: str) -> tuple[list[str], list[str]]:
+    """(pieces of text with a line feed for each tag of a block, links) of a page, in one walk.
+
+    A tag is ``<`` with a letter or one of ``/!?`` up to the next ``>``; other ``<`` are text.  Comments and hidden elements without an end are tags like others.  What was looked for
+    in vain isn't looked for again, so that work grows with the page's length.
+    """
+    pieces: list[str] = []
+    links: list[str] = []
+    gone: set[str] = set()  # ends that don't come any more
+
+    def find(what: str, begin: int) -> int:
+        if what in gone:
+            return -1
+        if what in _CLOSE:
+            found = _CLOSE[what].search(page, begin)
+            at = found.end() if found else -1
+        else:
+            at = page.find(what, begin)
+            at += len(what) if at >= 0 else 0
+        if at < 0:
+            gone.add(what)
+        return at
+
+    at = 0
+    while True:
+        found = _OPEN.search(page, at)
+        if not found:
+            break
+        tag = found.start()
+        pieces.append(page[at:tag])
+        if page.startswith("<!--", tag) and (end := find("-->", tag + 4)) > 0:
+            pieces.append(" ")
+            at = end
+            continue
+        end = find(">", tag + 1)
+        if end < 0:
+            at = tag
+            break
+        name = _NAME.match(page, tag + 1, end)
+        kind = name[1].lower() if name else ""
+        opens = page[tag + 1] != "/"
+        if opens and kind in _CLOSE and (past := find(kind, end)) > 0:
+            pieces.append(" ")
+            at = past
+            continue
+        if opens and kind == "a" and (href := _HREF.search(page, tag + 2, end)):
+            stop = find(href[1], href.end())
+            if stop > 0:
+                links.append(page[href.end() : stop - 1])
+                end = max(end, find(">", stop) if stop > end else end)
+        elif kind in _BLOCKS:
+            pieces.append("\n")
+        elif page[tag + 1 : tag + 9].lower() == "!doctype":
+            pieces.append(" ")
+        at = end
+    pieces.append(page[at:])
+    return pieces, links
+
+
+def lines_of(pieces: list[str]) -> str:
+    """Text with its entities read, blanks squeezed and empty lines left out."""
+    text = _BLANKS.sub(" ", html.unescape("".join(pieces)))
+    return "\n".join(x for line in text.split("\n") if (x := line.strip()))
+
+
 def plain_text(page: str) -> str:
     """What a page shows: no scripts, styles, comments; blocks on lines of their own."""
-    text = _BLOCK.sub("\n", _HIDDEN.sub(" ", page))
-    text = html.unescape(_TAG.sub("", text))
-    return _LINES.sub("\n", _BLANKS.sub(" ", text)).strip()
+    return lines_of(scan(page)[0])
 
 
 def response_record(url: str, page: str, date: str, key: str) -> bytes:
@@ -119,8 +185,9 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[str, str, bytes]
     carried = [(n, v) for n in CARRIED if (v := header(headers, n))]
     if not header(headers, "WARC-Payload-Digest"):
         carried.append(("WARC-Payload-Digest", digest(body)))
-    text = plain_text(page) if "html" in kind or not kind else page
-    links = list(dict.fromkeys(html.unescape(a or b) for a, b in _LINK.findall(_HIDDEN.sub(" ", page))))
+    pieces, found = scan(page)
+    text = lines_of(pieces) if "html" in kind or not kind else page
+    links = list(dict.fromkeys(map(html.unescape, found)))
     facts = [("http-status", status), ("http-content-type", kind), ("source-block-digest", header(headers, "WARC-Block-Digest") or digest(block)), ("text-digest", digest(text.encode())), *(("outlink", x) for x in links)]
     fields = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in facts).encode()
     out = []

@@ -101,6 +101,70 @@ def test_packet_table(spark):
 PAGE = "<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t='</p>';</script></head><body><!-- no --><p>One<br>two   three</p><a href=\"/l?a=1&amp;b\">link</a> <A HREF='q'>z</A><div>é</div></body></html>"
 
 
+def by_patterns(page):
+    """Text and links by regular expressions, which are slow on long pages of open tags."""
+    import html
+    import re
+
+    links = []
+    kinds = (r"<!--.*?-->", r"<(script|style|noscript|template)(?![\w-])[^>]*>.*?</\1\s*>", r"<a(?![\w-])[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^>]*>", r"<(?=[a-zA-Z/!?])(/?[a-zA-Z0-9]*)(?![\w-])[^>]*>", r"<(?=[a-zA-Z/!?])[^>]*>")
+
+    def instead(m):
+        if m[0].startswith("<!") or m[1]:
+            return " "
+        if m[2] is not None or m[3] is not None:
+            links.append(html.unescape(m[2] or m[3] or ""))
+        return "\n" if (m[4] or "").lower().lstrip("/") in W._BLOCKS else ""
+
+    text = html.unescape(re.sub("|".join(kinds), instead, page, flags=re.S | re.I))
+    return re.sub(r"\s*\n\s*", "\n", re.sub(r"[ \t\r\f\v]+", " ", text)).strip(), links
+
+
+def test_scan_equals_the_patterns():
+    import html
+
+    r = random.Random(5)
+    parts = ["<p>", "</p>", "<div class='x'>", "a b", " & ", "&lt;", "<script>x<y</script >", "<STYLE>p{}</style>", "<!-- c > -->", "<!DOCTYPE html>", "<a href=\"u?a=1&amp;b\">", "<A title=x HREF = 'v'>", "</a>", "<a name='n'>", "<br/>", "< ", " > ", "\n\n ", "\u3000", "<b>", "</b>", "<pre", "x>", "é", "<template>t</template>", "<script>", "<noscript>"]
+    for _ in range(3000):
+        page = "".join(r.choice(parts) for _ in range(r.randrange(14)))
+        text, links = by_patterns(page)
+        assert (W.plain_text(page), list(map(html.unescape, W.scan(page)[1]))) == (text, links), page
+
+
+def test_long_pages_of_open_tags_take_linear_time():
+    import time
+
+    for part in ("<script", "<script>", "<!--", "<p ", "<a href=\"", "<a href='x", "</script ", "\u3000", "< ", "<template><a "):
+        page = part * (1_000_000 // len(part))
+        begin = time.perf_counter()
+        W.plain_text(page)
+        assert time.perf_counter() - begin < 5, part
+
+
+def test_derivatives_equal_plain_python(spark):
+    """Each row's records, by the rules of the format alone; repeated rows and a long page too."""
+    import base64
+
+    rows = [(1, "http://a/", PAGE), (1, "http://a/", PAGE), (2, None, None), (3, "http://b/", "<p>" * 100_000 + "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, bytes(r.record)) for r in W.derivatives(W.responses(pages)).collect())
+    want = []
+    for k, url, page in rows:
+        body = (page or "").encode()
+        text, links = by_patterns(page or "")
+        sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+        for kind in ("conversion", "metadata"):
+            own = [x for x in got if x[:2] == (k, kind)][0][2]
+            head, _, rest = own.partition(b"\r\n\r\n")
+            block = rest[:-4]
+            assert rest.endswith(b"\r\n\r\n") and f"Content-Length: {len(block)}".encode() in head and sha(block).encode() in head
+            assert f"WARC-Target-URI: {url or ''}".encode() in head or not url
+            assert f"WARC-Payload-Digest: {sha(body)}".encode() in head and b"WARC-Refers-To: " + W.record_id("response", url or "", str(k)).encode() in head
+            assert block == text.encode() if kind == "conversion" else [x[9:] for x in block.decode().split("\r\n") if x.startswith("outlink: ")] == list(dict.fromkeys(links))
+            want.append((k, kind, own))
+    assert got == sorted(want)
+
+
 def test_plain_text():
     assert W.plain_text(PAGE) == "T & x\nOne\ntwo three\nlink z\né"
     assert W.plain_text("") == "" and W.plain_text("a < b") == "a < b"
