@@ -8,10 +8,10 @@
    pivot, its smallest member; full sets are compared with the pivot's, which links
    most members and keeps each set's difference from the pivot's.
 4. Members that aren't linked with their pivot are compared with the other members of
-   all groups of that pivot, in pairs of blocks of ``BLOCK`` members: the number of
-   lanes in which the planes differ, corrected for the chance that two low bits agree
-   by accident, drops unlike pairs (six deviations of slack), and the rest is confirmed on the
-   full sets, by way of their differences from the pivot's.  A task gives out only links that
+   all groups of that pivot, in pairs of blocks of ``BLOCK`` members and ``BLOCK_BYTES``.
+   Every pair, with a pivot or not, is first estimated from the number of lanes in which the planes
+   differ, corrected for the chance that two low bits agree by accident; what is unlike beyond
+   six deviations is no link, and the rest is confirmed on the full sets, by way of their differences from the pivot's.  A task gives out only links that
    join components, never the pairs.
 5. Components by label propagation, all as tables.
 
@@ -38,14 +38,19 @@ from .common import Scratch, fresh, partitions
 from .components import components
 
 PER_BAND = 4
-LANES = 128  # two 64-bit words a plane
-BLOCK = 2048
+#: Members of a block, and bytes of their differences from the pivot, at most (or one member).
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 MISS = 1e-6
+#: More bands than this aren't made: similarities under a third or so.
+MOST_BANDS = 2048
 
 
 def bands_for(threshold: float) -> int:
     """As many bands of four as miss a pair at the threshold with a probability under MISS."""
-    return min(LANES // PER_BAND, math.ceil(math.log(MISS) / math.log(1 - threshold**PER_BAND)))
+    bands = math.ceil(math.log(MISS) / math.log(1 - threshold**PER_BAND)) if 0 < threshold < 1 else 1
+    if threshold <= 0 or bands > MOST_BANDS:
+        raise ValueError(f"a similarity of {threshold} takes more than {MOST_BANDS} bands")
+    return bands
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -82,7 +87,7 @@ _SIGNED = "id long, n_shingles long, d1 long, d2 long, planes array<long>, bands
 def _sign(size: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = bands * PER_BAND
-        lane = np.arange(n)
+        lane, words = np.arange(n), -(-n // 64)
         names = ["id", "n_shingles", "d1", "d2", "planes", "bands"]
         for batch in batches:
             buf, offsets = K.texts(batch.column(1))
@@ -91,7 +96,7 @@ def _sign(size: int, bands: int):
                 count = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(count)
                 digest = np.zeros((2, hi - lo), K.U64)
-                planes = np.zeros((hi - lo, 4), K.U64)
+                planes = np.zeros((hi - lo, 2 * words), K.U64)
                 keys = np.zeros((hi - lo, bands), np.int64)
                 if len(full):
                     flat = np.concatenate(sets)
@@ -101,9 +106,8 @@ def _sign(size: int, bands: int):
                     low = _minima([sets[i] for i in full], n)
                     for plane in (0, 1):
                         bit = ((K.mix(low) >> K.U64(plane)) & K.U64(1)) << (lane % 64).astype(K.U64)
-                        for half in (0, 1):
-                            if n > 64 * half:
-                                planes[full, 2 * plane + half] = np.bitwise_or.reduce(bit[:, 64 * half : 64 * (half + 1)], 1)
+                        for word in range(words):
+                            planes[full, words * plane + word] = np.bitwise_or.reduce(bit[:, 64 * word : 64 * (word + 1)], 1)
                     odd = K.seeds(9, PER_BAND) | K.U64(1)
                     key = (low.reshape(len(full), bands, PER_BAND) * odd).sum(2, dtype=K.U64)
                     keys[full] = K.mix(key + np.arange(bands, dtype=K.U64) * K.U64(0x9E3779B97F4A7C15)).view(np.int64)
@@ -115,14 +119,25 @@ def _sign(size: int, bands: int):
     return run
 
 
-def most_differing(threshold: float, lanes: int) -> int:
-    """Lanes that a pair at the threshold may differ in: the mean and six deviations.
+_BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+
+
+def estimate(planes: np.ndarray, other: np.ndarray, lanes: int) -> np.ndarray:
+    """Similarity of signatures, a row each, by the number of lanes whose two bits differ.
 
     Low bits of different minima agree by chance in a quarter of the lanes, so lanes
-    differ with probability (1 - s) * 3 / 4, and 1 - 4 / 3 * share estimates s.
+    differ with probability (1 - s) * 3 / 4.
     """
+    x = planes.view(K.U64) ^ other.view(K.U64)
+    half = x.shape[1] // 2
+    differ = _BITS[np.ascontiguousarray(x[:, :half] | x[:, half:]).view(np.uint16)].sum(1)
+    return 1 - differ / lanes * 4 / 3
+
+
+def least_estimate(threshold: float, lanes: int) -> float:
+    """What a pair at the threshold is estimated at, less six deviations."""
     p = (1 - threshold) * 0.75
-    return math.ceil(lanes * p + 6 * math.sqrt(lanes * p * (1 - p)))
+    return threshold - 8 * math.sqrt(p * (1 - p) / lanes) - 1e-9
 
 
 def _sets(size: int):
@@ -139,13 +154,16 @@ def _sets(size: int):
 _STARS = "pivot long, rep long, planes array<long>, base int, missing binary, added binary, linked boolean"
 
 
-def _star(percent: int):
+def _star(percent: int, lanes: int):
     """How each member's set differs from its pivot's, and whether the two are linked."""
+    least = least_estimate(percent / 100, lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, missing, added, linked = [], [], [], []
-            for p, x in zip(batch.column(3), batch.column(4)):
+            both = [np.stack([np.array(x, np.int64) for x in batch.column(k).to_pylist()]) for k in (2, 3)] if len(batch) else None
+            like = estimate(*both, lanes) >= least if both else []
+            for close, p, x in zip(like, batch.column(4), batch.column(5)):
                 p, x = np.frombuffer(p.as_py(), K.U64), np.frombuffer(x.as_py(), K.U64)
                 at = np.minimum(np.searchsorted(p, x), max(len(p) - 1, 0))
                 both = p[at] == x if len(p) else np.zeros(len(x), bool)
@@ -155,17 +173,16 @@ def _star(percent: int):
                 base.append(len(p))
                 missing.append(p[lost].tobytes())
                 added.append(x[~both].tobytes())
-                linked.append(100 * n >= percent * (len(p) + len(x) - n))
+                linked.append(bool(close) and 100 * n >= percent * (len(p) + len(x) - n))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base, pa.int32()), pa.array(missing, pa.binary()), pa.array(added, pa.binary()), pa.array(linked, pa.bool_())], ["pivot", "rep", "planes", "base", "missing", "added", "linked"])
 
     return run
 
 
-_BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 _ADDED = K.U64(0xA5A5A5A5A5A5A5A5)
 
 
-def _links_between(rows: list[dict], percent: int, most: int) -> list[tuple[int, int]]:
+def _links_between(rows: list[dict], percent: int, lanes: int) -> list[tuple[int, int]]:
     """Links of the outliers (side 0) with the members (side 1) that join components.
 
     With I the pivot's set, |x & m| = |I| - |I - x| - |I - m| + (what both lack of I and
@@ -185,6 +202,7 @@ def _links_between(rows: list[dict], percent: int, most: int) -> list[tuple[int,
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     planes = np.array([r["planes"] for r in member], np.int64)
+    least = least_estimate(percent / 100, lanes)
     ids = np.array([r["rep"] for r in member])
     hub = -1  # stands for the pivot; members have their positions
     root = {hub: hub}
@@ -202,9 +220,7 @@ def _links_between(rows: list[dict], percent: int, most: int) -> list[tuple[int,
     out = []
     for n, r in enumerate(outer):
         me = place.get(r["rep"], len(member) + n)
-        x = planes ^ np.array(r["planes"], np.int64)
-        near = _BITS[np.ascontiguousarray(x[:, :2] | x[:, 2:]).view(np.uint16)].sum(1) <= most
-        near &= ids != r["rep"]
+        near = (estimate(planes, np.array(r["planes"], np.int64), lanes) >= least) & (ids != r["rep"])
         if not near.any():
             continue
         own_lack, own_add = np.frombuffer(r["missing"], K.U64), np.frombuffer(r["added"], K.U64)
@@ -221,14 +237,14 @@ def _links_between(rows: list[dict], percent: int, most: int) -> list[tuple[int,
     return out
 
 
-def _apart(percent: int, most: int):
+def _apart(percent: int, lanes: int):
     """Rows come sorted by (pivot, i, j): one pair of blocks is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def links() -> Iterator[pa.RecordBatch]:
-            found = _links_between(held, percent, most)
+            found = _links_between(held, percent, lanes)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
@@ -248,7 +264,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     scratch = Scratch(spark)
     bands = bands_for(percent / 100)
-    most = most_differing(percent / 100, bands * PER_BAND)
+    lanes = bands * PER_BAND
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.put("signed", slim.mapInArrow(_sign(size, bands), _SIGNED))
     full = signed.filter("n_shingles > 0 and id is not null")
@@ -260,16 +276,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     ids = live.select("rep").distinct().join(classes.select("rep", "planes"), "rep")
     chosen = slim.join(ids, slim.id == ids.rep).select("rep", "text", "planes")
     sets = scratch.put("sets", chosen.mapInArrow(_sets(size), "rep long, planes array<long>, grams binary"))
-    both = stars.join(sets, "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("grams").alias("base")), "pivot")
-    star = scratch.put("stars", both.select("pivot", "rep", "planes", "base", "grams").mapInArrow(_star(percent), _STARS))
+    both = stars.join(sets, "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("planes").alias("base_planes"), F.col("grams").alias("base")), "pivot")
+    star = scratch.put("stars", both.select("pivot", "rep", "planes", "base_planes", "base", "grams").mapInArrow(_star(percent, lanes), _STARS))
     # groups in which some member isn't linked with the pivot: those outliers against all members, in blocks
-    group = star.groupBy("pivot").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("m")).filter("m > 0 and n > 1")
-    group = group.select("pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ni"))
+    size = (F.octet_length("missing") + F.octet_length("added")).cast("long")
+    apart = ~F.col("linked")
+    group = star.groupBy("pivot").agg(F.count("*").alias("n"), F.count_if(apart).alias("m"), F.sum(size).alias("nb"), F.sum(F.when(apart, size)).alias("mb")).filter("m > 0 and n > 1")
+
+    def blocks(rows: str, held: str) -> F.Column:
+        return F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(held) / BLOCK_BYTES)).cast("int")
+
+    group = group.select("pivot", blocks("n", "nb").alias("nj"), blocks("m", "mb").alias("ni"))
     dealt = star.join(group, "pivot").withColumn("h", F.xxhash64("rep"))
     member = dealt.select("pivot", "rep", "planes", "base", "missing", "added", "linked", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod("h", "nj").cast("int").alias("j"))
     outer = dealt.filter("not linked").select("pivot", "rep", "planes", "base", "missing", "added", "linked", F.lit(0).alias("side"), F.pmod("h", "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
     rows = member.union(outer).repartition(partitions(spark), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    links = scratch.put("links", rows.mapInArrow(_apart(percent, most), "a long, b long"))
+    links = scratch.put("links", rows.mapInArrow(_apart(percent, lanes), "a long, b long"))
     # rows of one id with several texts join the classes of these texts
     text_class = F.struct("n_shingles", "d1", "d2")
     mixed = signed.filter("id is not null").groupBy("id").agg(F.min(text_class).alias("lo"), F.max(text_class).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("id")

@@ -5,9 +5,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from fieldrail.llm.components import components
 from fieldrail.llm.common import Scratch
-from fieldrail.llm.minhash_dedup import bands_for, drop_near_duplicates, near_duplicates
+from fieldrail.llm.minhash_dedup import bands_for, drop_near_duplicates, estimate, least_estimate, near_duplicates
 from fieldrail.llm.substring_dedup import CELLS, remove_repeats, removal_report
 
 from .conftest import prose
@@ -86,8 +89,45 @@ def test_report_and_drop_agree_on_ids_with_several_texts(spark):
 
 
 def test_bands_reach_the_recall():
-    for threshold in (0.8, 0.85, 0.9):
+    for threshold in (0.5, 0.6, 0.7, 0.8, 0.85, 0.9):
         assert (1 - threshold**4) ** bands_for(threshold) <= 1e-6
+    assert bands_for(1.0) == 1
+    for threshold in (0.0, 0.1):
+        with pytest.raises(ValueError):
+            bands_for(threshold)
+
+
+def test_low_thresholds_equal_brute_force(spark):
+    r = random.Random(31)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(24):
+        words = list(base)
+        for _ in range(k):
+            words[r.randrange(60)] = f"v{r.random()}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(docs, 3, 50).collect()}
+    assert got == brute_components(rows, 3, 50)
+
+
+def test_estimates_are_near_the_similarity():
+    r = np.random.default_rng(3)
+    for s in (0.5, 0.8, 0.95):
+        lanes = 1024
+        same = r.random((50, lanes)) < s
+        bits = [r.integers(0, 2, (50, lanes), dtype=np.uint8) for _ in range(4)]
+        other = [np.where(same, bits[0], bits[2]), np.where(same, bits[1], bits[3])]
+        pack = lambda two: np.concatenate([np.packbits(x, 1) for x in two], 1).view(np.uint64).view(np.int64)
+        found = estimate(pack(bits[:2]), pack(other), lanes)
+        assert abs(found.mean() - s) < 0.02 and (found >= least_estimate(s, lanes)).all()
+
+
+def test_members_go_in_blocks_by_bytes(spark, monkeypatch, documents, corpus):
+    monkeypatch.setattr("fieldrail.llm.minhash_dedup.BLOCK_BYTES", 2000)
+    monkeypatch.setattr("fieldrail.llm.minhash_dedup.BLOCK", 3)
+    got = near_duplicates(documents, 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == brute_components(corpus, 3, 85)
 
 
 def test_components_of_a_long_chain(spark):
