@@ -280,26 +280,40 @@ def _payload(text: bytes) -> bytes:
     return text + bytes(-len(text) % FRAME or (0 if text else FRAME))
 
 
-def media_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored as a file, read back, and described by what was read."""
+def media_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, media): each text as a file."""
     slim = docs.select(F.col(id_col), F.col(text_col))
-    kinds = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType()}
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, k) for n, k in kinds.items())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = K.texts(batch.column(1))
+            for lo, hi in K.groups(offsets, 4 << 20):
+                edge = offsets[lo : hi + 1].tolist()
+                made = [mux(_payload(buf[a:b].tobytes())) for a, b in zip(edge[:-1], edge[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(made, pa.binary())], schema.names)
+
+    return slim.mapInArrow(run, schema)
+
+
+def media_report(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Each file read and described by what was read."""
+    kinds = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType()}
+    schema = T.StructType([T.StructField(id_col, files.schema[id_col].dataType), *(T.StructField(n, k) for n, k in kinds.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                stored = mux(_payload(buf[a:b].tobytes()))
+            for data in batch.column(2):
+                stored = data.as_py()
                 media = demux(stored)
                 back = samples(stored, media)
-                rows.append((b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(media, back)))
-            columns = zip(*rows) if rows else ([] for _ in kinds)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], schema.names)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(media, back)))
+            columns = zip(*rows) if rows else ([] for _ in range(6))
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(columns, types))], schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return files.select(id_col, "n_bytes", "media").mapInArrow(run, schema)
 
 
 def packet_table(files: DataFrame, data_col: str = "content", id_col: str = "path") -> DataFrame:

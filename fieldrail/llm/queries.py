@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read
 from .decontaminate import leaked
-from .matroska import media_report
+from .matroska import media_files, media_report
 from .minhash_dedup import near_duplicates
 from .sentencepiece_codec import encode
 from .substring_dedup import removal_report
@@ -30,44 +30,55 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by the model, each checked against the sentencepiece library and decoded again."""
     return encode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False, parity=True)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that leak into them, and the least word edits found."""
     return leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written to bit-plane files in the order of doc_id, and what the files hold."""
     files = write_ids(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), Scratch(spark), end_id=1)
     return read_report(files)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by overlapping chunks."""
     return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages' responses, as digests."""
     made = derivatives(responses(read(spark, sf_dir, "pages")))
     return made.withColumn("record_bytes", F.octet_length("record").cast("long")).withColumn("record_sha256", F.sha2("record", 256)).drop("record")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     return judge(read(spark, sf_dir, "pages"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies: three-word shingles, 85 of 100."""
     return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without windows of 13 words that an earlier document has."""
     return removal_report(read(spark, sf_dir, "documents"), size=13)
 
 
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_report(read(spark, sf_dir, "documents"))
+    """Every text written as a Matroska file to a table, read back from there and described."""
+    files = Scratch(spark).put("media", media_files(read(spark, sf_dir, "documents")))
+    return media_report(files)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labels that aren't held out."""
     return toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 

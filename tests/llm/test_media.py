@@ -80,7 +80,7 @@ def test_vints_of_every_size():
 
 
 def test_media_query(documents, corpus, nothing):
-    got = {r.doc_id: r for r in M.media_report(documents).collect() if r.doc_id is not None}
+    got = {r.doc_id: r for r in M.media_report(M.media_files(documents)).collect() if r.doc_id is not None}
     for i, t in corpus:
         if i is None:
             continue
@@ -89,7 +89,7 @@ def test_media_query(documents, corpus, nothing):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[0].media_sha256 == got[200 if corpus[0][1] == dict(corpus).get(200) else 0].media_sha256 and got[401].feature == got[400].feature
-    assert M.media_report(nothing).count() == 0
+    assert M.media_report(M.media_files(nothing)).count() == 0
 
 
 def test_packet_table(spark):
