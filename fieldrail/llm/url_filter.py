@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-LONGEST = 24
+#: A label of a host has 63 bytes at most, so no longer word can be part of one.
+LONGEST = 63
 #: host and path of the rules, and their verdicts
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
