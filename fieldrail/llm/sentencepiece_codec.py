@@ -133,11 +133,13 @@ def _core(m: Model):
 
 
 def rebuild(m: Model, bare: bool = False):
-    """A tokenizers.Tokenizer; bare: of text that is normalised and marked already."""
+    """A tokenizers.Tokenizer; bare: without the steps that only a whole text has."""
     from tokenizers import Regex, Tokenizer, decoders, normalizers
 
     out = Tokenizer(_core(m))
-    if not bare:
+    if bare:
+        out.normalizer = normalizers.Replace(" ", MARK)
+    else:
         steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
         if m.squeeze:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -186,7 +188,7 @@ class Codec:
 
     def _spans(self, spans: list[str]) -> list[list[int]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        ids = [e.ids for e in self.bare.encode_batch_fast([s.replace(" ", MARK) for s in spans], add_special_tokens=False)]
+        ids = [e.ids for e in self.bare.encode_batch_fast(spans, add_special_tokens=False)]
         if self.other:
             # the library puts the dummy prefix before the text itself; a text of nothing else has no ids there
             lone = self.other.encode("a ")[len(self.other.encode("a")) :]

@@ -22,6 +22,7 @@ first; rows of one id follow each other in no further order; empty tables give n
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -176,9 +177,18 @@ def read_report(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def export_files(files: DataFrame, folder: str) -> int:
-    """Puts the files down in a local folder, one after the other; returns how many."""
-    n = 0
-    for row in files.select("part", "file", "data").toLocalIterator():
-        Path(folder, f"ids-{row.part:05d}-{row.file:05d}.bitplane").write_bytes(row.data)
-        n += 1
-    return n
+    """Tasks put the files down in a folder that all executors have at this path; returns how many.
+
+    A file gets its name when it is whole, so a task that runs again does no harm.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                path = Path(folder, f"ids-{part:05d}-{number:05d}.bitplane")
+                own = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+                own.write_bytes(data.as_py())
+                own.replace(path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    return files.select("part", "file", "data").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
