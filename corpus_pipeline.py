@@ -51,4 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.put(name, docs)
+        if 0 < k < len(STAGES) - 1:  # what this stage has read is written anew
+            scratch.drop(STAGES[k - 1][0])
     return docs
