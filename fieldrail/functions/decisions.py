@@ -207,22 +207,38 @@ def local_candidate(decision: Column, final: Column, primary: Column, primary_co
     return F.when(keep, kept).otherwise(own)
 
 
+# Fixed names: what each cause of a failure is answered by.
+RESOLUTION_OF = {
+    "governor_threshold": "governor_threshold_calibration",
+    "validator_strictness": "validator_correction",
+    "normalization": "deterministic_normalization",
+    "oracle_limitation": "multimodal_escalation",
+    "crop_accuracy": "better_local_crop_strategy",
+    "ocr_segmentation": "field_specific_ocr_mode",
+    "field_mapping": "better_local_crop_strategy",
+    "preprocessing": "better_local_crop_strategy",
+    "genuinely_unreadable_source": "human_review_only",
+}
+
+
+def resolution_of(cause: Column) -> Column:
+    return first_reason(*((cause == c, r) for c, r in RESOLUTION_OF.items()), otherwise="human_review_only")
+
+
 def root_cause(state: Column, correct: Column, rule_failed: Column, truth: Column, final: Column, primary: Column, rejected: Column, primary_outcome: Column, retry_outcome: Column, escalation_outcome: Column, shorter_side: Column, truth_type: Column, tier: Column) -> Column:
-    """(cause, resolution): ten rules, the first that holds."""
+    """The cause of a failure: ten rules, the first that holds; resolution_of() has its answer."""
     bare = lambda x: F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\W", ""))
     spelled = lambda x: ~same(x, truth) & (bare(x) == bare(truth))
     n = F.length(F.coalesce(truth, F.lit("")))
     rules = [
-        ((state == HUMAN) & correct, "governor_threshold", "governor_threshold_calibration"),
-        (rule_failed & correct, "validator_strictness", "validator_correction"),
-        (spelled(final), "normalization", "deterministic_normalization"),
-        (rejected | ((primary_outcome == "correct") & (escalation_outcome == "incorrect")), "oracle_limitation", "multimodal_escalation"),
-        (spelled(primary), "normalization", "deterministic_normalization"),
-        (F.coalesce(shorter_side < 50, F.lit(False)), "crop_accuracy", "better_local_crop_strategy"),
-        ((primary_outcome == "missing") | (retry_outcome == "missing") | (n <= 2), "ocr_segmentation", "field_specific_ocr_mode"),
-        ((n >= 20) & (truth_type == "alphabetic"), "field_mapping", "better_local_crop_strategy"),
-        (tier == "ugly", "preprocessing", "better_local_crop_strategy"),
+        ((state == HUMAN) & correct, "governor_threshold"),
+        (rule_failed & correct, "validator_strictness"),
+        (spelled(final), "normalization"),
+        (rejected | ((primary_outcome == "correct") & (escalation_outcome == "incorrect")), "oracle_limitation"),
+        (spelled(primary), "normalization"),
+        (F.coalesce(shorter_side < 50, F.lit(False)), "crop_accuracy"),
+        ((primary_outcome == "missing") | (retry_outcome == "missing") | (n <= 2), "ocr_segmentation"),
+        ((n >= 20) & (truth_type == "alphabetic"), "field_mapping"),
+        (tier == "ugly", "preprocessing"),
     ]
-    cause = first_reason(*((w, c) for w, c, _ in rules), otherwise="genuinely_unreadable_source")
-    fix = first_reason(*((w, r) for w, _, r in rules), otherwise="human_review_only")
-    return F.struct(cause.alias("cause"), fix.alias("resolution"))
+    return first_reason(*rules, otherwise="genuinely_unreadable_source")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import CMS_MARKERS, compact, marker_score
 
 LEAST_ANCHOR = 5
-#: Anchors up to this many are sent to every task; more are dealt by their first characters.
-BROADCAST_ANCHORS = 100_000
+#: Characters of a slice of text that meets anchors, and places of a block of text.
+SLICE, STRETCH = 48, 1024
 
 
 def anchors(records: DataFrame, record: str, value: str) -> DataFrame:
@@ -22,17 +22,24 @@ def anchors(records: DataFrame, record: str, value: str) -> DataFrame:
 def anchor_hits(docs: DataFrame, found: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, record, score, hits) of documents that contain anchors.
 
-    With few anchors they are broadcast; with many, the documents' substrings of the
-    least anchor length meet the anchors' beginnings in an equi-join.
+    A text is cut into blocks, and each place of a block gives the ``SLICE`` characters from there on; slices
+    meet the anchors' beginnings in an equi-join (a broadcast one while Spark finds the anchors small
+    enough, and then slices stay where they are).  What of an anchor is longer than a slice is compared
+    with the text itself, for the few that are left.
     """
     hay = docs.select(F.col(doc).alias("doc"), compact(F.col(text)).alias("hay"))
-    if found.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
-        pairs = hay.join(F.broadcast(found), F.contains(F.col("hay"), F.col("anchor")))
-    else:
-        n = F.length("hay") - (LEAST_ANCHOR - 1)
-        starts = hay.filter(n > 0).withColumn("head", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("hay", i, F.lit(LEAST_ANCHOR))))))
-        heads = found.withColumn("head", F.substring("anchor", 1, LEAST_ANCHOR))
-        pairs = starts.join(heads, "head").filter(F.contains(F.col("hay"), F.col("anchor")))
+    starts = F.sequence(F.lit(1), F.length("hay"), F.lit(STRETCH))
+    blocks = hay.filter(F.length("hay") >= LEAST_ANCHOR).select("doc", F.explode(F.transform(starts, lambda i: F.struct(i.alias("base"), F.substring("hay", i, F.lit(STRETCH + SLICE - 1)).alias("block")))).alias("b"))
+    block = F.col("b.block")
+    places = F.sequence(F.lit(1), F.least(F.length(block), F.lit(STRETCH)))
+    cut = blocks.select("doc", F.explode(F.transform(places, lambda i: F.struct((F.col("b.base") + i - 1).alias("at"), F.substring(block, i, F.lit(SLICE)).alias("slice")))).alias("s"))
+    cut = cut.select("doc", "s.at", "s.slice", F.substring("s.slice", 1, LEAST_ANCHOR).alias("head"))
+    heads = found.withColumns({"head": F.substring("anchor", 1, LEAST_ANCHOR), "lead": F.substring("anchor", 1, SLICE)})
+    near = cut.join(heads, "head").filter(F.startswith("slice", "lead"))
+    short = near.filter(F.length("anchor") <= SLICE).select("doc", "record", "anchor", "weight")
+    long = near.filter(F.length("anchor") > SLICE).select("doc", "at", "record", "anchor", "weight")
+    long = long.join(hay, "doc").filter(F.substring("hay", F.col("at"), F.length("anchor")) == F.col("anchor")).select("doc", "record", "anchor", "weight")
+    pairs = short.unionByName(long).distinct()
     return pairs.groupBy("doc", "record").agg(F.sum("weight").alias("score"), F.count("*").alias("hits"))
 
 
@@ -47,14 +54,17 @@ def link(docs: DataFrame, hits: DataFrame, doc: str) -> DataFrame:
     return out.select("doc", status.alias("status"), F.when(status == "deterministic", F.col("record")).alias("record"), zero("score"), zero("margin"), F.coalesce("hits", F.lit(0)).cast("long").alias("evidence"))
 
 
-def one_to_one(links: DataFrame) -> DataFrame:
-    """Of documents that claim one record the best by (score, margin) keeps it; the rest become ambiguous."""
-    order = Window.partitionBy("record").orderBy(F.desc("score"), F.desc("margin"), "doc")
-    claimed = links.filter("status = 'deterministic'").withColumn("k", F.row_number().over(order))
-    lost = claimed.filter("k > 1").select("doc")
-    out = links.join(lost.withColumn("lost", F.lit(True)), "doc", "left")
-    gone = F.coalesce("lost", F.lit(False))
-    return out.withColumns({"status": F.when(gone, "ambiguous").otherwise(F.col("status")), "record": F.when(~gone, F.col("record"))}).drop("lost")
+def one_to_one(links: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Of documents of a group that claim one record the best by (score, margin) keeps it; the rest become ambiguous.
+
+    Record numbers of different groups have nothing to do with each other.
+    """
+    keys = [*(group or []), "record"]
+    rank = F.struct(-F.col("score"), -F.col("margin"), "doc")
+    best = links.filter("status = 'deterministic'").groupBy(*keys).agg(F.min_by("doc", rank).alias("_best"))
+    out = links.join(best, keys, "left")
+    gone = (F.col("status") == "deterministic") & (F.col("doc") != F.col("_best"))
+    return out.withColumns({"status": F.when(gone, "ambiguous").otherwise(F.col("status")), "record": F.when(~gone, F.col("record"))}).drop("_best").select(*links.columns)
 
 
 def unique_best(rows: DataFrame, group: str, score: str, item: str, least: float) -> DataFrame:

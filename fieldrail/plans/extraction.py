@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
@@ -41,9 +41,9 @@ def text_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id, CASE WHEN w = '' THEN 'empty' WHEN regexp_matches(w, '^[0-9]+$') THEN 'numeric' WHEN regexp_matches(w, '^[A-Za-z]+$') THEN 'alphabetic' ELSE 'mixed' END AS char_type,
   CASE WHEN n = 0 THEN '0' WHEN n <= 4 THEN '1-4' WHEN n <= 9 THEN '5-9' WHEN n <= 19 THEN '10-19' ELSE '20+' END AS bucket
-FROM (SELECT doc_id, regexp_replace(substr(text, 1, 12), '[^A-Za-z0-9]', '', 'g') AS w, CAST(doc_id % 30 AS BIGINT) AS n FROM documents)""")
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g') AS w, length(coalesce(text, '')) AS n FROM documents)""")
 def classify_chars(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", X.char_type(F.substring("text", 1, 12)).alias("char_type"), X.length_bucket(F.col("doc_id") % 30).alias("bucket"))
+    return _docs(spark, d).select("doc_id", X.char_type(F.col("text")).alias("char_type"), X.length_bucket(F.length(F.coalesce("text", F.lit("")))).alias("bucket"))
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 12) AS id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS duplicate FROM documents")
@@ -56,14 +56,14 @@ def nfkc_fold(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.span_text(F.col("text")).alias("text"))
 
 
-_MARK = "SELECT page_id, upper(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS t FROM pages"
+_SEEN = "regexp_replace(upper(replace(t, 'ß', 'ss')), '[^A-Z0-9]', '', 'g')"
+_MARKED = "SELECT page_id, COALESCE(html, '') || CASE page_id % 4 WHEN 0 THEN ' Uniform Bill, Revenue; patient' WHEN 1 THEN ' CMS-1500 Insured' WHEN 2 THEN ' UB-04 / Insured' ELSE '' END AS t FROM {pages}"
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'ub04' ELSE 'cms1500' END AS form, CAST(CASE page_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS INT) AS cms, CAST(CASE page_id % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS INT) AS ub FROM pages""")
+@query(f"""WITH p AS (SELECT page_id, {_SEEN} AS t FROM ({B.duck(_MARKED)})), s AS (SELECT page_id, {' + '.join(f"CAST(contains(t, '{m}') AS INT)" for m in X.CMS_MARKERS)} AS cms, {' + '.join(f"CAST(contains(t, '{m}') AS INT)" for m in X.UB_MARKERS)} AS ub FROM p)
+SELECT page_id, CASE WHEN ub > cms THEN 'ub04' ELSE 'cms1500' END AS form, cms, ub FROM s""")
 def marker_classify(spark: SparkSession, d: str) -> DataFrame:
-    text = "CASE page_id % 4 WHEN 0 THEN 'Uniform Bill, Revenue; patient' WHEN 1 THEN 'CMS-1500 Insured' WHEN 2 THEN 'UB-04 / Insured' ELSE 'none' END"
-    p = B.bind(spark, d, f"SELECT page_id, {text} AS t FROM {{pages}}")
-    t = F.col("t")
+    p, t = B.bind(spark, d, _MARKED), F.col("t")
     return p.select("page_id", X.form_of(t).alias("form"), X.marker_score(t, X.CMS_MARKERS).alias("cms"), X.marker_score(t, X.UB_MARKERS).alias("ub"))
 
 
@@ -190,13 +190,13 @@ def date_chronology(spark: SparkSession, d: str) -> DataFrame:
     return t.select("o_orderkey", V.check("dob_before_service", F.col("served"), ctx)["verdict"].alias("service"), V.check("patient_dob_valid", F.col("dob"), ctx)["verdict"].alias("dob"))
 
 
-@query(f"""WITH r AS (SELECT DISTINCT l_partkey, value, rule, optional FROM ({B.duck(B.ROUTED)}) WHERE rule <> '')
-SELECT l_partkey, rule AS validator, CASE WHEN value = '' THEN CASE WHEN optional THEN 'INAPPLICABLE' ELSE 'FAIL' END WHEN rule = 'currency_format' AND regexp_matches(value, '^\\d{{1,7}}\\.\\d{{2}}$') THEN 'PASS'
+@query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, value, rule, optional FROM ({B.duck(B.ROUTED)}) WHERE rule <> '')
+SELECT l_orderkey, l_linenumber, l_partkey, rule AS validator, CASE WHEN value = '' THEN CASE WHEN optional THEN 'INAPPLICABLE' ELSE 'FAIL' END WHEN rule = 'currency_format' AND regexp_matches(value, '^\\d{{1,7}}\\.\\d{{2}}$') THEN 'PASS'
   WHEN rule = 'id_format' AND regexp_matches(upper(value), '^[A-Z0-9]{{6,15}}$') THEN 'PASS' ELSE 'FAIL' END AS verdict FROM r""")
 def validator_stamps_long(spark: SparkSession, d: str) -> DataFrame:
-    r = B.bind(spark, d, B.ROUTED).filter("rule <> ''").select("l_partkey", "value", "rule", "optional").distinct()
+    r = B.bind(spark, d, B.ROUTED).filter("rule <> ''").select("l_orderkey", "l_linenumber", "l_partkey", "value", "rule", "optional")
     s = V.stamps(F.col("value"), F.array("rule"), F.col("optional"))
-    return r.select("l_partkey", F.inline(s)).select("l_partkey", "validator", "verdict")
+    return r.select("l_orderkey", "l_linenumber", "l_partkey", F.inline(s)).select("l_orderkey", "l_linenumber", "l_partkey", "validator", "verdict")
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'line3_charges' WHEN 1 THEN 'patient_address' WHEN 2 THEN 'amount_paid' WHEN 3 THEN 'patient_sex' ELSE 'unheard_of' END AS field_name FROM part)
@@ -211,22 +211,22 @@ def policy_defaults_join(spark: SparkSession, d: str) -> DataFrame:
 # routing ------------------------------------------------------------------------
 _FIT = """CASE WHEN value = '' OR rule = '' THEN 0.5 WHEN rule = 'currency_format' AND regexp_matches(value, '^[\\d.,$ ]+$') THEN 1.0 WHEN rule = 'name_format' AND regexp_matches(value, '^[A-Za-z .,''\\-]+$') THEN 1.0 WHEN rule = 'id_format' AND regexp_matches(value, '^[A-Za-z0-9 ]+$') THEN 1.0 ELSE 0.0 END"""
 _SPANFIT = "CASE WHEN n_spans = 0 THEN 0.0 WHEN n_spans <= 3 THEN 1.0 ELSE greatest(0.2, 1.0 - 0.15 * (n_spans - 3)) END"
-_ROUTED = f"(SELECT DISTINCT * EXCLUDE (l_orderkey, l_linenumber, q) FROM ({B.duck(B.ROUTED)}))"
-_KEYS = ("l_partkey", "l_suppkey")
+_ROUTED = f"(SELECT * FROM ({B.duck(B.ROUTED)}))"
+_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def _routed(spark: SparkSession, d: str) -> DataFrame:
-    return B.bind(spark, d, B.ROUTED).drop("l_orderkey", "l_linenumber", "q").distinct()
+    return B.bind(spark, d, B.ROUTED)
 
 
-@query(f"SELECT l_partkey, l_suppkey, round_even(0.55 * conf + 0.15 * quality + 0.15 * ({_SPANFIT}) + 0.15 * ({_FIT}), 4) AS confidence FROM {_ROUTED}")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(0.55 * conf + 0.15 * quality + 0.15 * ({_SPANFIT}) + 0.15 * ({_FIT}), 4) AS confidence FROM {_ROUTED}")
 def confidence_fusion(spark: SparkSession, d: str) -> DataFrame:
     r = _routed(spark, d)
     rules = F.when(F.col("rule") != "", F.array("rule")).otherwise(F.array().cast("array<string>"))
     return r.select(*_KEYS, D.fuse(F.col("conf"), F.col("quality"), F.col("n_spans"), F.col("value"), rules).alias("confidence"))
 
 
-_DECIDE = f"""SELECT l_partkey, l_suppkey, criticality, CASE WHEN value = '' AND optional THEN 'ACCEPT' WHEN failing OR (value = '' AND rule <> '') THEN nxt WHEN conf >= 0.88 THEN 'ACCEPT' WHEN conf >= 0.60 AND flaggable THEN 'ACCEPT_WITH_FLAG' ELSE nxt END AS state
+_DECIDE = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, criticality, CASE WHEN value = '' AND optional THEN 'ACCEPT' WHEN failing OR (value = '' AND rule <> '') THEN nxt WHEN conf >= 0.88 THEN 'ACCEPT' WHEN conf >= 0.60 AND flaggable THEN 'ACCEPT_WITH_FLAG' ELSE nxt END AS state
 FROM (SELECT *, CASE WHEN retries < 1 THEN 'RETRY' WHEN external AND escalations < 1 THEN 'ESCALATE' WHEN NOT failing AND conf >= 0.60 AND flaggable THEN 'ACCEPT_WITH_FLAG' ELSE 'HUMAN_REVIEW' END AS nxt FROM (SELECT *, allow_flag AND criticality <> 'high' AS flaggable FROM {_ROUTED}))"""
 
 
@@ -239,9 +239,18 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
     return r.select(*_KEYS, "criticality", out.alias("d")).select(*_KEYS, "criticality", "d.state", "d.reason")
 
 
-@query(_DECIDE)
+_REASON = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, criticality, state, CASE WHEN value = '' AND optional THEN 'optional field legitimately empty'
+  WHEN failing OR (value = '' AND rule <> '') THEN CASE WHEN NOT failing AND state = 'ACCEPT_WITH_FLAG' THEN spent ELSE CASE WHEN failing THEN 'validator FAIL: ' || rule ELSE 'empty value on required field' END || tail END
+  WHEN conf >= 0.88 THEN 'validators clean, conf ' || c || ' >= accept' WHEN conf >= 0.60 AND flaggable THEN criticality || ' criticality, validators clean, conf ' || c || ' tolerable'
+  WHEN state = 'ACCEPT_WITH_FLAG' THEN spent ELSE 'conf ' || c || ' below accept threshold' || tail END AS reason
+FROM (SELECT *, CASE state WHEN 'RETRY' THEN '; retry budget available' WHEN 'ESCALATE' THEN '; retry exhausted' ELSE '; attempt budget exhausted' END AS tail, 'attempts exhausted; validators clean, conf ' || c || ' tolerable for ' || criticality || ' criticality' AS spent
+FROM (SELECT *, printf('%.2f', conf) AS c, CASE WHEN value = '' AND optional THEN 'ACCEPT' WHEN failing OR (value = '' AND rule <> '') THEN nxt WHEN conf >= 0.88 THEN 'ACCEPT' WHEN conf >= 0.60 AND flaggable THEN 'ACCEPT_WITH_FLAG' ELSE nxt END AS state
+FROM (SELECT *, CASE WHEN retries < 1 THEN 'RETRY' WHEN external AND escalations < 1 THEN 'ESCALATE' WHEN NOT failing AND conf >= 0.60 AND flaggable THEN 'ACCEPT_WITH_FLAG' ELSE 'HUMAN_REVIEW' END AS nxt FROM (SELECT *, allow_flag AND criticality <> 'high' AS flaggable FROM {_ROUTED}))))"""
+
+
+@query(_REASON)
 def governor_decide(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d).drop("reason")
+    return _decided(spark, d)
 
 
 @query(f"WITH g AS ({_DECIDE}) SELECT criticality, COUNT(*) AS fields, " + ", ".join(f"round_even(100e0 * COUNT(*) FILTER (state = '{s}') / COUNT(*), 4) AS {s.lower()}" for s in D.AUTOMATED) + " FROM g GROUP BY criticality")
@@ -249,8 +258,8 @@ def governor_funnel(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.funnel(_decided(spark, d), "criticality", D.AUTOMATED)
 
 
-_TURNS = """SELECT conv_id, turn, substr(text, 1, 20) AS v, CASE WHEN turn % 3 = 0 THEN substr(text, 1, 20) WHEN turn % 3 = 1 THEN upper(replace(substr(text, 1, 20), 'ß', 'ss')) ELSE 'other' END AS n,
-  (conv_id * 7 % 100) / 1e2 AS c, (conv_id * 11 % 100) / 1e2 AS nc, conv_id % 3 = 0 AS f, conv_id % 4 = 0 AS nf, conv_id % 5 = 0 AS optional FROM (SELECT DISTINCT conv_id, turn, text FROM {conversations} WHERE text IS NOT NULL) d"""
+_TURNS = """SELECT conv_id, turn, t AS v, CASE WHEN turn % 3 = 0 THEN t WHEN turn % 3 = 1 THEN upper(replace(t, 'ß', 'ss')) ELSE 'other' END AS n,
+  (conv_id * 7 % 100) / 1e2 AS c, (conv_id * 11 % 100) / 1e2 AS nc, conv_id % 3 = 0 AS f, conv_id % 4 = 0 AS nf, conv_id % 5 = 0 AS optional FROM (SELECT conv_id, turn, COALESCE(text, '') AS t FROM {conversations}) d"""
 _N = "lower(regexp_replace(%s, '" + _SP + "+', '', 'g'))"
 
 
@@ -322,12 +331,15 @@ def candidate_dedup(spark: SparkSession, d: str) -> DataFrame:
     return candidates.first_seen(B.bind(spark, d, _CAND), ["user_id", "event_type"], "key", "candidate_no").select("user_id", "event_type", "key", "candidate_no")
 
 
-@query("""WITH s AS (SELECT DISTINCT l_partkey, CAST(l_partkey AS VARCHAR) AS a, CAST(l_partkey % 97 + 10 AS VARCHAR) AS b FROM lineitem)
-SELECT l_partkey, a || '.' || right(b, 2) AS value, 0 AS candidate_no FROM s""")
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey AS VARCHAR) AS a, CAST(l_partkey % 97 + 10 AS VARCHAR) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, arg_min(v.value, v.n) AS value, CAST(min(v.n) AS INT) AS candidate_no
+FROM (SELECT *, unnest([{'value': a || '.' || right(b, 2), 'n': 0, 'key': CAST(a || '.' || right(b, 2) AS DECIMAL(28,2))}, {'value': '$' || a, 'n': 1, 'key': CAST(a AS DECIMAL(28,2))}, {'value': b, 'n': 2, 'key': CAST(b AS DECIMAL(28,2))}, {'value': '$' || a || ' ' || b, 'n': 3, 'key': CAST(a || b AS DECIMAL(28,2))}]) AS v FROM s)
+GROUP BY l_orderkey, l_linenumber, l_partkey, v.key""")
 def candidate_money(spark: SparkSession, d: str) -> DataFrame:
-    s = B.bind(spark, d, "SELECT DISTINCT l_partkey, '$' || CAST(l_partkey AS STRING) AS a, CAST(l_partkey % 97 + 10 AS STRING) AS b FROM {lineitem}")
-    rows = s.select("l_partkey", F.lit("line1_charges").alias("name"), F.array("a", "b").alias("texts"))
-    return candidates.explode(rows, "name", "texts", ["l_partkey"]).filter("candidate_no = 0").select("l_partkey", "value", "candidate_no")
+    s = B.bind(spark, d, "SELECT l_orderkey, l_linenumber, l_partkey, '$' || CAST(l_partkey AS STRING) AS a, CAST(l_partkey % 97 + 10 AS STRING) AS b FROM {lineitem}")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    rows = s.select(*keys, F.lit("line1_charges").alias("name"), F.array("a", "b").alias("texts"))
+    return candidates.explode(rows, "name", "texts", keys).select(*keys, "value", "candidate_no")
 
 
 _MARKS = "SELECT l_orderkey AS page, l_returnflag AS option, MAX(l_partkey % 100) / 1e2 AS fill FROM {lineitem} GROUP BY l_orderkey, l_returnflag"
@@ -368,27 +380,27 @@ def center_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, greatest(0e0, x - 8) AS x0, greatest(0e0, y - 8) AS y0, least(1000e0, x + 48) AS x1, least(1000e0, y + 28) AS y1, round_even((least(1000e0, x + 48) - greatest(0e0, x - 8)) * (least(1000e0, y + 28) - greatest(0e0, y - 8)) / 1e6, 8) AS share
-FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey % 1000 AS DOUBLE) AS x, CAST(l_suppkey * 7 % 1000 AS DOUBLE) AS y FROM lineitem)""")
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey % 1000 AS DOUBLE) AS x, CAST(l_suppkey * 7 % 1000 AS DOUBLE) AS y FROM lineitem)""")
 def crop_bounds(spark: SparkSession, d: str) -> DataFrame:
-    b = B.bind(spark, d, "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey % 1000 AS DOUBLE) AS x, CAST(l_suppkey * 7 % 1000 AS DOUBLE) AS y FROM {lineitem}")
+    b = B.bind(spark, d, "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey % 1000 AS DOUBLE) AS x, CAST(l_suppkey * 7 % 1000 AS DOUBLE) AS y FROM {lineitem}")
     c = regions.crop(F.col("x"), F.col("y"), F.col("x") + 40, F.col("y") + 20, F.lit(1000.0), F.lit(1000.0))
     return b.withColumn("c", c).select("l_orderkey", "l_linenumber", "l_partkey", "c.x0", "c.y0", "c.x1", "c.y1", F.bround("c.share", 8).alias("share"))
 
 
-_SIG = "SELECT DISTINCT l_partkey, l_suppkey, (l_partkey % 101) / 1e2 AS blur, (l_suppkey % 91) / 9e1 AS contrast, (l_partkey % 83) / 82e0 AS noise, CAST(l_suppkey % 17 AS DOUBLE) AS skew, l_partkey % 2 = 0 AS ok, (l_partkey % 20) / 1e2 AS illum, CAST(l_suppkey % 40 + 215 AS DOUBLE) AS bright FROM {lineitem}"
+_SIG = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 101) / 1e2 AS blur, (l_suppkey % 91) / 9e1 AS contrast, (l_partkey % 83) / 82e0 AS noise, CAST(l_suppkey % 17 AS DOUBLE) AS skew, l_partkey % 2 = 0 AS ok, (l_partkey % 20) / 1e2 AS illum, CAST(l_suppkey % 40 + 215 AS DOUBLE) AS bright FROM {lineitem}"
 
 
 @query(f"""WITH s AS (SELECT *, round_even(0.30 * blur + 0.25 * contrast + 0.25 * (1 - noise) + 0.10 * (1 - least(1e0, skew / 12)) + 0.10 * CASE WHEN ok THEN 1 ELSE 0 END, 6) AS score FROM ({B.duck(_SIG)}))
-SELECT l_partkey, l_suppkey, score, array_to_string(list_filter([CASE WHEN skew >= 8 THEN 'deskew' END, CASE WHEN illum >= 0.075 THEN 'illumination' END, CASE WHEN noise >= 0.3 THEN 'denoise' END, CASE WHEN bright < 238 THEN 'contrast' END], lambda x: x IS NOT NULL), ',') AS ops FROM s""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, score, CASE WHEN 0.30 * blur + 0.25 * contrast + 0.25 * (1 - noise) + 0.10 * (1 - least(1e0, skew / 12)) + 0.10 * CASE WHEN ok THEN 1 ELSE 0 END >= 0.72 THEN 'good' WHEN 0.30 * blur + 0.25 * contrast + 0.25 * (1 - noise) + 0.10 * (1 - least(1e0, skew / 12)) + 0.10 * CASE WHEN ok THEN 1 ELSE 0 END >= 0.55 THEN 'fair' ELSE 'poor' END AS band, array_to_string(list_filter([CASE WHEN skew >= 8 THEN 'deskew' END, CASE WHEN illum >= 0.075 THEN 'illumination' END, CASE WHEN noise >= 0.3 THEN 'denoise' END, CASE WHEN bright < 238 THEN 'contrast' END], lambda x: x IS NOT NULL), ',') AS ops FROM s""")
 def page_quality(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     s = B.bind(spark, d, _SIG)
     q = regions.quality(c("blur"), c("contrast"), c("noise"), c("skew"), c("ok"))
-    return s.select("l_partkey", "l_suppkey", F.bround(q["score"], 6).alias("score"), F.array_join(regions.repairs(c("skew"), c("illum"), c("noise"), c("bright")), ",").alias("ops"))
+    return s.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.bround(q["score"], 6).alias("score"), q["band"].alias("band"), F.array_join(regions.repairs(c("skew"), c("illum"), c("noise"), c("bright")), ",").alias("ops"))
 
 
 # links --------------------------------------------------------------------------
-_ANCHORS = """WITH a AS (SELECT DISTINCT item_id AS record, regexp_replace(upper(w), '[^A-Z0-9]', '', 'g') AS anchor FROM (SELECT item_id, unnest([substr(text, 1, 30), substr(text, 31, 30)]) AS w FROM benchmark)),
+_ANCHORS = """WITH a AS (SELECT DISTINCT item_id AS record, regexp_replace(upper(w), '[^A-Z0-9]', '', 'g') AS anchor FROM (SELECT item_id, unnest(list_transform(range(0, CAST(ceil(length(text) / 30) AS BIGINT)), lambda i: substr(text, i * 30 + 1, 30))) AS w FROM benchmark)),
 f AS (SELECT a.*, CASE WHEN COUNT(*) OVER (PARTITION BY anchor) = 1 THEN 3 ELSE 1 END AS weight FROM a WHERE length(anchor) >= 5 AND NOT regexp_matches(anchor, '^0*$')),
 h AS (SELECT doc_id AS doc, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS hay FROM documents), s AS (SELECT doc, record, SUM(weight) AS score, COUNT(*) AS hits FROM h, f WHERE contains(hay, anchor) GROUP BY doc, record),
 r AS (SELECT *, row_number() OVER w AS k, COALESCE(lead(score) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY doc ORDER BY score DESC, hits DESC, record DESC)),
@@ -397,7 +409,8 @@ links AS (SELECT h.doc, CASE WHEN score IS NULL THEN 'no_match' WHEN score - sec
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    parts = B.bind(spark, d, "SELECT item_id, text FROM {benchmark}").select("item_id", F.explode(F.array(F.substring("text", 1, 30), F.substring("text", 31, 30))).alias("v"))
+    items = B.bind(spark, d, "SELECT item_id, text FROM {benchmark}").filter(F.length("text") > 0)
+    parts = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("text"), F.lit(30)), lambda i: F.substring("text", i, F.lit(30)))).alias("v"))
     docs = _docs(spark, d)
     hits = linkage.anchor_hits(docs, linkage.anchors(parts, "item_id", "v"), "doc_id", "text")
     return linkage.link(docs, hits, "doc_id")
@@ -438,32 +451,49 @@ def full_outer_names(spark: SparkSession, d: str) -> DataFrame:
 
 # fixed width -----------------------------------------------------------------------
 def _nsf(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as 320-character files, one a customer; every seventh claim lacks its patient row."""
+    """Orders as 320-character files, one a customer, with every place of a field filled; every seventh claim lacks its patient row."""
     o = B.bind(spark, d, "SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS cents FROM {orders}")
-    row = lambda *cells: F.rpad(F.concat(*cells), 320, " ")
-    key, gap = F.lpad(F.col("o_orderkey").cast("string"), 17, "0"), F.lit("  ")
-    ba = row(F.lit("BA0"))
-    ca = row(F.lit("CA0"), gap, key, F.rpad(F.concat(F.lit("LAST"), F.col("o_orderkey").cast("string")), 20, " "), F.rpad(F.lit("FIRST"), 12, " "), F.lit("M"))
-    fa = row(F.rpad(F.lit("FA0"), 59, " "), F.lit("99213"), F.rpad(F.lit(""), 6, " "), F.lpad((F.col("cents") % 10_000_000).cast("string"), 7, "0"), F.lit("1   "), F.lit("0010"))
-    xa = row(F.rpad(F.lit("XA0"), 77, " "), F.lpad((F.col("cents") % 10_000_000).cast("string"), 7, "0"))
-    rows = F.concat(F.array(ba), F.when(F.col("o_orderkey") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(ca)), F.array(fa, xa))
+    key = F.col("o_orderkey").cast("string")
+
+    def row(tag: str, cells: dict[int, tuple[int, Column]]) -> Column:
+        parts, at = [F.lit(tag)], len(tag) + 1
+        for start in sorted(cells):
+            width, value = cells[start]
+            parts += [F.lit(" " * (start - at)), F.rpad(value, width, " ")]
+            at = start + width
+        return F.rpad(F.concat(*parts), 320, " ")
+
+    def fields(tag: str) -> dict[int, tuple[int, Column]]:
+        return {a: (b - a + 1, F.concat(F.lit(name[:1].upper()), F.right(key, F.lit(b - a)))) for name, (t, a, b) in fixed_width.NSF_FIELDS.items() if t == tag and name != "patient_account_no"}
+
+    money = F.lpad((F.col("cents") % 10_000_000).cast("string"), 7, "0")
+    ca = row("CA0", fields("CA0") | {23: (20, F.concat(F.lit("LAST"), key)), 43: (12, F.lit("FIRST")), 55: (1, F.lit("M"))})
+    da = row("DA0", fields("DA0") | {182: (20, F.concat(F.lit("OWNER"), key)), 202: (12, F.lit("")), 214: (1, F.lit(""))})
+    ea = row("EA0", fields("EA0") | {6: (17, F.concat(F.lit("A"), key))})
+    fa = row("FA0", {40: (8, F.lit("20240102")), 48: (8, F.lit("20240103")), 56: (2, F.lit("11")), 60: (5, F.lit("99213")), 65: (6, F.lit("25")), 71: (7, money), 78: (4, F.lit("1")), 82: (4, F.lit("0010"))})
+    xa = row("XA0", {78: (7, money)})
+    none = F.array().cast("array<string>")
+    rows = F.concat(F.array(row("BA0", fields("BA0"))), F.when(F.col("o_orderkey") % 7 == 0, none).otherwise(F.array(ca)), F.array(da, ea, fa, xa))
     one = o.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", rows.alias("r")))), lambda x: x["r"])).alias("r"))
     return fixed_width.lines(one.select("path", F.encode(F.array_join("r", "\r\n"), "ISO-8859-1").alias("content")))
 
 
-@query("""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 10000000 AS cents, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal FROM orders)
-SELECT path, ordinal, 'LAST' || o_orderkey || ', FIRST M' AS patient_name, lpad(CAST(o_orderkey AS VARCHAR), 17, '0') AS patient_control_no, CAST(CAST(cents / 100 AS DECIMAL(18,2)) AS VARCHAR) AS total_charge FROM o WHERE o_orderkey % 7 <> 0""")
+_CLAIM = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, CAST(floor(o_totalprice) AS BIGINT) % 10000000 AS cents, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal FROM orders)"
+_PLAIN_FIELDS = " UNION ALL ".join(f"SELECT path, ordinal, 'NSF320' AS format_name, '{n}' AS field_name, '{n[:1].upper()}' || right(k, {b - a}) AS value, o_orderkey FROM o" for n, (_, a, b) in fixed_width.NSF_FIELDS.items() if n != "patient_account_no" and b > a)
+
+
+@query(f"""WITH {_CLAIM}, f AS ({_PLAIN_FIELDS} UNION ALL SELECT path, ordinal, 'NSF320', 'patient_sex', 'P', o_orderkey FROM o UNION ALL SELECT path, ordinal, 'NSF320', 'patient_account_no', 'A' || k, o_orderkey FROM o
+  UNION ALL SELECT path, ordinal, 'NSF320', 'patient_name', 'LAST' || k || ', FIRST M', o_orderkey FROM o UNION ALL SELECT path, ordinal, 'NSF320', 'insured_name', 'OWNER' || k, o_orderkey FROM o
+  UNION ALL SELECT path, ordinal, 'NSF320', 'total_charge', CAST(CAST(cents / 100 AS DECIMAL(18,2)) AS VARCHAR), o_orderkey FROM o)
+SELECT path, ordinal, format_name, field_name, value FROM f WHERE o_orderkey % 7 <> 0""")
 def fixed_width_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    r = fixed_width.records(_nsf(spark, d), "NSF320").filter(F.col("field_name").isin("patient_name", "patient_control_no", "total_charge"))
-    wide = r.groupBy("path", "ordinal").pivot("field_name", ["patient_name", "patient_control_no", "total_charge"]).agg(F.first("value"))
-    return wide
+    return fixed_width.records(_nsf(spark, d), "NSF320")
 
 
-@query("""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 10000000 AS cents, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal FROM orders)
-SELECT path, ordinal, 1 AS line_no, n AS field_name, CASE n WHEN 'procedure_code' THEN '99213' WHEN 'charge' THEN CAST(CAST(cents / 100 AS DECIMAL(18,2)) AS VARCHAR) WHEN 'units' THEN '1.0' ELSE '1' END AS value
-FROM o, (VALUES ('procedure_code'), ('charge'), ('units'), ('diagnosis_pointer')) t(n) WHERE o_orderkey % 7 <> 0""")
+@query(f"""WITH {_CLAIM} SELECT path, ordinal, 1 AS line_no, n AS field_name, CASE n WHEN 'charge' THEN CAST(CAST(cents / 100 AS DECIMAL(18,2)) AS VARCHAR) ELSE v END AS value
+FROM o, (VALUES ('service_from', '20240102'), ('service_to', '20240103'), ('place_of_service', '11'), ('procedure_code', '99213'), ('modifiers', '25'), ('diagnosis_pointer', '1'), ('units', '1.0'), ('charge', '')) t(n, v) WHERE o_orderkey % 7 <> 0""")
 def fixed_width_lines(spark: SparkSession, d: str) -> DataFrame:
-    return fixed_width.service_lines(_nsf(spark, d), "NSF320").filter(F.col("field_name").isin("procedure_code", "charge", "units", "diagnosis_pointer"))
+    return fixed_width.service_lines(_nsf(spark, d), "NSF320")
 
 
 _FILE = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '{{\"fields\": {{\"a\": 1}}}}' WHEN 1 THEN 'NSF 320 Spec: ' || p_name WHEN 2 THEN rpad('BA0', 320, ' ') WHEN 3 THEN rpad('10', 192, ' ') WHEN 4 THEN '  ' ELSE '[1]' END AS t, 'part' || CAST(p_partkey AS STRING) AS name FROM {part}"

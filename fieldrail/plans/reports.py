@@ -55,6 +55,12 @@ def ledger_first_of_key(spark: SparkSession, d: str) -> DataFrame:
     return ledger.first_of_key(rows, ["doc_id", "page_id", "operation"], "event_id")
 
 
+@query(f"""WITH l AS ({L}) SELECT doc_id, page_id, operation, max(event_id) AS event_id, max_by(cost_usd, event_id) AS cost_usd FROM l GROUP BY doc_id, page_id, operation""")
+def ledger_last_of_key(spark: SparkSession, d: str) -> DataFrame:
+    rows = B.bind(spark, d, B.LEDGER).select("doc_id", "page_id", "operation", "event_id", "cost_usd")
+    return ledger.last_of_key(rows, ["doc_id", "page_id", "operation"], "event_id")
+
+
 _VOLUMES = (1_000, 10_000, 100_000, 1_000_000, 10_000_000, 100_000_000)
 
 
@@ -241,27 +247,27 @@ def _failures(spark: SparkSession, d: str) -> DataFrame:
     f = f.withColumns({"primary_outcome": X.outcome(c("primary_value"), c("truth")), "retry_outcome": X.outcome(c("retry_value"), c("truth")), "escalation_outcome": X.outcome(c("model_value"), c("truth"))})
     f = f.withColumns({"character_type": X.char_type(c("truth")), "character_length": X.length_bucket(F.length("truth")), "crop": X.area_bucket(c("w"), c("h"))})
     why = D.root_cause(c("state"), c("correct"), c("rule_failed"), c("truth"), c("final_value"), c("primary_value"), c("rejected"), c("primary_outcome"), c("retry_outcome"), c("escalation_outcome"), F.least("w", "h"), c("character_type"), c("tier"))
-    return f.withColumn("why", why).select("*", "why.cause", "why.resolution").drop("why")
+    return f.withColumn("cause", why)
 
 
 @query(_CAUSES + "SELECT l_orderkey, l_linenumber, l_partkey, cause, resolution FROM r")
 def root_cause(spark: SparkSession, d: str) -> DataFrame:
-    return _failures(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "cause", "resolution")
+    return _failures(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "cause").withColumn("resolution", D.resolution_of(F.col("cause")))
 
 
 @query(_CAUSES + " UNION ALL ".join(f"SELECT '{x}' AS dimension, {x} AS value, COUNT(*) AS n FROM r GROUP BY {x}" for x in _DIMS))
 def failure_histograms(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.histograms(_failures(spark, d), list(_DIMS))
+    return calibration.histograms(_failures(spark, d), list(_DIMS[:-1]), {"resolution": D.resolution_of(F.col("cause"))})
 
 
 @query(_CAUSES + "SELECT tier, field_name, cause, resolution, COUNT(*) AS n FROM r GROUP BY ALL ORDER BY n DESC, tier, field_name, cause, resolution LIMIT 20")
 def failure_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.clusters(_failures(spark, d), ["tier", "field_name", "cause", "resolution"])
+    return calibration.clusters(_failures(spark, d).withColumn("resolution", D.resolution_of(F.col("cause"))), ["tier", "field_name", "cause", "resolution"])
 
 
 @query(_CAUSES + f"SELECT x AS resolution, COUNT(r.resolution) AS n FROM (VALUES {', '.join(f"('{x}')" for x in calibration.RESOLUTIONS)}) t(x) LEFT JOIN r ON r.resolution = x GROUP BY x")
 def resolution_counts(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.resolution_counts(_failures(spark, d))
+    return calibration.resolution_counts(_failures(spark, d).select(D.resolution_of(F.col("cause")).alias("resolution")))
 
 
 # resume, sets, review -------------------------------------------------------
@@ -271,10 +277,10 @@ def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return records.resume(e, e.filter("event_id % 3 = 0"), ["event_id"], ["event_id"], 500)
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 4 = 0")
+@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 4 <> 0 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 4 = 0")
 def append_once(spark: SparkSession, d: str) -> DataFrame:
     e = B.bind(spark, d, "SELECT event_id, user_id, event_type FROM {events}")
-    return records.append_once(e.filter("event_id % 4 = 0"), e.filter("event_id % 2 = 1"), ["user_id", "event_type"]).select("user_id", "event_type")
+    return records.append_once(e.filter("event_id % 4 = 0"), e.filter("event_id % 4 != 0"), ["user_id", "event_type"]).select("user_id", "event_type")
 
 
 @query("""SELECT (SELECT COUNT(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) AS missing, (SELECT COUNT(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)) AS stray,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_reason, hash_id
@@ -65,9 +65,14 @@ def role(name: Column, kind: Column, content: Column) -> Column:
 
 
 def mark_duplicates(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """rows with id (12 hex digits of the content's sha256) and duplicate: not the first by order."""
-    first = Window.partitionBy("id").orderBy(order)
-    return rows.withColumn("id", hash_id(key)).withColumn("duplicate", F.row_number().over(first) > 1)
+    """rows with id (12 hex digits of the content's sha256) and duplicate: not the first by order.
+
+    The first is found by an aggregate, so copies of one content needn't meet in a task; rows that
+    share the first place are all first.
+    """
+    marked = rows.withColumn("id", hash_id(key))
+    first = marked.groupBy("id").agg(F.min(order).alias("_first"))
+    return marked.join(first, "id").withColumn("duplicate", F.col(order) > F.col("_first")).drop("_first")
 
 
 def inventory(files: DataFrame) -> DataFrame:

@@ -68,9 +68,15 @@ def synthetic_claims(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 
 
 def split_documents(docs: DataFrame, seed: int, share: float = 0.4) -> DataFrame:
-    """A seeded split stratified by form: calibration or test."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("form")
-    ranked = docs.withColumn("k", F.row_number().over(by.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))).withColumn("n", F.count("*").over(by))
-    return ranked.withColumn("part", F.when(F.col("k") <= F.floor(F.col("n") * share), "calibration").otherwise("test")).drop("k", "n")
+    """A seeded split stratified by form: calibration or test.
+
+    The floor(n * share) documents of a form with the least hashes are for calibration, by a
+    threshold that is searched without putting a form's documents into one task.
+    """
+    from ..operators.ledger import nearest_ranks
+
+    hashed = docs.withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    last = F.floor(F.col("n") * F.lit(str(share)).cast("decimal(6,4)"))
+    cut = nearest_ranks(hashed, "form", "_h", {"last": last}).select(F.col("form").alias("_form"), F.col("last").alias("_last"))
+    both = hashed.join(cut, F.col("form").eqNullSafe(F.col("_form")), "left")
+    return both.withColumn("part", F.when(F.col("_h") <= F.col("_last"), "calibration").otherwise("test")).drop("_h", "_form", "_last")

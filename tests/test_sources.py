@@ -1,6 +1,8 @@
 """Files, records, links and streams."""
 
-from fieldrail.operators import evaluation, linkage
+import random
+
+from fieldrail.operators import evaluation, ledger, linkage
 from fieldrail.sources import files, fixed_width, records
 from fieldrail.streaming import ledger as stream
 from pyspark.sql import functions as F
@@ -83,13 +85,44 @@ def test_links(spark):
     assert {r.doc: r.status for r in linkage.one_to_one(links).collect()} == {"a": "deterministic", "b": "ambiguous", "c": "no_match", "d": "ambiguous"}
 
 
-def test_many_anchors_are_dealt_by_their_heads(spark, monkeypatch):
-    items = spark.createDataFrame([(k, f"anchor{k}x") for k in range(30)], "r int, v string")
-    docs = spark.createDataFrame([(k, f"see anchor{k}x, twice anchor{k}x") for k in range(40)], "doc int, t string")
+def test_long_anchors_and_long_texts(spark, monkeypatch):
+    """Anchors longer than a slice, over the edges of blocks, against a plain search."""
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("ABCDE1") for _ in range(n))
+    texts = [letters(r.randint(0, 400)) for _ in range(30)]
+    anchors = [(k, r.choice(texts)[i : i + r.choice((5, 8, 40, 120))]) for k in range(60) if (i := r.randrange(200)) >= 0]
+    items = spark.createDataFrame(anchors, "r int, v string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, t string")
     found = linkage.anchors(items, "r", "v")
-    a = {tuple(r) for r in linkage.anchor_hits(docs, found, "doc", "t").collect()}
-    monkeypatch.setattr(linkage, "BROADCAST_ANCHORS", 3)
-    assert {tuple(r) for r in linkage.anchor_hits(docs, found, "doc", "t").collect()} == a and len(a) == 30
+    rows = [(x.record, x.anchor, x.weight) for x in found.collect()]
+    want = {}
+    for i, t in enumerate(texts):
+        for rec, anchor, weight in rows:
+            if anchor in t:
+                s, n = want.get((i, rec), (0, 0))
+                want[i, rec] = s + weight, n + 1
+    for size, stretch in ((48, 1024), (8, 16)):
+        monkeypatch.setattr(linkage, "SLICE", size)
+        monkeypatch.setattr(linkage, "STRETCH", stretch)
+        got = {(x.doc, x.record): (x.score, x.hits) for x in linkage.anchor_hits(docs, found, "doc", "t").collect()}
+        assert got == want and any(len(a) > 48 for _, a, _ in rows)
+
+
+def test_records_of_other_groups_do_not_collide(spark):
+    rows = [("a", "g1", "deterministic", 1, 5, 2), ("b", "g1", "deterministic", 1, 5, 1), ("c", "g2", "deterministic", 1, 1, 1), ("d", "g2", "no_match", None, 0, 0)]
+    links = spark.createDataFrame(rows, "doc string, grp string, status string, record int, score long, margin long")
+    got = {r.doc: (r.status, r.record) for r in linkage.one_to_one(links, ["grp"]).collect()}
+    assert got == {"a": ("deterministic", 1), "b": ("ambiguous", None), "c": ("deterministic", 1), "d": ("no_match", None)}
+
+
+def test_nearest_ranks_equal_sorting(spark):
+    r = random.Random(9)
+    rows = [(k % 3, float(r.choice((r.randrange(5), r.randrange(10_000))))) for k in range(3000)] + [(3, 7.0), (4, None)]
+    got = {x.k: (x.p5, x.p50, x.p95, x.p100) for x in ledger.percentiles(spark.createDataFrame(rows, "k int, v double"), "k", "v", (0.05, 0.5, 0.95, 1.0)).collect()}
+    for k in range(4):
+        own = sorted(v for i, v in rows if i == k)
+        assert got[k] == tuple(own[-(-len(own) * q // 100) - 1] for q in (5, 50, 95, 100))
+    assert set(got) == {0, 1, 2, 3}
 
 
 def test_blended_needs_every_document(spark):
