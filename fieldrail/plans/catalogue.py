@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import extraction, reports
+from . import extraction, reports, summaries
 
 
 def queries() -> dict:
-    return reports.Q | extraction.Q
+    return reports.Q | extraction.Q | summaries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return reports.SQL | extraction.SQL
+    return reports.SQL | extraction.SQL | summaries.SQL
