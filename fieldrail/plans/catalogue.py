@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import extraction, reports, summaries
+from . import extraction, policies, reports, summaries
 
 
 def queries() -> dict:
-    return reports.Q | extraction.Q | summaries.Q
+    return reports.Q | extraction.Q | summaries.Q | policies.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return reports.SQL | extraction.SQL | summaries.SQL
+    return reports.SQL | extraction.SQL | summaries.SQL | policies.SQL

@@ -313,6 +313,13 @@ def retry_delta(spark: SparkSession, d: str) -> DataFrame:
     return review.deltas(B.bind(spark, d, "SELECT event_id, user_id, event_id * 31 % 17 AS unresolved FROM {events}"), "user_id", "event_id", "unresolved")
 
 
-@query()
+_BUDGET = "SELECT CAST(user_id AS STRING) AS session, event_id AS call_id, ts, event_type || CAST(event_id % 4 AS STRING) AS fingerprint, (event_id % 9) / 1e3 AS cost_usd FROM {events}"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, call_id) AS k FROM ({B.duck(_BUDGET)})),
+r AS (SELECT session, k, call_id, 'ALLOW' AS decision, 1 AS n, cost_usd AS usd, [fingerprint] AS seen FROM o WHERE k = 1
+  UNION ALL SELECT o.session, o.k, o.call_id, d, r.n + CASE WHEN d = 'ALLOW' THEN 1 ELSE 0 END, r.usd + CASE WHEN d = 'ALLOW' THEN o.cost_usd ELSE 0 END, CASE WHEN d = 'ALLOW' THEN list_append(r.seen, o.fingerprint) ELSE r.seen END
+  FROM r JOIN o ON o.session = r.session AND o.k = r.k + 1, LATERAL (SELECT CASE WHEN list_contains(r.seen, o.fingerprint) THEN 'REUSED_CACHED_RESULT' WHEN r.n >= 5 THEN 'BLOCKED_CALL_COUNT' WHEN r.usd + o.cost_usd > 0.02 THEN 'BLOCKED_SESSION_BUDGET' ELSE 'ALLOW' END AS d) x)
+SELECT session, call_id, decision, usd AS spent_usd FROM r""")
 def budget_fold(spark: SparkSession, d: str) -> DataFrame:
-    return stream.budget_fold(B.bind(spark, d, "SELECT CAST(user_id AS STRING) AS session, event_id AS call_id, ts, event_type || CAST(event_id % 4 AS STRING) AS fingerprint, (event_id % 9) / 1e3 AS cost_usd FROM {events}"))
+    return stream.budget_fold(B.bind(spark, d, _BUDGET))

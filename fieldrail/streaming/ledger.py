@@ -73,32 +73,35 @@ def budget_stream(stream: DataFrame, most_calls: int = 5, most_usd: float = 0.02
 
 
 def budget_fold(calls: DataFrame, most_calls: int = 5, most_usd: float = 0.02) -> DataFrame:
-    """The same decisions over a whole table; a session's calls are one ordered fold.
+    """(session, call_id, decision, spent_usd): the same decisions over a whole table.
 
-    What a session keeps is bounded by its call limit; its rows are read in sorted order.
+    A session allows ``most_calls`` calls at most, so that many rounds find them: each looks for a session's
+    next call that fits, by an aggregate. All calls are then decided by what was allowed before them;
+    no task takes all calls of a session.
     """
-    slim = calls.select("session", "call_id", "ts", "fingerprint", "cost_usd").repartition("session").sortWithinPartitions("session", "ts", "call_id")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, n, usd, seen = None, 0, 0.0, set()
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                if row.session != now:
-                    now, n, usd, seen = row.session, 0, 0.0, set()
-                if row.fingerprint in seen:
-                    decision = "REUSED_CACHED_RESULT"
-                elif n >= most_calls:
-                    decision = "BLOCKED_CALL_COUNT"
-                elif usd + row.cost_usd > most_usd:
-                    decision = "BLOCKED_SESSION_BUDGET"
-                else:
-                    decision, n, usd = "ALLOW", n + 1, usd + row.cost_usd
-                    seen.add(row.fingerprint)
-                out.append((row.session, row.call_id, decision, usd))
-            yield pd.DataFrame(out, columns=["session", "call_id", "decision", "spent_usd"])
-
-    return slim.mapInPandas(fold, DECISIONS)
+    c = F.col
+    rows = calls.select("session", "call_id", "ts", "fingerprint", "cost_usd").withColumn("at", F.struct("ts", "call_id"))
+    none = "array<struct<at: struct<ts: timestamp, call_id: bigint>, fingerprint: string, cost_usd: double>>"
+    none = none.replace("timestamp", rows.schema["ts"].dataType.simpleString()).replace("bigint", rows.schema["call_id"].dataType.simpleString())
+    state = rows.select("session").distinct().withColumns({"allowed": F.array().cast(none), "usd": F.lit(0.0)})
+    for _ in range(most_calls):
+        later = F.coalesce(c("at") > F.get("allowed", F.size("allowed") - 1)["at"], F.lit(True))
+        fits = later & ~F.exists("allowed", lambda x: x["fingerprint"] == c("fingerprint")) & (c("usd") + c("cost_usd") <= most_usd)
+        found = F.min_by(F.when(fits, F.struct("at", "fingerprint", "cost_usd")), F.when(fits, c("at")))
+        state = rows.join(state, "session").groupBy("session").agg(F.first("allowed").alias("allowed"), F.first("usd").alias("usd"), found.alias("found"))
+        more = c("found").isNotNull()
+        state = state.select("session", F.when(more, F.concat("allowed", F.array("found"))).otherwise(c("allowed")).alias("allowed"), F.when(more, c("usd") + c("found.cost_usd")).otherwise(c("usd")).alias("usd"))
+    both = rows.join(state.select("session", "allowed"), "session")
+    before = F.filter("allowed", lambda x: x["at"] < c("at"))
+    spent = lambda some: F.aggregate(some, F.lit(0.0), lambda s, x: s + x["cost_usd"])
+    own = F.exists("allowed", lambda x: x["at"] == c("at"))
+    decision = (
+        F.when(F.exists(before, lambda x: x["fingerprint"] == c("fingerprint")), "REUSED_CACHED_RESULT")
+        .when(own, "ALLOW")
+        .when(F.size(before) >= most_calls, "BLOCKED_CALL_COUNT")
+        .otherwise("BLOCKED_SESSION_BUDGET")
+    )
+    return both.select("session", "call_id", decision.alias("decision"), (spent(before) + F.when(own, c("cost_usd")).otherwise(0.0)).alias("spent_usd"))
 
 
 def read_ledger_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
