@@ -65,7 +65,7 @@ def expected_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def denominators(expected: DataFrame, policy: DataFrame, visible: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, extended, primary, unknown) counts; primary has what is scored, and what is scored if visible."""
-    own = expected.filter(~blank(F.col("value"))).join(F.broadcast(policy), "field_name", "left").join(visible.select(*keys, "field_name").distinct().withColumn("seen", F.lit(True)), [*keys, "field_name"], "left")
+    own = expected.filter(~blank(F.col("value"))).join(policy, "field_name", "left").join(visible.select(*keys, "field_name").distinct().withColumn("seen", F.lit(True)), [*keys, "field_name"], "left")
     status = F.col("status")
     primary = (status == "primary_scored") | ((status == "conditional_scored") & F.col("seen").isNotNull())
     return own.groupBy(*keys).agg(F.count("*").alias("extended"), F.count_if(primary).alias("primary"), F.count_if(status.isNull()).alias("unknown"))

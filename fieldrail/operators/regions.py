@@ -32,12 +32,12 @@ def hits(line: float = 14.0) -> tuple[Column, Column]:
 def map_fields(spans: DataFrame, regions: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each page (keys) and region of its form: value in reading order, confidence, box, spans.
 
-    Regions are a fixed template and are sent to every task; pages without spans in
+    Spark broadcasts the regions where it finds them small enough; pages without spans in
     a region keep an empty field.
     """
     condition, order = hits()
-    wanted = pages.select(*keys, "form").join(F.broadcast(regions), "form").select(*keys, "field_name")
-    found = spans.join(F.broadcast(regions), "form").filter(condition)
+    wanted = pages.select(*keys, "form").join(regions, "form").select(*keys, "field_name")
+    found = spans.join(regions, "form").filter(condition)
     boxes = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     parts = F.array_sort(F.collect_list(F.struct(order.alias("o"), "text")))
     grouped = found.groupBy(*keys, "field_name").agg(F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("value"), F.bround(F.avg("conf"), 4).alias("conf"), F.count("*").alias("n_spans"), *boxes)

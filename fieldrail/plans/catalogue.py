@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import extraction, policies, reports, summaries
+from . import exports, extraction, policies, reports, summaries
 
 
 def queries() -> dict:
-    return reports.Q | extraction.Q | summaries.Q | policies.Q
+    return reports.Q | extraction.Q | summaries.Q | policies.Q | exports.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return reports.SQL | extraction.SQL | summaries.SQL | policies.SQL
+    return reports.SQL | extraction.SQL | summaries.SQL | policies.SQL | exports.SQL

@@ -7,7 +7,7 @@ number, so ordinals may have gaps.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import known
@@ -70,6 +70,33 @@ def lines(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select("path", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("row_no", "row"))
 
 
+def read_blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(path, row_no, row, ordinal, tag) of large files, what blocks() makes of lines(), read in splits.
+
+    A file is parted before its anchor rows (the separator of Spark's text source), so that every record is
+    one block and no task needs the file's begin; blocks are numbered by the counts of the splits before.
+    Files with a row of another width are left out.  Lines end in a line feed, with or without a carriage return.
+    """
+    width, anchor, _, tag = FORMATS[kind]
+    meta = F.col("_metadata")
+    text = spark.read.option("lineSep", "\n" + anchor).text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("n"), "value")
+    # only a file's first record has its anchor still; the others lost it to the separator
+    first = text.groupBy("path").agg(F.min_by("n", F.struct("split", "n")).alias("first"))
+    text = text.join(first, "path").withColumn("head", (F.col("n") == F.col("first")))
+    starts = F.col("value").startswith(anchor)
+    counted = text.groupBy("path", "split").agg(F.count_if(~F.col("head") | starts).alias("c"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select("path", "split", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    local = Window.partitionBy("path", "split").orderBy("n")
+    numbered = text.filter(~F.col("head") | starts).withColumn("local", F.row_number().over(local)).join(offsets, ["path", "split"])
+    whole = F.when(F.col("head"), F.col("value")).otherwise(F.concat(F.lit(anchor), "value"))
+    rows = F.transform(F.split(whole, "\n"), lambda r: F.regexp_replace(r, r"\r\z", ""))
+    blocks_ = numbered.select("path", (F.col("offset") + F.col("local")).alias("ordinal"), F.posexplode(rows).alias("row_no", "row"))
+    kept = blocks_.filter((F.col("row") != "") | (F.col("row_no") == 0))
+    bad = kept.filter(F.length("row") != width).select("path").distinct()
+    return kept.join(bad, "path", "left_anti").withColumn("tag", F.substring("row", 1, tag))
+
+
 def bad_widths(rows: DataFrame, kind: str) -> DataFrame:
     """(path, widths): files with a row of another width than the format's."""
     width = FORMATS[kind][0]
@@ -90,9 +117,9 @@ def blocks(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def records(rows: DataFrame, kind: str) -> DataFrame:
-    """(path, ordinal, format_name, field_name, value): the first row of each record type counts."""
+    """(path, ordinal, format_name, field_name, value): the first row of each record type counts; rows of lines() or read_blocks()."""
     patient = FORMATS[kind][2]
-    tagged = blocks(rows, kind)
+    tagged = rows if "ordinal" in rows.columns else blocks(rows, kind)
     fields, names = (NSF_FIELDS, NSF_NAMES) if kind == "NSF320" else (UB_FIELDS, UB_NAMES)
     tags = sorted({t for t, *_ in fields.values()} | {"XA0" if kind == "NSF320" else "90"})
     first = tagged.filter(F.col("tag").isin(*tags, patient)).groupBy("path", "ordinal").agg(*(F.min_by(F.when(F.col("tag") == t, F.col("row")), F.when(F.col("tag") == t, F.col("row_no"))).alias(f"r{t}") for t in tags))
@@ -111,7 +138,7 @@ def records(rows: DataFrame, kind: str) -> DataFrame:
 def service_lines(rows: DataFrame, kind: str) -> DataFrame:
     """(path, ordinal, line_no, field_name, value) of the repeating records, in record, row and slot order."""
     patient = FORMATS[kind][2]
-    tagged = blocks(rows, kind)
+    tagged = rows if "ordinal" in rows.columns else blocks(rows, kind)
     claims = tagged.filter(F.col("tag") == patient).select("path", "ordinal").distinct()
     if kind == "NSF320":
         items = {n: _at(F.col("row"), a, b) for n, (a, b) in NSF_LINE.items()} | {"charge": record_money(_at(F.col("row"), 71, 77)), "units": record_money(_at(F.col("row"), 82, 85), 1)}

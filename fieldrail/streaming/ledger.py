@@ -13,16 +13,24 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..sources.records import append_once
 
 
-def append_stream(stream: DataFrame, table: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Appends rows whose key the table doesn't have yet; a repeated batch adds nothing."""
+def append_stream(stream: DataFrame, table: str, keys: list[str], checkpoint: str, day: str | None = None) -> StreamingQuery:
+    """Appends rows whose key the table doesn't have yet; a repeated batch adds nothing.
+
+    day: a date column that goes with the key; the table is then written by day, and a batch reads the
+    days that it has rows of, not the whole table.
+    """
 
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(table)
         there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        old = spark.read.parquet(table) if there else spark.createDataFrame([], batch.schema)
-        append_once(old, batch, keys).write.mode("append").parquet(table)
+        old = spark.read.schema(batch.schema).parquet(table) if there else spark.createDataFrame([], batch.schema)
+        if day:
+            days = [r[0] for r in batch.select(day).distinct().collect()]  # days of one batch
+            old = old.filter(F.col(day).isin(*days) | (F.col(day).isNull() if None in days else F.lit(False)))
+        new = append_once(old, batch, keys).write.mode("append")
+        (new.partitionBy(day) if day else new).parquet(table)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

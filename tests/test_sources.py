@@ -183,3 +183,49 @@ def test_budget_stream_equals_fold(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     key = lambda r: (r.session, r.call_id, r.decision)
     assert sorted(map(key, spark.table("budgets").collect())) == sorted(map(key, stream.budget_fold(rows, most_calls=3).collect()))
+
+
+def test_blocks_read_in_splits_equal_whole_files(spark, tmp_path):
+    """Small splits, files with a lead before the first anchor, and one bad file."""
+    def file(n, lead=()):
+        rows = list(lead)
+        for k in range(n):
+            rows += [row(320, "BA0"), *([] if k % 5 == 3 else [row(320, "CA0", p6=f"acct{k}", p23="LAST", p43="F")]), row(320, "FA0", p60="99213", p71="0001000"), row(320, "XA0", p78="0001000")]
+        return "\r\n".join(rows) + "\r\n"
+
+    (tmp_path / "f").mkdir()
+    for name, text in (("a", file(40)), ("b", file(25, [row(320, "AA0")])), ("c", file(1)), ("d", file(3) + "short\r\n")):
+        (tmp_path / "f" / f"{name}.dat").write_bytes(text.encode("latin-1"))
+    whole = spark.read.format("binaryFile").load(str(tmp_path / "f")).select("path", "content")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        split = fixed_width.read_blocks(spark, str(tmp_path / "f"), "NSF320")
+        short = lambda frame: sorted(tuple(r[1:]) + (r.path.rsplit("/", 1)[-1],) for r in frame.collect())
+        assert short(fixed_width.records(split, "NSF320")) == short(fixed_width.records(fixed_width.lines(whole), "NSF320"))
+        assert short(fixed_width.service_lines(split, "NSF320")) == short(fixed_width.service_lines(fixed_width.lines(whole), "NSF320"))
+        assert {r.path.rsplit("/", 1)[-1] for r in split.select("path").distinct().collect()} == {"a.dat", "b.dat", "c.dat"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_stream_reads_only_the_days_of_a_batch(spark, tmp_path):
+    folder = ledger_files(tmp_path)
+    for check in ("c1", "c2"):
+        rows = stream.read_ledger_stream(spark, folder, records.LEDGER).withColumn("day", F.substring("ts", 1, 10))
+        stream.append_stream(rows, str(tmp_path / "out"), ["day", "doc_id"], str(tmp_path / check), "day").awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("doc_id").distinct().count() == 30 and (tmp_path / "out" / "day=2026-01-01").exists()
+
+
+def test_nothing_private_leaves(spark, tmp_path):
+    from fieldrail.operators import exports
+
+    inner = "struct<a:int,_b:int>"
+    rows = spark.createDataFrame([(1, {"x": (1, 2), "_y": (3, 4)}, [(5, 6)], (7, 8), 9), (2, None, None, None, None)], f"k int, m map<string,{inner}>, l array<{inner}>, s {inner}, _p int")
+    got = [r.asDict(True) for r in exports.public_view(rows).orderBy("k").collect()]
+    assert got == [{"k": 1, "m": {"x": {"a": 1}}, "l": [{"a": 5}], "s": {"a": 7}}, {"k": 2, "m": None, "l": None, "s": None}]
+    exports.write_json(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).columns == ["k", "l", "m", "s"]
+    exports.write_csv(rows.select("k"), str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
