@@ -230,6 +230,7 @@ def root_cause(state: Column, correct: Column, rule_failed: Column, truth: Colum
     bare = lambda x: F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\W", ""))
     spelled = lambda x: ~same(x, truth) & (bare(x) == bare(truth))
     n = F.length(F.coalesce(truth, F.lit("")))
+    # fixed names of causes
     rules = [
         ((state == HUMAN) & correct, "governor_threshold"),
         (rule_failed & correct, "validator_strictness"),

@@ -123,6 +123,7 @@ def revenue_code_format(value: Column, context: Context) -> Column:
     return _verdict(s.isin(*REVENUE) | _full(s, r"0\d{3}"), "bad revenue code")
 
 
+# Fixed wording: the details of verdicts are what users of such stamps read.
 RULES: dict[str, Callable[[Column, Context], Column]] = {
     "npi_checksum": npi_checksum,
     "cpt_format": _shape(r"\d{5}", "not 5 digits"),

@@ -2,57 +2,70 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values. name: criticality, letters (F flag allowed, O optional, X no external model), rules.
+@dataclass(frozen=True)
+class Policy:
+    """criticality; whether it may be blank, flagged, sent to a model outside; names of its rules."""
+
+    criticality: str
+    optional: bool = False
+    allow_flag: bool = False
+    external_allowed: bool = True
+    rules: str = ""
+
+
+# What holds for each field; names of service lines begin with "line:".
 POLICY = {
-    "insured_id": ("high", "", "id_format"),
-    "patient_name": ("high", "", "name_format"),
-    "patient_dob": ("high", "", "date_valid dob_before_service"),
-    "patient_sex": ("low", "F", ""),
-    "insured_name": ("med", "", "name_format"),
-    "patient_address": ("low", "FX", ""),
-    "patient_city": ("low", "F", ""),
-    "patient_state": ("low", "F", ""),
-    "patient_zip": ("med", "", "zip_format"),
-    "patient_relationship": ("low", "F", ""),
-    "insurance_plan_name": ("med", "", ""),
-    "diagnosis_code_a": ("high", "", "icd10_format icd10_dictionary"),
-    "diagnosis_code_b": ("high", "O", "icd10_format icd10_dictionary"),
-    "diagnosis_code_c": ("high", "O", "icd10_format icd10_dictionary"),
-    "diagnosis_code_d": ("high", "O", "icd10_format icd10_dictionary"),
-    "federal_tax_id": ("high", "", "tax_id_format"),
-    "patient_account_no": ("med", "", ""),
-    "total_charge": ("high", "", "currency_format claim_arithmetic"),
-    "amount_paid": ("med", "O", "currency_format"),
-    "billing_provider_name": ("med", "", "org_name_format"),
-    "billing_provider_npi": ("high", "", "npi_checksum"),
-    "referring_provider_npi": ("high", "O", "npi_checksum"),
-    "line:date_from": ("high", "", "date_valid dob_before_service"),
-    "line:date_to": ("med", "", "date_valid"),
-    "line:place_of_service": ("low", "F", ""),
-    "line:cpt_code": ("high", "", "cpt_format cpt_dictionary"),
-    "line:diagnosis_pointer": ("med", "F", ""),
-    "line:charges": ("high", "", "currency_format claim_arithmetic"),
-    "line:units": ("med", "", "numeric_format"),
-    "line:rendering_npi": ("high", "", "npi_checksum"),
-    "line:rev_code": ("high", "", "revenue_code_format"),
-    "line:hcpcs": ("med", "O", "cpt_format"),
-    "line:service_date": ("high", "", "date_valid dob_before_service"),
-    "provider_npi": ("high", "", "npi_checksum"),
-    "attending_npi": ("high", "", "npi_checksum"),
-    "principal_dx": ("high", "", "icd10_format icd10_dictionary"),
-    "total_charges": ("high", "", "currency_format claim_arithmetic"),
-    "statement_from": ("med", "", "date_valid"),
-    "statement_to": ("med", "", "date_valid"),
-    "admission_date": ("med", "", "date_valid"),
-    "federal_tax_no": ("high", "", "tax_id_format"),
-    "provider_name": ("med", "", "org_name_format"),
-    "payer_name": ("med", "", ""),
-    "patient_control_no": ("med", "", ""),
-    "medical_record_no": ("med", "", ""),
-    "type_of_bill": ("med", "", "numeric_format"),
+    "insured_id": Policy("high", rules="id_format"),
+    "patient_name": Policy("high", rules="name_format"),
+    "patient_dob": Policy("high", rules="date_valid dob_before_service"),
+    "patient_sex": Policy("low", allow_flag=True),
+    "insured_name": Policy("med", rules="name_format"),
+    "patient_address": Policy("low", allow_flag=True, external_allowed=False),
+    "patient_city": Policy("low", allow_flag=True),
+    "patient_state": Policy("low", allow_flag=True),
+    "patient_zip": Policy("med", rules="zip_format"),
+    "patient_relationship": Policy("low", allow_flag=True),
+    "insurance_plan_name": Policy("med"),
+    "diagnosis_code_a": Policy("high", rules="icd10_format icd10_dictionary"),
+    "diagnosis_code_b": Policy("high", optional=True, rules="icd10_format icd10_dictionary"),
+    "diagnosis_code_c": Policy("high", optional=True, rules="icd10_format icd10_dictionary"),
+    "diagnosis_code_d": Policy("high", optional=True, rules="icd10_format icd10_dictionary"),
+    "federal_tax_id": Policy("high", rules="tax_id_format"),
+    "patient_account_no": Policy("med"),
+    "total_charge": Policy("high", rules="currency_format claim_arithmetic"),
+    "amount_paid": Policy("med", optional=True, rules="currency_format"),
+    "billing_provider_name": Policy("med", rules="org_name_format"),
+    "billing_provider_npi": Policy("high", rules="npi_checksum"),
+    "referring_provider_npi": Policy("high", optional=True, rules="npi_checksum"),
+    "line:date_from": Policy("high", rules="date_valid dob_before_service"),
+    "line:date_to": Policy("med", rules="date_valid"),
+    "line:place_of_service": Policy("low", allow_flag=True),
+    "line:cpt_code": Policy("high", rules="cpt_format cpt_dictionary"),
+    "line:diagnosis_pointer": Policy("med", allow_flag=True),
+    "line:charges": Policy("high", rules="currency_format claim_arithmetic"),
+    "line:units": Policy("med", rules="numeric_format"),
+    "line:rendering_npi": Policy("high", rules="npi_checksum"),
+    "line:rev_code": Policy("high", rules="revenue_code_format"),
+    "line:hcpcs": Policy("med", optional=True, rules="cpt_format"),
+    "line:service_date": Policy("high", rules="date_valid dob_before_service"),
+    "provider_npi": Policy("high", rules="npi_checksum"),
+    "attending_npi": Policy("high", rules="npi_checksum"),
+    "principal_dx": Policy("high", rules="icd10_format icd10_dictionary"),
+    "total_charges": Policy("high", rules="currency_format claim_arithmetic"),
+    "statement_from": Policy("med", rules="date_valid"),
+    "statement_to": Policy("med", rules="date_valid"),
+    "admission_date": Policy("med", rules="date_valid"),
+    "federal_tax_no": Policy("high", rules="tax_id_format"),
+    "provider_name": Policy("med", rules="org_name_format"),
+    "payer_name": Policy("med"),
+    "patient_control_no": Policy("med"),
+    "medical_record_no": Policy("med"),
+    "type_of_bill": Policy("med", rules="numeric_format"),
 }
 ERROR_CATEGORIES = ("AUTHENTICATION_ERROR", "CONFIGURATION_ERROR", "CONTENT_BLOCKED", "INVALID_RESPONSE", "NETWORK_ERROR", "PROVIDER_5XX", "RATE_LIMIT", "TIMEOUT", "UNKNOWN_PROVIDER_ERROR", "UNSUPPORTED_IMAGE")
 
@@ -60,9 +73,9 @@ ERROR_CATEGORIES = ("AUTHENTICATION_ERROR", "CONFIGURATION_ERROR", "CONTENT_BLOC
 def field_policy(spark: SparkSession) -> DataFrame:
     """(base_name, scope, criticality, optional, allow_flag, external_allowed, validators)."""
     rows = []
-    for name, (criticality, letters, rules) in POLICY.items():
+    for name, own in POLICY.items():
         scope, _, base = name.rpartition(":")
-        rows.append((base, scope or "page", criticality, "O" in letters, "F" in letters, "X" not in letters, rules.split()))
+        rows.append((base, scope or "page", own.criticality, own.optional, own.allow_flag, own.external_allowed, own.rules.split()))
     return spark.createDataFrame(rows, "base_name string, scope string, criticality string, optional boolean, allow_flag boolean, external_allowed boolean, validators array<string>")
 
 
