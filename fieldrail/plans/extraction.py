@@ -496,16 +496,23 @@ def fixed_width_lines(spark: SparkSession, d: str) -> DataFrame:
     return fixed_width.service_lines(_nsf(spark, d), "NSF320")
 
 
-_FILE = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '{{\"fields\": {{\"a\": 1}}}}' WHEN 1 THEN 'NSF 320 Spec: ' || p_name WHEN 2 THEN rpad('BA0', 320, ' ') WHEN 3 THEN rpad('10', 192, ' ') WHEN 4 THEN '  ' ELSE '[1]' END AS t, 'part' || CAST(p_partkey AS STRING) AS name FROM {part}"
+_BODIES = """SELECT page_id, CASE page_id % 7 WHEN 0 THEN '{"fields": {"a": 1}, "n": ' || CAST(page_id AS STRING) || '}' WHEN 1 THEN 'NSF 320 Spec: ' || t WHEN 2 THEN rpad('BA0' || t, 320, '.') WHEN 3 THEN rpad('10' || t, 192, '.') WHEN 4 THEN '  ' WHEN 5 THEN '%PDF-1.7 ' || t ELSE t END AS body
+ FROM (SELECT page_id, regexp_replace(COALESCE(html, ''), '[^a-z0-9<>/ ]+', '') AS t FROM pages)"""
+_WIDTH = "len(list_distinct(list_transform(list_filter(string_split_regex(body, '\\r\\n|\\r|\\n'), lambda x: trim(x) <> ''), lambda x: length(x)))) = 1 AND length(list_filter(string_split_regex(body, '\\r\\n|\\r|\\n'), lambda x: trim(x) <> '')[1])"
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'JSON' WHEN 2 THEN 'NSF320' WHEN 3 THEN 'UB192' WHEN 4 THEN 'EMPTY' ELSE 'TEXT' END AS format, CASE p_partkey % 6 WHEN 0 THEN 'expected_output' WHEN 1 THEN 'specification' WHEN 2 THEN 'expected_output' WHEN 3 THEN 'expected_output' ELSE 'unknown' END AS role FROM part""")
+@query(f"""WITH p AS ({_BODIES.replace("+', '')", "+', '', 'g')")}), f AS (SELECT page_id, body, CASE WHEN contains(body[1:1024], '%PDF-') THEN 'PDF' WHEN trim(body) = '' THEN 'EMPTY' WHEN {_WIDTH} = 320 THEN 'NSF320' WHEN {_WIDTH} = 192 THEN 'UB192' WHEN json_type(TRY_CAST(body AS JSON)) = 'OBJECT' THEN 'JSON' ELSE 'TEXT' END AS format FROM p)
+SELECT page_id, format, CASE WHEN format = 'PDF' THEN CASE WHEN page_id % 2 = 0 THEN 'attachment' ELSE 'claim_document' END WHEN format IN ('NSF320', 'UB192') THEN 'expected_output' WHEN format = 'JSON' AND json_type(TRY_CAST(body AS JSON), '$.fields') = 'OBJECT' THEN 'expected_output'
+ WHEN format = 'TEXT' AND ({' OR '.join(f"contains(regexp_replace(upper(CASE WHEN page_id % 2 = 0 THEN 'fax_cover.txt' ELSE 'page.txt' END || ' ' || body[1:4096]), '[^A-Z0-9]+', ' ', 'g'), '{m}')" for m in files.SPEC_MARKERS)}) THEN 'specification' ELSE 'unknown' END AS role FROM f""")
 def sniff_formats(spark: SparkSession, d: str) -> DataFrame:
-    p = B.bind(spark, d, "SELECT p_partkey, p_name FROM {part}")
-    k = F.col("p_partkey") % 6
-    text = F.when(k == 0, '{"fields": {"a": 1}}').when(k == 1, F.concat(F.lit("NSF 320 Spec: "), "p_name")).when(k == 2, F.rpad(F.lit("BA0"), 320, " ")).when(k == 3, F.rpad(F.lit("10"), 192, " ")).when(k == 4, "  ").otherwise("[1]")
-    f = p.select("p_partkey", F.encode(text, "UTF-8").alias("content"), F.lit("part.txt").alias("name")).withColumn("format", files.detect_format(F.col("content")))
-    return f.select("p_partkey", "format", files.role(F.col("name"), F.col("format"), F.col("content")).alias("role"))
+    """Formats and roles of files whose bodies are the pages' own text, some of them dressed up."""
+    p = B.bind(spark, d, "SELECT page_id, html FROM {pages}")
+    t = F.regexp_replace(F.coalesce("html", F.lit("")), "[^a-z0-9<>/ ]+", "")
+    k = F.col("page_id") % 7
+    body = F.when(k == 0, F.concat(F.lit('{"fields": {"a": 1}, "n": '), "page_id", F.lit("}"))).when(k == 1, F.concat(F.lit("NSF 320 Spec: "), t)).when(k == 2, F.rpad(F.concat(F.lit("BA0"), t), 320, ".")).when(k == 3, F.rpad(F.concat(F.lit("10"), t), 192, ".")).when(k == 4, "  ").when(k == 5, F.concat(F.lit("%PDF-1.7 "), t)).otherwise(t)
+    name = F.when(F.col("page_id") % 2 == 0, "fax_cover.txt").otherwise("page.txt")
+    f = p.select("page_id", F.encode(body, "UTF-8").alias("content"), name.alias("name")).withColumn("format", files.detect_format(F.col("content")))
+    return f.select("page_id", "format", files.role(F.col("name"), F.col("format"), F.col("content")).alias("role"))
 
 
 @query("""SELECT o_orderkey, 'line' || n || '_' || k AS field_name, CASE k WHEN 'charges' THEN CAST(o_orderkey % 50 + n AS VARCHAR) ELSE '1' END AS value FROM orders, (VALUES (1), (2), (3)) a(n), (VALUES ('charges'), ('units')) b(k) WHERE n <= o_orderkey % 3 + 1""")
@@ -541,25 +548,26 @@ def _oversight():
     return oversight
 
 
-_ANSWER = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'I think it says 5' WHEN 1 THEN '{{"value": "a", "visible_text": "a"}}' WHEN 2 THEN '[1]' WHEN 3 THEN '{{"value": "' || event_type || '", "visible_text": " x ", "confidence": 1.5, "reason": "r"}}'
- WHEN 4 THEN '{{"value": "", "visible_text": "", "confidence": "low", "reason": ""}}' ELSE '{{"reason": "r", "value": "v", "visible_text": "v", "confidence": 0.5}}' END AS t FROM {events}"""
+_SAID = "SELECT conv_id, turn, COALESCE(text, '') AS t, (conv_id + turn) % 6 AS k FROM {conversations}"
+_FOLDED = f"regexp_replace(translate(t, '{X.MARKS.replace(chr(39), chr(39) * 2)}', '{X.PLAIN.replace(chr(39), chr(39) * 2)}'), '^{_SP}+|{_SP}+$', '', 'g')"
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 3 THEN event_type WHEN 5 THEN 'v' END AS value, CASE event_id % 6 WHEN 3 THEN 'x' WHEN 4 THEN '' WHEN 5 THEN 'v' END AS visible_text, CASE event_id % 6 WHEN 3 THEN 1e0 WHEN 5 THEN 0.5e0 ELSE 0e0 END AS confidence,
- CASE event_id % 6 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'response keys must be exactly confidence, reason, value, visible_text' WHEN 2 THEN 'response keys must be exactly confidence, reason, value, visible_text' END AS error FROM events""")
+@query(f"""SELECT conv_id, turn, CASE WHEN k IN (3, 5) THEN NULLIF({_FOLDED}, '') END AS value, CASE k WHEN 3 THEN 'x' WHEN 4 THEN {_FOLDED} WHEN 5 THEN {_FOLDED} END AS visible_text, CASE k WHEN 3 THEN 1e0 WHEN 5 THEN (conv_id % 10) / 1e1 ELSE 0e0 END AS confidence, CASE k WHEN 3 THEN substr(t, 1, 120) WHEN 4 THEN '' WHEN 5 THEN 'r' END AS reason,
+ CASE k WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'response keys must be exactly confidence, reason, value, visible_text' WHEN 2 THEN 'response keys must be exactly confidence, reason, value, visible_text' END AS error FROM ({B.duck(_SAID)})""")
 def answer_parse(spark: SparkSession, d: str) -> DataFrame:
-    e = B.bind(spark, d, "SELECT event_id, event_type FROM {events}")
-    k = F.col("event_id") % 6
+    """Whole turns as answers of several shapes, right and wrong."""
+    c, t = F.col, F.col("t")
+    s = B.bind(spark, d, _SAID)
+    made = lambda **parts: F.to_json(F.struct(*(v.alias(n) for n, v in parts.items())))
     text = (
-        F.when(k == 0, "I think it says 5")
-        .when(k == 1, '{"value": "a", "visible_text": "a"}')
-        .when(k == 2, "[1]")
-        .when(k == 3, F.concat(F.lit('{"value": "'), "event_type", F.lit('", "visible_text": " x ", "confidence": 1.5, "reason": "r"}')))
-        .when(k == 4, '{"value": "", "visible_text": "", "confidence": "low", "reason": ""}')
-        .otherwise('{"reason": "r", "value": "v", "visible_text": "v", "confidence": 0.5}')
+        F.when(c("k") == 0, F.concat(F.lit("I think it says "), t))
+        .when(c("k") == 1, made(value=t, visible_text=t))
+        .when(c("k") == 2, F.to_json(F.array(t)))
+        .when(c("k") == 3, made(value=t, visible_text=F.lit(" x "), confidence=F.lit(1.5), reason=t))
+        .when(c("k") == 4, made(value=F.lit(""), visible_text=t, confidence=F.lit("low"), reason=F.lit("")))
+        .otherwise(made(reason=F.lit("r"), value=t, visible_text=t, confidence=(c("conv_id") % 10) / 10.0))
     )
-    out = e.withColumn("a", _oversight().parse_answer(text))
-    return out.select("event_id", "a.value", "a.visible_text", "a.confidence", "a.error")
+    return s.withColumn("a", _oversight().parse_answer(text)).select("conv_id", "turn", "a.value", "a.visible_text", "a.confidence", "a.reason", "a.error")
 
 
 _REC = "SELECT o_orderkey AS rec, CASE WHEN o_orderkey % 2 = 0 THEN 'NSF320' ELSE 'UB192' END AS format_name, f AS field_name, CASE WHEN f = 'attending_qualifier' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'XX' ELSE 'YY' END WHEN o_orderkey % 5 = 0 AND f = 'diagnosis_2' THEN '' ELSE f || CAST(o_orderkey AS STRING) END AS value FROM {orders}, (SELECT DISTINCT CASE r_regionkey WHEN 0 THEN 'provider_name' WHEN 1 THEN 'diagnosis_2' WHEN 2 THEN 'attending_qualifier' WHEN 3 THEN 'attending_identifier' ELSE 'referring_npi' END AS f FROM {region}) x"
