@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .span_memo import SpanMemo
+from .span_memo import SpanMemo, flat
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -186,7 +186,7 @@ class Codec:
         self.memo = SpanMemo(self._spans)
         self.surface = surfaces(self.model)
 
-    def _spans(self, spans: list[str]) -> list[list[int]]:
+    def _spans(self, spans: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         ids = [e.ids for e in self.bare.encode_batch_fast(spans, add_special_tokens=False)]
         if self.other:
@@ -195,7 +195,7 @@ class Codec:
             for span, own, want in zip(spans, ids, self.other.encode([s[1:] for s in spans], num_threads=1)):
                 if own != (lone if span == " " else want):
                     self.unlike.add(span.encode())
-        return ids
+        return spans, *flat(ids)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first id of each text, parity of each text)."""

@@ -16,10 +16,19 @@ os.environ.setdefault("RAYON_NUM_THREADS", "2")  # threads of the tokenizers lib
 MOST = 1 << 19
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of lists of ids."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+
 class SpanMemo:
-    """encode: the ids of each of a list of texts. Bounded memory; results don't depend on it."""
+    """Bounded memory; results don't depend on it.
+
+    encode: (the texts in an order of its own, their ids one after the other, number of ids of each) of a list of texts.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = MOST) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], most: int = MOST) -> None:
         self.encode, self.most = encode, most
         self.index: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
@@ -39,8 +48,7 @@ class SpanMemo:
         self.batches[:] = 0
 
     def _learn(self, keys: list[bytes]) -> None:
-        lists = self.encode([k.decode() for k in keys])
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        texts, ids, sizes = self.encode([k.decode() for k in keys])
         at, total = len(self.index), int(sizes.sum())
         end = int(self.first[at])
         while end + total > len(self.ids):
@@ -48,9 +56,9 @@ class SpanMemo:
         while at + len(keys) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             self.batches = np.concatenate([self.batches, np.zeros_like(self.batches)])
-        self.ids[end : end + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
+        self.ids[end : end + total] = ids
         self.first[at + 1 : at + 1 + len(keys)] = end + np.cumsum(sizes)
-        self.index.update(zip(keys, range(at, at + len(keys))))
+        self.index.update(zip((t.encode() for t in texts), range(at, at + len(texts))))
 
     def spans(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all spans in order, number of ids of each span)."""

@@ -15,12 +15,15 @@ from functools import lru_cache
 import numpy as np
 
 from . import kernels as K
-from .span_memo import SpanMemo
+from .span_memo import SpanMemo, flat
 
 _LETTER = np.array([chr(c).isascii() and chr(c).isalpha() for c in range(256)])
-#: Marks that end words; a cut before a run of them is a cut between pre-tokens.
+_OTHER = (~_LETTER).astype(np.int32)
+#: Marks that end words; a cut between a letter and a run of them at a word's end is a cut between pre-tokens.
 _TAIL = np.zeros(256, bool)
-_TAIL[list(b".,!?;:")] = True
+_TAIL[list(b".,!?;:$&%*#\"()[]{}-_/+=@~^`\\")] = True
+#: Words that go to the library in one text.
+TOGETHER = 256
 
 
 def drops_space(spec: dict) -> bool:
@@ -64,19 +67,28 @@ class TextTokens:
         self.lowers = self.lowers and not any(_PLAIN.fullmatch(t.decode().lower()) for t in self.special)
         self.bare = None
         if self.lowers:
-            step = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
+            step = {"type": "Sequence", "pretokenizers": [lines, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
             self.bare = Tokenizer.from_str(json.dumps(parsed | {"normalizer": None, "pre_tokenizer": step, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}))
             self.bare.model._resize_cache(0)  # every word comes once
         self.memo = SpanMemo(self._words)
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        """Plain words skip the normaliser and the matcher, which would not change them."""
+    def _words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Plain words skip the normaliser and the matcher, which would not change them, and go many at a time, a line each."""
         if self.bare is None:
-            return self._ids(words)
-        plain = list(map(_PLAIN.fullmatch, words))
-        own = iter(self._run(self.bare, [w for w, p in zip(words, plain) if p]))
-        rest = iter(self._run(self.tokenizer, [w for w, p in zip(words, plain) if not p]))
-        return [next(own) if p else next(rest) for p in plain]
+            return words, *flat(self._ids(words))
+        plain, rest = [], []
+        for word in words:
+            (plain if _PLAIN.fullmatch(word) else rest).append(word)
+        lists, sizes = [], []
+        for lo in range(0, len(plain), TOGETHER):
+            own = plain[lo : lo + TOGETHER]
+            found = self.bare.encode("\n".join(own), add_special_tokens=False)
+            lists.append(found.ids)
+            sizes.append(np.bincount(found.word_ids, minlength=len(own)))
+        ids, _ = flat(lists)
+        more, own = flat(self._ids(rest))
+        return plain + rest, np.concatenate([ids, more]), np.concatenate([*sizes, own])
 
     @staticmethod
     def _run(tokenizer, texts: list[str]) -> list[list[int]]:
@@ -89,12 +101,13 @@ class TextTokens:
     @staticmethod
     def _lowered(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """Spans of ASCII letters only in lower case, so that they are encoded once; in others the library's normaliser may see more than letters."""
-        other = np.r_[0, np.cumsum(~_LETTER[buf])]
-        only = other[s] == other[e]
-        edge = np.zeros(len(buf) + 1, np.int8)
-        edge[s[only]] += 1
-        edge[e[only]] -= 1
-        return np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, K.LOWER[buf], buf)
+        other = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(_OTHER[buf], out=other[1:])
+        mixed = np.flatnonzero(other[s] != other[e])
+        out = K.LOWER[buf]
+        at = K.ranges(s[mixed], e[mixed] - s[mixed])
+        out[at] = buf[at]
+        return out
 
     def spans(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, first, ids, count): stretches whose ids follow each other, and their ids.

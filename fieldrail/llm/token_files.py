@@ -118,7 +118,7 @@ def _encode(spec, end_id: int, file_ids: int):
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, offsets = K.texts(batch.column(1))
-            for lo, hi in K.groups(offsets, min(2 << 20, 2 * file_ids)):
+            for lo, hi in K.groups(offsets, min(4 << 20, 2 * file_ids)):
                 ids, first = tokens.encode(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 out = np.insert(ids, first[1:], end_id).astype(np.uint32)
                 held.append((out, docs[lo:hi], np.diff(first) + 1, known[lo:hi]))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.decisions import HUMAN, TERMINAL, clip
-from ..functions.text import blank, first_reason, fold_marks, hash_id, strip
+from ..functions.decisions import ANSWER_SHAPES, HUMAN, TERMINAL, answer_type, clip
+from ..functions.text import blank, first_reason, fold_marks, hash_id, strip, strip_fence
 from ..functions.typed import ratio
 from .ledger import total
 
 # Fixed keys of a strict answer, names of the specification in the extraction schema, failure mix of the double.
 ANSWER_KEYS = ("confidence", "reason", "value", "visible_text")
+CONTRACT_KEYS = ("confidence", "value", "visible")
 ALIASES = {"referring_npi": "referring_provider_npi", "diagnosis_1": "diagnosis_code_a", "diagnosis_2": "diagnosis_code_b", "diagnosis_3": "diagnosis_code_c", "diagnosis_4": "diagnosis_code_d"}
 NSF_ALIASES = {"provider_name": "billing_provider_name", "provider_npi": "billing_provider_npi"}
 NSF_LINE = {"service_from": "date_from", "service_to": "date_to", "place_of_service": "place_of_service", "procedure_code": "cpt_code", "diagnosis_pointer": "diagnosis_pointer", "charge": "charges", "units": "units"}
@@ -39,6 +40,45 @@ def parse_answer(text: Column) -> Column:
     )
 
 
+def contract_answer(text: Column, name: Column, most: int = 120) -> Column:
+    """(value, visible, confidence, reject) of a JSON answer with exactly value, visible and confidence.
+
+    The first rule that is broken rejects it: a JSON object, its keys, types, bounds, nothing seen but something
+    said, too long for a box, not of the field's shape. A value that is blank is a blank box.
+    """
+    body = strip_fence(F.coalesce(text, F.lit("")))
+    v = F.try_parse_json(body)
+    keys = F.array_sort(F.json_object_keys(body))
+    kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("VOID"))
+    number = kind("confidence").rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    visible, confidence = F.try_variant_get(v, "$.visible", "boolean"), F.try_variant_get(v, "$.confidence", "double")
+    value = F.nullif(strip(fold_marks(F.try_variant_get(v, "$.value", "string"))), F.lit(""))
+    shape, bare = answer_type(name), F.replace(value, F.lit(" "), F.lit(""))
+    shaped = F.lit(True)
+    for k, pattern in ANSWER_SHAPES.items():
+        shaped = F.when(shape == k, bare.rlike(pattern)).otherwise(shaped)
+    reject = F.nullif(
+        first_reason(
+            (F.trim(body) == "", "empty"),
+            (v.isNull(), "no JSON"),
+            (~F.schema_of_variant(v).startswith("OBJECT"), "no object"),
+            (F.size(F.array_except(F.array(*map(F.lit, CONTRACT_KEYS)), keys)) > 0, "missing keys"),
+            (F.size(keys) > len(CONTRACT_KEYS), "more keys"),
+            (~kind("value").isin("STRING", "VOID"), "value type"),
+            (kind("visible") != "BOOLEAN", "visible type"),
+            (~number, "confidence type"),
+            (~confidence.between(0, 1), "confidence bounds"),
+            (~visible & value.isNotNull(), "unseen value"),
+            (F.coalesce(F.length(value) > most, F.lit(False)), "too long"),
+            (F.coalesce(~shaped, F.lit(False)), "shape"),
+            otherwise="",
+        ),
+        F.lit(""),
+    )
+    fine = reject.isNull()
+    return F.struct(F.when(fine, value).alias("value"), F.when(fine, visible).alias("visible"), F.when(fine, confidence).alias("confidence"), reject.alias("reject"))
+
+
 def expected_names(records: DataFrame, keys: list[str]) -> DataFrame:
     """Records' fields (format_name, field_name, value) under the schema's names; the attending id only with qualifier XX."""
     name, nsf = F.col("field_name"), F.col("format_name") == "NSF320"

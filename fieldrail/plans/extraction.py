@@ -570,6 +570,27 @@ def answer_parse(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("a", _oversight().parse_answer(text)).select("conv_id", "turn", "a.value", "a.visible_text", "a.confidence", "a.reason", "a.error")
 
 
+_KINDS = f"""SELECT conv_id, turn, t, k, v, CASE WHEN trim(t) = '' AND k = 0 THEN 'empty' WHEN k = 0 THEN 'no JSON' WHEN k = 1 THEN 'no object' WHEN k = 2 THEN 'missing keys' WHEN k = 3 THEN 'more keys' WHEN k = 4 THEN 'value type' WHEN k = 5 THEN 'visible type' WHEN k = 6 THEN 'confidence type' WHEN k = 7 THEN 'confidence bounds'
+ WHEN k = 8 AND v <> '' THEN 'unseen value' WHEN k >= 8 AND length(v) > 120 THEN 'too long' WHEN k = 10 AND v <> '' AND NOT regexp_matches(replace(v, ' ', ''), '^\\d{{5}}(-\\d{{4}})?$') THEN 'shape' END AS reject
+FROM (SELECT conv_id, turn, t, (conv_id + turn) % 11 AS k, {_FOLDED} AS v FROM (SELECT conv_id, turn, COALESCE(text, '') AS t FROM conversations))"""
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN reject IS NULL THEN NULLIF(v, '') END AS value, CASE WHEN reject IS NULL THEN k <> 8 END AS visible, CASE WHEN reject IS NULL THEN (conv_id % 10) / 1e1 END AS confidence, reject FROM ({_KINDS})""")
+def contract_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Whole turns as three-key answers, right and wrong in each way."""
+    c, t = F.col, F.col("t")
+    s = B.bind(spark, d, "SELECT conv_id, turn, COALESCE(text, '') AS t, (conv_id + turn) % 11 AS k FROM {conversations}")
+    made = lambda **parts: F.to_json(F.struct(*(v.alias(n) for n, v in parts.items())))
+    yes, conf = F.lit(True), (c("conv_id") % 10) / 10.0
+    text = F.when(c("k") == 0, F.when(F.trim(t) == "", t).otherwise(F.concat(F.lit("says "), t)))
+    wrong = (F.to_json(F.array(t)), made(value=t, visible=yes), made(value=t, visible=yes, confidence=conf, reason=t), made(value=c("turn"), visible=yes, confidence=conf), made(value=t, visible=F.lit("yes"), confidence=conf), made(value=t, visible=yes, confidence=F.lit("1")), made(value=t, visible=yes, confidence=F.lit(1.5)), made(value=t, visible=F.lit(False), confidence=conf))
+    for k, w in enumerate(wrong, 1):
+        text = text.when(c("k") == k, w)
+    text = text.otherwise(F.concat(F.lit("```json\n"), made(value=t, visible=yes, confidence=conf), F.lit("\n```")))
+    name = F.when(c("k") == 10, "patient_zip").otherwise("patient_name")
+    return s.select("conv_id", "turn", _oversight().contract_answer(text, name).alias("a")).select("conv_id", "turn", "a.*")
+
+
 _REC = "SELECT o_orderkey AS rec, CASE WHEN o_orderkey % 2 = 0 THEN 'NSF320' ELSE 'UB192' END AS format_name, f AS field_name, CASE WHEN f = 'attending_qualifier' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'XX' ELSE 'YY' END WHEN o_orderkey % 5 = 0 AND f = 'diagnosis_2' THEN '' ELSE f || CAST(o_orderkey AS STRING) END AS value FROM {orders}, (SELECT DISTINCT CASE r_regionkey WHEN 0 THEN 'provider_name' WHEN 1 THEN 'diagnosis_2' WHEN 2 THEN 'attending_qualifier' WHEN 3 THEN 'attending_identifier' ELSE 'referring_npi' END AS f FROM {region}) x"
 
 

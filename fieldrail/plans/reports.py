@@ -218,7 +218,8 @@ def recommend_point(spark: SparkSession, d: str) -> DataFrame:
 
 
 # failures ------------------------------------------------------------------
-_FAIL = """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN 'clean' WHEN l_partkey % 3 = 1 THEN 'noisy' ELSE 'ugly' END AS tier, l_returnflag AS field_name,
+_FAIL = """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN 'clean' WHEN l_partkey % 3 = 1 THEN 'noisy' ELSE 'ugly' END AS tier, l_returnflag AS field_name, CASE WHEN l_suppkey % 9 < 5 THEN 'cms1500' ELSE 'ub04' END AS document_type, CASE WHEN l_suppkey % 8 < 3 THEN 'high' WHEN l_suppkey % 8 < 6 THEN 'med' ELSE 'low' END AS criticality,
+  CASE WHEN l_partkey % 11 <> 0 THEN 'none' WHEN l_suppkey % 2 = 0 THEN 'currency_format' ELSE 'claim_arithmetic;currency_format' END AS validator_failure, CASE WHEN l_partkey % 3 = 0 THEN 'clean' WHEN l_partkey % 3 = 1 THEN 'noisy' ELSE 'ugly' END AS image_quality,
   CASE WHEN l_suppkey % 4 = 0 THEN 'HUMAN_REVIEW' ELSE 'ACCEPT' END AS state, l_suppkey % 5 = 0 AS correct, l_partkey % 11 = 0 AS rule_failed, l_partkey % 13 = 0 AS rejected,
   CASE WHEN l_partkey % 7 = 0 THEN 'Alphabetic Truth Of Some Length' WHEN l_partkey % 7 = 1 THEN 'ab' ELSE 'T' || CAST(l_partkey AS STRING) || '-x' END AS truth,
   CASE WHEN l_partkey % 5 = 0 THEN 'T' || CAST(l_partkey AS STRING) || 'X' WHEN l_partkey % 5 = 1 THEN '' ELSE 'zz' END AS final_value,
@@ -238,7 +239,7 @@ c AS (SELECT *, CASE WHEN state = 'HUMAN_REVIEW' AND correct THEN 'governor_thre
 r AS (SELECT *, CASE cause WHEN 'governor_threshold' THEN 'governor_threshold_calibration' WHEN 'validator_strictness' THEN 'validator_correction' WHEN 'normalization' THEN 'deterministic_normalization' WHEN 'oracle_limitation' THEN 'multimodal_escalation'
   WHEN 'crop_accuracy' THEN 'better_local_crop_strategy' WHEN 'ocr_segmentation' THEN 'field_specific_ocr_mode' WHEN 'field_mapping' THEN 'better_local_crop_strategy' WHEN 'preprocessing' THEN 'better_local_crop_strategy' ELSE 'human_review_only' END AS resolution FROM c)
 """
-_DIMS = ("tier", "field_name", "primary_outcome", "retry_outcome", "escalation_outcome", "character_type", "character_length", "crop", "cause", "resolution")
+_DIMS = ("tier", "document_type", "field_name", "criticality", "validator_failure", "image_quality", "primary_outcome", "retry_outcome", "escalation_outcome", "character_type", "character_length", "crop", "cause", "resolution")
 
 
 def _failures(spark: SparkSession, d: str) -> DataFrame:
@@ -260,9 +261,9 @@ def failure_histograms(spark: SparkSession, d: str) -> DataFrame:
     return calibration.histograms(_failures(spark, d), list(_DIMS[:-1]), {"resolution": D.resolution_of(F.col("cause"))})
 
 
-@query(_CAUSES + "SELECT tier, field_name, cause, resolution, COUNT(*) AS n FROM r GROUP BY ALL ORDER BY n DESC, tier, field_name, cause, resolution LIMIT 20")
+@query(_CAUSES + "SELECT tier, document_type, field_name, cause, resolution, COUNT(*) AS n FROM r GROUP BY ALL ORDER BY n DESC, tier, document_type, field_name, cause, resolution LIMIT 20")
 def failure_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.clusters(_failures(spark, d).withColumn("resolution", D.resolution_of(F.col("cause"))), ["tier", "field_name", "cause", "resolution"])
+    return calibration.clusters(_failures(spark, d).withColumn("resolution", D.resolution_of(F.col("cause"))), ["tier", "document_type", "field_name", "cause", "resolution"])
 
 
 @query(_CAUSES + f"SELECT x AS resolution, COUNT(r.resolution) AS n FROM (VALUES {', '.join(f"('{x}')" for x in calibration.RESOLUTIONS)}) t(x) LEFT JOIN r ON r.resolution = x GROUP BY x")
