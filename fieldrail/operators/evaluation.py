@@ -112,9 +112,9 @@ def per_tier(rows: DataFrame, tier: str, expected: DataFrame | None = None, keys
 def arms(rows: DataFrame, arm_struct: str) -> DataFrame:
     """A struct of ablation arms as rows, aggregated by arm."""
     names = rows.schema[arm_struct].dataType.names
-    one = rows.select("criticality", F.inline(F.array(*(F.struct(F.lit(n).alias("arm"), F.col(f"{arm_struct}.{n}.correct").alias("correct"), F.col(f"{arm_struct}.{n}.state").alias("state"), F.col(f"{arm_struct}.{n}.cost_usd").alias("cost_usd")) for n in names))))
+    one = rows.select("criticality", F.inline(F.array(*(F.struct(F.lit(n).alias("arm"), F.col(f"{arm_struct}.{n}.correct").alias("correct"), F.col(f"{arm_struct}.{n}.state").alias("state"), F.col(f"{arm_struct}.{n}.cost_usd").alias("cost_usd"), F.col(f"{arm_struct}.{n}.latency_ms").alias("latency_ms")) for n in names))))
     crit = F.col("criticality") == "high"
-    out = one.groupBy("arm").agg(F.count("*").alias("fields"), F.count_if("correct").alias("right"), F.count_if(crit).alias("critical"), F.count_if(crit & F.col("correct")).alias("critical_right"), F.count_if(~F.col("state").isin(*TERMINAL)).alias("unresolved"), F.sum(F.col("cost_usd").cast("decimal(38,8)")).cast("double").alias("cost_usd"))
+    out = one.groupBy("arm").agg(F.count("*").alias("fields"), F.count_if("correct").alias("right"), F.count_if(crit).alias("critical"), F.count_if(crit & F.col("correct")).alias("critical_right"), F.count_if(~F.col("state").isin(*TERMINAL)).alias("unresolved"), F.sum(F.col("cost_usd").cast("decimal(38,8)")).cast("double").alias("cost_usd"), F.bround(F.avg(F.col("latency_ms").cast("decimal(20,8)")).cast("double"), 4).alias("mean_latency_ms"))
     return out.withColumns({"accuracy": ratio(F.col("right"), F.col("fields"), 6), "critical_accuracy": ratio(F.col("critical_right"), F.col("critical"), 6)})
 
 

@@ -12,11 +12,15 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
-def resolve(template: DataFrame, extent: tuple[float, float, float, float], pad: float = PAD) -> DataFrame:
-    """Template fractions as page boxes, padded."""
+def resolve(template: DataFrame, extent: tuple[float, float, float, float], pad: float = PAD, page: tuple[float, float] | None = None) -> DataFrame:
+    """Template fractions as page boxes, padded, and within a page of the given width and height."""
     x0, y0, x1, y1 = extent
     w, h = x1 - x0, y1 - y0
-    return template.withColumns({"fx0": x0 + F.col("x0") * w - pad, "fy0": y0 + F.col("y0") * h - pad, "fx1": x0 + F.col("x1") * w + pad, "fy1": y0 + F.col("y1") * h + pad}).drop("x0", "y0", "x1", "y1")
+    out = template.withColumns({"fx0": x0 + F.col("x0") * w - pad, "fy0": y0 + F.col("y0") * h - pad, "fx1": x0 + F.col("x1") * w + pad, "fy1": y0 + F.col("y1") * h + pad}).drop("x0", "y0", "x1", "y1")
+    if page is None:
+        return out
+    limits = {"fx0": page[0], "fy0": page[1], "fx1": page[0], "fy1": page[1]}
+    return out.withColumns({n: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col(n))) for n, most in limits.items()})
 
 
 def hits(line: float = 14.0) -> tuple[Column, Column]:

@@ -49,6 +49,15 @@ def active_lines(anchors: DataFrame, keys: list[str]) -> DataFrame:
     return anchors.groupBy(*keys, "line_no").agg(n.alias("passed")).withColumns({"active": F.col("passed") >= 2, "blank": F.col("passed") == 0})
 
 
+def blank_inactive_lines(fields: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """fields (keys, field_name, value, state) of service lines without any passing anchor are blanked and accepted as inapplicable."""
+    number = F.regexp_extract("field_name", r"^line([0-9]+)_", 1).try_cast("int")
+    off = lines.filter("blank").select(*keys, F.col("line_no").alias("_line"), F.lit(True).alias("_off"))
+    out = fields.withColumn("_line", number).join(off, [*keys, "_line"], "left")
+    gone = F.coalesce("_off", F.lit(False))
+    return out.withColumns({"value": F.when(~gone, F.col("value")), "state": F.when(gone, "ACCEPT").otherwise(F.col("state")), "verdict": F.when(gone, "INAPPLICABLE")}).drop("_line", "_off")
+
+
 def eligible(external: Column, criticality: Column, paid: Column, optional: Column) -> Column:
     return external & F.array_contains(paid, criticality) & ~optional
 

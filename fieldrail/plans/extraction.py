@@ -535,6 +535,16 @@ def line_activation(spark: SparkSession, d: str) -> DataFrame:
     return review.active_lines(a, ["doc"])
 
 
+_LINES = "SELECT o_orderkey AS doc, 'line' || CAST(l_linenumber AS STRING) || '_charges' AS field_name, CAST(l_partkey AS STRING) AS value, CASE WHEN l_partkey % 3 = 0 THEN 'RETRY' ELSE 'HUMAN_REVIEW' END AS state FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey UNION ALL SELECT o_orderkey, 'total_charge', '1', 'ACCEPT' FROM {orders}"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey AS doc, l_linenumber AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL HAVING COUNT(*) FILTER (l_partkey % 2 = 0) = 0), f AS ({B.duck(_LINES)})
+SELECT f.doc, field_name, CASE WHEN a.doc IS NULL THEN value END AS value, CASE WHEN a.doc IS NOT NULL THEN 'ACCEPT' ELSE state END AS state, CASE WHEN a.doc IS NOT NULL THEN 'INAPPLICABLE' END AS verdict FROM f LEFT JOIN a ON f.doc = a.doc AND field_name = 'line' || n || '_charges'""")
+def blank_inactive_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of lines that aren't active are blanked."""
+    return review.blank_inactive_lines(B.bind(spark, d, _LINES), line_activation(spark, d), ["doc"])
+
+
 @query("""WITH a AS (SELECT user_id, event_id, event_id % 3 = 0 AS m FROM events) SELECT user_id, COALESCE(MAX(event_id) FILTER (m), MAX(event_id)) AS attempt_no FROM a GROUP BY user_id""")
 def source_attempt(spark: SparkSession, d: str) -> DataFrame:
     a = B.bind(spark, d, "SELECT user_id, event_id AS attempt_no, event_type AS engine, 'primary' AS rung, CASE WHEN event_id % 3 = 0 THEN 'f' ELSE 'x' END AS value, 'f' AS final_value FROM {events}")

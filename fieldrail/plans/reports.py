@@ -156,12 +156,12 @@ _ARMS = ("ocr_only", "prep", "validators", "retry", "full")
 
 def _arms(f: DataFrame) -> DataFrame:
     e = F.col("event_id")
-    made = [F.struct((e % (k + 3) != 0).alias("correct"), F.when(e % (k + 5) == 0, "HUMAN_REVIEW").otherwise("ACCEPT").alias("state"), ((e % 10 + k) / 10000.0).alias("cost_usd")).alias(n) for k, n in enumerate(_ARMS)]
+    made = [F.struct((e % (k + 3) != 0).alias("correct"), F.when(e % (k + 5) == 0, "HUMAN_REVIEW").otherwise("ACCEPT").alias("state"), ((e % 10 + k) / 10000.0).alias("cost_usd"), ((e % 300 + k) / 10.0).alias("latency_ms")).alias(n) for k, n in enumerate(_ARMS)]
     return f.withColumn("ablation", F.struct(*made))
 
 
-@query("WITH f AS (" + FIELDS + "), a AS (" + " UNION ALL ".join(f"SELECT '{n}' AS arm, criticality, event_id % {k + 3} <> 0 AS c, event_id % {k + 5} = 0 AS h, (event_id % 10 + {k}) / 1e4 AS usd FROM f" for k, n in enumerate(_ARMS)) + f"""),
-s AS (SELECT arm, COUNT(*) AS fields, COUNT(*) FILTER (c) AS "right", COUNT(*) FILTER (criticality = 'high') AS critical, COUNT(*) FILTER (criticality = 'high' AND c) AS critical_right, COUNT(*) FILTER (h) AS unresolved, {DEC.format('usd')} AS cost_usd FROM a GROUP BY arm)
+@query("WITH f AS (" + FIELDS + "), a AS (" + " UNION ALL ".join(f"SELECT '{n}' AS arm, criticality, event_id % {k + 3} <> 0 AS c, event_id % {k + 5} = 0 AS h, (event_id % 10 + {k}) / 1e4 AS usd, (event_id % 300 + {k}) / 1e1 AS ms FROM f" for k, n in enumerate(_ARMS)) + f"""),
+s AS (SELECT arm, COUNT(*) AS fields, COUNT(*) FILTER (c) AS "right", COUNT(*) FILTER (criticality = 'high') AS critical, COUNT(*) FILTER (criticality = 'high' AND c) AS critical_right, COUNT(*) FILTER (h) AS unresolved, {DEC.format('usd')} AS cost_usd, round_even(CAST(SUM(CAST(ms AS DECIMAL(20,8))) AS DOUBLE) / COUNT(*), 4) AS mean_latency_ms FROM a GROUP BY arm)
 SELECT *, round_even("right" / fields, 6) AS accuracy, round_even(critical_right / critical, 6) AS critical_accuracy FROM s""")
 def ablation_arms(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.arms(_arms(B.bind(spark, d, B.FIELDS)), "ablation")
