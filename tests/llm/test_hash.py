@@ -63,7 +63,7 @@ def test_equal_spans_have_equal_hashes_wherever_they_stand():
 
 def test_a_memo_tells_colliding_spans_apart(monkeypatch):
     monkeypatch.setattr(K, "span_hashes", lambda buf, s, e, lane=0: np.zeros(len(s), K.U64))
-    memo = SpanMemo(lambda texts: [[len(t), ord(t[0])] for t in texts])
+    memo = SpanMemo(lambda texts: (texts[::-1], np.array([[len(t), ord(t[0])] for t in texts[::-1]], np.int32).reshape(-1), np.full(len(texts), 2)))
     buf, off = K.texts(pa.array(["aa", "b", "aa", "cc"]))
     ids, count = memo.spans(buf, off[:-1], off[1:])
     assert ids.tolist() == [2, 97, 1, 98, 2, 97, 2, 99] and count.tolist() == [2] * 4

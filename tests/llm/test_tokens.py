@@ -22,6 +22,8 @@ def odd_texts(n=120):
     r = random.Random(3)
     letters = "aA éÉ.,'!<|>\n\t1 你\U0001f600́"
     fixed = ["", " ", "a<|endoftext|>b c <|startoftext|>", "don't I'LL we've 'S the,' x. ́y ≠", "İstanbul ΑΣ ß   x y", "ab" * 900 + " z", "é" * 1200, "word,, " * 400, "A" + "<|endoftext|>" * 60, "  lead and trail  "]
+    marks = ".,!?;:$&%*#\"()[]{}-_/+=@~^`\\'<|>"
+    fixed += ["".join(r.choice("ab") * r.randrange(3) + "".join(r.choice(marks) for _ in range(r.randrange(4))) + r.choice([" ", "", "\u0301"]) for _ in range(60)) for _ in range(60)]
     return fixed + ["".join(r.choice(letters) for _ in range(r.randrange(300))) for _ in range(n)]
 
 
