@@ -214,3 +214,53 @@ def test_policy_defaults(spark):
     got = {r.field_name: r for r in dims.with_policy(rows).collect()}
     assert got["line12_cpt_code"].validators == ["cpt_format", "cpt_dictionary"] and got["patient_dob"].criticality == "high"
     assert got["nothing"].criticality == got["cpt_code"].criticality == "med" and got["cpt_code"].validators == []
+
+
+def test_span_text_equals_plain_python(spark):
+    values = ["plain ascii ", "ﬁne ①", "Ａ１：２", "　x　", "é", "it’s “so”", None, "", "ß—–"]
+    marks = str.maketrans(X.MARKS, X.PLAIN)
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, v string").select("k", X.span_text(F.col("v")).alias("t")).collect()
+    assert {r.k: r.t for r in rows} == {k: None if v is None else unicodedata.normalize("NFKC", v).translate(marks).strip() for k, v in enumerate(values)}
+
+
+def test_the_double_answers_by_a_checksum(spark):
+    import zlib
+
+    from fieldrail.operators import oversight as O
+
+    rows = [(f"d{k}", f"f{k % 3}", "clean", f"Value {k}") for k in range(400)]
+    got = spark.createDataFrame(rows, "doc string, field string, tier string, truth string").withColumn("a", O.oracle_answer(F.col("doc"), F.col("field"), F.col("tier"), F.col("truth"))).collect()
+    kinds = set()
+    for r in got:
+        roll, kind, edge = zlib.crc32(f"{r.doc}|{r.field}|{r.tier}".encode()) / 2**32, "right", 0.0
+        for name, share in reversed(O.MIX):
+            edge = sum(s for n, s in O.MIX[: [n for n, _ in O.MIX].index(name) + 1])
+            if roll < edge:
+                kind = name
+        kinds.add(kind)
+        assert r.a.kind == kind
+        at = next((i for i, c in enumerate(r.truth) if c in O.CONFUSED), None)
+        bad = r.truth[:at] + O.CONFUSION[O.CONFUSED.index(r.truth[at])] + r.truth[at + 1 :] if at is not None else r.truth[:-1]
+        assert r.a.value == {"prose": "", "blank": "", "ungrounded": bad, "wrong": bad, "right": r.truth}[kind]
+        assert r.a.visible == {"prose": "", "blank": "", "ungrounded": r.truth, "wrong": bad, "right": r.truth}[kind]
+    assert len(kinds) == 5
+
+
+def test_budgets_equal_a_plain_fold(spark):
+    import random
+
+    from fieldrail.streaming import ledger as stream
+
+    r = random.Random(2)
+    rows = [(f"s{r.randrange(4) // 2}", k, f"2026-01-01 00:{r.randrange(60):02d}:00", f"f{r.randrange(12)}", r.randrange(9) / 1000) for k in range(300)]
+    calls = spark.createDataFrame(rows, "session string, call_id long, ts string, fingerprint string, cost_usd double").withColumn("ts", F.to_timestamp("ts"))
+    want, state = {}, {}
+    for s, k, _, f, usd in sorted(rows, key=lambda x: (x[0], x[2], x[1])):
+        n, spent, seen = state.setdefault(s, [0, 0.0, set()])
+        decision = "REUSED_CACHED_RESULT" if f in seen else "BLOCKED_CALL_COUNT" if n >= 5 else "BLOCKED_SESSION_BUDGET" if spent + usd > 0.02 else "ALLOW"
+        if decision == "ALLOW":
+            seen.add(f)
+            state[s] = [n + 1, spent + usd, seen]
+        want[k] = decision
+    got = {x.call_id: x.decision for x in stream.budget_fold(calls).collect()}
+    assert got == want and len(set(want.values())) >= 3
