@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import fresh
+from .common import fresh, trimmed
 from .toxicity import PARTS
 
 BLOCK_BYTES = 4 << 20
@@ -360,7 +360,7 @@ def leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
                 hits = leaks(*K.texts(batch.column(1)), items) if len(items.ids) else []
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[t].as_py() for t, _, _ in hits], pa.int64()), pa.array([int(items.ids[i]) for _, i, _ in hits], pa.int64()), pa.array([d for *_, d in hits], pa.int32())], ["id", "item", "edits"])
 
-        part = slim.mapInArrow(run, "id long, item long, edits int")
+        part = slim.mapInArrow(trimmed(run), "id long, item long, edits int")
         found = part if found is None else found.union(part)
     out = found.groupBy("id", "item").agg(F.min("edits").alias("edits"))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "edits")

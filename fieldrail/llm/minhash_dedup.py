@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, fresh, partitions
+from .common import Scratch, fresh, partitions, trimmed
 from .components import components
 
 PER_BAND = 4
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     bands = bands_for(percent / 100)
     lanes = bands * PER_BAND
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.put("signed", slim.mapInArrow(_sign(size, bands), _SIGNED))
+    signed = scratch.put("signed", slim.mapInArrow(trimmed(_sign(size, bands)), _SIGNED))
     full = signed.filter("n_shingles > 0 and id is not null")
     classes = scratch.put("classes", full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("planes", "id").alias("planes"), F.min_by("bands", "id").alias("bands")))
     keyed = classes.select("rep", F.explode("bands").alias("key"))
@@ -275,9 +275,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     stars = live.filter("rep != pivot").select("pivot", "rep").distinct()
     ids = live.select("rep").distinct().join(classes.select("rep", "planes"), "rep")
     chosen = slim.join(ids, slim.id == ids.rep).select("rep", "text", "planes")
-    sets = scratch.put("sets", chosen.mapInArrow(_sets(size), "rep long, planes array<long>, grams binary"))
+    sets = scratch.put("sets", chosen.mapInArrow(trimmed(_sets(size)), "rep long, planes array<long>, grams binary"))
     both = stars.join(sets, "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("planes").alias("base_planes"), F.col("grams").alias("base")), "pivot")
-    star = scratch.put("stars", both.select("pivot", "rep", "planes", "base_planes", "base", "grams").mapInArrow(_star(percent, lanes), _STARS))
+    star = scratch.put("stars", both.select("pivot", "rep", "planes", "base_planes", "base", "grams").mapInArrow(trimmed(_star(percent, lanes)), _STARS))
     # groups in which some member isn't linked with the pivot: those outliers against all members, in blocks
     size = (F.octet_length("missing") + F.octet_length("added")).cast("long")
     apart = ~F.col("linked")
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     member = dealt.select("pivot", "rep", "planes", "base", "missing", "added", "linked", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod("h", "nj").cast("int").alias("j"))
     outer = dealt.filter("not linked").select("pivot", "rep", "planes", "base", "missing", "added", "linked", F.lit(0).alias("side"), F.pmod("h", "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
     rows = member.union(outer).repartition(partitions(spark), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    links = scratch.put("links", rows.mapInArrow(_apart(percent, lanes), "a long, b long"))
+    links = scratch.put("links", rows.mapInArrow(trimmed(_apart(percent, lanes)), "a long, b long"))
     # rows of one id with several texts join the classes of these texts
     text_class = F.struct("n_shingles", "d1", "d2")
     mixed = signed.filter("id is not null").groupBy("id").agg(F.min(text_class).alias("lo"), F.max(text_class).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("id")

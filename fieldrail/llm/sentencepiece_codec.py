@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import trimmed
 from .span_memo import SpanMemo, flat
 
 MARK = "▁"
+#: Distinct spans that a worker remembers.
+REMEMBERED = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
@@ -183,7 +186,7 @@ class Codec:
 
             self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.unlike: set[bytes] = set()
-        self.memo = SpanMemo(self._spans)
+        self.memo = SpanMemo(self._spans, REMEMBERED)
         self.surface = surfaces(self.model)
 
     def _spans(self, spans: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -275,7 +278,7 @@ def encode(docs: DataFrame, model_path: str, ids: bool = True, parity: bool = Fa
                     arrays.append(pa.ListArray.from_arrays(first.astype(np.int32), out))
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(trimmed(run), schema)
 
 
 def decode(frame: DataFrame, model_path: str, ids_col: str = "ids", name: str = "text") -> DataFrame:
@@ -294,4 +297,4 @@ def decode(frame: DataFrame, model_path: str, ids_col: str = "ids", name: str =
             raw = out.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([raw[a:b].decode(errors="replace") for a, b in zip(edge[:-1], edge[1:])], pa.string())], schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(trimmed(run), schema)

@@ -40,16 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import fresh, pack, partitions, unpack
+from .common import fresh, pack, partitions, trimmed, trimmed_pair, unpack
 
 #: Windows of a chunk, by the estimate that one has some WINDOW_BYTES of text.
 CHUNK, WINDOW_BYTES = 1 << 18, 6
 #: Cells of each of a chunk's two rows.
 CELLS = 1 << 21
 #: Bytes of the documents of a bucket.
-BUCKET = 12 << 20
+BUCKET = 8 << 20
 #: Windows that a task holds before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 19
 _PRINT = K.U64((1 << 24) - 1)
 _SENT = "chunk int, bucket int, id long, data binary"
 _KEYED = "bucket int, id long, data binary"
@@ -424,11 +424,11 @@ def _without_repeats(docs: DataFrame, size: int, id_col: str, text_col: str, cel
     key = F.col(id_col).cast("long")
     rows = docs.withColumn(bucket_col, F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(text_col)), F.lit(buckets)).cast("int"))
     known = docs.filter(key.isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"))
-    sent = known.mapInArrow(_ask(size, chunks, buckets), _SENT).repartition(n, "chunk").sortWithinPartitions("chunk")
-    told = sent.mapInArrow(_judge(cells, buckets), _KEYED)
-    moved = rows.groupBy(bucket_col).cogroup(told.groupBy("bucket")).applyInArrow(_candidates(size, chunks, buckets, names), _KEYED)
-    found = moved.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_exact(buckets), _KEYED)
-    return rows.groupBy(bucket_col).cogroup(found.groupBy("bucket")).applyInArrow(_cut(size, names, digest), schema)
+    sent = known.mapInArrow(trimmed(_ask(size, chunks, buckets)), _SENT).repartition(n, "chunk").sortWithinPartitions("chunk")
+    told = sent.mapInArrow(trimmed(_judge(cells, buckets)), _KEYED)
+    moved = rows.groupBy(bucket_col).cogroup(told.groupBy("bucket")).applyInArrow(trimmed_pair(_candidates(size, chunks, buckets, names)), _KEYED)
+    found = moved.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_exact(buckets)), _KEYED)
+    return rows.groupBy(bucket_col).cogroup(found.groupBy("bucket")).applyInArrow(trimmed_pair(_cut(size, names, digest)), schema)
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import fresh
+from .common import fresh, trimmed
 
 BITS = 20
 #: Buckets that fewer labelled texts than this have are not learned from.
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             total += size[i]
             keep.append((i, y))
     few = spark.createDataFrame(keep, "id long, label int")
-    rows = slim.join(F.broadcast(few), "id").select("id", "label", "text").mapInArrow(_features, "id long, label int, buckets binary, counts binary").collect()
+    rows = slim.join(F.broadcast(few), "id").select("id", "label", "text").mapInArrow(trimmed(_features), "id long, label int, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (r.id, r.buckets))
     labels = np.array([r.label for r in rows], np.int64)
     bags = [(r.buckets, r.counts) for r in rows]
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(*K.texts(batch.column(at)), weight, bias))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
