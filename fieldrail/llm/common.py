@@ -128,5 +128,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def least_hashes(known: DataFrame, n: int) -> list[int]:
+    """The n ids with the smallest hashes, in that order.
+
+    Hashes are even, so below a bound that some 2 n + 100 rows reach there are n (but for a chance
+    of less than 1e-100); no task sends more than those few rows.
+    """
+    by, rows = F.xxhash64("id"), known.count()
+    if rows > 2 * n + 100:
+        known = known.filter(by < int(-(2**63) + 2**64 * ((2 * n + 100) / rows)))
+    return [r.id for r in known.orderBy(by, "id").limit(n).collect()]
+
+
 def blank(column: str) -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))

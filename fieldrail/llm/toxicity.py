@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import fresh, trimmed
+from .common import fresh, least_hashes, trimmed
 
 BITS = 20
 #: Buckets that fewer labelled texts than this have are not learned from.
@@ -187,23 +187,11 @@ def held_out(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def _least_hashes(known: DataFrame, n: int) -> list[int]:
-    """The n ids with the smallest hashes, in that order.
-
-    Hashes are even, so below a bound that some 2 n + 100 rows reach there are n (but for a chance
-    of less than 1e-100); no task sends more than those few rows.
-    """
-    by, rows = F.xxhash64("id"), known.count()
-    if rows > 2 * n + 100:
-        known = known.filter(by < int(-(2**63) + 2**64 * ((2 * n + 100) / rows)))
-    return [r.id for r in known.orderBy(by, "id").limit(n).collect()]
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: Bound = Bound()) -> Model:
     """A model of the labels of rows that aren't held out."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
-    chosen = [(i, y) for y, n in ((1, bound.toxic), (0, bound.clean)) for i in _least_hashes(known.filter(F.col("label") == y), n)]
+    chosen = [(i, y) for y, n in ((1, bound.toxic), (0, bound.clean)) for i in least_hashes(known.filter(F.col("label") == y), n)]
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sample = spark.createDataFrame(chosen, "id long, label int")
