@@ -12,7 +12,7 @@ from .typed import digits, family
 # Fixed names of model ids that are refused.
 AUTO_ROUTERS, FREE_SUFFIX = ("openrouter/auto", "auto"), ":free"
 # Fixed limits of one session: calls and money.
-LIMITS = {"paid_per_field": 1, "per_field": 2, "per_page": 3, "per_document": 5, "per_batch": 20, "session_usd": 0.5, "document_usd": 0.05}
+LIMITS = {"paid_per_field": 1, "per_field": 1, "per_page": 2, "per_document": 3, "per_batch": 5, "session_usd": 0.02, "document_usd": 0.005}
 # Fixed texts: what a field is, by its name.
 EXPECTATIONS = {
     "patient_name": "a person's name, usually LAST, FIRST MI",
@@ -47,9 +47,11 @@ RETRY_MODES = {
     "code": "isolated-code",
     "text": "field-text",
 }
-# Fixed shares of a box that hold its value.
-VALUE_REGIONS = {"admission_date": (0.0, 0.55, 0.75, 1.0)}
-OPTIONAL_BLANKS = ("admission_date",)
+# Fixed shares of a box that hold its value, by form and field; and the fields of a form that may be blank there.
+VALUE_REGIONS = {("cms1500", "admission_date"): (0.0, 0.55, 0.75, 1.0)}
+OPTIONAL_BLANKS = (("cms1500", "admission_date"),)
+# Fixed share of a page that a crop may cover.
+MOST_OF_PAGE = 0.25
 HIDDEN = "[hidden]"
 
 
@@ -143,20 +145,49 @@ def confirmed(form: Column, name: Column, state: Column, retries: Column) -> Col
     return F.when(early, RETRY).otherwise(state)
 
 
-def value_region(name: Column, box: Column) -> Column:
-    """The part of a box (x0, y0, x1, y1) that holds its value; the box itself for other fields."""
+def _is(form: Column, name: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    out = F.lit(False)
+    for f, n in pairs:
+        out = out | (form.eqNullSafe(F.lit(f)) & name.eqNullSafe(F.lit(n)))
+    return out
+
+
+def value_region(form: Column, name: Column, box: Column) -> Column:
+    """The part of a box (x0, y0, x1, y1) that holds its value; the box itself for other fields and forms."""
     out = box
-    for field, (a, b, c, d) in VALUE_REGIONS.items():
+    for pair, (a, b, c, d) in VALUE_REGIONS.items():
         w, h = box["x1"] - box["x0"], box["y1"] - box["y0"]
         own = F.struct((box["x0"] + a * w).alias("x0"), (box["y0"] + b * h).alias("y0"), (box["x0"] + c * w).alias("x1"), (box["y0"] + d * h).alias("y1"))
-        out = F.when(name == field, own).otherwise(out)
+        out = F.when(_is(form, name, (pair,)), own).otherwise(out)
     return out
 
 
-def blank_policy(name: Column, value: Column, state: Column) -> Column:
-    """(state, value, verdict): an optional value region that is blank is accepted and not for people."""
-    off = name.isin(*OPTIONAL_BLANKS) & blank(strip(F.coalesce(value, F.lit(""))))
-    return F.struct(F.when(off, ACCEPT).otherwise(state).alias("state"), F.when(~off, value).alias("value"), F.when(off, "INAPPLICABLE").alias("verdict"))
+def label_read_again(form: Column, name: Column, box: Column, field: Column, attempts: Column) -> Column:
+    """(bbox, value, confidence, state, attempts): a field whose first reading took in its label is emptied, cut and retried.
+
+    field: value, confidence, state; attempts: an array of (engine, value, confidence), which stays but for what was read.
+    A field without a box stays as it is.
+    """
+    again = _is(form, name, tuple(VALUE_REGIONS)) & box.isNotNull()
+    emptied = F.transform(attempts, lambda a: F.struct(a["engine"].alias("engine"), F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("confidence")))
+    return F.struct(
+        value_region(form, name, box).alias("bbox"),
+        F.when(~again, field["value"]).alias("value"),
+        F.when(again, 0.0).otherwise(field["confidence"]).alias("confidence"),
+        F.when(again, RETRY).otherwise(field["state"]).alias("state"),
+        F.when(again, emptied).otherwise(attempts).alias("attempts"),
+    )
+
+
+def blank_policy(form: Column, name: Column, value: Column, state: Column) -> Column:
+    """(state, value, verdict, stamp): an optional value region that is blank is accepted and not for people."""
+    off = _is(form, name, OPTIONAL_BLANKS) & blank(strip(F.coalesce(value, F.lit(""))))
+    return F.struct(F.when(off, ACCEPT).otherwise(state).alias("state"), F.when(~off, value).alias("value"), F.when(off, "INAPPLICABLE").alias("verdict"), F.when(off, "template_blank_policy").alias("stamp"))
+
+
+def crop_refusal(fraction: Column) -> Column:
+    """Why an image that covers this share of its page isn't a field's crop, or null."""
+    return F.when(fraction.isNull(), "no source page size").when(fraction > MOST_OF_PAGE, "covers too much of the page")
 
 
 def shown(value: Column, mask: Column) -> Column:

@@ -23,13 +23,13 @@ def query(sql: str):
 
 _REQUESTS = """SELECT event_id, event_id % 53 <> 0 AS enabled, event_id % 47 <> 0 AS adapter, event_id % 43 <> 0 AS test_flag, CASE WHEN event_id % 41 = 0 THEN '  ' ELSE 'k' END AS key, event_id % 37 <> 0 AS synthetic,
  CASE WHEN event_id % 31 = 0 THEN 'crop too small' END AS crop_refusal, CASE WHEN event_id % 29 = 0 THEN '' WHEN event_id % 29 = 1 THEN ' Auto' WHEN event_id % 29 = 2 THEN 'x/y:FREE' ELSE 'x/y' END AS model, event_id % 23 <> 0 AS listed,
- CASE WHEN event_id % 19 > 1 THEN true WHEN event_id % 19 = 1 THEN false END AS vision, event_id % 17 = 0 AS seen, event_id % 13 = 0 AS in_flight, event_id % 12 % 2 AS paid_field, event_id % 11 % 3 AS calls_field, event_id % 10 % 4 AS calls_page, event_id % 9 % 6 AS calls_document,
- event_id % 27 AS calls_batch, (event_id % 60) / 1e2 AS session_usd, (event_id % 7) / 1e2 AS document_usd FROM {events}"""
+ CASE WHEN event_id % 19 > 1 THEN true WHEN event_id % 19 = 1 THEN false END AS vision, event_id % 17 = 0 AS seen, event_id % 13 = 0 AS in_flight, CAST(event_id % 12 = 1 AS INT) AS paid_field, CAST(event_id % 11 = 1 AS INT) AS calls_field, event_id % 10 % 3 AS calls_page, event_id % 9 % 4 AS calls_document,
+ event_id % 7 AS calls_batch, (event_id % 25) / 1e3 AS session_usd, (event_id % 8) / 1e3 AS document_usd FROM {events}"""
 _MODEL = "lower(trim(model))"
 _GATE = f"""CASE WHEN NOT enabled THEN 'BLOCKED_LIVE_PATH_DISABLED' WHEN NOT adapter THEN 'BLOCKED_ADAPTER_DISABLED' WHEN NOT test_flag THEN 'BLOCKED_LIVE_TEST_FLAG_UNSET' WHEN trim(key) = '' THEN 'BLOCKED_NO_API_KEY' WHEN NOT synthetic THEN 'BLOCKED_NOT_SYNTHETIC'
  WHEN crop_refusal IS NOT NULL THEN 'BLOCKED_NOT_A_CROP' WHEN {_MODEL} IN ('', 'auto', 'openrouter/auto') OR {_MODEL} LIKE '%:free' THEN 'BLOCKED_MODEL_REFUSED' WHEN NOT listed THEN 'BLOCKED_MODEL_NOT_ALLOWLISTED' WHEN NOT COALESCE(vision, false) THEN 'BLOCKED_MODEL_NOT_VISION'
- WHEN seen THEN 'REUSED_CACHED_RESULT' WHEN in_flight THEN 'BLOCKED_PARALLEL_CALL' WHEN paid_field >= 1 THEN 'BLOCKED_FIELD_PAID_ATTEMPTS' WHEN calls_field >= 2 THEN 'BLOCKED_FIELD_CALL_LIMIT' WHEN calls_page >= 3 THEN 'BLOCKED_PAGE_CALL_LIMIT' WHEN calls_document >= 5 THEN 'BLOCKED_DOCUMENT_CALL_LIMIT'
- WHEN calls_batch >= 20 THEN 'BLOCKED_BATCH_CALL_LIMIT' WHEN session_usd >= 0.5 THEN 'BLOCKED_SESSION_BUDGET' WHEN document_usd >= 0.05 THEN 'BLOCKED_DOCUMENT_BUDGET' ELSE 'ALLOW' END"""
+ WHEN seen THEN 'REUSED_CACHED_RESULT' WHEN in_flight THEN 'BLOCKED_PARALLEL_CALL' WHEN paid_field >= 1 THEN 'BLOCKED_FIELD_PAID_ATTEMPTS' WHEN calls_field >= 1 THEN 'BLOCKED_FIELD_CALL_LIMIT' WHEN calls_page >= 2 THEN 'BLOCKED_PAGE_CALL_LIMIT' WHEN calls_document >= 3 THEN 'BLOCKED_DOCUMENT_CALL_LIMIT'
+ WHEN calls_batch >= 5 THEN 'BLOCKED_BATCH_CALL_LIMIT' WHEN session_usd >= 0.02 THEN 'BLOCKED_SESSION_BUDGET' WHEN document_usd >= 0.005 THEN 'BLOCKED_DOCUMENT_BUDGET' ELSE 'ALLOW' END"""
 
 
 @query(f"SELECT event_id, {_GATE} AS decision, CASE WHEN {_MODEL} = '' THEN 'none' WHEN {_MODEL} IN ('auto', 'openrouter/auto') THEN 'auto router' WHEN {_MODEL} LIKE '%:free' THEN 'free variant' END AS refusal FROM ({B.duck(_REQUESTS)})")
@@ -81,19 +81,33 @@ def retry_prompts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("p_partkey", "name", P.expectation(c("name")).alias("expectation"), P.retry_value(c("name"), c("text")).alias("retried"), P.retry_mode(c("kind"), c("p_partkey") % 8 == 0).alias("mode"), P.shown(c("text"), c("p_partkey") % 3 == 0).alias("shown"))
 
 
-_BOXES = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN 'admission_date' WHEN l_partkey % 3 = 1 THEN 'patient_dob' ELSE 'units' END AS name, CASE WHEN l_suppkey % 2 = 0 THEN 'ub04' ELSE 'cms1500' END AS form, CASE WHEN l_partkey % 4 = 0 THEN ' ' WHEN l_partkey % 4 = 1 THEN NULL ELSE 'v' END AS value, CASE WHEN l_suppkey % 3 = 0 THEN 'ACCEPT' WHEN l_suppkey % 3 = 1 THEN 'ACCEPT_WITH_FLAG' ELSE 'RETRY' END AS state, l_linenumber % 2 AS retries, CAST(l_partkey % 700 AS DOUBLE) AS x, CAST(l_suppkey % 90 AS DOUBLE) AS y FROM {lineitem}"
+_BOXES = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN 'admission_date' WHEN l_partkey % 3 = 1 THEN 'patient_dob' ELSE 'units' END AS name, CASE WHEN l_suppkey % 2 = 0 THEN 'ub04' ELSE 'cms1500' END AS form, CASE WHEN l_partkey % 4 = 0 THEN ' ' WHEN l_partkey % 4 = 1 THEN NULL ELSE 'v' END AS value, CASE WHEN l_suppkey % 3 = 0 THEN 'ACCEPT' WHEN l_suppkey % 3 = 1 THEN 'ACCEPT_WITH_FLAG' ELSE 'RETRY' END AS state, l_linenumber % 2 AS retries, CAST(l_partkey % 700 AS DOUBLE) AS x, CAST(l_suppkey % 90 AS DOUBLE) AS y, (l_partkey % 101) / 1e2 AS confidence, l_linenumber % 5 <> 0 AS boxed FROM {lineitem}"
+_CUT = "form = 'cms1500' AND name = 'admission_date'"
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, x AS x0, CASE WHEN name = 'admission_date' THEN y + 0.55e0 * 20 ELSE y END AS y0, CASE WHEN name = 'admission_date' THEN x + 0.75e0 * 100 ELSE x + 100 END AS x1, y + 20 AS y1,
- CASE WHEN form = 'ub04' AND name = 'patient_dob' AND state IN ('ACCEPT', 'ACCEPT_WITH_FLAG') AND retries = 0 THEN 'RETRY' ELSE state END AS confirmed, CASE WHEN name = 'admission_date' AND COALESCE(trim(value), '') = '' THEN 'ACCEPT' ELSE state END AS blank_state,
- CASE WHEN name = 'admission_date' AND COALESCE(trim(value), '') = '' THEN NULL ELSE value END AS blank_value, CASE WHEN name = 'admission_date' AND COALESCE(trim(value), '') = '' THEN 'INAPPLICABLE' END AS verdict FROM ({B.duck(_BOXES)})""")
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, x AS x0, CASE WHEN {_CUT} THEN y + 0.55e0 * 20 ELSE y END AS y0, CASE WHEN {_CUT} THEN x + 0.75e0 * 100 ELSE x + 100 END AS x1, y + 20 AS y1,
+ CASE WHEN form = 'ub04' AND name = 'patient_dob' AND state IN ('ACCEPT', 'ACCEPT_WITH_FLAG') AND retries = 0 THEN 'RETRY' ELSE state END AS confirmed, CASE WHEN {_CUT} AND COALESCE(trim(value), '') = '' THEN 'ACCEPT' ELSE state END AS blank_state,
+ CASE WHEN {_CUT} AND COALESCE(trim(value), '') = '' THEN NULL ELSE value END AS blank_value, CASE WHEN {_CUT} AND COALESCE(trim(value), '') = '' THEN 'INAPPLICABLE' END AS verdict, CASE WHEN {_CUT} AND COALESCE(trim(value), '') = '' THEN 'template_blank_policy' END AS stamp FROM ({B.duck(_BOXES)})""")
 def value_regions(spark: SparkSession, d: str) -> DataFrame:
     """Value parts of boxes, dates of birth that wait for a second reading, optional blanks."""
     c = F.col
     b = B.bind(spark, d, _BOXES)
     box = F.struct(c("x").alias("x0"), c("y").alias("y0"), (c("x") + 100).alias("x1"), (c("y") + 20).alias("y1"))
-    out = b.withColumns({"r": P.value_region(c("name"), box), "p": P.blank_policy(c("name"), c("value"), c("state"))})
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "r.x0", "r.y0", "r.x1", "r.y1", P.confirmed(c("form"), c("name"), c("state"), c("retries")).alias("confirmed"), c("p.state").alias("blank_state"), c("p.value").alias("blank_value"), "p.verdict")
+    out = b.withColumns({"r": P.value_region(c("form"), c("name"), box), "p": P.blank_policy(c("form"), c("name"), c("value"), c("state"))})
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "r.x0", "r.y0", "r.x1", "r.y1", P.confirmed(c("form"), c("name"), c("state"), c("retries")).alias("confirmed"), c("p.state").alias("blank_state"), c("p.value").alias("blank_value"), "p.verdict", "p.stamp")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN boxed AND {_CUT} THEN y + 11 WHEN boxed THEN y END AS y0, CASE WHEN boxed AND {_CUT} THEN NULL ELSE value END AS value, CASE WHEN boxed AND {_CUT} THEN 0 ELSE confidence END AS confidence, CASE WHEN boxed AND {_CUT} THEN 'RETRY' ELSE state END AS state,
+ CASE WHEN boxed AND {_CUT} THEN 'a::0.0|b::0.0' ELSE 'a:' || COALESCE(value, '') || ':0.5|b:w:0.25' END AS attempts FROM ({B.duck(_BOXES)})""")
+def labels_read_again(spark: SparkSession, d: str) -> DataFrame:
+    """Fields whose first reading took in their label: emptied with all their attempts, cut, and retried."""
+    c = F.col
+    b = B.bind(spark, d, _BOXES)
+    box = F.when(c("boxed"), F.struct(c("x").alias("x0"), c("y").alias("y0"), (c("x") + 100).alias("x1"), (c("y") + 20).alias("y1")))
+    attempts = F.array(*(F.struct(F.lit(e).alias("engine"), v.alias("value"), F.lit(k).alias("confidence")) for e, v, k in (("a", c("value"), 0.5), ("b", F.lit("w"), 0.25))))
+    r = b.select("l_orderkey", "l_linenumber", "l_partkey", P.label_read_again(c("form"), c("name"), box, F.struct("value", "confidence", "state"), attempts).alias("r"))
+    text = F.array_join(F.transform("r.attempts", lambda a: F.concat_ws(":", a["engine"], F.coalesce(a["value"], F.lit("")), a["confidence"].cast("string"))), "|")
+    return r.select("l_orderkey", "l_linenumber", "l_partkey", c("r.bbox.y0").alias("y0"), "r.value", "r.confidence", "r.state", text.alias("attempts"))
 
 
 @query("""SELECT c_custkey, CASE WHEN l < 0 OR l > 1 THEN 'local_accept_confidence' WHEN m IS NULL OR m > 1 THEN 'multimodal_accept_confidence' WHEN c_custkey % 7 = 0 THEN 'paid_escalation_criticalities' WHEN c_custkey % 11 = 0 THEN 'allow_optional_escalation' END AS error
