@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import CMS_MARKERS, compact, marker_score
 
 LEAST_ANCHOR = 5
-#: Characters of a slice of text that meets anchors, and places of a block of text.
-SLICE, STRETCH = 48, 1024
+#: Classes of anchors: (least length, stride): texts give a gram at every stride-th place, and an anchor those at its first ``stride`` places.
+CLASSES = ((LEAST_ANCHOR, 1), (20, 8), (48, 24))
+#: Grams of anchors up to which tasks hold them all.
+HELD_GRAMS = 1 << 20
 
 
 def anchors(records: DataFrame, record: str, value: str) -> DataFrame:
@@ -19,28 +21,49 @@ def anchors(records: DataFrame, record: str, value: str) -> DataFrame:
     return rows.join(owners, "anchor").select("record", "anchor", F.when(F.col("owners") == 1, 3).otherwise(1).alias("weight"))
 
 
+def _grams(found: DataFrame, least: int, stride: int, most: int | None) -> DataFrame:
+    """(gram, shift, record, anchor, weight) of the anchors of one class."""
+    size = least - stride + 1
+    own = found.filter(F.length("anchor") >= least)
+    own = own.filter(F.length("anchor") < most) if most else own
+    shifts = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("shift"))
+    return shifts.select(F.xxhash64(F.substring(F.col("anchor").cast("binary"), F.col("shift") + 1, F.lit(size))).alias("gram"), "shift", "record", "anchor", "weight")
+
+
 def anchor_hits(docs: DataFrame, found: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, record, score, hits) of documents that contain anchors.
 
-    A text is cut into blocks, and each place of a block gives the ``SLICE`` characters from there on; slices
-    meet the anchors' beginnings in an equi-join (a broadcast one while Spark finds the anchors small
-    enough, and then slices stay where they are).  What of an anchor is longer than a slice is compared
-    with the text itself, for the few that are left.
+    Whatever place a long anchor stands at, one of its first ``stride`` places is a multiple of the stride; so texts give hashed
+    grams at these multiples only, and an anchor one for each shift. Grams that meet are compared with the text itself.
+    Where the anchors' grams are few (counted first), tasks hold them and a text is looked through where it is. Otherwise narrow rows
+    (document, place, gram) are joined, and only the places that met return to their texts.
     """
-    hay = docs.select(F.col(doc).alias("doc"), compact(F.col(text)).alias("hay"))
-    starts = F.sequence(F.lit(1), F.length("hay"), F.lit(STRETCH))
-    blocks = hay.filter(F.length("hay") >= LEAST_ANCHOR).select("doc", F.explode(F.transform(starts, lambda i: F.struct(i.alias("base"), F.substring("hay", i, F.lit(STRETCH + SLICE - 1)).alias("block")))).alias("b"))
-    block = F.col("b.block")
-    places = F.sequence(F.lit(1), F.least(F.length(block), F.lit(STRETCH)))
-    cut = blocks.select("doc", F.explode(F.transform(places, lambda i: F.struct((F.col("b.base") + i - 1).alias("at"), F.substring(block, i, F.lit(SLICE)).alias("slice")))).alias("s"))
-    cut = cut.select("doc", "s.at", "s.slice", F.substring("s.slice", 1, LEAST_ANCHOR).alias("head"))
-    heads = found.withColumns({"head": F.substring("anchor", 1, LEAST_ANCHOR), "lead": F.substring("anchor", 1, SLICE)})
-    near = cut.join(heads, "head").filter(F.startswith("slice", "lead"))
-    short = near.filter(F.length("anchor") <= SLICE).select("doc", "record", "anchor", "weight")
-    long = near.filter(F.length("anchor") > SLICE).select("doc", "at", "record", "anchor", "weight")
-    long = long.join(hay, "doc").filter(F.substring("hay", F.col("at"), F.length("anchor")) == F.col("anchor")).select("doc", "record", "anchor", "weight")
-    pairs = short.unionByName(long).distinct()
-    return pairs.groupBy("doc", "record").agg(F.sum("weight").alias("score"), F.count("*").alias("hits"))
+    hay = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), compact(F.col(text)).cast("binary").alias("hay"))
+    tops = [*(least for least, _ in CLASSES[1:]), None]
+    length = F.length("anchor")
+    counts = found.agg(*(F.count_if((length >= least) & ((length < top) if top else F.lit(True))).alias(str(least)) for (least, _), top in zip(CLASSES, tops))).first()
+    few = sum(counts[str(least)] * stride for least, stride in CLASSES) <= HELD_GRAMS
+    pairs = None
+    for (least, stride), top in zip(CLASSES, tops):
+        if not counts[str(least)]:
+            continue
+        size, grams = least - stride + 1, _grams(found, least, stride, top)
+        places = F.sequence(F.lit(1), F.octet_length("hay") - F.lit(size - 1), F.lit(stride))
+        begin = F.col("place") - F.col("shift")
+        there = (begin > 0) & (F.substring("hay", begin, F.octet_length("anchor")) == F.col("anchor").cast("binary"))
+        long = hay.filter(F.octet_length("hay") >= size)
+        if few:
+            met = long.select("doc", "hay", F.explode(places).alias("place")).withColumn("gram", F.xxhash64(F.substring("hay", F.col("place"), F.lit(size))))
+            own = met.join(F.broadcast(grams), "gram").filter(there)
+        else:
+            narrow = long.select("doc", F.explode(places).alias("place"), "hay").select("doc", "place", F.xxhash64(F.substring("hay", F.col("place"), F.lit(size))).alias("gram"))
+            met = narrow.join(grams, "gram").filter(begin > 0).select("doc", "place", "shift", "record", "anchor", "weight")
+            own = met.join(hay, "doc").filter(there)
+        own = own.select("doc", "record", "anchor", "weight")
+        pairs = own if pairs is None else pairs.unionByName(own)
+    if pairs is None:
+        return found.select(F.lit(None).cast(docs.schema[doc].dataType).alias("doc"), "record", F.col("weight").cast("long").alias("score"), F.lit(0).cast("long").alias("hits")).filter("false")
+    return pairs.distinct().groupBy("doc", "record").agg(F.sum("weight").alias("score"), F.count("*").alias("hits"))
 
 
 def link(docs: DataFrame, hits: DataFrame, doc: str) -> DataFrame:

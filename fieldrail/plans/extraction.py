@@ -400,9 +400,9 @@ def page_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 # links --------------------------------------------------------------------------
-_ANCHORS = """WITH a AS (SELECT DISTINCT item_id AS record, regexp_replace(upper(w), '[^A-Z0-9]', '', 'g') AS anchor FROM (SELECT item_id, unnest(list_transform(range(0, CAST(ceil(length(text) / 30) AS BIGINT)), lambda i: substr(text, i * 30 + 1, 30))) AS w FROM benchmark)),
+_ANCHORS = """WITH a AS (SELECT DISTINCT item_id AS record, regexp_replace(upper(replace(w, 'ß', 'ss')), '[^A-Z0-9]', '', 'g') AS anchor FROM (SELECT item_id, unnest(list_transform(range(0, CAST(ceil(length(text) / 30) AS BIGINT)), lambda i: substr(text, i * 30 + 1, 30))) AS w FROM benchmark)),
 f AS (SELECT a.*, CASE WHEN COUNT(*) OVER (PARTITION BY anchor) = 1 THEN 3 ELSE 1 END AS weight FROM a WHERE length(anchor) >= 5 AND NOT regexp_matches(anchor, '^0*$')),
-h AS (SELECT doc_id AS doc, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS hay FROM documents), s AS (SELECT doc, record, SUM(weight) AS score, COUNT(*) AS hits FROM h, f WHERE contains(hay, anchor) GROUP BY doc, record),
+h AS (SELECT doc_id AS doc, regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z0-9]', '', 'g') AS hay FROM documents), s AS (SELECT doc, record, SUM(weight) AS score, COUNT(*) AS hits FROM h, f WHERE contains(hay, anchor) GROUP BY doc, record),
 r AS (SELECT *, row_number() OVER w AS k, COALESCE(lead(score) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY doc ORDER BY score DESC, hits DESC, record DESC)),
 links AS (SELECT h.doc, CASE WHEN score IS NULL THEN 'no_match' WHEN score - second <= 0 THEN 'ambiguous' ELSE 'deterministic' END AS status, CASE WHEN score - second > 0 THEN record END AS record, CAST(COALESCE(score, 0) AS BIGINT) AS score, CAST(COALESCE(score - second, 0) AS BIGINT) AS margin, COALESCE(hits, 0) AS evidence FROM h LEFT JOIN r ON h.doc = r.doc AND k = 1)
 """

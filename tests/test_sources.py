@@ -86,7 +86,7 @@ def test_links(spark):
 
 
 def test_long_anchors_and_long_texts(spark, monkeypatch):
-    """Anchors longer than a slice, over the edges of blocks, against a plain search."""
+    """Anchors of all lengths, with other classes of lengths too, against a plain search."""
     r = random.Random(4)
     letters = lambda n: "".join(r.choice("ABCDE1") for _ in range(n))
     texts = [letters(r.randint(0, 400)) for _ in range(30)]
@@ -101,9 +101,8 @@ def test_long_anchors_and_long_texts(spark, monkeypatch):
             if anchor in t:
                 s, n = want.get((i, rec), (0, 0))
                 want[i, rec] = s + weight, n + 1
-    for size, stretch in ((48, 1024), (8, 16)):
-        monkeypatch.setattr(linkage, "SLICE", size)
-        monkeypatch.setattr(linkage, "STRETCH", stretch)
+    for classes in (linkage.CLASSES, ((5, 1), (8, 4), (40, 2))):
+        monkeypatch.setattr(linkage, "CLASSES", classes)
         got = {(x.doc, x.record): (x.score, x.hits) for x in linkage.anchor_hits(docs, found, "doc", "t").collect()}
         assert got == want and any(len(a) > 48 for _, a, _ in rows)
 
@@ -229,3 +228,34 @@ def test_nothing_private_leaves(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).columns == ["k", "l", "m", "s"]
     exports.write_csv(rows.select("k"), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
+def test_anchors_are_found_at_every_place(spark, monkeypatch):
+    """Anchors of all classes at all shifts, by both ways of joining, against a plain search."""
+    import random
+
+    from fieldrail.operators import linkage
+
+    r = random.Random(3)
+    letters = "ABC0"
+    text = ["".join(r.choice(letters) for _ in range(r.randint(0, 400))) for _ in range(40)] + ["", None, "A-b c" * 30]
+    values = [(k % 7, t[(i := r.randint(0, max(0, len(t) - n))) : i + n]) for k, n in enumerate([5, 6, 9, 19, 20, 21, 27, 28, 47, 48, 49, 60, 71, 72, 90, 200] * 6) if (t := text[r.randrange(40)])]
+    values += [(1, "000000"), (2, "abc"), (3, "A-B CAB"), (4, None)]
+    docs = spark.createDataFrame([*enumerate(text), (None, text[0])], "doc long, text string")
+    found = linkage.anchors(spark.createDataFrame(values, "record int, value string"), "record", "value")
+    rows = [(x.record, x.anchor, x.weight) for x in found.collect()]
+    assert {len(x[1]) for x in rows} >= {5, 19, 20, 48, 90} and all(len(x[1]) >= 5 and set(x[1]) != {"0"} for x in rows)
+    import re
+
+    want = {}
+    for k, t in enumerate(text):
+        hay = re.sub("[^A-Z0-9]", "", (t or "").upper())
+        for record, anchor, weight in rows:
+            if anchor in hay:
+                s, n = want.get((k, record), (0, 0))
+                want[k, record] = (s + weight, n + 1)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(linkage, "HELD_GRAMS", most)
+        got = {(x.doc, x.record): (x.score, x.hits) for x in linkage.anchor_hits(docs, found, "doc", "text").collect()}
+        assert got == want
+    assert linkage.anchor_hits(docs, found.filter("false"), "doc", "text").count() == 0
