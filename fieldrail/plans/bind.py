@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import fixed_width, scratch
 
 # events as the cost ledger
 LEDGER = """
@@ -98,3 +101,20 @@ def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         sql = sql.replace(a, b)
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in set(_NAMES.findall(sql))}
     return spark.sql(sql.replace("date_format_(", "date_format("), **tables)
+
+
+#: Keys of orders that share a written file.
+FILE_KEYS = 32768
+
+
+def written_blocks(spark: SparkSession, orders: DataFrame, key: str, rows: Column, kind: str, end: str) -> DataFrame:
+    """Blocks of orders written as fixed-width files in the order of their keys, read again in splits; path is the file's number."""
+    path = scratch.folder(spark, kind)
+    made = orders.select(F.floor(F.col(key) / FILE_KEYS).alias("file"), F.col(key).alias("key"), F.array_join(rows, end).alias("value"))
+    made = made.repartition(fixed_partitions(spark), "file").sortWithinPartitions("file", "key").select("file", "value")
+    made.write.partitionBy("file").option("lineSep", end).text(path)
+    return fixed_width.read_blocks(spark, path, kind).withColumn("path", F.regexp_extract("path", r"/file=(\d+)/", 1))
+
+
+def fixed_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -134,8 +134,8 @@ def candidate_families(spark: SparkSession, d: str) -> DataFrame:
 
 # 192-character files -------------------------------------------------------------------------
 def _ub(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as 192-character files, one a customer: every plain field filled, one revenue and one procedure slot."""
-    o = B.bind(spark, d, "SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS cents FROM {orders}")
+    """Orders as written 192-character files of several splits: every plain field filled, all slots of records 50, 60 and 61; every ninth claim lacks its patient row."""
+    o = B.bind(spark, d, "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS cents FROM {orders}")
     key = F.col("o_orderkey").cast("string")
     cents = F.lpad((F.col("cents") % 10_000_000).cast("string"), 10, "0")
 
@@ -148,13 +148,23 @@ def _ub(spark: SparkSession, d: str) -> DataFrame:
             at = start + width
         return F.rpad(F.concat(*parts), 192, " ")
 
+    def slots(tag: str) -> dict[int, tuple[int, Column]]:
+        """All slots but the last one of orders that are divisible by 5."""
+        cells = {}
+        for k, (revenue, code, units, charge) in enumerate(fixed_width.UB_SLOTS[tag]):
+            off = (F.col("o_orderkey") % 5 == 0) & F.lit(k + 1 == len(fixed_width.UB_SLOTS[tag]))
+            held = [(revenue, f"0{tag}{k}"), (code, "99213"), (units, f"{k + 1}0"), (charge, None)]
+            for (a, b), text in ((x, t) for x, t in held if x):
+                cells[a] = (b - a + 1, F.when(off, "").otherwise(F.right(cents, F.lit(b - a + 1)) if text is None else F.lit(text)))
+        return cells
+
     name = {25: (20, F.concat(F.lit("LAST"), key)), 45: (9, F.lit("FIRST")), 54: (1, F.lit("M"))}
-    rows = F.array(row("10"), row("20", name), row("40"), row("50", {25: (4, F.lit("0450")), 38: (4, F.lit("0020")), 42: (10, cents)}), row("60", {25: (4, F.lit("0300")), 29: (5, F.lit("99213")), 38: (7, F.lit("0000030")), 45: (10, cents)}), row("70"), row("80"), row("90", {43: (10, cents)}))
-    one = o.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", rows.alias("r")))), lambda x: x["r"])).alias("r"))
-    return fixed_width.lines(one.select("path", F.encode(F.array_join("r", "\n"), "ISO-8859-1").alias("content")))
+    patient = F.when(F.col("o_orderkey") % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(row("20", name)))
+    rows = F.concat(F.array(row("10")), patient, F.array(row("40"), row("50", slots("50")), row("60", slots("60")), row("61", slots("61")), row("70"), row("80"), row("90", {43: (10, cents)})))
+    return B.written_blocks(spark, o, "o_orderkey", rows, "UB192", "\n")
 
 
-_UB = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(o_orderkey AS VARCHAR) AS k, CAST(floor(o_totalprice) AS BIGINT) % 10000000 AS cents, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal FROM orders)"
+_UB = f"o AS (SELECT * FROM (SELECT CAST(o_orderkey // {B.FILE_KEYS} AS VARCHAR) AS path, o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, CAST(floor(o_totalprice) AS BIGINT) % 10000000 AS cents, row_number() OVER (PARTITION BY o_orderkey // {B.FILE_KEYS} ORDER BY o_orderkey) AS ordinal FROM orders) WHERE o_orderkey % 9 <> 0)"
 _UB_PLAIN = " UNION ALL ".join(f"SELECT path, ordinal, 'UB192' AS format_name, '{n}' AS field_name, '{n[:1].upper()}'" + (f" || right(k, {b - a})" if b > a else "") + " AS value FROM o" for n, (_, a, b) in fixed_width.UB_FIELDS.items())
 
 
@@ -164,8 +174,11 @@ def ub_records(spark: SparkSession, d: str) -> DataFrame:
     return fixed_width.records(_ub(spark, d), "UB192")
 
 
-@query(f"""WITH {_UB}, m AS (SELECT *, CAST(CAST(cents / 100 AS DECIMAL(18,2)) AS VARCHAR) AS c FROM o) SELECT path, ordinal, n AS line_no, f AS field_name, CASE f WHEN 'charge' THEN c WHEN 'revenue_code' THEN CASE n WHEN 1 THEN '0450' ELSE '0300' END WHEN 'procedure_code' THEN CASE n WHEN 1 THEN '' ELSE '99213' END ELSE CASE n WHEN 1 THEN '@@1' ELSE '@@2' END END AS value
-FROM m, (VALUES (1), (2)) a(n), (VALUES ('revenue_code'), ('procedure_code'), ('units'), ('charge')) b(f)""".replace("@@1", "0020").replace("@@2", "0000030"))
+@query(f"""WITH {_UB}, m AS (SELECT *, CAST(CAST(cents / 100 AS DECIMAL(18,2)) AS VARCHAR) AS c FROM o),
+s AS (SELECT * FROM (VALUES (50, 0, 4), (50, 1, 4), (50, 2, 4), (50, 3, 4), (60, 0, 3), (60, 1, 3), (60, 2, 3), (61, 0, 3), (61, 1, 3), (61, 2, 3)) t(tag, slot, n)),
+l AS (SELECT path, ordinal, c, tag, slot, row_number() OVER (PARTITION BY path, ordinal ORDER BY tag, slot) AS line_no FROM m, s WHERE NOT (o_orderkey % 5 = 0 AND slot + 1 = n))
+SELECT path, ordinal, line_no, f AS field_name, CASE f WHEN 'charge' THEN c WHEN 'revenue_code' THEN '0' || tag || slot WHEN 'procedure_code' THEN CASE tag WHEN 50 THEN '' ELSE '99213' END ELSE (slot + 1) || '0' END AS value
+FROM l, (VALUES ('revenue_code'), ('procedure_code'), ('units'), ('charge')) b(f)""")
 def ub_lines(spark: SparkSession, d: str) -> DataFrame:
     """All slots of 192-character claims that are filled."""
     return fixed_width.service_lines(_ub(spark, d), "UB192")

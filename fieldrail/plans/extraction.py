@@ -451,8 +451,8 @@ def full_outer_names(spark: SparkSession, d: str) -> DataFrame:
 
 # fixed width -----------------------------------------------------------------------
 def _nsf(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as 320-character files, one a customer, with every place of a field filled; every seventh claim lacks its patient row."""
-    o = B.bind(spark, d, "SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS cents FROM {orders}")
+    """Orders as written 320-character files of several splits, with every place of a field filled; every seventh claim lacks its patient row."""
+    o = B.bind(spark, d, "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS cents FROM {orders}")
     key = F.col("o_orderkey").cast("string")
 
     def row(tag: str, cells: dict[int, tuple[int, Column]]) -> Column:
@@ -474,11 +474,10 @@ def _nsf(spark: SparkSession, d: str) -> DataFrame:
     xa = row("XA0", {78: (7, money)})
     none = F.array().cast("array<string>")
     rows = F.concat(F.array(row("BA0", fields("BA0"))), F.when(F.col("o_orderkey") % 7 == 0, none).otherwise(F.array(ca)), F.array(da, ea, fa, xa))
-    one = o.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", rows.alias("r")))), lambda x: x["r"])).alias("r"))
-    return fixed_width.lines(one.select("path", F.encode(F.array_join("r", "\r\n"), "ISO-8859-1").alias("content")))
+    return B.written_blocks(spark, o, "o_orderkey", rows, "NSF320", "\r\n")
 
 
-_CLAIM = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, CAST(floor(o_totalprice) AS BIGINT) % 10000000 AS cents, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal FROM orders)"
+_CLAIM = f"o AS (SELECT CAST(o_orderkey // {B.FILE_KEYS} AS VARCHAR) AS path, o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, CAST(floor(o_totalprice) AS BIGINT) % 10000000 AS cents, row_number() OVER (PARTITION BY o_orderkey // {B.FILE_KEYS} ORDER BY o_orderkey) AS ordinal FROM orders)"
 _PLAIN_FIELDS = " UNION ALL ".join(f"SELECT path, ordinal, 'NSF320' AS format_name, '{n}' AS field_name, '{n[:1].upper()}' || right(k, {b - a}) AS value, o_orderkey FROM o" for n, (_, a, b) in fixed_width.NSF_FIELDS.items() if n != "patient_account_no" and b > a)
 
 

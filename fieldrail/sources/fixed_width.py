@@ -73,28 +73,22 @@ def lines(files: DataFrame, content: str = "content") -> DataFrame:
 def read_blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(path, row_no, row, ordinal, tag) of large files, what blocks() makes of lines(), read in splits.
 
-    A file is parted before its anchor rows (the separator of Spark's text source), so that every record is
-    one block and no task needs the file's begin; blocks are numbered by the counts of the splits before.
-    Files with a row of another width are left out.  Lines end in a line feed, with or without a carriage return.
+    Each split's rows are numbered by themselves; ordinals add the anchor rows of the splits before, of which
+    a file has one number each. Rows before a split's first anchor go on with the last block of the split before.
+    The files are read once, and no task takes a whole one. Files with a row of another width are left out.
     """
     width, anchor, _, tag = FORMATS[kind]
     meta = F.col("_metadata")
-    text = spark.read.option("lineSep", "\n" + anchor).text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("n"), "value")
-    # only a file's first record has its anchor still; the others lost it to the separator
-    first = text.groupBy("path").agg(F.min_by("n", F.struct("split", "n")).alias("first"))
-    text = text.join(first, "path").withColumn("head", (F.col("n") == F.col("first")))
-    starts = F.col("value").startswith(anchor)
-    counted = text.groupBy("path", "split").agg(F.count_if(~F.col("head") | starts).alias("c"))
-    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("path", "split", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    local = Window.partitionBy("path", "split").orderBy("n")
-    numbered = text.filter(~F.col("head") | starts).withColumn("local", F.row_number().over(local)).join(offsets, ["path", "split"])
-    whole = F.when(F.col("head"), F.col("value")).otherwise(F.concat(F.lit(anchor), "value"))
-    rows = F.transform(F.split(whole, "\n"), lambda r: F.regexp_replace(r, r"\r\z", ""))
-    blocks_ = numbered.select("path", (F.col("offset") + F.col("local")).alias("ordinal"), F.posexplode(rows).alias("row_no", "row"))
-    kept = blocks_.filter((F.col("row") != "") | (F.col("row_no") == 0))
-    bad = kept.filter(F.length("row") != width).select("path").distinct()
-    return kept.join(bad, "path", "left_anti").withColumn("tag", F.substring("row", 1, tag))
+    text = spark.read.text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("n"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("row"))
+    local = Window.partitionBy("path", "split").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = text.withColumn("local", F.sum(F.col("row").startswith(anchor).cast("int")).over(local))
+    splits = rows.groupBy("path", "split").agg(F.max("local").alias("anchors"), F.count_if(F.length("row") != width).alias("bad"))
+    file, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sound = splits.select("path", "split", F.coalesce(F.sum("anchors").over(before), F.lit(0)).alias("offset"), F.sum("bad").over(file).alias("bad")).filter("bad = 0")
+    numbered = rows.join(sound.drop("bad"), ["path", "split"]).withColumn("ordinal", F.col("offset") + F.col("local"))
+    # splits of a file come in the order of their begins, and so do numbers of rows
+    place = F.struct("split", "n")
+    return numbered.filter("ordinal > 0").select("path", place.alias("row_no"), "row", "ordinal", F.substring("row", 1, tag).alias("tag"))
 
 
 def bad_widths(rows: DataFrame, kind: str) -> DataFrame:
