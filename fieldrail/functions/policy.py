@@ -61,14 +61,12 @@ def model_refusal(model: Column) -> Column:
     return F.when(name == "", "none").when(name.isin(*AUTO_ROUTERS), "auto router").when(name.endswith(FREE_SUFFIX), "free variant")
 
 
-def live_gate(c: dict[str, Column], reuse: bool = True, parallel: bool = False, limits: dict[str, float] = LIMITS) -> Column:
-    """The first gate that stops a call, the cache, or ALLOW; nothing is reserved, so it is a preview as well.
+def static_gate(c: dict[str, Column]) -> Column:
+    """The first gate that stops a call whatever went before, or null.
 
-    c: enabled, adapter, test_flag, key, synthetic, crop_refusal, model, listed, vision, seen (an equal request was
-    answered), in_flight, and what was used so far: paid_field, calls_field, calls_page, calls_document, calls_batch,
-    session_usd, document_usd.
+    c: enabled, adapter, test_flag, key, synthetic, crop_refusal, model, listed, vision.
     """
-    gates = [
+    gates = (
         (~c["enabled"], "BLOCKED_LIVE_PATH_DISABLED"),
         (~c["adapter"], "BLOCKED_ADAPTER_DISABLED"),
         (~c["test_flag"], "BLOCKED_LIVE_TEST_FLAG_UNSET"),
@@ -78,8 +76,16 @@ def live_gate(c: dict[str, Column], reuse: bool = True, parallel: bool = False,
         (model_refusal(c["model"]).isNotNull(), "BLOCKED_MODEL_REFUSED"),
         (~c["listed"], "BLOCKED_MODEL_NOT_ALLOWLISTED"),
         (~F.coalesce(c["vision"], F.lit(False)), "BLOCKED_MODEL_NOT_VISION"),
-        (c["seen"], "REUSED_CACHED_RESULT" if reuse else "BLOCKED_DUPLICATE_REQUEST"),
-        (c["in_flight"] & (not parallel), "BLOCKED_PARALLEL_CALL"),
+    )
+    return F.nullif(first_reason(*gates, otherwise=""), F.lit(""))
+
+
+def counted_gates(c: dict[str, Column], limits: dict[str, float] = LIMITS) -> Column:
+    """The first allowance that is used up, or null: counts first, then money.
+
+    c: paid_field, calls_field, calls_page, calls_document, calls_batch, session_usd, document_usd.
+    """
+    gates = (
         (c["paid_field"] >= limits["paid_per_field"], "BLOCKED_FIELD_PAID_ATTEMPTS"),
         (c["calls_field"] >= limits["per_field"], "BLOCKED_FIELD_CALL_LIMIT"),
         (c["calls_page"] >= limits["per_page"], "BLOCKED_PAGE_CALL_LIMIT"),
@@ -87,8 +93,23 @@ def live_gate(c: dict[str, Column], reuse: bool = True, parallel: bool = False,
         (c["calls_batch"] >= limits["per_batch"], "BLOCKED_BATCH_CALL_LIMIT"),
         (c["session_usd"] >= limits["session_usd"], "BLOCKED_SESSION_BUDGET"),
         (c["document_usd"] >= limits["document_usd"], "BLOCKED_DOCUMENT_BUDGET"),
-    ]
-    return first_reason(*gates, otherwise="ALLOW")
+    )
+    return F.nullif(first_reason(*gates, otherwise=""), F.lit(""))
+
+
+def live_gate(c: dict[str, Column], reuse: bool = True, parallel: bool = False, limits: dict[str, float] = LIMITS) -> Column:
+    """The first gate that stops a call, the cache, or ALLOW; nothing is reserved, so it is a preview as well.
+
+    c: what static_gate and counted_gates take, seen (an equal request was answered) and in_flight.
+    """
+    seen = F.when(c["seen"], "REUSED_CACHED_RESULT" if reuse else "BLOCKED_DUPLICATE_REQUEST")
+    busy = F.when(c["in_flight"] & (not parallel), "BLOCKED_PARALLEL_CALL")
+    return F.coalesce(static_gate(c), seen, busy, counted_gates(c, limits), F.lit("ALLOW"))
+
+
+def charge(billed: Column, called: Column, limits: dict[str, float] = LIMITS) -> Column:
+    """What a finished call is booked at: an unknown cost takes a document's whole allowance, a call that wasn't made nothing."""
+    return F.coalesce(billed, F.when(F.coalesce(called, F.lit(False)), F.lit(max(0.0, limits["document_usd"]))).otherwise(0.0))
 
 
 def usage(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
+from ..streaming import authorization
 from . import bind as B
 
 Q: dict = {}
@@ -118,3 +119,43 @@ def mode_checks(spark: SparkSession, d: str) -> DataFrame:
     c = B.bind(spark, d, "SELECT c_custkey, c_custkey % 13 / 1e1 - 0.1 AS l, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 12 / 1e1 END AS m FROM {customer}")
     paid = F.when(k % 7 == 0, F.array(F.lit("high"), F.lit("some"))).otherwise(F.array(F.lit("high"), F.lit("med")))
     return c.select("c_custkey", P.mode_error(F.col("l"), F.col("m"), paid, k % 11 == 0).alias("error"))
+
+
+# authorization with memory ---------------------------------------------------------------------
+_CALLS = """SELECT event_id, CAST(floor(event_id / 40) AS BIGINT) AS session, event_id * 2 AS seq, md5(concat(CAST(user_id % 3 AS STRING), event_type, CAST(event_id % 3 AS STRING))) AS fingerprint, CAST(user_id % 3 AS STRING) AS doc, 'p' || CAST(event_id % 2 AS STRING) AS page, event_type AS field,
+ event_id % 31 <> 0 AS enabled, event_id % 29 <> 0 AS adapter, event_id % 37 <> 0 AS test_flag, CASE WHEN event_id % 41 = 0 THEN ' ' ELSE 'k' END AS key, event_id % 43 <> 0 AS synthetic, CASE WHEN event_id % 47 = 0 THEN NULL ELSE (event_id % 52) / 2e2 END AS fraction,
+ CASE WHEN event_id % 53 = 0 THEN 'a/b:free' ELSE 'a/b' END AS model, event_id % 59 <> 0 AS listed, event_id % 61 <> 0 AS vision,
+ CASE WHEN event_id % 83 = 0 THEN 'none' WHEN event_id % 6 = 0 THEN 'release' ELSE 'complete' END AS ending, event_id * 2 + 1 + 2 * (event_id % 3) AS done, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 0e0 ELSE (event_id % 9) / 1e3 END AS billed_usd, event_id % 8 <> 0 AS called FROM {events}"""
+
+
+def call_events(spark: SparkSession, d: str) -> DataFrame:
+    """Requests and ends of calls, forty requests a session."""
+    c = F.col
+    calls = B.bind(spark, d, _CALLS).withColumn("crop_refusal", P.crop_refusal(c("fraction")))
+    gates = {n: c(n) for n in ("enabled", "adapter", "test_flag", "key", "synthetic", "crop_refusal", "model", "listed", "vision")}
+    own = ["session", c("event_id").alias("call_id"), "fingerprint", "doc", "page", "field"]
+    asked = calls.select("seq", F.lit("request").alias("kind"), P.static_gate(gates).alias("blocked"), F.lit(None).cast("double").alias("billed_usd"), F.lit(None).cast("boolean").alias("called"), *own)
+    ended = calls.filter("ending != 'none'").select(c("done").alias("seq"), c("ending").alias("kind"), F.lit(None).cast("string").alias("blocked"), "billed_usd", "called", *own)
+    return asked.unionByName(ended)
+
+
+@query(f"""WITH RECURSIVE c AS ({B.duck(_CALLS)}),
+g AS (SELECT *, CASE WHEN NOT enabled THEN 'BLOCKED_LIVE_PATH_DISABLED' WHEN NOT adapter THEN 'BLOCKED_ADAPTER_DISABLED' WHEN NOT test_flag THEN 'BLOCKED_LIVE_TEST_FLAG_UNSET' WHEN trim(key) = '' THEN 'BLOCKED_NO_API_KEY' WHEN NOT synthetic THEN 'BLOCKED_NOT_SYNTHETIC'
+  WHEN fraction IS NULL OR fraction > 0.25 THEN 'BLOCKED_NOT_A_CROP' WHEN model LIKE '%:free' THEN 'BLOCKED_MODEL_REFUSED' WHEN NOT listed THEN 'BLOCKED_MODEL_NOT_ALLOWLISTED' WHEN NOT vision THEN 'BLOCKED_MODEL_NOT_VISION' END AS blocked,
+  coalesce(billed_usd, CASE WHEN called THEN 0.005e0 ELSE 0e0 END) AS charged FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY moment) AS k FROM (SELECT *, seq AS moment, 'request' AS kind FROM g UNION ALL SELECT *, done, ending FROM g WHERE ending <> 'none')),
+w AS (
+  SELECT session, 0 AS k, CAST(NULL AS BIGINT) AS flying, CAST([] AS STRUCT(f VARCHAR, d VARCHAR, p VARCHAR, n VARCHAR, usd DOUBLE, call BIGINT)[]) AS held, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS BIGINT) AS reused_from, CAST(NULL AS DOUBLE) AS avoided_usd FROM (SELECT DISTINCT session FROM e)
+  UNION ALL
+  SELECT session, k, CASE WHEN decision = 'ALLOW' THEN event_id WHEN kind <> 'request' AND flying = event_id THEN NULL ELSE flying END,
+    CASE WHEN kind = 'complete' AND flying = event_id THEN list_append(held, struct_pack(f := fingerprint, d := doc, p := page, n := field, usd := charged, call := event_id)) ELSE held END,
+    moment, event_id, decision, CASE WHEN decision = 'REUSED_CACHED_RESULT' THEN same[1].call END, CASE WHEN decision = 'REUSED_CACHED_RESULT' THEN same[1].usd END
+  FROM (SELECT *, CASE WHEN kind <> 'request' THEN NULL WHEN blocked IS NOT NULL THEN blocked WHEN len(same) > 0 THEN 'REUSED_CACHED_RESULT' WHEN flying IS NOT NULL THEN 'BLOCKED_PARALLEL_CALL'
+      WHEN len(list_filter(of_field, lambda x: x.usd > 0)) >= 1 THEN 'BLOCKED_FIELD_PAID_ATTEMPTS' WHEN len(of_field) >= 1 THEN 'BLOCKED_FIELD_CALL_LIMIT' WHEN len(of_page) >= 2 THEN 'BLOCKED_PAGE_CALL_LIMIT' WHEN len(of_doc) >= 3 THEN 'BLOCKED_DOCUMENT_CALL_LIMIT' WHEN len(held) >= 5 THEN 'BLOCKED_BATCH_CALL_LIMIT'
+      WHEN coalesce(list_sum(list_transform(held, lambda x: x.usd)), 0) >= 0.02e0 THEN 'BLOCKED_SESSION_BUDGET' WHEN coalesce(list_sum(list_transform(of_doc, lambda x: x.usd)), 0) >= 0.005e0 THEN 'BLOCKED_DOCUMENT_BUDGET' ELSE 'ALLOW' END AS decision
+    FROM (SELECT e.* EXCLUDE (seq), w.flying, w.held, list_filter(w.held, lambda x: x.f = e.fingerprint) AS same, list_filter(w.held, lambda x: x.d = e.doc AND x.p = e.page AND x.n = e.field) AS of_field, list_filter(w.held, lambda x: x.d = e.doc AND x.p = e.page) AS of_page, list_filter(w.held, lambda x: x.d = e.doc) AS of_doc
+      FROM w JOIN e ON e.session = w.session AND e.k = w.k + 1)))
+SELECT session, seq, call_id, decision, reused_from, avoided_usd FROM w WHERE decision IS NOT NULL""")
+def live_authorization(spark: SparkSession, d: str) -> DataFrame:
+    """Every request decided by its session's memory: what was answered, what is in flight, counts and money so far."""
+    return authorization.authorize_table(call_events(spark, d))
