@@ -1,11 +1,12 @@
 """Toxicity: averaged subword embeddings under a linear softmax, trained jointly in numpy.
 
-A text is the bag of its distinct words and of their byte 3- to 5-grams (word ends count as a
-character), each hashed into one of ``1 << BITS`` buckets.  The bag's embeddings are
-averaged and go through a linear softmax; embeddings and softmax are trained
-together by Adam.  Misspellings that were never seen share most of their n-grams with
-the words that were.  As the model is linear after the average, a bucket's part in
-the score is one number, and scoring adds those numbers up.
+A text is the bag of its words and of their byte 4- to 6-grams (word ends count as a
+character), each hashed into one of ``1 << BITS`` buckets and counted as often as it stands there. The bag's
+embeddings are averaged, rare features (of the sample) more than common ones, over the root of the squared counts, so that
+a few words aren't lost in a long text. The average goes through a linear softmax; embeddings and softmax are
+trained together by descent with momentum over the whole sample: what only a few texts have moves little. Misspellings that were
+never seen share most of their n-grams with the words that were.  As the model is linear after the average, a bucket's
+part in the score is one number, and scoring adds those numbers up.
 
 Training takes a bounded sample of the labelled rows: ``Bound`` at most so many of
 each class, in the order of a hash of the id, within so many bytes of text.  Scoring
@@ -35,9 +36,7 @@ from .common import fresh, least_hashes, trimmed
 BITS = 20
 #: Buckets that fewer labelled texts than this have are not learned from.
 LEAST_TEXTS = 3
-#: Empty features that each average has besides its own: small bags stay near the bias.
-PRIOR = 1000
-GRAMS = (3, 4, 5)
+GRAMS = (4, 5, 6)
 #: ASCII that isn't a letter or digit parts words.
 PARTS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -59,20 +58,25 @@ class Model:
     bias: float
 
 
-def _bags(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, text) of features, kind by kind, the texts in order within a kind."""
+def _bags(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(buckets, text, times) of features, kind by kind, the texts in order within a kind.
+
+    A text's distinct words are taken apart once; their features count as often as they stand there.
+    """
     low = K.LOWER[buf]
     s, e, first = K.word_spans(low, offsets, PARTS)
     word, text = K.span_hashes(low, s, e), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    once = np.sort(np.unique(K.mix(word + text.astype(K.U64) * K.U64(0x9E3779B97F4A7C15)), return_index=True)[1])
+    _, once, times = np.unique(K.mix(word + text.astype(K.U64) * K.U64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+    order = np.argsort(once)
+    once, times = once[order], times[order]
     s, e, word, text = s[once], e[once], word[once], text[once]
-    yield (word >> K.U64(64 - BITS)).astype(np.uint32), text
+    yield (word >> K.U64(64 - BITS)).astype(np.uint32), text, times
     # the distinct words of the texts with a space around each
     size = e - s
     flat = np.full(int(size.sum()) + len(s) + 1, 0x20, np.uint8)
     to = np.cumsum(size + 1) - size
     flat[K.ranges(to, size)] = low[K.ranges(s, size)]
-    own = np.r_[np.repeat(text, size + 1), 0]
+    own, often = np.r_[np.repeat(text, size + 1), 0], np.r_[np.repeat(times, size + 1), 0]
     gap = flat == 0x20
     c = flat.astype(np.uint32) + np.uint32(1)
     for g in GRAMS:
@@ -91,28 +95,30 @@ def _bags(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
         h *= np.uint32(0x297A2D39)
-        yield h >> np.uint32(32 - BITS), own[at]
+        yield h >> np.uint32(32 - BITS), own[at], often[at]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = K.texts(batch.column(2))
-        rows = []
+        rows, spread = [], []
         for lo, hi in K.groups(offsets):
             kinds = list(_bags(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-            bucket = np.concatenate([b for b, _ in kinds]).astype(np.int64)
-            text = np.concatenate([t for _, t in kinds])
-            key, count = np.unique(text * (1 << BITS) + bucket, return_counts=True)
+            bucket = np.concatenate([b for b, _, _ in kinds]).astype(np.int64)
+            text, times = (np.concatenate([kind[k] for kind in kinds]) for k in (1, 2))
+            key, inverse = np.unique(text * (1 << BITS) + bucket, return_inverse=True)
+            count = np.minimum(np.bincount(inverse, times, len(key)), 65535).astype(np.uint16)
             edge = np.searchsorted(key >> BITS, np.arange(hi - lo + 1))
             for a, b in zip(edge[:-1], edge[1:]):
-                rows.append(((key[a:b] & ((1 << BITS) - 1)).astype(np.uint32).tobytes(), np.minimum(count[a:b], 255).astype(np.uint8).tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["id", "label", "buckets", "counts"])
+                rows.append(((key[a:b] & ((1 << BITS) - 1)).astype(np.uint32).tobytes(), count[a:b].tobytes()))
+            spread.append(np.bincount(text, times.astype(np.float64) ** 2, hi - lo))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array(np.concatenate([np.zeros(0), *spread]))], ["id", "label", "buckets", "counts", "spread"])
 
 
 def kept_features(bags: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(used buckets, places in them, counts, first, total counts) of texts' (buckets, counts).
+    """(used buckets, how many texts have them, places in them, counts, first) of texts' (buckets, counts).
 
-    Buckets that fewer than LEAST_TEXTS texts have are left out; totals have them.
+    Buckets that fewer than LEAST_TEXTS texts have are left out.
     The list is emptied on the way, so that features are held once.
     """
     texts = np.zeros(1 << BITS, np.uint16)
@@ -121,51 +127,53 @@ def kept_features(bags: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarr
     used = np.flatnonzero(texts >= LEAST_TEXTS)
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    places, counts, total = [], [], np.zeros(len(bags), np.int64)
+    places, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)]
     for i in range(len(bags)):
-        own, n = (np.frombuffer(x, k) for x, k in zip(bags[i], (np.uint32, np.uint8)))
+        own, n = (np.frombuffer(x, k) for x, k in zip(bags[i], (np.uint32, np.uint16)))
         bags[i] = (b"", b"")
         at = place[own]
         places.append(at[at >= 0])
         counts.append(n[at >= 0])
-        total[i] = int(n.sum(dtype=np.int64))
-    first = np.cumsum([0, *map(len, places)])
-    nothing = np.zeros(0, np.int32), np.zeros(0, np.uint8)
-    return used, np.concatenate([nothing[0], *places]), np.concatenate([nothing[1], *counts]), first, total
+    first = np.cumsum([0, *map(len, places[1:])])
+    return used, texts[used], np.concatenate(places), np.concatenate(counts), first
+
+
+def divisor(spread: np.ndarray) -> np.ndarray:
+    """What a bag's sum is divided by; an empty bag stays at the bias."""
+    return 5 * np.sqrt(1 + spread)
 
 
-def fit(bags: list[tuple[bytes, bytes]], labels: np.ndarray, dim: int = 4, steps: int = 1500, batch: int = 64, rate: float = 0.05, decay: float = 0.01, toxic_weight: float = 2.0) -> Model:
-    """Joint training; each text has its (buckets, counts)."""
+def fit(bags: list[tuple[bytes, bytes]], labels: np.ndarray, spread: np.ndarray, dim: int = 2, steps: int = 40, part: int = 128, rate: float = 30.0, decay: float = 1e-5, toxic_weight: float = 6.0) -> Model:
+    """Joint training; each text has its (buckets, counts) and its sum of squared counts."""
     weight = np.zeros(1 << BITS, np.float32)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return Model(weight, np.inf if share else -np.inf)
-    used, buckets, counts, first, total = kept_features(bags)
+    used, texts, buckets, counts, first = kept_features(bags)
+    rare = np.log(len(labels) / texts).astype(np.float32)
     r = np.random.default_rng(11)
-    table = np.float32(0.05) * r.standard_normal((len(used), dim), np.float32)
-    soft = r.normal(0, 0.3, (dim, 2)).astype(np.float32)
+    table = np.float32(1e-3) * r.standard_normal((len(used), dim), np.float32)
+    soft = r.normal(size=(dim, 2))
+    soft = (soft / np.linalg.norm(soft[:, 1] - soft[:, 0])).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (table, soft, bias)]
-    order = np.zeros(0, np.int64)
-    for step in range(1, steps + 1):
-        lr = rate * (1 - step / (steps + 1))
-        if len(order) < batch:
-            order = np.r_[order, r.permutation(len(labels))]
-        mine, order = order[:batch], order[batch:]
-        size = first[mine + 1] - first[mine]
-        at = K.ranges(first[mine], size)
-        index = buckets[at]
-        x = counts[at] / np.repeat(PRIOR + total[mine], size).astype(np.float32)
-        row = np.repeat(np.arange(len(mine)), size)
-        grads = gradients(table, soft, bias, index, x, row, labels[mine], toxic_weight)
-        for k, (value, grad) in enumerate(zip((table, soft, bias), grads)):
-            m, v = state[k]
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            value -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            if k < 2:
-                value *= 1 - lr * decay
-    weight[used] = table @ (soft[:, 1] - soft[:, 0])
+    moved = [np.zeros_like(x) for x in (table, soft, bias)]
+    below = divisor(spread).astype(np.float32)
+    for _ in range(steps):
+        grads = [np.zeros_like(x) for x in moved]
+        for lo in range(0, len(labels), part):  # the sample in parts: one gradient of all
+            mine = np.arange(lo, min(lo + part, len(labels)))
+            size = first[mine + 1] - first[mine]
+            at = slice(first[mine[0]], first[mine[-1] + 1])
+            index = buckets[at]
+            x = counts[at] * rare[index] / np.repeat(below[mine], size)
+            row = np.repeat(np.arange(len(mine)), size)
+            for total, grad in zip(grads, gradients(table, soft, bias, index, x, row, labels[mine], toxic_weight)):
+                total += np.float32(len(mine) / len(labels)) * grad
+        for k, value in enumerate((table, soft, bias)):
+            moved[k] *= np.float32(0.9)
+            moved[k] -= np.float32(0.25 if k else rate) * (grads[k] + (0 if k else np.float32(decay) * table))
+            value += moved[k]
+    weight[used] = (table @ (soft[:, 1] - soft[:, 0])) * rare
     return Model(weight, float(bias[1] - bias[0]))
 
 
@@ -204,26 +212,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             total += size[i]
             keep.append((i, y))
     few = spark.createDataFrame(keep, "id long, label int")
-    rows = slim.join(F.broadcast(few), "id").select("id", "label", "text").mapInArrow(trimmed(_features), "id long, label int, buckets binary, counts binary").collect()
-    rows.sort(key=lambda r: (r.id, r.buckets))
-    labels = np.array([r.label for r in rows], np.int64)
+    rows = slim.join(F.broadcast(few), "id").select("id", "label", "text").mapInArrow(trimmed(_features), "id long, label int, buckets binary, counts binary, spread double").collect()
+    rows.sort(key=lambda r: (r.id, r.buckets, r.counts))
+    labels, spread = np.array([r.label for r in rows], np.int64), np.array([r.spread for r in rows])
     bags = [(r.buckets, r.counts) for r in rows]
     del rows
-    return fit(bags, labels)
+    return fit(bags, labels, spread)
 
 
 def scores(buf: np.ndarray, offsets: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
     """The probability of the toxic class of each text."""
     out = np.empty(len(offsets) - 1)
     for lo, hi in K.groups(offsets):
-        total, count = np.zeros(hi - lo), np.zeros(hi - lo)
-        for bucket, text in _bags(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
+        total, spread = np.zeros(hi - lo), np.zeros(hi - lo)
+        for bucket, text, times in _bags(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
             edge = np.searchsorted(text, np.arange(hi - lo + 1))
-            run = np.r_[0.0, np.cumsum(weight[bucket], dtype=np.float64)]
+            run = np.r_[0.0, np.cumsum(weight[bucket] * times, dtype=np.float64)]
+            square = np.r_[0, np.cumsum(times * times)]
             total += run[edge[1:]] - run[edge[:-1]]
-            count += np.diff(edge)
+            spread += square[edge[1:]] - square[edge[:-1]]
         with np.errstate(over="ignore"):
-            out[lo:hi] = 1 / (1 + np.exp(-(bias + total / (PRIOR + count))))
+            out[lo:hi] = 1 / (1 + np.exp(-(bias + total / divisor(spread))))
     # equal texts have equal scores wherever they stand in a batch
     return np.round(out, 9)
 

@@ -1,7 +1,9 @@
 """Toxicity, decontamination and URL rules."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -79,11 +81,63 @@ def test_gradients_equal_differences():
             assert abs((sides[0] - sides[1]) / 2e-6 - grad[at]) < 1e-6
 
 
-def test_features_of_few_texts_are_left_out_but_counted():
-    bag = lambda *b: (np.array(b, np.uint32).tobytes(), np.full(len(b), 2, np.uint8).tobytes())
-    used, places, counts, first, total = X.kept_features([bag(3, 9), bag(3), bag(3, 5), bag()])
-    assert used.tolist() == [3] and places.tolist() == [0, 0, 0] and counts.tolist() == [2, 2, 2]
-    assert first.tolist() == [0, 1, 2, 3, 3] and total.tolist() == [4, 2, 4, 0]
+def test_features_of_few_texts_are_left_out():
+    bag = lambda *b: (np.array(b, np.uint32).tobytes(), np.full(len(b), 2, np.uint16).tobytes())
+    used, texts, places, counts, first = X.kept_features([bag(3, 9), bag(3), bag(3, 5), bag()])
+    assert used.tolist() == [3] and texts.tolist() == [3] and places.tolist() == [0, 0, 0] and counts.tolist() == [2, 2, 2]
+    assert first.tolist() == [0, 1, 2, 3, 3]
+
+
+def plain_bag(text):
+    """{bucket: times}, sum of squared times: words and n-grams one by one."""
+    words = [w for w in re.split(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.encode()) if w]
+    low = Counter(bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words)
+    found, spread = Counter(), 0
+    for w, n in low.items():
+        h = int(K.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+        keys = [h >> (64 - X.BITS)]
+        ringed = b" " + w + b" "
+        for g in X.GRAMS:
+            factors = [(int(f) >> 32) | 1 for f in K.seeds(40 + g, g)]
+            for i in range(len(ringed) - g + 1):
+                h = sum((c + 1) * f for c, f in zip(ringed[i : i + g], factors)) & 0xFFFFFFFF
+                h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+                h = ((h ^ (h >> 13)) * 0x297A2D39) & 0xFFFFFFFF
+                keys.append(h >> (32 - X.BITS))
+        for k in keys:
+            found[k] += n
+        spread += len(keys) * n * n
+    return found, spread
+
+
+def test_scores_equal_a_plain_softmax():
+    r = random.Random(8)
+    texts = [prose(r, n) for n in (1, 5, 40, 300)] + ["", "a", "Ab ab AB", "é éé ñandú", "x" * 40 + " y!z", "0 00 000 0000 00000"]
+    weight, bias = np.random.default_rng(3).normal(size=1 << X.BITS).astype(np.float32), -0.7
+    got = X.scores(*K.texts(pa.array(texts)), weight, bias)
+    made = next(X._features(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], ["id", "label", "text"])])))
+    for i, text in enumerate(texts):
+        bag, spread = plain_bag(text)
+        logit = sum(float(weight[k]) * n for k, n in bag.items()) / (5 * (1 + spread) ** 0.5)
+        clean, toxic = np.exp([0.0, bias + logit])
+        assert abs(got[i] - toxic / (clean + toxic)) < 1e-6
+        held = dict(zip(np.frombuffer(made.column(2)[i].as_py(), np.uint32).tolist(), np.frombuffer(made.column(3)[i].as_py(), np.uint16).tolist()))
+        assert held == dict(bag) and made.column(4)[i].as_py() == spread
+
+
+def test_rare_toxic_words_in_long_texts_are_found(spark):
+    """One word in sixty is toxic, whatever the length; held-out rows count."""
+    r, rows = random.Random(5), []
+    bad = ["zqlorm", "vexpit", "kwurg", "blathu"]
+    for i in range(700):
+        words = prose(r, r.choice((30, 80, 250, 900))).split()
+        if i % 6 == 0:
+            for _ in range(max(1, len(words) // 60)):
+                words[r.randrange(len(words))] = r.choice(bad)
+        rows.append((i, " ".join(words), int(i % 6 == 0)))
+    got = X.toxicity_report(spark.createDataFrame([(*x[:2], 1, 2) for x in rows], "doc_id long, text string, held_out int, predicted int"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()
+    held = [(rows[x.doc_id][2], x.predicted) for x in got if x.held_out]
+    assert sum(y and p for y, p in held) >= 0.85 * sum(y for y, _ in held) and sum(p and not y for y, p in held) <= 1
 
 
 def test_repeated_ids_and_long_texts_are_scored(spark):
