@@ -22,7 +22,7 @@ longer document) at a time.
 
 Defined results: null text has no words; a null id is never compared and its row
 stays as it is; rows of one id count as one document and don't remove each other's
-words; an empty table gives an empty one; further columns pass through.
+words (and share a task); an empty table gives an empty one; further columns pass through.
 """
 
 from __future__ import annotations
@@ -422,13 +422,30 @@ def _without_repeats(docs: DataFrame, size: int, id_col: str, text_col: str, cel
     bucket_col = fresh(docs, "__bucket")
     names = [bucket_col, id_col, text_col]
     key = F.col(id_col).cast("long")
-    rows = docs.withColumn(bucket_col, F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(text_col)), F.lit(buckets)).cast("int"))
+    rows = docs.filter(key.isNotNull()).withColumn(bucket_col, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     known = docs.filter(key.isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"))
     sent = known.mapInArrow(trimmed(_ask(size, chunks, buckets)), _SENT).repartition(n, "chunk").sortWithinPartitions("chunk")
     told = sent.mapInArrow(trimmed(_judge(cells, buckets)), _KEYED)
     moved = rows.groupBy(bucket_col).cogroup(told.groupBy("bucket")).applyInArrow(trimmed_pair(_candidates(size, chunks, buckets, names)), _KEYED)
     found = moved.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_exact(buckets)), _KEYED)
-    return rows.groupBy(bucket_col).cogroup(found.groupBy("bucket")).applyInArrow(trimmed_pair(_cut(size, names, digest)), schema)
+    cut = rows.groupBy(bucket_col).cogroup(found.groupBy("bucket")).applyInArrow(trimmed_pair(_cut(size, names, digest)), schema)
+    # rows without an id are never compared and stay where they are
+    loose = docs.filter(key.isNull())
+    return cut.unionByName(loose.mapInArrow(_loose(size, names), schema) if digest else loose.select(*schema.names))
+
+
+def _loose(size: int, names: list[str]):
+    """The report of rows that nothing is removed from."""
+    report = _cut(size, names, True)
+    none = pa.Table.from_arrays([pa.array([], k) for k in _KINDS], ["bucket", "id", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch]).append_column(names[0], pa.nulls(batch.num_rows, pa.int32()))
+                yield from report(rows, none).to_batches()
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:

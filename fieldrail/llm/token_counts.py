@@ -94,13 +94,15 @@ class Counter:
             out.append((a, b))
             if b == len(text):
                 return out
-            a = max(b - overlap, a + 1)
+            a = b - overlap
             while text[a] & 0xC0 == 0x80:
                 a -= 1
 
     def count(self, buf: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
-        """Tokens of each text."""
+        """Tokens of each text. Overlaps are twice the longest look-ahead at least, and chunks longer than they by a character."""
         overlap = max(overlap, 2 * self.longest)
+        if chunk < overlap + 7:
+            raise ValueError(f"chunks of {chunk} bytes don't go on beyond overlaps of {overlap}")
         n = len(offsets) - 1
         cuts: list[tuple[int, int, int]] = []
         for i in range(n):

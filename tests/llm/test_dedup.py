@@ -181,3 +181,17 @@ def test_rows_of_one_id_do_not_remove_each_other(spark):
     text = " ".join(f"w{i}" for i in range(20))
     rows = spark.createDataFrame([(5, text), (5, text + " more"), (9, "lead " + text)], "doc_id long, text string").repartition(1)
     assert sorted((r.doc_id, r.n_removed) for r in removal_report(rows, 13).collect()) == [(5, 0), (5, 0), (9, 20)]
+
+
+def test_many_rows_without_an_id_pass_by(spark):
+    r = random.Random(3)
+    shared = prose(r, 40)
+    rows = [(k, prose(r, 5) + " " + shared, "x") for k in range(4)] + [(None, shared, "y")] * 300 + [(None, None, "z")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)
+    got = removal_report(docs, size=13).collect()
+    assert len(got) == len(rows)
+    loose = {(x.n_words, x.n_removed, x.kept_sha256) for x in got if x.doc_id is None}
+    assert loose == {(40, 0, hashlib.sha256(" ".join(shared.split()).encode()).hexdigest()), (0, 0, hashlib.sha256(b"").hexdigest())}
+    assert [x.n_removed for x in sorted((x for x in got if x.doc_id is not None), key=lambda x: x.doc_id)] == [0, 40, 40, 40]
+    kept = remove_repeats(docs, size=13).collect()
+    assert sum(x.text == shared and x.label == "y" for x in kept) == 300 and sum(x.label == "z" and x.text is None for x in kept) == 5

@@ -170,3 +170,24 @@ def test_sentencepiece_query(spark, documents, corpus, pieces, nothing):
     back = {r.doc_id: r.text for r in S.decode(out.select("doc_id", "ids"), MODEL).collect() if r.doc_id is not None}
     assert all(back[i] == (t or "") for i, t in corpus if i is not None)
     assert S.encode(nothing, MODEL).count() == 0
+
+
+def test_chunks_near_the_overlap_end_or_are_refused():
+    import signal
+
+    path = tokenizer_path("word_bpe_49k.json")
+    with open(path, "rb") as file:
+        counter = Counter(path, file.read())
+    signal.alarm(60)
+    try:
+        for text in ("é" * 40, "🙂" * 50, "aé🙂 " * 30, "word " * 40):
+            buf, offsets = K.texts(pa.array([text]))
+            want = counter.count(buf, offsets)
+            for chunk, overlap in ((31, 4), (30, 4), (24, 4), (512, 600), (16384, 16384), (4, 4)):
+                with pytest.raises(ValueError):
+                    counter.count(buf, offsets, chunk, overlap)
+            least = max(4, 2 * counter.longest) + 7
+            for chunk in (least, least + 1, least + 9):
+                assert counter.count(buf, offsets, chunk, 4).tolist() == want.tolist()
+    finally:
+        signal.alarm(0)
