@@ -211,10 +211,49 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))
 
 
+def _unit(x: Column) -> Column:
+    """An array less its mean, of length one; null where it doesn't vary."""
+    n = F.size(x).cast("double")
+    centred = F.transform(x, lambda v: v - F.aggregate(x, F.lit(0.0), lambda s, w: s + w) / n)
+    size = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v))
+    return F.when(size > 0, F.transform(centred, lambda v: v / size))
+
+
 def shifted_correlation(a: Column, b: Column, most: int = 4) -> Column:
-    """The best correlation over circular shifts of b."""
+    """The best correlation over circular shifts of b by up to ``most`` places; a and b are units (_unit)."""
     roll = lambda k: F.concat(F.slice(b, F.size(b) - k + 1, k), F.slice(b, F.lit(1), F.size(b) - k)) if k > 0 else F.concat(F.slice(b, 1 - k, F.size(b) + k), F.slice(b, 1, -k)) if k < 0 else b
-    return F.array_max(F.array(*(correlation(a, roll(k)) for k in range(-most, most + 1))))
+    dot = lambda x: F.aggregate(F.zip_with(a, x, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return F.array_max(F.array(*(dot(roll(k)) for k in range(-most, most + 1))))
+
+
+# Fixed weights of the two profiles.
+ROWS_WEIGHT, COLUMNS_WEIGHT = 0.45, 0.55
+#: Variants of forms that a routing takes; they go to every task.
+MOST_VARIANTS = 64
+
+
+def profile_routes(pages: DataFrame, variants: DataFrame, page: str, least: float = 0.75, margin: float = 0.05) -> DataFrame:
+    """(page, form, variant, score): the form whose best variant's profiles are most like the page's, or unknown.
+
+    pages: (page, rows, cols); variants: (form, variant, rows, cols), at most MOST_VARIANTS. A form wins with at least
+    ``least``, and ``margin`` before the next form.
+    """
+    from pyspark.sql import Window
+
+    c = F.col
+    held = variants.select("form", "variant", _unit(c("rows")).alias("rows"), _unit(c("cols")).alias("cols")).limit(MOST_VARIANTS + 1).collect()
+    if len(held) > MOST_VARIANTS:
+        raise ValueError(f"more than {MOST_VARIANTS} variants of forms")
+    kind = variants.select(F.array(F.struct("form", "variant", c("rows").cast("array<double>").alias("rows"), c("cols").cast("array<double>").alias("cols"))).alias("v")).schema["v"].dataType.simpleString()
+    known = F.array(*(F.struct(F.lit(v.form).alias("form"), F.lit(v.variant).alias("variant"), F.lit(v.rows).alias("rows"), F.lit(v.cols).alias("cols")) for v in held)).cast(kind)
+    score = lambda v: ROWS_WEIGHT * shifted_correlation(c("_rows"), v["rows"]) + COLUMNS_WEIGHT * shifted_correlation(c("_cols"), v["cols"])
+    own = pages.select(page, _unit(c("rows")).alias("_rows"), _unit(c("cols")).alias("_cols"))
+    scored = own.select(page, F.inline(F.transform(known, lambda v: F.struct(v["form"].alias("form"), v["variant"].alias("variant"), F.round(F.coalesce(score(v), F.lit(0.0)), 9).alias("score")))))
+    best = scored.groupBy(page, "form").agg(F.max(F.struct("score", "variant")).alias("b")).select(page, "form", "b.score", "b.variant")
+    by = Window.partitionBy(page).orderBy(F.desc("score"), "form")
+    first = best.withColumns({"k": F.row_number().over(by), "second": F.coalesce(F.lead("score").over(by), F.lit(0.0))}).filter("k = 1")
+    sure = (c("score") >= least) & (c("score") - c("second") >= margin)
+    return first.select(page, F.when(sure, c("form")).otherwise("unknown").alias("form"), F.when(sure, c("variant")).alias("variant"), "score")
 
 
 def document_plan(spark, n: int, seed: int, forms: tuple[str, ...] = ("cms1500", "ub04")) -> DataFrame:

@@ -75,7 +75,7 @@ def split_documents(docs: DataFrame, seed: int, share: float = 0.4) -> DataFrame
     """
     from ..operators.ledger import nearest_ranks
 
-    hashed = docs.withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    hashed = docs.withColumn("_h", F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256), 1, 15), 16, 10).cast("long"))
     last = F.floor(F.col("n") * F.lit(str(share)).cast("decimal(6,4)"))
     cut = nearest_ranks(hashed, "form", "_h", {"last": last}).select(F.col("form").alias("_form"), F.col("last").alias("_last"))
     both = hashed.join(cut, F.col("form").eqNullSafe(F.col("_form")), "left")
