@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import exports, extraction, policies, reports, retries, summaries
+from . import batches, exports, extraction, policies, reports, retries, summaries
 
 
 def queries() -> dict:
-    return reports.Q | extraction.Q | summaries.Q | policies.Q | exports.Q | retries.Q
+    return reports.Q | extraction.Q | summaries.Q | policies.Q | exports.Q | retries.Q | batches.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return reports.SQL | extraction.SQL | summaries.SQL | policies.SQL | exports.SQL | retries.SQL
+    return reports.SQL | extraction.SQL | summaries.SQL | policies.SQL | exports.SQL | retries.SQL | batches.SQL
