@@ -85,15 +85,16 @@ def router_winner(spark: SparkSession, d: str) -> DataFrame:
     return linkage.route(B.bind(spark, d, _SCORES), "page", "form", "score")
 
 
-_LETTER = """SELECT c_custkey, 'Patient Name: ' || replace(c_name, '#', ' ') || '  DOB 0' || CAST(c_custkey % 9 + 1 AS STRING) || '/1' || CAST(c_custkey % 9 AS STRING) || '/1985 total charge: $' || CAST(c_custkey * 13 AS STRING) || '.50 NPI ' || CAST(1000000000 + c_custkey AS STRING) AS t FROM {customer}"""
+_LETTER = """SELECT c_custkey, 'Patient Name: ' || replace(c_name, '#', ' ') || '  DOB 0' || CAST(c_custkey % 9 + 1 AS STRING) || '/1' || CAST(c_custkey % 9 AS STRING) || '/1985 total charge: $' || CAST(c_custkey * 13 AS STRING) || '.50 NPI ' || CAST(1000000000 + c_custkey AS STRING) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' Patient Account No: AC-' || CAST(c_custkey AS STRING) || '-Z' END || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ' ICD-10 Code: B' || CAST(c_custkey % 90 + 10 AS STRING) || '.' || CAST(c_custkey % 10 AS STRING) END AS t FROM {customer}"""
 
 
 @query(f"""WITH c AS (SELECT c_custkey, upper(regexp_replace(t, '\\s+', ' ', 'g')) AS t FROM ({B.duck(_LETTER)}))
 SELECT c_custkey, trim(regexp_extract(t, '(?:PATIENT|MEMBER)\\s+NAME\\s*[:#-]?\\s*([A-Z][A-Z ,.''-]{{3,45}})', 1)) AS patient_name, regexp_extract(t, 'DOB\\s*[:#-]?\\s*([0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}})', 1) AS patient_dob,
-  trim(regexp_extract(t, 'TOTAL CHARGE\\s*[:$#-]?\\s*(\\$?\\s*[0-9][0-9,]*\\.\\d{{2}})', 1)) AS total_charge, regexp_extract(t, 'NPI\\s*[:#-]?\\s*(\\d{{10}})', 1) AS provider_npi FROM c""")
+  trim(regexp_extract(t, 'TOTAL CHARGE\\s*[:$#-]?\\s*(\\$?\\s*[0-9][0-9,]*\\.\\d{{2}})', 1)) AS total_charge, regexp_extract(t, 'NPI\\s*[:#-]?\\s*(\\d{{10}})', 1) AS provider_npi,
+  CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'AC-' || c_custkey || '-Z' END AS patient_account_no, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'B' || (c_custkey % 90 + 10) || '.' || (c_custkey % 10) END AS diagnosis_1 FROM c""")
 def label_extract(spark: SparkSession, d: str) -> DataFrame:
     c = B.bind(spark, d, _LETTER).withColumn("m", X.labelled(F.col("t")))
-    return c.select("c_custkey", *(F.coalesce(F.col("m")[n], F.lit("")).alias(n) for n in ("patient_name", "patient_dob", "total_charge", "provider_npi")))
+    return c.select("c_custkey", *(F.coalesce(F.col("m")[n], F.lit("")).alias(n) for n in X.LABELS))
 
 
 # typed values ----------------------------------------------------------------
@@ -128,13 +129,15 @@ def money_and_quantity(spark: SparkSession, d: str) -> DataFrame:
     return m.select("l_orderkey", "l_linenumber", "l_partkey", Y.compared_value(F.lit("line1_charges"), F.col("v")).alias("money"), Y.compared_value(F.lit("units"), F.col("v")).alias("quantity"))
 
 
-_FIELDS = ("line1_date_from", "line2_charges", "line1_units", "line1_cpt_code", "patient_dob", "total_charge", "units", "diagnosis_1", "mystery_field", "type_of_bill", "provider_npi", "x_service_date")
+# Names of fields and the families they belong to, written out; # is the line's number.
+_FAMILIES = (("line#_date_from", "date"), ("line#_charges", "money"), ("line#_units", "quantity"), ("line#_cpt_code", "text"), ("patient_dob", "date"), ("total_charge", "money"), ("units", "quantity"), ("diagnosis_1", "code"), ("mystery_field_#", "text"), ("type_of_bill", "text"), ("provider_npi", "code"), ("x#_service_date", "date"))
+_NAMED = "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 12 " + " ".join(f"WHEN {k} THEN replace('{n}', '#', CAST(l_linenumber AS STRING))" for k, (n, _) in enumerate(_FAMILIES)) + " END AS name FROM {lineitem}"
 
 
-@query(f"""SELECT n AS name, CASE WHEN n IN ('patient_dob') OR regexp_matches(n, '(_date_from|_date_to|_service_date|_dob)$') THEN 'date' WHEN n IN ('total_charge') OR regexp_matches(n, '(_charges|_charge)$') THEN 'money'
-  WHEN n = 'units' OR n LIKE '%#_units' ESCAPE '#' THEN 'quantity' WHEN n IN ('diagnosis_1', 'provider_npi') THEN 'code' ELSE 'text' END AS family FROM (VALUES {', '.join(f"('{n}')" for n in _FIELDS)}) t(n)""")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, name, CASE l_partkey % 12 {' '.join(f"WHEN {k} THEN '{f}'" for k, (_, f) in enumerate(_FAMILIES))} END AS family FROM ({B.duck(_NAMED)})")
 def classify_field(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in _FIELDS], "name string").select("name", Y.family(F.col("name")).alias("family"))
+    """The family of every line's field by its name."""
+    return B.bind(spark, d, _NAMED).withColumn("family", Y.family(F.col("name")))
 
 
 _NPI = "SELECT c_custkey, CAST(1000000000 + c_custkey * 7919 AS STRING) AS npi FROM {customer}"
