@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import fresh, least_hashes, trimmed
+from .common import fresh, give_back, least_hashes, trimmed
 
 BITS = 20
 #: Buckets that fewer labelled texts than this have are not learned from.
@@ -47,7 +47,7 @@ class Bound:
 
     toxic: int = 2048
     clean: int = 4096
-    text_bytes: int = 16 << 20
+    text_bytes: int = 10 << 20
 
 
 @dataclass(frozen=True)
@@ -127,15 +127,15 @@ def kept_features(bags: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarr
     used = np.flatnonzero(texts >= LEAST_TEXTS)
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    places, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)]
-    for i in range(len(bags)):
+    sizes = np.array([int((place[np.frombuffer(buckets, np.uint32)] >= 0).sum()) for buckets, _ in bags], np.int64)
+    first = np.r_[0, np.cumsum(sizes)]
+    places, counts = np.empty(first[-1], np.int32), np.empty(first[-1], np.uint16)
+    for i, (lo, hi) in enumerate(zip(first[:-1], first[1:])):
         own, n = (np.frombuffer(x, k) for x, k in zip(bags[i], (np.uint32, np.uint16)))
         bags[i] = (b"", b"")
         at = place[own]
-        places.append(at[at >= 0])
-        counts.append(n[at >= 0])
-    first = np.cumsum([0, *map(len, places[1:])])
-    return used, texts[used], np.concatenate(places), np.concatenate(counts), first
+        places[lo:hi], counts[lo:hi] = at[at >= 0], n[at >= 0]
+    return used, texts[used], places, counts, first
 
 
 def divisor(spread: np.ndarray) -> np.ndarray:
@@ -217,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels, spread = np.array([r.label for r in rows], np.int64), np.array([r.spread for r in rows])
     bags = [(r.buckets, r.counts) for r in rows]
     del rows
+    give_back()
     return fit(bags, labels, spread)
 
 
