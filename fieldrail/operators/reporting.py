@@ -235,14 +235,16 @@ def receipt_costs(ledger: DataFrame, prices: DataFrame, keys: list[str], oracle_
     return out.withColumns({n: F.bround(n, 8) for n in out.columns if n.endswith("_usd")})
 
 
-def unify_receipts(pages: DataFrame, receipts: DataFrame) -> DataFrame:
+def unify_receipts(pages: DataFrame, receipts: DataFrame, page_sums: tuple[Column, ...] = (), field_counts: tuple[Column, ...] = ()) -> DataFrame:
     """A document's pages as one: its type or mixed, counters of its fields, costs, state.
 
+    page_sums and field_counts are further aggregates of the same passes; counts of documents without fields are 0.
+
     pages: doc_id, page, document_type, latency_ms, measured_usd, projected_usd.
     receipts: doc_id, page, decision, retry_count, escalated, eligible, calls, workflow (null: not with a model).
     """
     c = F.col
-    one = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.min("document_type").alias("_lo"), F.max("document_type").alias("_hi"), F.bround(total(c("latency_ms")), 3).alias("latency_ms"), F.bround(total(c("measured_usd")), 9).alias("measured_usd"), F.bround(total(c("projected_usd")), 9).alias("projected_usd"))
+    one = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.min("document_type").alias("_lo"), F.max("document_type").alias("_hi"), F.bround(total(c("latency_ms")), 3).alias("latency_ms"), F.bround(total(c("measured_usd")), 9).alias("measured_usd"), F.bround(total(c("projected_usd")), 9).alias("projected_usd"), *page_sums)
     here = c("decision").isin(*TERMINAL) & ~c("escalated")
     counts = receipts.groupBy("doc_id").agg(
         F.count("*").alias("fields"),
@@ -259,6 +261,7 @@ def unify_receipts(pages: DataFrame, receipts: DataFrame) -> DataFrame:
         _n(c("workflow") == "HUMAN_REVIEW_REQUIRED").alias("pending_human_review"),
         F.coalesce(F.sum("calls"), F.lit(0)).alias("external_calls"),
         _n(~c("decision").isin("INAPPLICABLE", *TERMINAL)).alias("unresolved_fields"),
+        *field_counts,
     )
     names = [n for n in counts.columns if n != "doc_id"]
     out = one.join(counts, "doc_id", "left").fillna(0, names)
@@ -270,9 +273,11 @@ def unify_receipts(pages: DataFrame, receipts: DataFrame) -> DataFrame:
 BATCH_SUMS = ("fields", "accepted", "accepted_with_flag", "fields_retried", "accepted_after_local_retry", "accepted_without_retry", "unresolved_fields", "inapplicable", "multimodal_attempted", "multimodal_failed", "pending_human_review", "external_calls", "applicable_fields", "fields_produced", "validated_fields", "critical_fields", "critical_resolved")
 
 
-def batch_summary(documents: DataFrame) -> DataFrame:
+def batch_summary(documents: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
     """One row of a batch: states, counters of documents with output, rates, costs, throughput; accuracy is never claimed here.
 
+    more: further aggregates of the same pass.
+
     documents: unify_receipts() with applicable_fields, fields_produced, validated_fields, critical_fields, critical_resolved.
     """
     c, state = F.col, F.col("processing_status")
@@ -288,6 +293,7 @@ def batch_summary(documents: DataFrame) -> DataFrame:
         F.bround(F.coalesce(total(F.when(counted, c("measured_usd"))), F.lit(0.0)), 9).alias("measured_usd"),
         F.bround(F.coalesce(total(F.when(counted, c("projected_usd"))), F.lit(0.0)), 9).alias("projected_usd"),
         F.bround(F.coalesce(total(F.when(counted, c("latency_ms"))), F.lit(0.0)), 3).alias("latency_ms"),
+        *more,
     )
     out = _rates(
         out,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import batches, exports, extraction, policies, reports, retries, summaries
+from . import batches, documents, exports, extraction, policies, reports, retries, summaries
+
+_PLANS = (reports, extraction, summaries, policies, exports, retries, batches, documents)
 
 
 def queries() -> dict:
-    return reports.Q | extraction.Q | summaries.Q | policies.Q | exports.Q | retries.Q | batches.Q
+    return {name: q for plan in _PLANS for name, q in plan.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return reports.SQL | extraction.SQL | summaries.SQL | policies.SQL | exports.SQL | retries.SQL | batches.SQL
+    return {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
