@@ -266,8 +266,9 @@ def document_plan(spark, n: int, seed: int, forms: tuple[str, ...] = ("cms1500",
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
-    """(name, sha256) that don't depend on the kind of line ends, for freeze manifests."""
-    return files.select("name", F.sha2(F.regexp_replace(F.decode("content", "ISO-8859-1"), r"\r\n?", "\n"), 256).alias("sha256"))
+    """(name, sha256 of the bytes) that don't depend on the kind of line ends, for freeze manifests."""
+    lines = F.regexp_replace(F.decode("content", "ISO-8859-1"), r"\r\n?", "\n")
+    return files.select("name", F.sha2(F.encode(lines, "ISO-8859-1"), 256).alias("sha256"))
 
 
 def manifest_differences(frozen: DataFrame, now: DataFrame) -> DataFrame:

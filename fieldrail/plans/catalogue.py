@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batches, documents, exports, extraction, policies, reports, retries, summaries
+from . import batches, documents, exports, extraction, intake, policies, reports, retries, summaries
 
-_PLANS = (reports, extraction, summaries, policies, exports, retries, batches, documents)
+_PLANS = (reports, extraction, summaries, policies, exports, retries, batches, documents, intake)
 
 
 def queries() -> dict:

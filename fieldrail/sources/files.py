@@ -88,6 +88,61 @@ def inventory_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("files"), *(F.count_if(F.col("status") == s).alias(s.lower()) for s in ("READY", "DUPLICATE", "EMPTY", "UNSUPPORTED")), F.sum("size").alias("bytes"))
 
 
+def folder_inventory(files: DataFrame, base: str = "", most_pages: int = 100) -> DataFrame:
+    """(relative_path, grp, name, id, format, role, page_count, size, status, warning) of files below base; one row a file.
+
+    files: path, content; optional: pages (as a decoder counted them; null: couldn't be decoded), readable, link.
+    Of equal contents the first by case-folded path counts, the others are duplicates of it; empty files never are.
+    Status: DUPLICATE over ERROR, UNSUPPORTED and UNKNOWN; READY otherwise. Links and unreadable files are told apart by
+    their path, as there is no content.
+    """
+    c = F.col
+    has = set(files.columns)
+    flag = lambda name, default: F.coalesce(c(name), F.lit(default)) if name in has else F.lit(default)
+    path = F.when(c("path").startswith(base), F.substr("path", F.lit(len(base) + 1))).otherwise(c("path")) if base else c("path")
+    own = files.withColumns({"relative_path": F.regexp_replace(path, "^/+", ""), "_link": flag("link", False), "_read": flag("readable", True)})
+    content = F.when(~c("_link") & c("_read"), F.coalesce("content", F.lit(b""))).otherwise(F.lit(b""))
+    own = own.withColumns({"content": content, "name": F.element_at(F.split("relative_path", "/"), -1), "grp": F.coalesce(F.nullif(F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))})
+    kind = F.when(c("_link"), "SYMLINK").when(~c("_read"), "UNREADABLE").otherwise(detect_format(c("content")))
+    known = own.withColumn("format", kind).withColumn("role", F.when(c("_link"), "unsupported").when(~c("_read"), "unknown").otherwise(role(c("name"), c("format"), c("content"))))
+    paged = c("role").isin("claim_document", "attachment")
+    count = c("pages") if "pages" in has else F.lit(1)
+    out = known.withColumns(
+        {
+            "id": hash_id(F.when(c("_link") | ~c("_read"), F.encode("relative_path", "UTF-8")).otherwise(c("content"))),
+            "size": F.octet_length("content"),
+            "page_count": F.when(paged & (count <= most_pages), count),
+            "_order": F.struct(F.lower("relative_path").alias("a"), c("relative_path").alias("b")),
+            "_why": first_reason(
+                (c("_link"), "Symbolic links are not followed."),
+                (~c("_read"), "File could not be read."),
+                (paged & F.coalesce(count > most_pages, F.lit(False)), "pages"),
+                (paged & F.coalesce(count < 1, F.lit(True)), "The document could not be decoded."),
+                (c("role") == "unsupported", "format"),
+                (c("role") == "unknown", "File role or content format is not recognized."),
+                otherwise="",
+            ),
+        }
+    )
+    out = out.withColumn("_why", F.when(c("_why") == "pages", F.concat(F.lit(f"Document page limit is {most_pages}; received "), count.cast("string"), F.lit(" pages."))).when(c("_why") == "format", F.concat(F.lit("Detected "), c("format"), F.lit("; no decoder is available."))).otherwise(c("_why")))
+    # copies of one content needn't meet: the first of each is an aggregate
+    first = out.filter("size > 0").groupBy(c("id").alias("_id")).agg(F.min(F.struct("_order", "name")).alias("_first"))
+    out = out.join(first, (c("id") == c("_id")) & (c("size") > 0), "left")
+    copy = F.coalesce(c("_order") > c("_first._order"), F.lit(False))
+    state = first_reason((copy, "DUPLICATE"), (c("_why") == "", "READY"), (~c("_link") & (~c("_read") | paged), "ERROR"), (c("role") == "unsupported", "UNSUPPORTED"), otherwise="UNKNOWN")
+    warning = F.when(copy, F.concat(F.lit("Duplicate content; first seen as "), c("_first.name"), F.lit("."))).otherwise(c("_why"))
+    return out.select("relative_path", "grp", "name", "id", "format", "role", "page_count", "size", state.alias("status"), warning.alias("warning"))
+
+
+def scan_counters(inventory: DataFrame) -> DataFrame:
+    """One row of a folder_inventory()'s counters; copies count as what they are, too."""
+    c = F.col
+    away = c("role").isin("unsupported", "unknown")
+    error = (c("status") == "ERROR") | c("warning").startswith("Document page limit")
+    n = lambda when, name: F.count_if(when).alias(name)
+    return inventory.agg(F.count("*").alias("files_discovered"), n(~away & ~error, "supported_files"), n(away, "unsupported_files"), n(c("role") == "claim_document", "claim_documents"), n(c("role") == "expected_output", "expected_output_files"), n(c("role") == "specification", "specifications"), n(c("status") == "DUPLICATE", "duplicate_files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+
+
 def upload_refusal(attested: Column, name: Column, size: Column, kind: Column, pages: Column) -> Column:
     """The first rule that an upload breaks, or null."""
     out = first_reason(

@@ -19,6 +19,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).json(path)
 
 
+def append_jsonl(rows: DataFrame, path: str) -> None:
+    """Rows as further JSON lines below a path, money to 8 places and times to 2; what is there stays as it is."""
+    places = {"cost_usd": 8, "latency_ms": 2}
+    rows.withColumns({n: F.bround(F.coalesce(n, F.lit(0.0)), k) for n, k in places.items() if n in rows.columns}).write.mode("append").json(path)
+
+
 def truth_fields(truth: DataFrame) -> DataFrame:
     """(doc_id, page_id, form, tier, field_name, value) of truth documents."""
     return truth.select("doc_id", "page_id", "form", "tier", F.explode("fields").alias("field_name", "f")).select("doc_id", "page_id", "form", "tier", "field_name", F.col("f.value").alias("value"))
