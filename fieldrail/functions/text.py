@@ -72,10 +72,11 @@ def _nfkc(x: pd.Series) -> pd.Series:
 def span_text(x: Column) -> Column:
     """A span's text: NFKC, marks folded, stripped.
 
-    Spark has no NFKC, and runs a Python function for every row whatever a CASE says, so all rows go through
-    Arrow batches; the function leaves ASCII as it is.
+    Spark has no NFKC, and runs a Python function for every row whatever a CASE says; so the function is given the
+    texts that aren't ASCII only, and nulls for the rest.
     """
-    return strip(fold_marks(_nfkc(x)))
+    wide = F.when(x.rlike(r"[^\x00-\x7F]"), x)
+    return strip(fold_marks(F.when(wide.isNull(), x).otherwise(_nfkc(wide))))
 
 
 def strip_fence(x: Column) -> Column:
