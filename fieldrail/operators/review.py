@@ -54,6 +54,29 @@ def blank_inactive_lines(fields: DataFrame, lines: DataFrame, keys: list[str]) -
     return out.withColumns({"value": F.when(~gone, F.col("value")), "state": F.when(gone, "ACCEPT").otherwise(F.col("state")), "verdict": F.when(gone, "INAPPLICABLE")}).drop("_line", "_off")
 
 
+# Fixed names and details of stamps that no rule of a field gives.
+WORKSPACE_STAMPS = {
+    "service_line_activation": "service line has no valid activation anchors",
+    "template_blank_policy": "optional CMS-1500 value region is blank",
+    "human_review": "",
+}
+
+
+def workspace_stamps(fields: DataFrame, stamps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field_name, validator, verdict, detail): stamps with what the workspace puts in their place.
+
+    fields: keys, field_name, inactive (its service line), off (optional and blank), action (a reviewer's last one). What a field
+    is marked as takes the place of all its rules' stamps: not applicable by a reviewer, else of an inactive line, else blank.
+    """
+    c, by = F.col, [*keys, "field_name"]
+    flag = lambda name: F.coalesce(c(name), F.lit(False))
+    name = F.when(c("action") == "MARK_NOT_APPLICABLE", "human_review").when(flag("inactive"), "service_line_activation").when(flag("off"), "template_blank_policy")
+    marked = fields.select(*by, name.alias("validator")).filter("validator IS NOT NULL")
+    detail = F.element_at(F.create_map(*(F.lit(x) for pair in WORKSPACE_STAMPS.items() for x in pair)), c("validator"))
+    own = marked.select(*by, "validator", F.lit("INAPPLICABLE").alias("verdict"), detail.alias("detail"))
+    return stamps.select(*by, "validator", "verdict", "detail").join(marked.select(*by).distinct(), by, "left_anti").unionByName(own)
+
+
 def eligible(external: Column, criticality: Column, paid: Column, optional: Column) -> Column:
     return external & F.array_contains(paid, criticality) & ~optional
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decisions, typed, validators
-from ..operators import candidates, exports, oversight, regions
+from ..operators import candidates, exports, oversight, regions, review
 from ..sources import files, records, scratch
 from . import bind as B
 from .extraction import SQL as _EXTRACTION
@@ -178,3 +178,54 @@ _CODES = "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'ty
 def compared_values(spark: SparkSession, d: str) -> DataFrame:
     """Bill types, codes, quantities and names in the form in which they are compared."""
     return B.bind(spark, d, _CODES).select("l_orderkey", "l_linenumber", typed.compared_value(F.col("field_name"), F.col("value")).alias("compared"))
+
+
+# claims drawn from orders' keys --------------------------------------------------------------
+def _draw(what: str, n: int) -> str:
+    return f"(CAST('0x' || substr(sha256(s || ':' || {what}), 1, 8) AS BIGINT) % {n})"
+
+
+def _pick(what: str, of: tuple[str, ...]) -> str:
+    return f"([{', '.join(repr(x) for x in of)}])[{_draw(repr(what), len(of))} + 1]"
+
+
+def _npi(what: str) -> str:
+    nine = f"('1' || lpad(CAST({_draw(repr(what), 100_000_000)} AS VARCHAR), 8, '0'))"
+    digits = f"list_transform(range(0, 14), lambda i: CAST(('80840' || {nine})[14 - i] AS INT) * CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)"
+    return f"{nine} || CAST((10 - list_sum(list_transform({digits}, lambda d: CASE WHEN d > 9 THEN d - 9 ELSE d END)) % 10) % 10 AS INT)"
+
+
+_MONTH = f"lpad(CAST({_draw(repr('month'), 5)} + 1 AS VARCHAR), 2, '0')"
+_UB = f"""o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s FROM orders),
+c AS (SELECT o_orderkey, s, rev_code, hcpcs, row_number() OVER (PARTITION BY o_orderkey ORDER BY {_draw("'code:' || rev_code", 1 << 30)}, rev_code) AS n, CAST({_draw("'units:' || rev_code", 4)} + 1 AS VARCHAR) AS units, {_draw("'cents:' || rev_code", 7020)} * 25 + 9500 AS cents, {_MONTH} || lpad(CAST({_draw(repr('day'), 28)} + 1 AS VARCHAR), 2, '0') || '26' AS service_date
+ FROM o, (VALUES {', '.join(map(str, records.UB_PROCEDURES.items()))}) t(rev_code, hcpcs)),
+l AS (SELECT *, (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS charges FROM c WHERE n <= {_draw(repr('lines'), 2)} + 2)"""
+
+
+@query(f"""WITH {_UB}, t AS (SELECT o_orderkey AS k, sum(cents) AS cents FROM l GROUP BY o_orderkey)
+SELECT o_orderkey, {_pick('bill', records.UB_BILL_TYPES)} AS type_of_bill, 'PC' || ({_draw(repr('control'), 9_000_000)} + 1000000) AS patient_control_no, 'MR' || ({_draw(repr('record'), 900_000)} + 100000) AS medical_record_no, ({_draw(repr('tax'), 90)} + 10) || '-' || ({_draw(repr('tax no'), 9_000_000)} + 1000000) AS federal_tax_no,
+ {_MONTH} || lpad(CAST({_draw(repr('day'), 28)} + 1 AS VARCHAR), 2, '0') || '26' AS statement_from, {_MONTH} || lpad(CAST(least({_draw(repr('day'), 28)} + 1 + {_draw(repr('stay'), 4)}, 28) AS VARCHAR), 2, '0') || '26' AS statement_to, {_MONTH} || lpad(CAST({_draw(repr('day'), 28)} + 1 AS VARCHAR), 2, '0') || '26' AS admission_date,
+ {_pick('sex', ('M', 'F'))} AS patient_sex, {_pick('payer', records.UB_PAYERS)} AS payer_name, {_pick('dx', records.UB_DIAGNOSES)} AS principal_dx, {_npi('provider')} AS provider_npi, {_npi('attending')} AS attending_npi, ('ABCDEFGHJK')[{_draw(repr('letter'), 10)} + 1] || ({_draw(repr('insured'), 900_000_000)} + 100000000) AS insured_id,
+ CAST(t.cents // 100 AS BIGINT) || '.' || lpad(CAST(CAST(t.cents % 100 AS BIGINT) AS VARCHAR), 2, '0') AS total_charges FROM o JOIN t ON t.k = o_orderkey""")
+def ub_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Hospital claims drawn from orders' keys."""
+    return records.synthetic_ub_claims(B.bind(spark, d, "SELECT o_orderkey FROM {orders}"), "o_orderkey").drop("lines")
+
+
+@query(f"""WITH {_UB} SELECT o_orderkey, 'line' || n || '_' || k AS field_name, CASE k WHEN 'rev_code' THEN rev_code WHEN 'hcpcs' THEN hcpcs WHEN 'service_date' THEN service_date WHEN 'units' THEN units ELSE charges END AS value FROM l, (VALUES ('rev_code'), ('hcpcs'), ('service_date'), ('units'), ('charges')) f(k)""")
+def ub_claim_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Their lines' fields, a row each."""
+    claims = records.synthetic_ub_claims(B.bind(spark, d, "SELECT o_orderkey FROM {orders}"), "o_orderkey")
+    return records.flatten_lines(claims, "lines", ["o_orderkey"])
+
+
+_MARKED = "SELECT l_orderkey AS page, 'line' || CAST(l_linenumber AS STRING) || '_charges' AS field_name, l_quantity < 4 AS inactive, l_discount < 0.015 AS off, CASE WHEN l_returnflag = 'R' AND l_tax > 0.065 THEN 'MARK_NOT_APPLICABLE' WHEN l_returnflag = 'A' THEN 'EDIT' END AS action FROM {lineitem}"
+_STAMPED = "SELECT l_orderkey AS page, 'line' || CAST(l_linenumber AS STRING) || '_charges' AS field_name, v AS validator, CASE WHEN v = 'currency_format' AND l_extendedprice > 50000 THEN 'FAIL' ELSE 'PASS' END AS verdict, '' AS detail FROM {lineitem}, (VALUES ('currency_format'), ('claim_arithmetic')) t(v)"
+
+
+@query(f"""WITH f AS (SELECT *, CASE WHEN action = 'MARK_NOT_APPLICABLE' THEN 'human_review' WHEN inactive THEN 'service_line_activation' WHEN off THEN 'template_blank_policy' END AS own FROM ({B.duck(_MARKED)}) x)
+SELECT page, field_name, own AS validator, 'INAPPLICABLE' AS verdict, CASE own WHEN 'human_review' THEN '' WHEN 'service_line_activation' THEN 'service line has no valid activation anchors' ELSE 'optional CMS-1500 value region is blank' END AS detail FROM f WHERE own IS NOT NULL
+UNION ALL SELECT page, field_name, validator, verdict, detail FROM ({B.duck(_STAMPED)}) s WHERE NOT EXISTS (SELECT 1 FROM f WHERE own IS NOT NULL AND f.page = s.page AND f.field_name = s.field_name)""")
+def workspace_stamps(spark: SparkSession, d: str) -> DataFrame:
+    """Rules' stamps, and those of inactive lines, blanks and reviewers in their place."""
+    return review.workspace_stamps(B.bind(spark, d, _MARKED), B.bind(spark, d, _STAMPED), ["page"])

@@ -68,6 +68,64 @@ def synthetic_claims(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     return out.withColumn("total_cents", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["cents"]))
 
 
+# Fixed values of hospital claims: revenue codes with their procedure, bill types, diagnoses, payers.
+UB_PROCEDURES = {"0250": "", "0300": "80053", "0450": "99284", "0510": "99213", "0730": "93005"}
+UB_BILL_TYPES = ("0111", "0131", "0851")
+UB_DIAGNOSES = ("E11.9", "I10", "M54.5", "J06.9", "K21.9", "F41.1", "N39.0", "R51.9", "E78.5", "J45.909")
+UB_PAYERS = ("Aetna", "UnitedHealthcare", "Cigna", "BCBS", "Humana", "Medicare")
+
+
+def draw(seed: Column, what: str | Column, n: int) -> Column:
+    """One of 0..n-1, by the SHA-256 of ``seed:what``."""
+    what = F.lit(what) if isinstance(what, str) else what
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", seed.cast("string"), what), 256), 1, 8), 16, 10).cast("long") % n
+
+
+def check_digit(nine: Column) -> Column:
+    """What makes the doubled sum of the prefix, nine digits and itself a multiple of ten."""
+    padded = F.concat(F.lit("80840"), nine)
+    total = sum((F.when((d := F.substring(padded, 14 - i, 1).cast("int") * (2 if i % 2 == 0 else 1)) > 9, d - 9).otherwise(d) for i in range(14)), F.lit(0))
+    return F.pmod(10 - total % 10, F.lit(10)).cast("string")
+
+
+def synthetic_ub_claims(seeds: DataFrame, seed: str) -> DataFrame:
+    """Hospital claims, one a row of seeds: fields, two or three lines of different revenue codes, a total that is theirs.
+
+    Only the seed decides; provider numbers have their check digits, statements end by three days after they begin.
+    """
+    s = F.col(seed)
+    pick = lambda what, of: F.element_at(F.array(*map(F.lit, of)), (draw(s, what, len(of)) + 1).cast("int"))
+    number = lambda what, low, high: (draw(s, what, high - low + 1) + low).cast("string")
+    nine = lambda what: F.concat(F.lit("1"), F.lpad(draw(s, what, 100_000_000).cast("string"), 8, "0"))
+    day = lambda d: F.concat(F.lpad((draw(s, "month", 5) + 1).cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"), F.lit("26"))
+    first = draw(s, "day", 28) + 1
+    money = lambda cents: F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    # codes in the order of their draws: the first two or three of them
+    order = F.array_sort(F.array(*(F.struct(draw(s, f"code:{code}", 1 << 30).alias("k"), F.lit(code).alias("rev_code"), F.lit(hcpcs).alias("hcpcs")) for code, hcpcs in UB_PROCEDURES.items())))
+    cents = lambda code: draw(s, F.concat(F.lit("cents:"), code), 7020) * 25 + 9500
+    chosen = F.transform(F.slice(order, F.lit(1), (draw(s, "lines", 2) + 2).cast("int")), lambda x: F.struct(x["rev_code"], x["hcpcs"], (draw(s, F.concat(F.lit("units:"), x["rev_code"]), 4) + 1).cast("string").alias("units"), cents(x["rev_code"]).alias("cents")))
+    base = seeds.select(s, chosen.alias("_lines"))
+    npi = lambda what: F.concat(nine(what), check_digit(nine(what)))
+    return base.select(
+        seed,
+        pick("bill", UB_BILL_TYPES).alias("type_of_bill"),
+        F.concat(F.lit("PC"), number("control", 1_000_000, 9_999_999)).alias("patient_control_no"),
+        F.concat(F.lit("MR"), number("record", 100_000, 999_999)).alias("medical_record_no"),
+        F.concat(number("tax", 10, 99), F.lit("-"), number("tax no", 1_000_000, 9_999_999)).alias("federal_tax_no"),
+        day(first).alias("statement_from"),
+        day(F.least(first + draw(s, "stay", 4), F.lit(28))).alias("statement_to"),
+        day(first).alias("admission_date"),
+        pick("sex", ("M", "F")).alias("patient_sex"),
+        pick("payer", UB_PAYERS).alias("payer_name"),
+        pick("dx", UB_DIAGNOSES).alias("principal_dx"),
+        npi("provider").alias("provider_npi"),
+        npi("attending").alias("attending_npi"),
+        F.concat(F.substring(F.lit("ABCDEFGHJK"), (draw(s, "letter", 10) + 1).cast("int"), F.lit(1)), number("insured", 100_000_000, 999_999_999)).alias("insured_id"),
+        money(F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + x["cents"])).alias("total_charges"),
+        F.transform("_lines", lambda x: F.create_map(F.lit("rev_code"), x["rev_code"], F.lit("hcpcs"), x["hcpcs"], F.lit("service_date"), day(first), F.lit("units"), x["units"], F.lit("charges"), money(x["cents"]))).alias("lines"),
+    )
+
+
 def split_documents(docs: DataFrame, seed: int, share: float = 0.4) -> DataFrame:
     """A seeded split stratified by form: calibration or test.
 

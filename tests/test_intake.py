@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from fieldrail.operators.oversight import file_hashes, manifest_differences
+from fieldrail.operators.review import workspace_stamps
 from fieldrail.sources import files, records
 
 SCHEMA = "path string, content binary, pages int, link boolean, readable boolean"
@@ -63,3 +64,27 @@ def test_log_lines_stay(spark, tmp_path):
     lines = [json.loads(x) for p in (tmp_path / "log").glob("*.json") for x in p.read_text().splitlines()]
     assert len(lines) == 4 and sorted(x["cost_usd"] for x in lines) == [0.0] + [0.12345679] * 3 and lines[0]["latency_ms"] == 1.24
     assert records.read_jsonl(spark, str(tmp_path / "log"), records.LEDGER).filter("meta['model'] = 'm'").count() == 4
+
+
+def test_hospital_claims_are_sound(spark):
+    claims = records.synthetic_ub_claims(spark.range(60).union(spark.createDataFrame([(7,), (None,)], "id long")), "id")
+    rows = claims.collect()
+    assert len(rows) == 62 and sum(x.id == 7 for x in rows) == 2 and len({str(x) for x in rows if x.id == 7}) == 1
+    for x in rows:
+        cents = [int(line["charges"].replace(".", "")) for line in x.lines]
+        assert int(x.total_charges.replace(".", "")) == sum(cents) and len(cents) in (2, 3) and all(9500 <= c < 185000 and c % 25 == 0 for c in cents)
+        assert len({line["rev_code"] for line in x.lines}) == len(cents) and all(records.UB_PROCEDURES[line["rev_code"]] == line["hcpcs"] and line["service_date"] == x.statement_from for line in x.lines)
+        assert x.statement_from[:2] == x.statement_to[:2] and 0 <= int(x.statement_to[2:4]) - int(x.statement_from[2:4]) <= 3
+        for npi in (x.provider_npi, x.attending_npi):
+            digits = [int(c) for c in reversed("80840" + npi)]
+            assert len(npi) == 10 and sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    assert {len(x.lines) for x in rows} == {2, 3} and {x.type_of_bill for x in rows} == set(records.UB_BILL_TYPES)
+    assert records.flatten_lines(claims, "lines", ["id"]).count() == 5 * sum(len(x.lines) for x in rows)
+
+
+def test_workspace_stamps_take_the_place_of_rules(spark):
+    fields = spark.createDataFrame([(1, "a", True, True, "MARK_NOT_APPLICABLE"), (1, "b", True, True, None), (1, "c", None, True, "EDIT"), (1, "d", None, None, None), (2, "a", False, False, None)], "page int, field_name string, inactive boolean, off boolean, action string")
+    stamps = spark.createDataFrame([(p, n, v, "PASS", None) for p, n in ((1, "a"), (1, "c"), (1, "d"), (2, "a")) for v in ("x", "y")], "page int, field_name string, validator string, verdict string, detail string")
+    got = sorted((x.page, x.field_name, x.validator, x.verdict) for x in workspace_stamps(fields, stamps, ["page"]).collect())
+    assert got == [(1, "a", "human_review", "INAPPLICABLE"), (1, "b", "service_line_activation", "INAPPLICABLE"), (1, "c", "template_blank_policy", "INAPPLICABLE"), *((p, n, v, "PASS") for p, n in ((1, "d"), (2, "a")) for v in ("x", "y"))]
+    assert workspace_stamps(fields.limit(0), stamps, ["page"]).count() == 8 and workspace_stamps(fields, stamps.limit(0), ["page"]).count() == 3
