@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.typed import ratio
 
 # Fixed grid: 5 x 4 x 3 x 2 points.
-LOCAL = (0.75, 0.80, 0.85, 0.88, 0.92)
-MODEL = (0.80, 0.85, 0.90, 0.95)
-PAID = (("high",), ("high", "med"), ("high", "low", "med"))
+LOCAL = (0.80, 0.84, 0.88, 0.92, 0.95)
+MODEL = (0.88, 0.90, 0.92, 0.95)
+PAID = (("high",), ("high", "med"), ("high", "med", "low"))
 RESOLUTIONS = ("better_local_crop_strategy", "field_specific_ocr_mode", "deterministic_normalization", "validator_correction", "multimodal_escalation", "human_review_only", "governor_threshold_calibration")
 
 

@@ -183,8 +183,8 @@ def engine_rescue(spark: SparkSession, d: str) -> DataFrame:
 
 
 # calibration ---------------------------------------------------------------
-_GRID = f"""SELECT 'local-' || printf('%.2f', a) || '_model-' || printf('%.2f', m) || '_paid-' || p || '_flags-' || f AS point_id, a, m, p, f = 'on' AS flags
-FROM (VALUES {', '.join(f'({x})' for x in calibration.LOCAL)}) x(a), (VALUES {', '.join(f'({x})' for x in calibration.MODEL)}) y(m), (VALUES {', '.join(f"('{'-'.join(p)}')" for p in calibration.PAID)}) z(p), (VALUES ('on'), ('off')) w(f)"""
+_GRID = """SELECT 'local-' || printf('%.2f', a) || '_model-' || printf('%.2f', m) || '_paid-' || p || '_flags-' || f AS point_id, a, m, p, f = 'on' AS flags
+FROM (VALUES (0.80), (0.84), (0.88), (0.92), (0.95)) x(a), (VALUES (0.88), (0.90), (0.92), (0.95)) y(m), (VALUES ('high'), ('high-med'), ('high-med-low')) z(p), (VALUES ('on'), ('off')) w(f)"""
 _SWEEP = f"""WITH f AS ({FIELDS}), g AS ({_GRID}), pg AS ({PAGES}),
 a AS (SELECT g.*, f.*, local_valid AND local_conf >= a AS loc, '-' || p || '-' LIKE '%-' || criticality || '-%' AND external AND NOT optional AND retried AS eligible FROM f, g),
 b AS (SELECT *, NOT loc AND eligible AS called, NOT loc AND eligible AND model_usable AND model_conf >= m AS usable FROM a),
