@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, known
+from .text import blank, known, let
 
 # Fixed field names of the comparison families, and suffixes of generated line names.
 DATE_FIELDS = ("patient_dob", "admission_date", "statement_from", "statement_to", "service_from", "service_to", "service_date")
@@ -26,7 +26,7 @@ def digits(x: Column) -> Column:
 def _calendar(year: Column, month: Column, day: Column) -> Column:
     """A date, or null where the calendar has none."""
     text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(year != "0000", F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
+    return F.when(year != "0000", text.try_cast("date"))
 
 
 def _century(year: Column, pivot: int) -> Column:
@@ -37,25 +37,26 @@ def _century(year: Column, pivot: int) -> Column:
 def printed_date(x: Column) -> Column:
     """A date as forms print it: three parts, or a run of 6 or 8 digits, month first; years to 26 are in the 2000s."""
     parts = F.filter(F.split(F.coalesce(x, F.lit("")), "[^0-9]+"), lambda p: p != "")
-    run = F.array_join(parts, "")
-    shape = F.concat(*(F.length(F.get(parts, F.lit(i))).cast("string") for i in range(3)))
-    three = (F.size(parts) == 3) & shape.isin(*PART_LENGTHS)
-    joined = F.length(run).isin(6, 8)
-    month = F.when(three, F.get(parts, F.lit(0))).when(joined, F.substring(run, 1, 2))
-    day = F.when(three, F.get(parts, F.lit(1))).when(joined, F.substring(run, 3, 2))
-    year = F.when(three, F.get(parts, F.lit(2))).when(joined, F.expr("null").cast("string"))
-    year = F.coalesce(year, F.when(joined & ~three, F.substring(run, 5, 4)))
-    return _calendar(_century(year, 26), month, day)
+    date = lambda month, day, year: F.struct(month.alias("month"), day.alias("day"), year.alias("year"))
+
+    def read(p: Column) -> Column:
+        shape = F.concat(*(F.length(F.get(p, F.lit(i))).cast("string") for i in range(3)))
+        run = let(F.array_join(p, ""), lambda r: F.when(F.length(r).isin(6, 8), date(F.substring(r, 1, 2), F.substring(r, 3, 2), F.substring(r, 5, 4))))
+        return F.when((F.size(p) == 3) & shape.isin(*PART_LENGTHS), date(*(F.get(p, F.lit(i)) for i in range(3)))).otherwise(run)
+
+    return let(let(parts, read), lambda d: _calendar(_century(d["year"], 26), d["month"], d["day"]))
 
 
 def compared_date(x: Column) -> Column:
     """Digits as YYYYMMDD: six digits month first with years to 68 in the 2000s, eight year first, then month first."""
-    d = digits(x)
-    six = _calendar(_century(F.substring(d, 5, 2), 68), F.substring(d, 1, 2), F.substring(d, 3, 2))
-    ymd = _calendar(F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))
-    mdy = _calendar(F.substring(d, 5, 4), F.substring(d, 1, 2), F.substring(d, 3, 2))
-    found = F.when(F.length(d) == 6, six).when(F.length(d) == 8, F.coalesce(ymd, mdy))
-    return F.coalesce(F.date_format(found, "yyyyMMdd"), d)
+    def read(d: Column) -> Column:
+        six = _calendar(_century(F.substring(d, 5, 2), 68), F.substring(d, 1, 2), F.substring(d, 3, 2))
+        ymd = _calendar(F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))
+        mdy = _calendar(F.substring(d, 5, 4), F.substring(d, 1, 2), F.substring(d, 3, 2))
+        found = F.when(F.length(d) == 6, six).when(F.length(d) == 8, F.coalesce(ymd, mdy))
+        return F.coalesce(F.date_format(found, "yyyyMMdd"), d)
+
+    return let(digits(x), read)
 
 
 def compared_money(x: Column) -> Column:
