@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.typed import compared_value, digits, family
+from ..sources.spread import spread
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -13,18 +15,24 @@ def _all(text: Column, pattern: str) -> Column:
 
 
 def _windows(text: Column, size: int) -> Column:
-    n = F.length(text) - (size - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    def windows(text: Column) -> Column:
+        n = F.length(text) - (size - 1)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    return let(text, windows)
 
 
 def generate(name: Column, texts: Column) -> Column:
     """Array of candidate values of a field from its spans' texts, in order of preference, blanks left out."""
     spans = F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != "")
-    joined = F.array_join(spans, " ")
-    kind, none = family(name), F.array().cast("array<string>")
+    return let(spans, lambda spans: let(F.struct(F.array_join(spans, " ").alias("joined"), family(name).alias("kind")), lambda x: _generate(name, spans, x["joined"], x["kind"])))
+
+
+def _generate(name: Column, spans: Column, joined: Column, kind: Column) -> Column:
+    none = F.array().cast("array<string>")
     runs = F.transform(spans, digits)
     groups = _all(F.replace(joined, F.lit(","), F.lit("")), r"\d+")
-    money = F.when(F.size(groups) >= 2, F.concat(groups[0], F.lit("."), F.right(F.element_at(groups, -1), F.lit(2)))).when(F.size(groups) == 1, F.concat(groups[0], F.lit(".00")))
+    money = let(groups, lambda g: F.when(F.size(g) >= 2, F.concat(g[0], F.lit("."), F.right(F.element_at(g, -1), F.lit(2)))).when(F.size(g) == 1, F.concat(g[0], F.lit(".00"))))
     quantity = F.when(digits(joined) != "", digits(joined)).when(F.upper(joined).contains("T"), "1")
     upper = F.upper(joined)
     extra = (
@@ -38,14 +46,19 @@ def generate(name: Column, texts: Column) -> Column:
         .when(kind == "code", _all(upper, r"\b[A-Z0-9]{1,10}\b"))
         .otherwise(none)
     )
-    first = F.when((kind == "money") & money.isNotNull(), F.array(money)).otherwise(none)
+    first = F.when(kind == "money", F.array_compact(F.array(money))).otherwise(none)
     return F.filter(F.transform(F.array_compact(F.concat(first, spans, F.array(joined), extra)), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def explode(rows: DataFrame, name: str, texts: str, keys: list[str]) -> DataFrame:
-    """(keys, name, candidate_no, value, key): the first candidate of each compared form."""
-    one = rows.select(*keys, name, F.posexplode(generate(F.col(name), F.col(texts))).alias("candidate_no", "value"))
-    return first_seen(one.withColumn("key", compared_value(F.col(name), F.col("value"))).filter("key != ''"), [*keys, name], "key", "candidate_no")
+    """(keys, name, candidate_no, value, key): the first candidate of each compared form.
+
+    Texts are dealt by keys before candidates are made of them, so that candidates of one field already share a task.
+    """
+    c = F.col
+    dealt = rows.select(*keys, name, texts).repartition(spread(rows), *(keys or [name]))
+    one = dealt.select(*keys, name, F.posexplode(generate(c(name), c(texts))).alias("candidate_no", "value"))
+    return first_seen(one.withColumn("key", compared_value(c(name), c("value"))).filter("key != ''"), [*keys, name], "key", "candidate_no")
 
 
 def first_seen(rows: DataFrame, group: list[str], key: str, order: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldrail.functions import typed
+from fieldrail.operators import candidates
 
 
 def test_dates_are_split_once(spark):
@@ -12,3 +13,13 @@ def test_dates_are_split_once(spark):
     texts = ["01/02/1980", "1/2/80", "010226", "01022027", "02/30/2020", "13 45 26", "1980", "", None, "1//2//3", "12/31/0000", "a1b2c30"]
     rows = spark.createDataFrame([(t,) for t in texts], "x string").select(typed.printed_date(F.col("x")).cast("string").alias("d")).collect()
     assert [r.d for r in rows] == ["1980-01-02", "1980-01-02", "2026-01-02", "2027-01-02", None, None, None, None, None, None, None, "1930-01-02"]
+
+
+def test_candidates_are_made_where_they_are_compared(spark):
+    """Texts are shuffled, not what is made of them; spans are joined once."""
+    rows = spark.createDataFrame([(1, ["$12", "34"]), (1, ["12", "34"]), (2, [" ", "x"])], "k int, texts array<string>").withColumn("name", F.lit("line1_charges"))
+    out = candidates.explode(rows, "name", "texts", ["k"])
+    got = sorted((r.k, r.candidate_no, r.value) for r in out.collect())
+    assert [(k, no) for k, no, _ in got] == [(1, 0), (1, 1), (1, 2), (1, 3)] and got[0][2] == "12.34"
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    assert str(candidates.generate(F.col("name"), F.col("texts"))).count("array_join(") <= 2
