@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import fixed_width, scratch
+from ..sources.spread import spread
 
 # events as the cost ledger
 LEDGER = """
@@ -108,13 +109,11 @@ FILE_KEYS = 32768
 
 
 def written_blocks(spark: SparkSession, orders: DataFrame, key: str, rows: Column, kind: str, end: str) -> DataFrame:
-    """Blocks of orders written as fixed-width files in the order of their keys, read again in splits; path is the file's number."""
-    path = scratch.folder(spark, kind)
-    made = orders.select(F.floor(F.col(key) / FILE_KEYS).alias("file"), F.col(key).alias("key"), F.array_join(rows, end).alias("value"))
-    made = made.repartition(fixed_partitions(spark), "file").sortWithinPartitions("file", "key").select("file", "value")
-    made.write.partitionBy("file").option("lineSep", end).text(path)
-    return fixed_width.read_blocks(spark, path, kind).withColumn("path", F.regexp_extract("path", r"/file=(\d+)/", 1))
-
+    """Blocks of orders written as compressed fixed-width files in the order of their keys, read again; path is the file's number.
 
-def fixed_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Orders are dealt by file before their rows are made; rows are mostly blanks, so files are compressed.
+    """
+    path = scratch.folder(spark, kind)
+    dealt = orders.withColumn("file", F.floor(F.col(key) / FILE_KEYS)).repartition(spread(orders), "file").sortWithinPartitions("file", key)
+    dealt.select("file", F.array_join(rows, end).alias("value")).write.partitionBy("file").option("lineSep", end).option("compression", "gzip").text(path)
+    return fixed_width.read_blocks(spark, path, kind, r"/file=(\d+)/")

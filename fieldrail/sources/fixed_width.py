@@ -7,11 +7,17 @@ number, so ordinals may have gaps.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import known
 from ..functions.typed import person, record_money
+from .scratch import put
+from .spread import spread_rows
 
 # Fixed layouts: field: record type and inclusive places, from 1.
 NSF_FIELDS = {
@@ -70,25 +76,47 @@ def lines(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select("path", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("row_no", "row"))
 
 
-def read_blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(path, row_no, row, ordinal, tag) of large files, what blocks() makes of lines(), read in splits.
-
-    Each split's rows are numbered by themselves; ordinals add the anchor rows of the splits before, of which
-    a file has one number each. Rows before a split's first anchor go on with the last block of the split before.
-    The files are read once, and no task takes a whole one. Files with a row of another width are left out.
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of anchor rows of their split up to themselves; a task gets its splits one after the other."""
+    before, count = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, split, anchor = (batch.column(n) for n in ("path", "split", "anchor"))
+        code, begin = path.dictionary_encode().indices.to_numpy(), split.to_numpy()
+        starts = np.flatnonzero((np.diff(code) != 0) | (np.diff(begin) != 0)) + 1
+        own, local = anchor.to_numpy(zero_copy_only=False), np.empty(batch.num_rows, np.int64)
+        for i, j in zip((0, *starts), (*starts, batch.num_rows)):
+            here = (path[int(i)].as_py(), int(begin[i]))
+            local[i:j] = np.cumsum(own[i:j]) + (count if here == before else 0)
+            before, count = here, int(local[j - 1])
+        yield pa.RecordBatch.from_arrays([path, split, batch.column("n"), batch.column("row"), pa.array(local)], names=["path", "split", "n", "row", "local"])
+
+
+def read_blocks(spark: SparkSession, path: str, kind: str, name: str = "") -> DataFrame:
+    """(path, row_no, row, ordinal, tag) of large files, what blocks() makes of lines(), read in splits and dealt by block.
+
+    Each split's rows are numbered by themselves where they are read; ordinals add the anchor rows of the splits before, of
+    which a written table has one number each. Rows before a split's first anchor go on with the last block of the split
+    before. The files are read twice, no task takes a whole one, and rows are shuffled once, by their block. Files
+    with a row of another width are left out. name: a pattern whose first group names a file by its path.
     """
     width, anchor, _, tag = FORMATS[kind]
     meta = F.col("_metadata")
-    text = spark.read.text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("n"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("row"))
-    local = Window.partitionBy("path", "split").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = text.withColumn("local", F.sum(F.col("row").startswith(anchor).cast("int")).over(local))
-    splits = rows.groupBy("path", "split").agg(F.max("local").alias("anchors"), F.count_if(F.length("row") != width).alias("bad"))
-    file, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    sound = splits.select("path", "split", F.coalesce(F.sum("anchors").over(before), F.lit(0)).alias("offset"), F.sum("bad").over(file).alias("bad")).filter("bad = 0")
-    numbered = rows.join(sound.drop("bad"), ["path", "split"]).withColumn("ordinal", F.col("offset") + F.col("local"))
+    file = F.regexp_extract(meta["file_path"], name, 1) if name else meta["file_path"]
+    row = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    text = spark.read.text(path).select(file.alias("path"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("n"), row.alias("row")).withColumn("anchor", F.col("row").startswith(anchor))
+    splits = put(text.groupBy("path", "split").agg(F.count_if("anchor").alias("anchors"), F.count_if(F.length("row") != width).alias("bad"), F.count("*").alias("rows")), "splits")
+    whole, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("path", "split", F.coalesce(F.sum("anchors").over(before), F.lit(0)).alias("offset"), F.sum("bad").over(whole).alias("bad"))
+    numbered = text.mapInArrow(_running, "path string, split long, n long, row string, local long").join(F.broadcast(offsets), ["path", "split"], "left")
+    # a split that the first reading didn't have would have no number
+    offset = F.coalesce("offset", F.raise_error(F.lit("the files' splits changed between two readings")).cast("long"))
     # splits of a file come in the order of their begins, and so do numbers of rows
     place = F.struct("split", "n")
-    return numbered.filter("ordinal > 0").select("path", place.alias("row_no"), "row", "ordinal", F.substring("row", 1, tag).alias("tag"))
+    found = numbered.withColumn("ordinal", offset + F.col("local")).filter("bad = 0 AND ordinal > 0").select("path", place.alias("row_no"), "row", "ordinal", F.substring("row", 1, tag).alias("tag"))
+    n = splits.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return found.repartition(spread_rows(found, n), "path", "ordinal")
 
 
 def bad_widths(rows: DataFrame, kind: str) -> DataFrame:
@@ -133,19 +161,23 @@ def service_lines(rows: DataFrame, kind: str) -> DataFrame:
     """(path, ordinal, line_no, field_name, value) of the repeating records, in record, row and slot order."""
     patient = FORMATS[kind][2]
     tagged = rows if "ordinal" in rows.columns else blocks(rows, kind)
-    claims = tagged.filter(F.col("tag") == patient).select("path", "ordinal").distinct()
+    pairs = lambda values: F.array(*(F.struct(F.lit(n).alias("field_name"), v.alias("value")) for n, v in values.items()))
     if kind == "NSF320":
-        items = {n: _at(F.col("row"), a, b) for n, (a, b) in NSF_LINE.items()} | {"charge": record_money(_at(F.col("row"), 71, 77)), "units": record_money(_at(F.col("row"), 82, 85), 1)}
-        one = tagged.filter("tag = 'FA0'").withColumns({"slot": F.lit(0), "items": F.array(*(F.struct(F.lit(n).alias("field_name"), v.alias("value")) for n, v in items.items()))})
+        slots = F.array(pairs({n: _at(F.col("row"), a, b) for n, (a, b) in NSF_LINE.items()} | {"charge": record_money(_at(F.col("row"), 71, 77)), "units": record_money(_at(F.col("row"), 82, 85), 1)}))
+        repeating, held = ("FA0",), F.lit(1)
     else:
-        slots = F.lit(None)
+        slots, held, repeating = F.lit(None), F.lit(0), tuple(UB_SLOTS)
         for tag, specs in UB_SLOTS.items():
             made = []
             for revenue, code, units, charge in specs:
-                values = {"revenue_code": _at(F.col("row"), *revenue), "procedure_code": _at(F.col("row"), *code) if code else F.lit(""), "units": _at(F.col("row"), *units), "charge": record_money(_at(F.col("row"), *charge))}
-                made.append(F.array(*(F.struct(F.lit(n).alias("field_name"), v.alias("value")) for n, v in values.items())))
+                made.append(pairs({"revenue_code": _at(F.col("row"), *revenue), "procedure_code": _at(F.col("row"), *code) if code else F.lit(""), "units": _at(F.col("row"), *units), "charge": record_money(_at(F.col("row"), *charge))}))
             slots = F.when(F.col("tag") == tag, F.array(*made)).otherwise(slots)
-        one = tagged.filter(F.col("tag").isin(*UB_SLOTS)).select("*", F.posexplode(slots).alias("slot", "items")).filter(F.col("items")[0]["value"] != "")
-    order = Window.partitionBy("path", "ordinal").orderBy("tag", "row_no", "slot")
-    numbered = one.join(claims, ["path", "ordinal"], "left_semi").withColumn("line_no", F.row_number().over(order))
-    return numbered.select("path", "ordinal", "line_no", F.inline("items"))
+            held = F.when(F.col("tag") == tag, sum(((_at(F.col("row"), *revenue) != "").cast("int") for revenue, *_ in specs), F.lit(0))).otherwise(held)
+        slots = F.filter(slots, lambda x: x[0]["value"] != "")
+    # rows are numbered by how many slots the rows before them hold, and taken apart after that
+    block = Window.partitionBy("path", "ordinal")
+    before = block.orderBy("tag", "row_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = tagged.filter(F.col("tag").isin(*repeating, patient)).withColumn("_held", F.when(F.col("tag") != patient, held).otherwise(0))
+    rows = rows.withColumns({"_before": F.coalesce(F.sum("_held").over(before), F.lit(0)), "_claim": F.max(F.col("tag") == patient).over(block)})
+    one = rows.filter(F.col("_claim") & (F.col("tag") != patient)).select("path", "ordinal", "_before", F.posexplode(slots).alias("slot", "items"))
+    return one.select("path", "ordinal", (F.col("_before") + F.col("slot") + 1).cast("int").alias("line_no"), F.inline("items"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldrail.functions import typed
 from fieldrail.operators import candidates
+from fieldrail.sources import fixed_width
 
 
 def test_dates_are_split_once(spark):
@@ -23,3 +24,26 @@ def test_candidates_are_made_where_they_are_compared(spark):
     assert [(k, no) for k, no, _ in got] == [(1, 0), (1, 1), (1, 2), (1, 3)] and got[0][2] == "12.34"
     assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
     assert str(candidates.generate(F.col("name"), F.col("texts"))).count("array_join(") <= 2
+
+
+def test_rows_of_files_are_shuffled_once(spark, tmp_path):
+    """Rows are numbered where they are read, over batches, splits and files, and dealt once, by block."""
+    row = lambda tag, text="": (tag + text).ljust(320)
+    for k in range(3):
+        rows = [r for i in range(40) for r in (row("BA0"), row("CA0", f"  {k}-{i}"), *[row("FA0", f"{j:>37}") for j in range(i % 4)])]
+        (tmp_path / f"f{k}.txt").write_text("\r\n".join(rows))
+    old = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        read = fixed_width.read_blocks(spark, str(tmp_path), "NSF320", r"/(f\d)[.]txt")
+        lines = fixed_width.service_lines(read, "NSF320")
+        got = {(r.path, r.ordinal, r.line_no) for r in lines.collect()}
+        names = {(r.path, r.ordinal, r.value) for r in fixed_width.records(read, "NSF320").filter("field_name = 'patient_control_no'").collect()}
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+    assert got == {(f"f{k}", i + 1, j + 1) for k in range(3) for i in range(40) for j in range(i % 4)}
+    assert names == {(f"f{k}", i + 1, f"{k}-{i}") for k in range(3) for i in range(40)}
+    plan = lines._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("ordinal" in x or "split" in x)]) == 1
