@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.decisions import HUMAN, OVERRIDE, TERMINAL
 from ..functions.text import blank
+from ..sources.spread import spread
 
 
 def overlay(fields: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,8 +49,10 @@ def active_lines(anchors: DataFrame, keys: list[str]) -> DataFrame:
 def blank_inactive_lines(fields: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """fields (keys, field_name, value, state) of service lines without any passing anchor are blanked and accepted as inapplicable."""
     number = F.regexp_extract("field_name", r"^line([0-9]+)_", 1).try_cast("int")
-    off = lines.filter("blank").select(*keys, F.col("line_no").alias("_line"), F.lit(True).alias("_off"))
-    out = fields.withColumn("_line", number).join(off, [*keys, "_line"], "left")
+    by, n = [*keys, "_line"], spread(fields)
+    off = lines.filter("blank").select(*keys, F.col("line_no").alias("_line"), F.lit(True).alias("_off")).repartition(n, *by)
+    # fields of no line meet nothing; dealt by page and number, sides share as many tasks as there are fields for
+    out = fields.withColumn("_line", number).repartition(n, *by).join(off, by, "left")
     gone = F.coalesce("_off", F.lit(False))
     return out.withColumns({"value": F.when(~gone, F.col("value")), "state": F.when(gone, "ACCEPT").otherwise(F.col("state")), "verdict": F.when(gone, "INAPPLICABLE")}).drop("_line", "_off")
 

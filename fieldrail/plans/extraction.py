@@ -11,6 +11,7 @@ from ..functions import typed as Y
 from ..functions import validators as V
 from ..operators import candidates, evaluation, linkage, regions, review
 from ..sources import dims, files, fixed_width, records
+from ..sources.spread import spread
 from . import bind as B
 
 Q: dict = {}
@@ -531,9 +532,17 @@ def first_value_over_pages(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "event_type", F.substring("value", 2, 20).try_cast("long").alias("first_page"), "value")
 
 
+def _order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their lines, dealt to as many tasks as there are lines for."""
+    lines = B.bind(spark, d, "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem}")
+    n = spread(lines)
+    orders = B.bind(spark, d, "SELECT o_orderkey FROM {orders}").repartition(n, "o_orderkey")
+    return orders.join(lines.repartition(n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+
+
 @query("""WITH a AS (SELECT o_orderkey AS doc, l_linenumber AS line_no, COUNT(*) FILTER (l_partkey % 2 = 0) AS passed FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, l_linenumber) SELECT *, passed >= 2 AS active, passed = 0 AS blank FROM a""")
 def line_activation(spark: SparkSession, d: str) -> DataFrame:
-    a = B.bind(spark, d, "SELECT o_orderkey AS doc, l_linenumber AS line_no, CASE WHEN l_partkey % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey")
+    a = _order_lines(spark, d).select(F.col("o_orderkey").alias("doc"), F.col("l_linenumber").alias("line_no"), F.when(F.col("l_partkey") % 2 == 0, "PASS").otherwise("FAIL").alias("verdict"))
     return review.active_lines(a, ["doc"])
 
 
@@ -544,7 +553,10 @@ _LINES = "SELECT o_orderkey AS doc, 'line' || CAST(l_linenumber AS STRING) || '_
 SELECT f.doc, field_name, CASE WHEN a.doc IS NULL THEN value END AS value, CASE WHEN a.doc IS NOT NULL THEN 'ACCEPT' ELSE state END AS state, CASE WHEN a.doc IS NOT NULL THEN 'INAPPLICABLE' END AS verdict FROM f LEFT JOIN a ON f.doc = a.doc AND field_name = 'line' || n || '_charges'""")
 def blank_inactive_lines(spark: SparkSession, d: str) -> DataFrame:
     """Fields of lines that aren't active are blanked."""
-    return review.blank_inactive_lines(B.bind(spark, d, _LINES), line_activation(spark, d), ["doc"])
+    c = F.col
+    lines = _order_lines(spark, d).select(c("o_orderkey").alias("doc"), F.concat(F.lit("line"), c("l_linenumber").cast("string"), F.lit("_charges")).alias("field_name"), c("l_partkey").cast("string").alias("value"), F.when(c("l_partkey") % 3 == 0, "RETRY").otherwise("HUMAN_REVIEW").alias("state"))
+    totals = B.bind(spark, d, "SELECT o_orderkey AS doc, 'total_charge' AS field_name, '1' AS value, 'ACCEPT' AS state FROM {orders}")
+    return review.blank_inactive_lines(lines.unionByName(totals), line_activation(spark, d), ["doc"])
 
 
 @query("""WITH a AS (SELECT user_id, event_id, event_id % 3 = 0 AS m FROM events) SELECT user_id, COALESCE(MAX(event_id) FILTER (m), MAX(event_id)) AS attempt_no FROM a GROUP BY user_id""")

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from fieldrail.functions import typed
-from fieldrail.operators import candidates
-from fieldrail.sources import fixed_width
+from fieldrail.operators import candidates, review
+from fieldrail.sources import fixed_width, spread
 
 
 def test_dates_are_split_once(spark):
@@ -47,3 +47,14 @@ def test_rows_of_files_are_shuffled_once(spark, tmp_path):
     assert names == {(f"f{k}", i + 1, f"{k}-{i}") for k in range(3) for i in range(40)}
     plan = lines._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert len([x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("ordinal" in x or "split" in x)]) == 1
+
+
+def test_tasks_grow_with_rows(spark):
+    """Lines and fields are dealt to as many tasks as there are rows for, not to a fixed number."""
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spread.spread(spark.range(30), 4) == 8 and spread.spread(spark.range(3)) == few and spread.spread_rows(spark.range(1), 20_000_001) == 21
+    lines = spark.createDataFrame([(1, 2, True)], "doc int, line_no int, blank boolean")
+    fields = spark.createDataFrame([(1, "line2_units", "3", "RETRY"), (1, "total", "1", "RETRY")], "doc int, field_name string, value string, state string")
+    out = review.blank_inactive_lines(fields, lines, ["doc"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+    assert {(r.field_name, r.value, r.state, r.verdict) for r in out.collect()} == {("line2_units", None, "ACCEPT", "INAPPLICABLE"), ("total", "1", "RETRY", None)}
