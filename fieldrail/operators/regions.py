@@ -36,17 +36,28 @@ def hits(line: float = 14.0) -> tuple[Column, Column]:
 def map_fields(spans: DataFrame, regions: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each page (keys) and region of its form: value in reading order, confidence, box, spans.
 
-    Spark broadcasts the regions where it finds them small enough; pages without spans in
-    a region keep an empty field.
+    The regions of forms are few and are broadcast. What was found is dealt once, by page, and joined a page at a time;
+    the rows of a page's fields are made after that. Pages without spans in a region keep an empty field.
     """
+    c = F.col
     condition, order = hits()
-    wanted = pages.select(*keys, "form").join(regions, "form").select(*keys, "field_name")
-    found = spans.join(regions, "form").filter(condition)
+    regions = F.broadcast(regions)
+    found = spans.join(regions, "form").filter(condition & c("field_name").isNotNull()).repartition(*keys)
     boxes = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     parts = F.array_sort(F.collect_list(F.struct(order.alias("o"), "text")))
-    grouped = found.groupBy(*keys, "field_name").agg(F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("value"), F.bround(F.avg("conf"), 4).alias("conf"), F.count("*").alias("n_spans"), *boxes)
-    out = wanted.join(grouped, [*keys, "field_name"], "left")
-    return out.withColumns({"value": F.coalesce("value", F.lit("")), "conf": F.coalesce("conf", F.lit(0.0)), "n_spans": F.coalesce("n_spans", F.lit(0))})
+    stats = {
+        "value": F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), " ")),
+        "conf": F.coalesce(F.bround(F.avg("conf"), 4), F.lit(0.0)),
+        "n_spans": F.count("*"),
+    }
+    grouped = found.groupBy(*keys, "field_name").agg(*(x.alias(n) for n, x in stats.items()), *boxes)
+    names = [*stats, "x0", "y0", "x1", "y1"]
+    # lists of one group are in one order and have no nulls; those that nobody asks for aren't made
+    listed = grouped.groupBy(*keys).agg(F.collect_list("field_name").alias("_names"), *(F.collect_list(n).alias(f"_{n}") for n in names))
+    out = pages.select(*keys, "form").join(listed, keys, "left").join(regions, "form").withColumn("_at", F.array_position("_names", c("field_name")).cast("int"))
+    got = {n: F.when(c("_at") > 0, F.element_at(c(f"_{n}"), c("_at"))) for n in names}
+    got |= {n: F.coalesce(got[n], F.lit(none)) for n, none in (("value", ""), ("conf", 0.0), ("n_spans", 0))}
+    return out.select(*keys, "field_name", *(got[n].alias(n) for n in names))
 
 
 def centre_in(pad: float = PAD) -> Column:

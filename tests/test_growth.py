@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldrail.functions import typed
-from fieldrail.operators import candidates, review
+from fieldrail.operators import candidates, regions, review
 from fieldrail.sources import fixed_width, spread
 
 
@@ -58,3 +58,20 @@ def test_tasks_grow_with_rows(spark):
     out = review.blank_inactive_lines(fields, lines, ["doc"])
     assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
     assert {(r.field_name, r.value, r.state, r.verdict) for r in out.collect()} == {("line2_units", None, "ACCEPT", "INAPPLICABLE"), ("total", "1", "RETRY", None)}
+
+
+def exchanges(frame):
+    return [x for x in frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_pages_are_joined_before_their_fields_are_made(spark):
+    """Rows of a page's fields aren't shuffled; pages without a span, or without a key, have empty fields."""
+    template = spark.createDataFrame([("f", "a", 0.0, 0.0, 100.0, 50.0), ("f", "b", 0.0, 60.0, 100.0, 99.0)], "form string, field_name string, fx0 double, fy0 double, fx1 double, fy1 double")
+    spans = [(p, "f", n, t, x, y, x + 10, y + 5, q) for p, n, t, x, y, q in ((1, 2, "two", 30.0, 1.0, 0.5), (1, 1, "one", 5.0, 1.0, 1.0), (1, 3, "low", 5.0, 70.0, None), (2, 4, "off", 500.0, 1.0, 1.0), (None, 5, "lost", 5.0, 1.0, 1.0))]
+    frame = spark.createDataFrame(spans, "page int, form string, span_no int, text string, x0 double, y0 double, x1 double, y1 double, conf double")
+    pages = spark.createDataFrame([(1, "f"), (2, "f"), (3, "f"), (None, "f"), (4, "g")], "page int, form string")
+    out = regions.map_fields(frame, template, pages, ["page"])
+    assert not any("field_name" in x for x in exchanges(out))
+    got = {(r.page, r.field_name): (r.value, r.conf, r.n_spans, r.x0, r.y0, r.x1, r.y1) for r in out.collect()}
+    none = ("", 0.0, 0, None, None, None, None)
+    assert got == {(p, f): none for p in (1, 2, 3, None) for f in "ab"} | {(1, "a"): ("one two", 0.75, 2, 5.0, 1.0, 40.0, 6.0), (1, "b"): ("low", 0.0, 1, 5.0, 70.0, 15.0, 75.0)}
