@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldrail.functions import typed
-from fieldrail.operators import candidates, regions, review
+from fieldrail.operators import batches, candidates, regions, review
 from fieldrail.sources import fixed_width, spread
 
 
@@ -64,6 +64,27 @@ def exchanges(frame):
     return [x for x in frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in x]
 
 
+def test_reviewed_fields_are_shuffled_once(spark):
+    """Fields and their actions are dealt by document; keys without a value have no action, earlier actions of other documents stay."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(d, p, n, "10.00", "HUMAN_REVIEW", "EDIT" if d == 2 else None, d) for d in (1, 2, None) for p in (1, None) for n in ("total_charge", "line1_charges")]
+        fields = spark.createDataFrame(rows, "doc int, page int, field_name string, value string, state string, action string, other int")
+        said = [(1, 1, "line1_charges", 1, "EDIT", "10.00"), (1, 1, "line1_charges", 2, None, "x"), (1, None, "total_charge", 3, "EDIT", "9.00"), (None, 1, "total_charge", 4, "EDIT", "9.00"), (1, 1, None, 5, "EDIT", "8.00")]
+        actions = spark.createDataFrame(said, "doc int, page int, field_name string, seq int, action string, new_value string")
+        counters = batches.document_counters(fields)
+        done, counted = batches.revalidate(fields, counters, actions)
+        assert len(exchanges(done)) == 1
+        got = {(r.doc, r.page, r.field_name): (r.value, r.state, r.action, r.failures, r.other) for r in done.collect()}
+        assert {x.doc: x.overridden for x in counted.collect()} == {1: 1, 2: 0, None: 0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = {(d, p, n): (v, s, a, None, o) for d, p, n, v, s, a, o in rows}
+    want[1, 1, "line1_charges"] = ("10.00", "ACCEPT_WITH_OVERRIDE", "EDIT", 0, 1)
+    assert got == want and len(rows) == len(got)
+
+
 def test_pages_are_joined_before_their_fields_are_made(spark):
     """Rows of a page's fields aren't shuffled; pages without a span, or without a key, have empty fields."""
     template = spark.createDataFrame([("f", "a", 0.0, 0.0, 100.0, 50.0), ("f", "b", 0.0, 60.0, 100.0, 99.0)], "form string, field_name string, fx0 double, fy0 double, fx1 double, fy1 double")
